@@ -5,8 +5,12 @@ from __future__ import annotations
 from .contamination import op4_decontamination
 from .mixing import op3_mixing
 from .tokens import op5_token_counts
+from .urls import op1_url_filter
+from .warc import op2_warc_derivatives
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
