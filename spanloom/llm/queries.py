@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .contamination import op4_decontamination
 from .mixing import op3_mixing
+from .quality import op8_quality
 from .tokens import op5_token_counts
 from .urls import op1_url_filter
 from .warc import op2_warc_derivatives
@@ -14,4 +15,5 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op8_quality": op8_quality,
 }
