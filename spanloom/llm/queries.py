@@ -5,6 +5,7 @@ from __future__ import annotations
 from .contamination import op4_decontamination
 from .mixing import op3_mixing
 from .quality import op8_quality
+from .secrets import op10_secrets
 from .tokens import op5_token_counts
 from .urls import op1_url_filter
 from .warc import op2_warc_derivatives
@@ -16,4 +17,5 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
     "op8_quality": op8_quality,
+    "op10_secrets": op10_secrets,
 }
