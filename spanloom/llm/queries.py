@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .contamination import op4_decontamination
 from .mixing import op3_mixing
+from .neighbours import op6_nearest
 from .pii import op7_pii
 from .quality import op8_quality
 from .secrets import op10_secrets
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_decontamination": op4_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op6_nearest": op6_nearest,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op10_secrets": op10_secrets,
