@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .contamination import op4_decontamination
+from .jaccard import op9_jaccard_join
 from .mixing import op3_mixing
 from .neighbours import op6_nearest
 from .pii import op7_pii
@@ -21,5 +22,6 @@ QUERIES = {
     "op6_nearest": op6_nearest,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_secrets": op10_secrets,
 }
