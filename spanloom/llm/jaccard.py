@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import Words, flat_bytes, mixed
@@ -31,12 +31,17 @@ from .graph import components
 
 #: Words of a shingle and similarity in percent, where nothing else is asked for.
 SHINGLE, PERCENT = 5, 80
-#: Bits of counters of the frequency sketch, and counters in one row of it.
-SKETCH_BITS, CHUNK = 20, 1 << 15
+#: Counters of the frequency sketch (a power of two), and counters in one row of it.
+COUNTERS, CHUNK = 1 << 22, 1 << 16
+#: Shingles come in order of the leading bits of their number; only those whose leading BAND_BITS are
+#: zero, which is where the rarest are chosen, are counted, so that counters are shared by few.
+BAND_BITS = 2
 #: Documents and shingles up to which a region is joined in one task.
 REGION_DOCS, REGION_SHINGLES = 4096, 1_500_000
 #: Pivots of a region, and documents up to which it isn't split any more.
 PIVOTS, SMALL = 8, 64
+#: Sets further than this from all pivots form a region of their own, the outer one.
+OUTER = 0.7
 #: Rows of ids up to which they are broadcast (under 10 MB); beyond, both sides are shuffled.
 BROADCAST_IDS = 400_000
 #: Text that is shingled at a time.
@@ -76,46 +81,71 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mixed(s ^ c).sum().astype(np.int64)) for c in _PLACES[:2])
 
 
+def banded(s: np.ndarray) -> int:
+    """How many of the sorted shingles lie in the counted band."""
+    return int(np.searchsorted(s, np.uint64(1 << (64 - BAND_BITS))))
+
+
+def counter_of(s: np.ndarray) -> np.ndarray:
+    return (s & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
 def summary(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, f1, f2) of every row, and the sketch: a level by counter, higher for frequent shingles."""
+    """(doc_id, n, f1, f2) of every row, and the sketch: a level by counter, higher for frequent shingles.
+
+    A task counts each set once. Counters stop at 255 within a task.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << SKETCH_BITS, np.int64)
+        counters, seen = np.zeros(COUNTERS, np.uint32), set()
         names = ["doc_id", "n", "f1", "f2", "chunk", "counts"]
         for batch in batches:
-            n, f1, f2 = [], [], []
+            n, f1, f2, new = [], [], [], []
             for _, s in shingle_sets(batch.column("_bytes"), size):
-                x, y = digest(s)
-                n.append(len(s)), f1.append(x), f2.append(y)
-                np.add.at(counters, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
+                key = digest(s)
+                n.append(len(s)), f1.append(key[0]), f2.append(key[1])
+                if key not in seen:
+                    seen.add(key)
+                    new.append(counter_of(s[: banded(s)]))
+            if new:
+                at, times = np.unique(np.concatenate(new), return_counts=True)
+                counters[at] += times.astype(np.uint32)
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         for k in range(0, len(counters), CHUNK):
             part = counters[k : k + CHUNK]
             if part.any():
-                row = [pa.nulls(1, pa.int64())] * 4 + [pa.array([k // CHUNK], pa.int32()), pa.array([part.astype(np.uint32).tobytes()], pa.binary())]
+                row = [pa.nulls(1, pa.int64())] * 4 + [pa.array([k // CHUNK], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes"))
     both = stored(rows.mapInArrow(scan, "doc_id long, n long, f1 long, f2 long, chunk int, counts binary"), "jaccard-docs")
 
     def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in part.column("counts"))
+        first = len(part.column("counts")[0].as_py()) == CHUNK  # bytes of a task, or sums of 4 bytes each
+        total = np.zeros(CHUNK, np.int64)
+        for x in part.column("counts"):
+            total += np.frombuffer(x.as_py(), np.uint8 if first else np.uint32)
         return pa.table({"chunk": part.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     counts = both.filter("chunk is not null").select("chunk", "counts", (F.spark_partition_id() % 64).alias("salt"))
-    for keys in (("chunk", "salt"), ("chunk",)):  # in two steps, so that no task gets all tasks' counters
-        counts = counts.groupBy(*keys).applyInArrow(add, "chunk int, counts binary")
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in counts.toLocalIterator():
+    counts = counts.groupBy("chunk", "salt").applyInArrow(add, "chunk int, counts binary")  # in two steps, so that no task gets all tasks' counters
+    counts = counts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
+    sketch = np.zeros(COUNTERS, np.uint32)
+    for r in counts.toLocalIterator():  # COUNTERS numbers, whatever the input
         sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["counts"]), np.uint32)
     usual = max(1.0, float(np.median(sketch)))
     levels = np.clip(np.round(4 * np.log2(np.maximum(sketch, 1) / usual)), 0, 255).astype(np.uint8)
     return both.filter("chunk is null").select("doc_id", "n", "f1", "f2"), levels
 
 
+def prefix_size(n: int, percent: int) -> int:
+    """Shingles of a set of n of which any set within the radius has one at least among its own first ones, in a common order."""
+    return n - -(-percent * n // 100) + 1
+
+
 def rare_shingles(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(shingle, doc_id): the rarest shingles of each document, enough that two within the radius share one.
+    """(shingle, doc_id, n): the rarest shingles of each document, enough that two within the radius share one.
 
     A task sends each set once, however many copies of it there are.
     """
@@ -125,32 +155,43 @@ def rare_shingles(docs: DataFrame, levels: np.ndarray, size: int, percent: int)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            shingles, owners = [], []
+            shingles, owners, sizes = [], [], []
             for row, s in shingle_sets(batch.column("_bytes"), size):
                 if not len(s) or (key := digest(s)) in seen:
                     continue
                 seen.add(key)
-                level = sent.value[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
-                k = len(s) - -(-percent * len(s) // 100) + 1
-                part = s[np.argsort(level, kind="stable")[:k]]  # by level, then by number
+                k, band = prefix_size(len(s), percent), s[: banded(s)]
+                order = np.argsort(sent.value[counter_of(band)], kind="stable")[:k]  # by level, then by number
+                part = np.concatenate((band[order], s[len(band) : len(band) + k - len(order)]))
                 shingles.append(part.view(np.int64))
                 owners.append(np.full(k, ids[row]))
+                sizes.append(np.full(k, len(s)))
             flat = np.concatenate(shingles) if shingles else np.zeros(0, np.int64)
             who = np.concatenate(owners).astype(np.int64) if owners else np.zeros(0, np.int64)
+            n = np.concatenate(sizes).astype(np.int32) if sizes else np.zeros(0, np.int32)
             for a in range(0, len(flat), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(flat[a : a + 200_000]), pa.array(who[a : a + 200_000])], names=["shingle", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (flat, who, n)], names=["shingle", "doc_id", "n"])
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes"))
-    return rows.mapInArrow(scan, "shingle long, doc_id long")
+    return rows.mapInArrow(scan, "shingle long, doc_id long, n int")
 
 
-def shared_pivots(postings: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all documents of a shingle to the least of them. Linear in the postings."""
-    lists = stored(postings.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low <> high"), "jaccard-lists")
-    pairs = lists.filter("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
-    long = lists.filter("n > 2").select("shingle", "low")
-    side = F.broadcast(long) if long.count() <= BROADCAST_IDS else long
-    return pairs.union(postings.join(side, "shingle").select(F.col("doc_id").alias("a"), F.col("low").alias("b"))).filter("a <> b").distinct()
+def shared_pivots(postings: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect documents of a shingle whose sizes can be similar. Linear in the postings.
+
+    Sizes fall into classes so wide that similar sets are in one class or in neighbouring ones. All
+    documents of a shingle and class are tied to the least of them, and so are the least ones of
+    neighbouring classes.
+    """
+    lists = stored(postings.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("shingle"), "jaccard-lists")
+    side = F.broadcast(lists) if lists.count() <= BROADCAST_IDS else lists
+    width = float(np.log(100 / percent) * (1 + 1e-9))
+    shared = stored(postings.join(side, "shingle").withColumn("class", F.floor(F.log("n") / width).cast("int")).drop("n"), "jaccard-shared")
+    least = shared.groupBy("shingle", "class").agg(F.min("doc_id").alias("low"))
+    steps = Window.partitionBy("shingle").orderBy("class")  # one row a class
+    between = least.select(F.col("low").alias("a"), F.lag("low").over(steps).alias("b"), (F.col("class") - F.lag("class").over(steps)).alias("gap")).filter("gap = 1").select("a", "b")
+    inside = shared.join(least, ["shingle", "class"]).select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
+    return inside.union(between).filter("a <> b").distinct()
 
 
 class Union:
@@ -180,6 +221,17 @@ class Union:
         return self.up
 
 
+def windows(d: np.ndarray, radius: float) -> np.ndarray:
+    """Which cells each set goes to, by its distances to the pivots (one row a pivot); the last row is the outer cell.
+
+    If y is home at pivot j, no further than OUTER, and x is within the radius of y, then x is at most
+    twice the radius further from j than from its own pivot, and at most the radius beyond OUTER:
+    x is copied there. If neither has a pivot within OUTER, both are in the outer cell.
+    """
+    near = d.min(axis=0)
+    return np.vstack([(d <= near + 2 * radius + 1e-9) & (d <= OUTER + radius + 1e-9), near > OUTER - radius - 1e-9])
+
+
 class Region:
     """Exact join of the sets of a region. Links inside what is already connected aren't looked for."""
 
@@ -213,6 +265,29 @@ class Region:
                 self.links.append((i, int(j)))
         return 1 - both / either
 
+    def parts(self) -> Iterator[np.ndarray]:
+        """Sets that share one of their rarest shingles, over any number of steps; rare as counted in this region."""
+        frequency = np.bincount(self.tokens)
+        rank = np.empty(len(frequency), np.int64)
+        rank[np.argsort(frequency, kind="stable")] = np.arange(len(frequency))
+        held, owner = [], []
+        for i in range(len(self.n)):
+            k = prefix_size(int(self.n[i]), self.percent)
+            own = rank[self.tokens[self.first[i] : self.first[i + 1]]]
+            held.append(np.partition(own, k - 1)[:k])
+            owner.append(np.full(k, i))
+        held, owner = np.concatenate(held), np.concatenate(owner)
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        same = np.flatnonzero(held[1:] == held[:-1])
+        steps = np.unique(np.stack([owner[same], owner[same + 1]]), axis=1) if len(same) else np.zeros((2, 0), np.int64)
+        met = Union(len(self.n))
+        for a, b in steps.T.tolist():
+            met.join(a, b)
+        roots = met.roots()
+        order = np.argsort(roots, kind="stable")
+        yield from np.split(order, np.flatnonzero(np.diff(roots[order])) + 1)
+
     def run(self, cell: np.ndarray, depth: int = 0) -> None:
         if len(cell) < 2:
             return
@@ -228,9 +303,7 @@ class Region:
             if far[pick] <= self.radius:
                 break
         d = np.array(rows)
-        near = d.min(axis=0)
-        # Voronoi cells with windows: a set is copied to every cell whose border is within the radius
-        cells = [cell[d[j] <= near + 2 * self.radius + 1e-9] for j in range(len(d))]
+        cells = [cell[c] for c in windows(d, self.radius)]
         if max(len(c) for c in cells) <= 0.8 * len(cell) and sum(len(c) for c in cells) <= 2 * len(cell):
             for c in cells:
                 self.run(c, depth + 1)
@@ -263,7 +336,8 @@ def region_links(part: pa.Table, percent: int) -> pa.Table:
     ids = part.column("doc_id").to_numpy()
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("shingles")]
     region = Region(sets, percent)
-    region.run(np.arange(len(ids)))
+    for cell in region.parts():
+        region.run(cell)
     return pa.table({"a": pa.array([int(ids[i]) for i, _ in region.links], pa.int64()), "b": pa.array([int(ids[j]) for _, j in region.links], pa.int64())})
 
 
@@ -304,7 +378,7 @@ def dealt(rows: DataFrame, large: DataFrame, percent: int) -> DataFrame:
                     o = np.frombuffer(other, np.uint64)
                     both = len(np.intersect1d(s, o, assume_unique=True))
                     d.append(1 - both / (len(s) + len(o) - both))
-                out += [(region, doc, n, mine, j) for j, x in enumerate(d) if x <= min(d) + 2 * radius + 1e-9]
+                out += [(region, doc, n, mine, int(j)) for j in np.flatnonzero(windows(np.array([d]).T, radius)[:, 0])]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["region", "doc_id", "n", "shingles", "cell"])
 
@@ -333,7 +407,7 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = stored(full.join(classes, ["n", "f1", "f2"]).select("doc_id", "n", "rep").distinct(), "jaccard-reps")
     postings = stored(rare_shingles(docs, levels, size, percent), "jaccard-postings")
-    edges = shared_pivots(postings)
+    edges = shared_pivots(postings, percent)
     ends = reps.select("doc_id", "rep")
     edges = edges.join(ends.toDF("a", "ra"), "a").join(ends.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     regions = stored(components(edges).select(F.col("component").alias("region"), F.col("node").alias("doc_id")), "jaccard-regions")
@@ -352,3 +426,18 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def without_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but one document (the smallest id) of each component.
+
+    Rows without doc_id stay. Of rows that repeat an id, one stays.
+    """
+    found = stored(join_components(docs, size, percent), "jaccard-found")
+    gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
+    small = gone.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if again.isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
