@@ -53,13 +53,13 @@ def source_targets(sizes: DataFrame, total_percent: int = TOTAL_PERCENT, most: i
     return w.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """How many words of each row the mix takes.
+def mix_plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row a source: _s, source_size, target, base, cut.
 
-    ``rows``: doc_id, source, size, ``h`` (48-bit hash). ``targets``: as of :func:`source_targets`.
-    Every row is taken ``floor(target / source_size)`` times, and rows under their source's hash
-    threshold once more. A run of rows with one same hash (repeated ids) is taken or left as a
-    whole, whichever comes nearer to the target.
+    ``rows``: source, size, ``h`` (48-bit hash). ``targets``: as of :func:`source_targets`. Every
+    row is to be taken ``base = floor(target / source_size)`` times, and rows whose hash is under
+    ``cut`` once more. A run of rows with one same hash (repeated ids) is taken or left as a whole,
+    whichever comes nearer to the target.
     """
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     need = targets.select(F.col("source").alias("_s"), "source_size", "target", base.alias("base")).withColumn("budget", F.col("target") - F.col("base") * F.col("source_size"))
@@ -77,10 +77,18 @@ def mix(rows: DataFrame, targets: DataFrame) -> DataFrame:
         edge = edge.select("_s", "prefix", "left")
     # the boundary is now one hash value: take it where that comes nearer
     cut = last.select(F.col("_s").alias("_t"), (F.col("prefix") + F.when(F.col("left") * 2 >= F.col("words"), 1).otherwise(0)).alias("cut"))
-    plan = need.join(cut, need["_s"].eqNullSafe(cut["_t"]), "left").select("_s", "source_size", "target", "base", F.coalesce("cut", F.when(F.col("budget") > 0, F.lit(1 << HASH_BITS)).otherwise(F.lit(0))).alias("cut"))
-    out = rows.join(F.broadcast(plan) if _small(plan) else plan, rows["source"].eqNullSafe(plan["_s"]))
-    taken = (F.col("base") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)) * F.col("size")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("base") + F.when(F.col("h") < F.col("cut"), 1).otherwise(0)).cast("int").alias("copies"))
+    return stored(need.join(cut, need["_s"].eqNullSafe(cut["_t"]), "left").select("_s", "source_size", "target", "base", F.coalesce("cut", F.when(F.col("budget") > 0, F.lit(1 << HASH_BITS)).otherwise(F.lit(0))).alias("cut")), "mix-plan")
+
+
+def taken(rows: DataFrame, plan: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` of each row with source_size, target, copies and taken, its words times its copies.
+
+    ``rows`` has source, and size and hash as ``_size`` and ``_h``.
+    """
+    own = plan.select("_s", *[F.col(c).alias(f"_{c}") for c in ("source_size", "target", "base", "cut")])
+    out = rows.join(F.broadcast(own) if _small(own) else own, rows["source"].eqNullSafe(own["_s"]))
+    copies = F.col("_base") + F.when(F.col("_h") < F.col("_cut"), 1).otherwise(0)
+    return out.select(*columns, F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.cast("int").alias("copies"), (copies * F.col("_size")).cast("long").alias("taken"))
 
 
 #: Rows of a source table up to which it is broadcast (under 10 MB); larger ones are joined by shuffle.
@@ -91,17 +99,21 @@ def _small(df: DataFrame) -> bool:
     return df.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies for every row of ``docs``.
+def mix_documents(docs: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """``columns`` (doc_id and source, unless named) with size, source_size, target, copies and taken for every row of ``docs``.
 
     Null or empty texts have size 0 and are taken with 0 words; a null source is a source of its
     own; repeated ids share one hash and so one fate; an empty table gives an empty result. Only
-    doc_id, text and source are read, so further columns of any name do no harm.
+    doc_id, text, source and ``columns`` are read; further columns of any name do no harm.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key_hash(F.col("doc_id"), "mix").alias("h"))
-    rows = stored(rows, "mix-rows")  # the only pass over the texts
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    return mix(rows, stored(source_targets(sizes), "mix-targets"))
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key_hash(F.col("doc_id"), "mix").alias("h"))
+    slim = stored(slim, "mix-rows")
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = mix_plan(slim, stored(source_targets(sizes), "mix-targets"))
+    if columns is None:  # no second pass over the texts
+        return taken(slim.select("doc_id", "source", F.col("size").alias("_size"), F.col("h").alias("_h")), plan, ("doc_id", "source"))
+    rows = docs.withColumns({"_size": word_count(docs["text"]), "_h": key_hash(docs["doc_id"], "mix")})
+    return taken(rows, plan, columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
