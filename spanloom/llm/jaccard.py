@@ -37,13 +37,13 @@ COUNTERS, CHUNK = 1 << 22, 1 << 16
 #: zero, which is where the rarest are chosen, are counted, so that counters are shared by few.
 BAND_BITS = 2
 #: Documents and shingles up to which a region is joined in one task.
-REGION_DOCS, REGION_SHINGLES = 4096, 1_500_000
+REGION_DOCS, REGION_SHINGLES = 8192, 4_000_000
 #: Pivots of a region, and documents up to which it isn't split any more.
 PIVOTS, SMALL = 8, 64
 #: Sets further than this from all pivots form a region of their own, the outer one.
 OUTER = 0.7
-#: Rows of ids up to which they are broadcast (under 10 MB); beyond, both sides are shuffled.
-BROADCAST_IDS = 400_000
+#: Rows of two ids, and of single shingles, up to which they are broadcast (16 MB either); beyond, both sides are shuffled.
+BROADCAST_IDS, BROADCAST_SHINGLES = 1_000_000, 2_000_000
 #: Text that is shingled at a time.
 BLOCK = 4_000_000
 
@@ -184,7 +184,7 @@ def shared_pivots(postings: DataFrame, percent: int) -> DataFrame:
     neighbouring classes.
     """
     lists = stored(postings.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("shingle"), "jaccard-lists")
-    side = F.broadcast(lists) if lists.count() <= BROADCAST_IDS else lists
+    side = F.broadcast(lists) if lists.count() <= BROADCAST_SHINGLES else lists
     width = float(np.log(100 / percent) * (1 + 1e-9))
     shared = stored(postings.join(side, "shingle").withColumn("class", F.floor(F.log("n") / width).cast("int")).drop("n"), "jaccard-shared")
     least = shared.groupBy("shingle", "class").agg(F.min("doc_id").alias("low"))
@@ -344,7 +344,7 @@ def region_links(part: pa.Table, percent: int) -> pa.Table:
 def with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(region, doc_id, n, shingles) of the documents in ``wanted`` (region, doc_id), one row an id."""
     side = wanted.select(F.col("doc_id").alias("_id"), "region")
-    side = F.broadcast(side) if wanted.count() <= BROADCAST_IDS else side
+    side = F.broadcast(side) if side.count() <= BROADCAST_IDS else side
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes")).join(side, F.col("doc_id") == F.col("_id")).select("region", "doc_id", "_bytes")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,15 +355,14 @@ def with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(scan, "region long, doc_id long, n long, shingles binary").filter("n > 0")
 
 
-def dealt(rows: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """Deals the documents of large regions out to cells of bounded size: adds ``cell`` (0 elsewhere).
+def dealt(inside: DataFrame, percent: int) -> DataFrame:
+    """Deals the documents of large regions out to cells of bounded size: adds ``cell``.
 
     Every document gets its distances to the region's pivots and goes to its Voronoi cell and to
     those within twice the radius. Cells that are still too large are cut into blocks, and every
     two blocks meet in a task of their own.
     """
     radius = 1 - percent / 100
-    inside = rows.join(large, "region", "left_semi")
     order = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "shingles")
     salted = inside.groupBy("region", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("p")).agg(F.min(order).alias("x"))
     pivots = salted.groupBy("region").agg(F.sort_array(F.collect_list("x.shingles")).alias("pivots"))  # at most PIVOTS sets a region
@@ -389,7 +388,7 @@ def dealt(rows: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     met = cells.join(sums, ["region", "cell"]).withColumn("_b", block).withColumn("_o", other)
     key = F.xxhash64("cell", F.least("_b", "_o"), F.greatest("_b", "_o"))
-    return rows.join(large, "region", "left_anti").withColumn("cell", F.lit(0).cast("long")).union(met.select("region", "doc_id", "n", "shingles", key.alias("cell")))
+    return met.select("region", "doc_id", "n", "shingles", key.alias("cell"))
 
 
 def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -411,13 +410,11 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     ends = reps.select("doc_id", "rep")
     edges = edges.join(ends.toDF("a", "ra"), "a").join(ends.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     regions = stored(components(edges).select(F.col("component").alias("region"), F.col("node").alias("doc_id")), "jaccard-regions")
-    sets = with_sets(docs, regions, size)
     weight = regions.join(reps.select("doc_id", "n"), "doc_id").groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
     large = stored(weight.filter((F.col("docs") > REGION_DOCS) | (F.col("n") > REGION_SHINGLES)).select("region"), "jaccard-large")
-    if large.isEmpty():
-        sets = sets.withColumn("cell", F.lit(0).cast("long"))
-    else:
-        sets = dealt(stored(sets, "jaccard-sets"), large, percent)
+    sets = with_sets(docs, regions.join(large, "region", "left_anti"), size).withColumn("cell", F.lit(0).cast("long"))
+    if not large.isEmpty():
+        sets = sets.union(dealt(stored(with_sets(docs, regions.join(large, "region", "left_semi"), size), "jaccard-sets"), percent))
     links = sets.groupBy("region", "cell").applyInArrow(lambda part: region_links(part, percent), "a long, b long")
     found = components(links).toDF("rep", "component_id")
     named = reps.join(found, "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
