@@ -38,6 +38,8 @@ COUNTERS, CHUNK = 1 << 22, 1 << 16
 BAND_BITS = 2
 #: Documents and shingles up to which a region is joined in one task.
 REGION_DOCS, REGION_SHINGLES = 8192, 4_000_000
+#: Times that regions over the bound are split by the shingles rare among themselves before they are dealt to cells.
+LEVELS = 3
 #: Pivots of a region, and documents up to which it isn't split any more.
 PIVOTS, SMALL = 8, 64
 #: Sets further than this from all pivots form a region of their own, the outer one.
@@ -391,6 +393,21 @@ def dealt(inside: DataFrame, percent: int) -> DataFrame:
     return met.select("region", "doc_id", "n", "shingles", key.alias("cell"))
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents with these ids."""
+    side = ids.select(F.col("doc_id").alias("_id"))
+    side = F.broadcast(side) if side.count() <= BROADCAST_IDS else side
+    return docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_id"), "left_semi")
+
+
+def first_regions(docs: DataFrame, levels: np.ndarray, ends: DataFrame, size: int, percent: int) -> DataFrame:
+    """(region, doc_id): documents connected by pivots that they share, copies by their representative in ``ends`` (doc_id, rep)."""
+    postings = stored(rare_shingles(docs, levels, size, percent), "jaccard-postings")
+    edges = shared_pivots(postings, percent)
+    edges = edges.join(ends.toDF("a", "ra"), "a").join(ends.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    return stored(components(edges).select(F.col("component").alias("region"), F.col("node").alias("doc_id")), "jaccard-regions")
+
+
 def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
@@ -405,13 +422,16 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     full = slim.filter("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = stored(full.join(classes, ["n", "f1", "f2"]).select("doc_id", "n", "rep").distinct(), "jaccard-reps")
-    postings = stored(rare_shingles(docs, levels, size, percent), "jaccard-postings")
-    edges = shared_pivots(postings, percent)
     ends = reps.select("doc_id", "rep")
-    edges = edges.join(ends.toDF("a", "ra"), "a").join(ends.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    regions = stored(components(edges).select(F.col("component").alias("region"), F.col("node").alias("doc_id")), "jaccard-regions")
-    weight = regions.join(reps.select("doc_id", "n"), "doc_id").groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
-    large = stored(weight.filter((F.col("docs") > REGION_DOCS) | (F.col("n") > REGION_SHINGLES)).select("region"), "jaccard-large")
+    regions = first_regions(docs, levels, ends, size, percent)
+    for level in range(LEVELS + 1):
+        weight = regions.join(reps.select("doc_id", "n"), "doc_id").groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+        large = stored(weight.filter((F.col("docs") > REGION_DOCS) | (F.col("n") > REGION_SHINGLES)).select("region"), "jaccard-large")
+        if large.isEmpty() or level == LEVELS:
+            break
+        inside = only(docs, regions.join(large, "region", "left_semi").select("doc_id"))
+        within = first_regions(inside, summary(inside, size)[1], ends, size, percent)
+        regions = stored(regions.join(large, "region", "left_anti").unionByName(within), "jaccard-regions")
     sets = with_sets(docs, regions.join(large, "region", "left_anti"), size).withColumn("cell", F.lit(0).cast("long"))
     if not large.isEmpty():
         sets = sets.union(dealt(stored(with_sets(docs, regions.join(large, "region", "left_semi"), size), "jaccard-sets"), percent))
