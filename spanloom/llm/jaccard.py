@@ -130,8 +130,10 @@ def summary(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
             total += np.frombuffer(x.as_py(), np.uint8 if first else np.uint32)
         return pa.table({"chunk": part.column("chunk").slice(0, 1), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
-    counts = both.filter("chunk is not null").select("chunk", "counts", (F.spark_partition_id() % 64).alias("salt"))
-    counts = counts.groupBy("chunk", "salt").applyInArrow(add, "chunk int, counts binary")  # in two steps, so that no task gets all tasks' counters
+    parts = both.filter("chunk is not null")
+    tasks = parts.groupBy("chunk").count().agg(F.max("count")).first()[0] or 1
+    salt = F.pmod(F.spark_partition_id(), F.lit(int(np.ceil(np.sqrt(tasks)))))  # in two steps, so that no task gets all tasks' counters
+    counts = parts.select("chunk", "counts", salt.alias("salt")).groupBy("chunk", "salt").applyInArrow(add, "chunk int, counts binary")
     counts = counts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
     sketch = np.zeros(COUNTERS, np.uint32)
     for r in counts.toLocalIterator():  # COUNTERS numbers, whatever the input
@@ -185,7 +187,7 @@ def shared_pivots(postings: DataFrame, percent: int) -> DataFrame:
     documents of a shingle and class are tied to the least of them, and so are the least ones of
     neighbouring classes.
     """
-    lists = stored(postings.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low <> high").select("shingle"), "jaccard-lists")
+    lists = stored(postings.groupBy("shingle").count().filter("count > 1").select("shingle"), "jaccard-lists")
     side = F.broadcast(lists) if lists.count() <= BROADCAST_SHINGLES else lists
     width = float(np.log(100 / percent) * (1 + 1e-9))
     shared = stored(postings.join(side, "shingle").withColumn("class", F.floor(F.log("n") / width).cast("int")).drop("n"), "jaccard-shared")
