@@ -57,14 +57,13 @@ class Words:
         if not len(self.start):
             return np.zeros(0, np.uint64)
         size = self.end - self.start
-        at = np.repeat(self.start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
-        place = (at - np.repeat(self.start, size)).astype(np.uint8)
-        parts = (self.raw[at].astype(np.uint64) + np.uint64(1)) * SPREAD[place]
-        # beyond 256 bytes places repeat, so each block is weighed by its number
-        long = size > 256
-        if long.any():
-            parts *= (((at - np.repeat(self.start, size)) >> 8).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-        return mixed(np.add.reduceat(parts, np.concatenate(([0], np.cumsum(size)[:-1]))) + size.astype(np.uint64))
+        first = np.concatenate(([0], np.cumsum(size)[:-1]))
+        place = np.arange(int(size.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), size)
+        inside = self.raw[~SEPARATOR[self.raw]]  # the bytes of all words, one after the other
+        parts = (inside.astype(np.uint64) + np.uint64(1)) * SPREAD[place & 255]
+        if (size > 256).any():  # beyond 256 bytes places repeat, so each block is weighed by its number
+            parts *= (place >> 8).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        return mixed(np.add.reduceat(parts, first) + size.astype(np.uint64))
 
     def edge(self, n: int, tail: bool = False) -> np.ndarray:
         """The first (or last) n bytes of every word in lower case, as numbers; shorter words fill up with 0."""

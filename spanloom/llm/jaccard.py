@@ -37,7 +37,7 @@ COUNTERS, CHUNK = 1 << 22, 1 << 16
 #: zero, which is where the rarest are chosen, are counted, so that counters are shared by few.
 BAND_BITS = 2
 #: Documents and shingles up to which a region is joined in one task.
-REGION_DOCS, REGION_SHINGLES = 8192, 4_000_000
+REGION_DOCS, REGION_SHINGLES = 4096, 2_000_000
 #: Times that regions over the bound are split by the shingles rare among themselves before they are dealt to cells.
 LEVELS = 3
 #: Pivots of a region, and documents up to which it isn't split any more.
@@ -47,7 +47,7 @@ OUTER = 0.7
 #: Rows of two ids, and of single shingles, up to which they are broadcast (16 MB either); beyond, both sides are shuffled.
 BROADCAST_IDS, BROADCAST_SHINGLES = 1_000_000, 2_000_000
 #: Text that is shingled at a time.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 _PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 

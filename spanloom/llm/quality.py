@@ -65,7 +65,7 @@ def ngrams(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 #: Text that is split into n-grams at a time.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[slice, Words]]:

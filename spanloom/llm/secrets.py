@@ -141,7 +141,7 @@ class TextNull:
 SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
 TESTED = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.binary())])
 #: Bytes that are looked at together.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 def scanned(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
