@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,6 +17,13 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 SPREAD = np.random.default_rng(20240517).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
+def tidy() -> None:
+    """Gives memory that isn't used any more back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x.astype(np.uint64, copy=True)

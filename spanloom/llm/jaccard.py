@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import Words, flat_bytes, mixed
+from .arrays import Words, flat_bytes, mixed, tidy
 from .common import stored, table
 from .graph import components
 
 #: Words of a shingle and similarity in percent, where nothing else is asked for.
 SHINGLE, PERCENT = 5, 80
 #: Counters of the frequency sketch (a power of two), and counters in one row of it.
-COUNTERS, CHUNK = 1 << 22, 1 << 16
+COUNTERS, CHUNK = 1 << 23, 1 << 16
 #: Shingles come in order of the leading bits of their number; only those whose leading BAND_BITS are
 #: zero, which is where the rarest are chosen, are counted, so that counters are shared by few.
 BAND_BITS = 2
@@ -99,7 +99,7 @@ def summary(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, seen = np.zeros(COUNTERS, np.uint32), set()
+        counters, seen = np.zeros(COUNTERS, np.uint8), set()
         names = ["doc_id", "n", "f1", "f2", "chunk", "counts"]
         for batch in batches:
             n, f1, f2, new = [], [], [], []
@@ -111,14 +111,15 @@ def summary(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                     new.append(counter_of(s[: banded(s)]))
             if new:
                 at, times = np.unique(np.concatenate(new), return_counts=True)
-                counters[at] += times.astype(np.uint32)
+                counters[at] = np.minimum(counters[at] + times, 255)
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         for k in range(0, len(counters), CHUNK):
             part = counters[k : k + CHUNK]
             if part.any():
-                row = [pa.nulls(1, pa.int64())] * 4 + [pa.array([k // CHUNK], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()], pa.binary())]
+                row = [pa.nulls(1, pa.int64())] * 4 + [pa.array([k // CHUNK], pa.int32()), pa.array([part.tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, names=names)
+        tidy()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes"))
     both = stored(rows.mapInArrow(scan, "doc_id long, n long, f1 long, f2 long, chunk int, counts binary"), "jaccard-docs")
@@ -138,8 +139,9 @@ def summary(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     sketch = np.zeros(COUNTERS, np.uint32)
     for r in counts.toLocalIterator():  # COUNTERS numbers, whatever the input
         sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["counts"]), np.uint32)
-    usual = max(1.0, float(np.median(sketch)))
-    levels = np.clip(np.round(4 * np.log2(np.maximum(sketch, 1) / usual)), 0, 255).astype(np.uint8)
+    usual = max(1.0, float(np.partition(sketch, len(sketch) // 2)[len(sketch) // 2]))
+    levels = np.concatenate([np.clip(np.round(4 * np.log2(np.maximum(x, 1) / usual)), 0, 255).astype(np.uint8) for x in np.split(sketch, COUNTERS // CHUNK)])
+    tidy()
     return both.filter("chunk is null").select("doc_id", "n", "f1", "f2"), levels
 
 
@@ -175,6 +177,7 @@ def rare_shingles(docs: DataFrame, levels: np.ndarray, size: int, percent: int)
             n = np.concatenate(sizes).astype(np.int32) if sizes else np.zeros(0, np.int32)
             for a in range(0, len(flat), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (flat, who, n)], names=["shingle", "doc_id", "n"])
+        tidy()
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes"))
     return rows.mapInArrow(scan, "shingle long, doc_id long, n int")
@@ -188,9 +191,22 @@ def shared_pivots(postings: DataFrame, percent: int) -> DataFrame:
     neighbouring classes.
     """
     lists = stored(postings.groupBy("shingle").count().filter("count > 1").select("shingle"), "jaccard-lists")
-    side = F.broadcast(lists) if lists.count() <= BROADCAST_SHINGLES else lists
     width = float(np.log(100 / percent) * (1 + 1e-9))
-    shared = stored(postings.join(side, "shingle").withColumn("class", F.floor(F.log("n") / width).cast("int")).drop("n"), "jaccard-shared")
+    if lists.count() <= BROADCAST_SHINGLES:
+        sent = postings.sparkSession.sparkContext.broadcast(np.sort(lists.toArrow().column(0).to_numpy()))
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                s = batch.column("shingle").to_numpy()
+                at = np.searchsorted(sent.value, s)
+                at[at == len(sent.value)] = 0
+                yield batch.filter(pa.array(sent.value[at] == s if len(sent.value) else np.zeros(len(s), bool)))
+            tidy()
+
+        found = postings.mapInArrow(held, postings.schema)
+    else:
+        found = postings.join(lists, "shingle")
+    shared = stored(found.withColumn("class", F.floor(F.log("n") / width).cast("int")).drop("n"), "jaccard-shared")
     least = shared.groupBy("shingle", "class").agg(F.min("doc_id").alias("low"))
     steps = Window.partitionBy("shingle").orderBy("class")  # one row a class
     between = least.select(F.col("low").alias("a"), F.lag("low").over(steps).alias("b"), (F.col("class") - F.lag("class").over(steps)).alias("gap")).filter("gap = 1").select("a", "b")
@@ -338,11 +354,25 @@ class Region:
 
 def region_links(part: pa.Table, percent: int) -> pa.Table:
     ids = part.column("doc_id").to_numpy()
-    sets = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("shingles")]
-    region = Region(sets, percent)
+    region = Region([unpacked(x.as_py()) for x in part.column("shingles")], percent)
     for cell in region.parts():
         region.run(cell)
-    return pa.table({"a": pa.array([int(ids[i]) for i, _ in region.links], pa.int64()), "b": pa.array([int(ids[j]) for _, j in region.links], pa.int64())})
+    links = pa.table({"a": pa.array([int(ids[i]) for i, _ in region.links], pa.int64()), "b": pa.array([int(ids[j]) for _, j in region.links], pa.int64())})
+    if len(ids) > SMALL:
+        del region
+        tidy()
+    return links
+
+
+def packed(s: np.ndarray) -> bytes:
+    """The leading 48 bits of each shingle, which is what sets are compared by: two that differ are taken for one once in 2**48."""
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -353,8 +383,9 @@ def with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, s in shingle_sets(batch.column("_bytes"), size)]
-            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["region", "doc_id", "n", "shingles"])
+            sets = [packed(s) for _, s in shingle_sets(batch.column("_bytes"), size)]
+            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("doc_id"), pa.array([len(s) // 6 for s in sets], pa.int64()), pa.array(sets, pa.binary())], names=["region", "doc_id", "n", "shingles"])
+        tidy()
 
     return rows.mapInArrow(scan, "region long, doc_id long, n long, shingles binary").filter("n > 0")
 
@@ -375,10 +406,10 @@ def dealt(inside: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for region, doc, n, mine, others in zip(*(batch.column(c).to_pylist() for c in ("region", "doc_id", "n", "shingles", "pivots"))):
-                s = np.frombuffer(mine, np.uint64)
+                s = unpacked(mine)
                 d = []
                 for other in others:
-                    o = np.frombuffer(other, np.uint64)
+                    o = unpacked(other)
                     both = len(np.intersect1d(s, o, assume_unique=True))
                     d.append(1 - both / (len(s) + len(o) - both))
                 out += [(region, doc, n, mine, int(j)) for j in np.flatnonzero(windows(np.array([d]).T, radius)[:, 0])]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import Words, flat_bytes, mixed
+from .arrays import Words, flat_bytes, mixed, tidy
 from .common import HASH_BITS, key_hash, stored, table
 
 #: Labelled rows that the classifier is fitted and calibrated on, at most (up to chance): a sample by
@@ -89,7 +89,8 @@ def labelled_sample(labels: DataFrame, most: int = SAMPLE) -> dict[int, tuple[bo
     h = key_hash(F.col("doc_id"), "label")
     if n > most:
         rows = rows.filter(h < int((1 << HASH_BITS) * (most / n)))
-    return {r["doc_id"]: (r["clean"], r["held"]) for r in rows.groupBy("doc_id").agg(F.min(F.col("good") & ~F.col("toxic")).alias("clean")).select("doc_id", "clean", (key_hash(F.col("doc_id"), "held") % HELD_OUT == 0).alias("held")).collect()}
+    found = rows.groupBy("doc_id").agg(F.min(F.col("good") & ~F.col("toxic")).alias("clean")).select("doc_id", "clean", (key_hash(F.col("doc_id"), "held") % HELD_OUT == 0).alias("held")).toArrow()
+    return dict(zip(found.column("doc_id").to_pylist(), zip(found.column("clean").to_pylist(), found.column("held").to_pylist())))
 
 
 def count_ngrams(docs: DataFrame, sample: dict[int, tuple[bool, bool]]) -> DataFrame:
@@ -113,6 +114,7 @@ def count_ngrams(docs: DataFrame, sample: dict[int, tuple[bool, bool]]) -> DataF
         for a in range(0, len(at), 50_000):
             some = at[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(s[some]) for s in sums]], names=["bucket", "target", "labelled", "total"])
+        tidy()
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(count, "bucket int, target long, labelled long, total long")
     return rows.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("labelled").alias("labelled"), F.sum("total").alias("total"))
@@ -147,6 +149,7 @@ def weigh(docs: DataFrame, ratios: np.ndarray, columns: tuple[str, ...]) -> Data
                 for bucket, row in ngrams(words):
                     out[part] += np.bincount(row, weights=sent.value[bucket], minlength=words.n_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.round(out, 6))], names=[*columns, "log_weight"])
+        tidy()
 
     return docs.select(*columns, F.col("text").cast("binary").alias("_bytes")).mapInArrow(score, schema)
 
