@@ -116,13 +116,13 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, loss_per
 
 
 def threshold(good: dict[int, int], loss_percent: int) -> int | None:
-    """The largest bucket below which at most ``loss_percent`` of the accepted lie; None without any."""
+    """The largest bucket below which at most ``loss_percent`` of the accepted lie, but none above 0, where both models are as likely; None without any."""
     total, below = sum(good.values()), 0
     if not total:
         return None
     for b in sorted(good):
         if (below + good[b]) * 100 > total * loss_percent:
-            return b
+            return min(b, 0)
         below += good[b]
     return None
 
