@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ SPREAD = np.random.default_rng(20240517).integers(1, 2**63, 256, dtype=np.uint64
 
 
 def tidy() -> None:
-    """Gives memory that isn't used any more back to the system; workers live on between tasks."""
+    """Gives memory that isn't used any more back to the system; workers live on between tasks, the driver between stages."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -135,12 +135,18 @@ def summary(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     tasks = parts.groupBy("chunk").count().agg(F.max("count")).first()[0] or 1
     salt = F.pmod(F.spark_partition_id(), F.lit(int(np.ceil(np.sqrt(tasks)))))  # in two steps, so that no task gets all tasks' counters
     counts = parts.select("chunk", "counts", salt.alias("salt")).groupBy("chunk", "salt").applyInArrow(add, "chunk int, counts binary")
-    counts = counts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    sketch = np.zeros(COUNTERS, np.uint32)
-    for r in counts.toLocalIterator():  # COUNTERS numbers, whatever the input
-        sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["counts"]), np.uint32)
-    usual = max(1.0, float(np.partition(sketch, len(sketch) // 2)[len(sketch) // 2]))
-    levels = np.concatenate([np.clip(np.round(4 * np.log2(np.maximum(x, 1) / usual)), 0, 255).astype(np.uint8) for x in np.split(sketch, COUNTERS // CHUNK)])
+    counts = stored(counts.groupBy("chunk").applyInArrow(add, "chunk int, counts binary"), "jaccard-sketch")
+    first = counts.orderBy("chunk").first()  # every chunk is a random part of the counters
+    usual = max(1.0, float(np.median(np.frombuffer(bytes(first["counts"]), np.uint32)))) if first else 1.0
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.clip(np.round(4 * np.log2(np.maximum(np.frombuffer(x.as_py(), np.uint32), 1) / usual)), 0, 255).astype(np.uint8).tobytes() for x in batch.column("counts")]
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(found, pa.binary())], names=["chunk", "levels"])
+
+    levels = np.zeros(COUNTERS, np.uint8)
+    for r in counts.mapInArrow(level, "chunk int, levels binary").toLocalIterator():  # COUNTERS bytes, whatever the input
+        levels[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["levels"]), np.uint8)
     tidy()
     return both.filter("chunk is null").select("doc_id", "n", "f1", "f2"), levels
 
@@ -194,6 +200,7 @@ def shared_pivots(postings: DataFrame, percent: int) -> DataFrame:
     width = float(np.log(100 / percent) * (1 + 1e-9))
     if lists.count() <= BROADCAST_SHINGLES:
         sent = postings.sparkSession.sparkContext.broadcast(np.sort(lists.toArrow().column(0).to_numpy()))
+        tidy()
 
         def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -451,6 +458,7 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     doc_id. Copies, also repeated rows, are in one component. An empty table gives none. Only
     doc_id and text are read.
     """
+    tidy()
     slim, levels = summary(docs, size)
     full = slim.filter("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
