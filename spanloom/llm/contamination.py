@@ -9,7 +9,7 @@ a text; word numbers of the hits lead back to character offsets of the original
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +39,28 @@ def windows_of(words: list[bytes], size: int = WINDOW) -> set[bytes]:
     return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
 
 
-def automata_of(items: list[tuple[str, bytes | None]], size: int = WINDOW, limit: int = AUTOMATON_BYTES) -> list[dict[str, tuple[int, list[str]]]]:
-    """Windows with their word counts and items, in parts of at most ``limit`` bytes of text."""
+def automata_of(items: Iterable[tuple[str, bytes | None]], size: int = WINDOW, limit: int = AUTOMATON_BYTES) -> Iterator[dict[str, tuple[int, list[str]]]]:
+    """Windows with their word counts and items, in parts of about ``limit`` bytes of text; one empty part without any.
+
+    Items are taken one after the other and forgotten with their part, so a test set of any size
+    needs the memory of one part.
+    """
     owners: dict[bytes, set[str]] = {}
+    filled = parts = 0
+
+    def packed() -> dict[str, tuple[int, list[str]]]:
+        return {f" {w.decode('latin-1')} ": (w.count(b" ") + 1, sorted(owners[w])) for w in sorted(owners)}
+
     for item, text in items:
-        for w in windows_of(words_of(text), size):
+        for w in sorted(windows_of(words_of(text), size)):
+            if w not in owners:
+                if filled > limit:
+                    yield packed()
+                    owners, filled, parts = {}, 0, parts + 1
+                filled += len(w)
             owners.setdefault(w, set()).add(item)
-    parts: list[dict[str, tuple[int, list[str]]]] = [{}]
-    filled = 0
-    for w in sorted(owners):
-        if filled > limit:
-            parts.append({})
-            filled = 0
-        parts[-1][f" {w.decode('latin-1')} "] = (w.count(b" ") + 1, sorted(owners[w]))
-        filled += len(w)
-    return parts
+    if owners or not parts:
+        yield packed()
 
 
 class Scanner:
@@ -145,16 +152,18 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]
     ``spans`` are the hit passages in characters of the original text. A null or empty text has no
     words and no hits; null or empty items have no windows; repeated rows are judged one by one; an
     empty benchmark hits nothing; columns beyond doc_id, text, item_id and ``carry`` aren't read.
-    The items must fit the driver's memory once as text: test sets do, and rows beyond it would
-    show as an error, not as missing hits.
+    The test set streams through the driver; each part of it is one pass over the documents.
     """
-    items = [(str(r["item_id"]), r["text"]) for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).toLocalIterator()]
-    parts = automata_of(items, size, limit)
+    items = ((str(r["item_id"]), r["text"]) for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).toLocalIterator())
     rows = docs.select(*carry, F.col("text").cast("binary").alias("_bytes"))
-    for k, part in enumerate(parts):
-        rows = _scanned(rows, part, first=k == 0)
-        if len(parts) > 1:  # else all automata would be held at once
+    parts = automata_of(items, size, limit)
+    part, first = next(parts), True
+    while part is not None:
+        following = next(parts, None)
+        rows = _scanned(rows, part, first)
+        if following is not None:  # else two automata would be held at once
             rows = stored(rows, "leaks")
+        part, first = following, False
     hits = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + (r["end"] - r["first"]))
     return rows.select(*carry, F.col("_words").alias("n_words"), hits.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.array_sort("_items").alias("item_ids"), "spans")
 
