@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import shared_dir, table
+from spanloom.llm.common import bounded_batches, shared_dir, table
 from spanloom.llm.contamination import decontaminated
 from spanloom.llm.jaccard import without_near_copies
 from spanloom.llm.mixing import mix_documents
@@ -35,6 +35,7 @@ def carrying(stage: Stage) -> Stage:
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
         inner = {c: f"carried{i}__" for i, c in enumerate(docs.columns) if c not in CORE}
         out = stage(spark, docs.withColumnsRenamed(inner), sf_dir)
         names = {v: k for k, v in inner.items()}

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import tidy
 from .common import stored, table
 
 #: Words of a window; an item of fewer words is one window as a whole.
@@ -127,7 +128,7 @@ def _scanned(rows: DataFrame, part: dict, first: bool) -> DataFrame:
         for batch in batches:
             counts, all_runs, all_items, all_spans = [], [], [], []
             before = None if first else (batch.column("_runs").to_pylist(), batch.column("_items").to_pylist())
-            for k, text in enumerate(batch.column("_bytes")):
+            for k, text in enumerate(batch.column("_bytes" if "_bytes" in batch.schema.names else "text").cast(pa.binary())):
                 raw = text.as_py()
                 words = words_of(raw)
                 runs, items = scanner.scan(words)
@@ -142,6 +143,7 @@ def _scanned(rows: DataFrame, part: dict, first: bool) -> DataFrame:
                 [batch.column(c) for c in kept] + [pa.array(counts, pa.int64()), pa.array(all_runs, run_type), pa.array(all_items, pa.list_(pa.string())), pa.array(all_spans, span_type)],
                 names=[*kept, "_words", "_runs", "_items", "spans"],
             )
+        tidy()
 
     return rows.mapInArrow(scan, schema)
 
@@ -155,7 +157,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]
     The test set streams through the driver; each part of it is one pass over the documents.
     """
     items = ((str(r["item_id"]), r["text"]) for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).toLocalIterator())
-    rows = docs.select(*carry, F.col("text").cast("binary").alias("_bytes"))
+    rows = docs.select(*carry) if "text" in carry else docs.select(*carry, F.col("text").cast("binary").alias("_bytes"))
     parts = automata_of(items, size, limit)
     part, first = next(parts), True
     while part is not None:

@@ -145,13 +145,14 @@ def weigh(docs: DataFrame, ratios: np.ndarray, columns: tuple[str, ...]) -> Data
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for part, words in blocks(batch.column("_bytes")):
+            for part, words in blocks(batch.column("_bytes" if "_bytes" in batch.schema.names else "text")):
                 for bucket, row in ngrams(words):
                     out[part] += np.bincount(row, weights=sent.value[bucket], minlength=words.n_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.round(out, 6))], names=[*columns, "log_weight"])
         tidy()
 
-    return docs.select(*columns, F.col("text").cast("binary").alias("_bytes")).mapInArrow(score, schema)
+    rows = docs.select(*columns) if "text" in columns else docs.select(*columns, F.col("text").cast("binary").alias("_bytes"))
+    return rows.mapInArrow(score, schema)
 
 
 def calibrated_cut(scores: list[tuple[float, bool]]) -> float | None:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import bounded_batches
 from .contamination import op4_decontamination
 from .jaccard import op9_jaccard_join
 from .mixing import op3_mixing
@@ -13,6 +18,16 @@ from .tokens import op5_token_counts
 from .urls import op1_url_filter
 from .warc import op2_warc_derivatives
 
+
+
+def bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -25,3 +40,4 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secrets": op10_secrets,
 }
+QUERIES = {name: bounded(query) for name, query in QUERIES.items()}
