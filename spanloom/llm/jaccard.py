@@ -33,9 +33,9 @@ from .graph import components
 SHINGLE, PERCENT = 5, 80
 #: Counters of the frequency sketch (a power of two), and counters in one row of it.
 COUNTERS, CHUNK = 1 << 23, 1 << 16
-#: Shingles come in order of the leading bits of their number; only those whose leading BAND_BITS are
-#: zero, which is where the rarest are chosen, are counted, so that counters are shared by few.
-BAND_BITS = 2
+#: Shingles come in order of the leading bits of their number; only a leading band of them, this many
+#: times as many as are chosen, is counted, so that counters are shared by few and common shingles can be left out.
+BAND_TIMES = 2.5
 #: Documents and shingles up to which a region is joined in one task.
 REGION_DOCS, REGION_SHINGLES = 4096, 2_000_000
 #: Times that regions over the bound are split by the shingles rare among themselves before they are dealt to cells.
@@ -83,16 +83,16 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(mixed(s ^ c).sum().astype(np.int64)) for c in _PLACES[:2])
 
 
-def banded(s: np.ndarray) -> int:
+def banded(s: np.ndarray, percent: int) -> int:
     """How many of the sorted shingles lie in the counted band."""
-    return int(np.searchsorted(s, np.uint64(1 << (64 - BAND_BITS))))
+    return int(np.searchsorted(s, np.uint64(int(min(0.999, BAND_TIMES * (1 - percent / 100)) * 2.0**64))))
 
 
 def counter_of(s: np.ndarray) -> np.ndarray:
     return (s & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def summary(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
+def summary(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, f1, f2) of every row, and the sketch: a level by counter, higher for frequent shingles.
 
     A task counts each set once. Counters stop at 255 within a task.
@@ -108,7 +108,7 @@ def summary(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                 n.append(len(s)), f1.append(key[0]), f2.append(key[1])
                 if key not in seen:
                     seen.add(key)
-                    new.append(counter_of(s[: banded(s)]))
+                    new.append(counter_of(s[: banded(s, percent)]))
             if new:
                 at, times = np.unique(np.concatenate(new), return_counts=True)
                 counters[at] = np.minimum(counters[at] + times, 255)
@@ -172,7 +172,7 @@ def rare_shingles(docs: DataFrame, levels: np.ndarray, size: int, percent: int)
                 if not len(s) or (key := digest(s)) in seen:
                     continue
                 seen.add(key)
-                k, band = prefix_size(len(s), percent), s[: banded(s)]
+                k, band = prefix_size(len(s), percent), s[: banded(s, percent)]
                 order = np.argsort(sent.value[counter_of(band)], kind="stable")[:k]  # by level, then by number
                 part = np.concatenate((band[order], s[len(band) : len(band) + k - len(order)]))
                 shingles.append(part.view(np.int64))
@@ -459,7 +459,7 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     doc_id and text are read.
     """
     tidy()
-    slim, levels = summary(docs, size)
+    slim, levels = summary(docs, size, percent)
     full = slim.filter("n > 0 and doc_id is not null")
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = stored(full.join(classes, ["n", "f1", "f2"]).select("doc_id", "n", "rep").distinct(), "jaccard-reps")
@@ -471,7 +471,7 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         if large.isEmpty() or level == LEVELS:
             break
         inside = only(docs, regions.join(large, "region", "left_semi").select("doc_id"))
-        within = first_regions(inside, summary(inside, size)[1], ends, size, percent)
+        within = first_regions(inside, summary(inside, size, percent)[1], ends, size, percent)
         regions = stored(regions.join(large, "region", "left_anti").unionByName(within), "jaccard-regions")
     sets = with_sets(docs, regions.join(large, "region", "left_anti"), size).withColumn("cell", F.lit(0).cast("long"))
     if not large.isEmpty():
