@@ -37,6 +37,9 @@ CLASSES = (20, 28, 40, 64)
 LEVEL, REJECT = 0.001, 0.001
 TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 PLAIN = re.compile(rb"[A-Za-z]{20,}")
+#: What a token falls into: '=' stays only at its end, as padding; runs that have the marks of one base64 alphabet.
+PART = re.compile(rb"[A-Za-z0-9+/_-]+(?:=+\Z)?")
+RUNS = (re.compile(rb"[A-Za-z0-9+/]+=*"), re.compile(rb"[A-Za-z0-9_-]+=*"))
 #: p-values are kept by tenths of their negative decimal logarithm, up to BINS of them.
 BINS = 400
 
@@ -65,11 +68,27 @@ def is_plain(token: bytes) -> bool:
     return token.isalpha() and (token.islower() or token.isupper() or token[1:].islower())
 
 
+def is_text(run: bytes) -> bool:
+    """Words and numbers with marks between them."""
+    return all(p.isdigit() or is_plain(p) for p in re.findall(rb"[A-Za-z0-9]+", run))
+
+
 def pieces(token: bytes) -> list[tuple[int, bytes]]:
-    """A token as a whole if it could be base64, else its parts between marks."""
-    if any(48 <= c <= 57 for c in token) and any(c >= 97 for c in token) and any(65 <= c <= 90 for c in token):
-        return [(0, token)]
-    return [(m.start(), m[0]) for m in re.finditer(rb"[A-Za-z0-9]{20,}", token)]
+    """What is tested of a token: the parts between '=' that is no padding, as NAME=value, each by :func:`coded`."""
+    return [(m.start() + at, piece) for m in PART.finditer(token) if len(m[0]) >= LEAST for at, piece in coded(m[0])]
+
+
+def coded(part: bytes) -> list[tuple[int, bytes]]:
+    """A part as a whole if it could be base64, else its parts between marks.
+
+    With marks of both base64 alphabets, as in paths, it is no base64 as a whole, but the runs with
+    the marks of either one can be, unless words and numbers are all they hold; they may overlap.
+    """
+    if any(48 <= c <= 57 for c in part) and any(c >= 97 for c in part) and any(65 <= c <= 90 for c in part):
+        if alphabet_of(part):
+            return [(0, part)]
+        return sorted({(m.start() + at, piece) for runs in RUNS for m in runs.finditer(part) if len(m[0]) >= LEAST and not is_text(m[0]) for at, piece in coded(m[0])})
+    return [(m.start(), m[0]) for m in re.finditer(rb"[A-Za-z0-9]{20,}", part)]
 
 
 def alphabet_of(token: bytes) -> bytes | None:
@@ -169,12 +188,13 @@ def scanned(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
                     tests, counts, common = [], [0] * (len(CLASSES) + 2), []
                     for s, e in spans:
                         for m in TOKEN.finditer(text, s, e):
-                            if any(x < m.end() and m.start() < y for x, y, _ in fixed):
-                                continue
                             for at, piece in pieces(m[0]):
+                                x, y = m.start() + at, m.start() + at + len(piece)
+                                if any(u < y and x < v for u, v, _ in fixed):
+                                    continue
                                 counts[length_class(len(piece))] += 1
                                 if alphabet_of(piece):
-                                    tests.append((m.start() + at, m.start() + at + len(piece), piece))
+                                    tests.append((x, y, piece))
                                 else:
                                     common.append(piece)
                     line = b"".join(common)
@@ -218,11 +238,21 @@ def discovery_cut(found: dict[int, int], tests: int, level: float = LEVEL) -> in
     return cut
 
 
+def apart(found: list[tuple[int, dict]]) -> list[dict]:
+    """Of finds (surprise, span) that overlap, the most surprising, then the longest."""
+    kept: list[dict] = []
+    for _, x in sorted(found, key=lambda f: (-f[0], f[1]["start"] - f[1]["end"], f[1]["start"])):
+        if all(x["end"] <= y["start"] or y["end"] <= x["start"] for y in kept):
+            kept.append(x)
+    return kept
+
+
 def find_secrets(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """For every row: ``carry``, base spans and all spans, each with start, end (characters, end exclusive) and kind.
 
     Null and empty texts have none. Repeated rows are judged alike, and each counts as its own
-    test. Tokens that touch a base span are not tested. An empty table gives an empty result; only
+    test. Tokens are cut at '=' that is no padding, so of NAME=value the value is tested; pieces that
+    touch a base span are not. An empty table gives an empty result; only
     doc_id, text and ``carry`` are read. No shuffle of texts; what reaches the driver are counts of
     fixed size.
     """
@@ -253,8 +283,8 @@ def find_secrets(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataF
             out = []
             for fixed, tests in zip(batch.column("base").to_pylist(), batch.column("tested").to_pylist()):
                 bins = surprises(null, [x["token"] for x in tests])
-                added = [{"start": x["start"], "end": x["end"], "kind": "random"} for x, b in zip(tests, bins) if b >= cuts[length_class(len(x["token"]))] and b >= 0]
-                out.append(sorted(fixed + added, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
+                added = [(b, {"start": x["start"], "end": x["end"], "kind": "random"}) for x, b in zip(tests, bins) if b >= cuts[length_class(len(x["token"]))] and b >= 0]
+                out.append(sorted(fixed + apart(added), key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), batch.column("base"), pa.array(out, pa.list_(SPAN))], names=[*carry, "base", "spans"])
 
     return rows.select(*carry, "base", "tested").mapInArrow(judged, schema)

@@ -103,6 +103,20 @@ def test_secrets_by_randomness(spark):
     assert min(secrets.randomness(b"A1" * 20, secrets.alphabet_of(b"A1" * 20))) < 0.001
 
 
+def test_secrets_behind_names_and_in_paths(spark):
+    rng = random.Random(11)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    plain = ["internationalization of counterrevolutionaries and Antidisestablishmentarianism"] * 60 + ["https://host/blog/2019/How_To_Fix-your_Thing/Part_2"] * 20
+    heads = ["DEPLOY_KEY=", "export AWS_ACCOUNT_KEY=", "https://host/file?sig=", "see https://host/some_dir/"]
+    texts = plain + [heads[i % 4] + "".join(rng.choice(symbols + ("-_" if i % 4 == 3 else "")) for _ in range(40)) + ("==" if i % 4 == 2 else "") for i in range(40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in secrets.find_secrets(d).collect() if r["spans"]}
+    assert set(found) <= set(range(80, 120)) and all(sum(i % 4 == k for i in found) >= 7 for k in range(4))
+    for i, spans in found.items():
+        assert len(spans) == 1 and (i % 4 == 3 or spans == [(len(heads[i % 4]), len(texts[i]))])
+    assert [p for _, p in secrets.pieces(b"DEPLOY_KEY=q8Zr3LwT0vNf5KyXb2HsJ7mPdUc9GeRa")] == [b"q8Zr3LwT0vNf5KyXb2HsJ7mPdUc9GeRa"]
+
+
 def test_decontamination_with_several_automata_and_offsets(spark):
     items = [(i, f"word{i} and then word{i} again with more words to make ten of them") for i in range(30)]
     docs = [(i, f"Intro — WORD{i} and, then word{i} again with more words to make ten. End") for i in range(0, 30, 3)] + [(99, "nothing here"), (100, None)]
