@@ -145,16 +145,24 @@ def usable(vector: str) -> Column:
 
 
 def top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[list[int], list[int], list[float]]:
-    """For every query its k best rows of a block: number of the query, id, score. Ties go to smaller ids."""
+    """For every query its k best ids of a block, each with its best row: number of the query, id, score. Ties go to smaller ids."""
     ql, xl = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
     rough = (q / ql[:, None]) @ (x / xl[:, None]).T
     rough[own[:, None] == ids[None, :]] = -3.0
-    least = np.partition(rough, max(0, rough.shape[1] - k), axis=1)[:, max(0, rough.shape[1] - k)] - SLACK
+    each, number = np.unique(ids, return_inverse=True)
+    by_id = rough
+    if len(each) < len(ids):  # several rows of an id are one candidate
+        order = np.argsort(number, kind="stable")
+        by_id = np.maximum.reduceat(rough[:, order], np.searchsorted(number[order], np.arange(len(each))), axis=1)
+    least = np.partition(by_id, max(0, len(each) - k), axis=1)[:, max(0, len(each) - k)] - SLACK
     a, b, c = [], [], []
     for i in range(len(q)):
         at = np.flatnonzero((rough[i] >= least[i]) & (rough[i] > -2.0))
         exact = (x[at] * q[i]).sum(axis=1) / (xl[at] * ql[i])
-        order = np.lexsort((ids[at], -exact))[:k]
+        order = np.lexsort((ids[at], -exact))
+        if len(each) < len(ids):
+            order = order[np.sort(np.unique(ids[at][order], return_index=True)[1])]
+        order = order[:k]
         a += [i] * len(order)
         b += ids[at][order].tolist()
         c += exact[order].tolist()
@@ -178,7 +186,8 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = NEAREST) -> DataFram
     dim = lengths[0]["size"]
     rows = rows.filter(F.size("v") == dim)
     by_vector = Window.partitionBy(F.xxhash64("v"), F.col("v")[0]).orderBy("vec_id")
-    first = stored(rows.withColumn("_n", F.row_number().over(by_vector)).filter(F.col("_n") <= k + 1).drop("_n"), "ann-rows")
+    distinct = rows.dropDuplicates(["vec_id", "v"])  # the cap below counts ids, so repeated rows must not fill it
+    first = stored(distinct.withColumn("_n", F.row_number().over(by_vector)).filter(F.col("_n") <= k + 1).drop("_n"), "ann-rows")
     n = first.count()
     most = min(SAMPLE, SAMPLE_NUMBERS // dim)
     picked = first if n <= most else first.filter(key_hash(F.col("vec_id"), "ann") < int((1 << HASH_BITS) * (most / n)))

@@ -159,6 +159,19 @@ def test_nearest_with_bad_vectors_copies_and_ties(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in few] == [(0, 1, 1, 0.0)]
 
 
+def test_nearest_with_repeated_rows_and_ids(spark):
+    v, near, far = [1.0, 0.0], [1.0, 0.1], [0.0, 1.0]
+    rows = [(7, v)] * 6 + [(i, v) for i in range(8, 13)] + [(50, near), (50, near)] + [(i, far) for i in range(20, 30)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(50, k + 1, 7 + k) for k in range(5)]
+    rows = [(50, v), (50, v)] + [(i, v) for i in range(51, 56)] + [(i, far) for i in range(60, 70)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(50, k + 1, 51 + k) for k in range(5)]
+    rows = [(50, v)] + [(7, [1.0, 0.001 * k]) for k in range(9)] + [(8 + k, [1.0, 0.1 + 0.1 * k]) for k in range(6)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(50, k + 1, 7 + k) for k in range(5)]
+
+
 def test_tree_recall_on_clusters():
     rng = np.random.default_rng(1)
     x = neighbours.units(np.repeat(rng.normal(size=(40, 16)), 100, axis=0) + 0.2 * rng.normal(size=(4000, 16)))
