@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import normal_sf
+from .metrics import drawn
 
 
 def combined(effects: DataFrame, effect: str, se: str, within: list[str] | None = None, random: bool = True) -> DataFrame:
@@ -31,3 +32,11 @@ def slope(df: DataFrame, x: str, y: str, within: list[str], weight: str | None =
     s = df.groupBy(*within).agg(F.sum(w).alias("_n"), F.sum(w * F.col(x)).alias("_x"), F.sum(w * F.col(y)).alias("_y"), F.sum(w * F.col(x) * F.col(x)).alias("_xx"), F.sum(w * F.col(x) * F.col(y)).alias("_xy"))
     b = F.try_divide(F.col("_n") * F.col("_xy") - F.col("_x") * F.col("_y"), F.col("_n") * F.col("_xx") - F.col("_x") * F.col("_x"))
     return s.select(*within, ((F.col("_y") - b * F.col("_x")) / F.col("_n")).alias("intercept"), b.alias("slope"))
+
+
+def bootstrap_slope(df: DataFrame, x: str, y: str, dataset: str, n: int = 2000, weight: str | None = None, seed: int = 1) -> DataFrame:
+    """rep, intercept, slope: the line fitted to whole data sets drawn with replacement, rep 0 being all of them once."""
+    sets = df.select(dataset).distinct().withColumn("_key", F.xxhash64(dataset))
+    reps = drawn(sets, n, "_key", [], seed).select(dataset, "rep", F.col("weight").alias("_times"))
+    rows = df.join(F.broadcast(reps), dataset).withColumn("_times", F.col("_times") * (F.lit(1.0) if weight is None else F.col(weight)))
+    return slope(rows, x, y, ["rep"], "_times")

@@ -58,11 +58,18 @@ def fisher_p(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
     return F.least(F.lit(1.0), F.aggregate(F.sequence(low, high), F.lit(0.0), lambda s, k: s + F.when(log_p(k.cast("double")) <= observed + math.log1p(1e-7), F.exp(log_p(k.cast("double")))).otherwise(0.0)))
 
 
+def copies(df: DataFrame, weight: str | None) -> DataFrame:
+    """Each row as often as its weight says: where every row is a point of a curve, a row of weight w is w points."""
+    if weight is None:
+        return df
+    return df.filter(F.col(weight) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(weight).cast("int")))).drop("_copy")
+
+
 def enrichment_curve(df: DataFrame, score: str, label: str, key: str, ascending: bool = True, within: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """Adds recall and enrichment at each scored row: the share of gold rows found so far, and precision so far over the overall share."""
     within = within or []
-    w = F.lit(1) if weight is None else F.col(weight)
-    rows = df.filter(clean(F.col(score)).isNotNull() & F.col(label).isNotNull() & (w > 0))
+    w = F.lit(1)
+    rows = copies(df.filter(clean(F.col(score)).isNotNull() & F.col(label).isNotNull()), weight)
     rows = running(rows, score, key, ascending, within, {"_linked": w, "_gold": w * F.col(label).cast("int")})
     total = rows.groupBy(*within).agg(F.sum(w).alias("_n"), F.sum(w * F.col(label).cast("int")).alias("_g"))
     rows = rows.join(F.broadcast(total), within) if within else rows.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
@@ -98,10 +105,13 @@ def auerc(df: DataFrame, score: str, label: str, key: str, ascending: bool = Tru
     return trapezoid(points, "recall", "enrichment", within, (1 - F.col("recall")) if weighted else None).withColumnRenamed("height", "auerc").drop("area", "width")
 
 
-def top_k_log_odds(df: DataFrame, score: str, label: str, key: str, ascending: bool = True, within: list[str] | None = None, epsilon: float = 0.5, share: float = 0.99) -> DataFrame:
-    """k, log_or for k up to the number of gold rows and to ``share`` of the rows: the top k against the rest."""
+def top_k_log_odds(df: DataFrame, score: str, label: str, key: str, ascending: bool = True, within: list[str] | None = None, epsilon: float = 0.5, share: float = 0.99, weight: str | None = None) -> DataFrame:
+    """k, log_or for k up to the number of gold rows and to ``share`` of the rows: the top k against the rest.
+
+    A row of weight w stands for w rows, each with a k of its own.
+    """
     within = within or []
-    rows = df.filter(clean(F.col(score)).isNotNull() & F.col(label).isNotNull())
+    rows = copies(df.filter(clean(F.col(score)).isNotNull() & F.col(label).isNotNull()), weight)
     rows = running(rows, score, key, ascending, within, {"k": F.lit(1), "_tp": F.col(label).cast("int")})
     total = rows.groupBy(*within).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("int")).alias("_g"))
     rows = rows.join(F.broadcast(total), within) if within else rows.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
@@ -111,10 +121,10 @@ def top_k_log_odds(df: DataFrame, score: str, label: str, key: str, ascending: b
     return rows.select(*within, F.col("k").cast("long").alias("k"), F.log(odds_ratio(tp, fp, fn, tn, epsilon)).alias("log_or"))
 
 
-def auorc(df: DataFrame, score: str, label: str, key: str, ascending: bool = True, within: list[str] | None = None, epsilon: float = 0.5) -> DataFrame:
+def auorc(df: DataFrame, score: str, label: str, key: str, ascending: bool = True, within: list[str] | None = None, epsilon: float = 0.5, weight: str | None = None) -> DataFrame:
     """Area under the top-k log odds ratios over k, weighted by 1 / k, as a mean height."""
     within = within or []
-    return trapezoid(top_k_log_odds(df, score, label, key, ascending, within, epsilon), "k", "log_or", within, 1 / F.col("k")).withColumnRenamed("height", "auorc").drop("area", "width")
+    return trapezoid(top_k_log_odds(df, score, label, key, ascending, within, epsilon, weight=weight), "k", "log_or", within, 1 / F.col("k")).withColumnRenamed("height", "auorc").drop("area", "width")
 
 
 def precision_recall(df: DataFrame, score: str, label: str, within: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -133,10 +143,10 @@ def average_precision(df: DataFrame, score: str, label: str, within: list[str] |
     return precision_recall(df, score, label, within, weight).groupBy(*(within or [])).agg(F.sum(F.col("gain") * F.col("precision")).alias("ap"))
 
 
-def partial_average_precision(df: DataFrame, score: str, label: str, max_recall: float = 0.2, within: list[str] | None = None) -> DataFrame:
+def partial_average_precision(df: DataFrame, score: str, label: str, max_recall: float = 0.2, within: list[str] | None = None, weight: str | None = None) -> DataFrame:
     """The trapezoid area of precision over recall up to ``max_recall``, from (0, 1), divided by it."""
     within = within or []
-    points = precision_recall(df, score, label, within).select(*within, "recall", "precision").filter(F.col("recall") <= max_recall)
+    points = precision_recall(df, score, label, within, weight).select(*within, "recall", "precision").filter(F.col("recall") <= max_recall)
     start = points.select(*within).distinct().withColumns({"recall": F.lit(0.0), "precision": F.lit(1.0)}) if within else points.sparkSession.createDataFrame([(0.0, 1.0)], "recall double, precision double")
     # points of one recall stand in order of falling precision, as the scores fall
     order = Window.partitionBy(*within, F.lit(1)).orderBy("recall", F.desc("precision"))
@@ -172,6 +182,49 @@ def replicates(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     return rows.withColumn("weight", F.when(F.col("rep") == 0, 1).otherwise(multiplicity(F.col(key), F.col("rep"), seed))).filter("weight > 0")
 
 
+def drawn(df: DataFrame, n: int, key: str, strata: list[str], seed: int = 0) -> DataFrame:
+    """As :func:`replicates`, with draws that keep the number of rows of each of ``strata`` (of all, without any) exactly.
+
+    Every row draws one of its stratum by a hash of (key, replicate), and a row's weight is how
+    often it was drawn. ``key`` tells rows of a stratum apart. With the label among ``strata``, gold
+    and other rows are drawn apart.
+    """
+    rows = running(df, key, key, True, strata, {"_pos": F.lit(1)})
+    sizes = df.groupBy(*strata).agg(F.count("*").alias("_m"))
+    keys = [F.col(s).eqNullSafe(F.col(f"_of_{s}")) for s in strata]
+    named = sizes.select(*[F.col(s).alias(f"_of_{s}") for s in strata], "_m")
+    own = rows.select(*strata, key).join(F.broadcast(named), keys if keys else F.lit(True)).select(*strata, key, "_m").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n)))) if n else None
+    first = rows.withColumns({"rep": F.lit(0), "weight": F.lit(1)}).drop("_pos")
+    if own is None:
+        return first
+    hits = own.groupBy(*strata, "rep", (F.pmod(F.xxhash64(key, "rep", F.lit(seed)), F.col("_m")) + 1).alias("_hit")).agg(F.count("*").cast("int").alias("weight"))
+    hits = hits.select(*[F.col(s).alias(f"_of_{s}") for s in strata], "rep", "_hit", "weight")
+    again = rows.join(hits, [*keys, F.col("_pos") == F.col("_hit")]).drop("_pos", "_hit", *[f"_of_{s}" for s in strata])
+    return first.unionByName(again)
+
+
+def bootstrap_odds_ratio(df: DataFrame, predicted: str, label: str, key: str, n: int = 1000, level: float = 0.95, epsilon: float = 0.5, stratified: bool = True, seed: int = 0) -> DataFrame:
+    """One row: or_point, fisher_p, ci_lower, ci_upper, boot_p, n_boot_finite of the odds ratio smoothed by ``epsilon``.
+
+    The interval is one of percentiles; boot_p is two-sided, of the replicates about the log of the
+    point. With fewer than two finite replicates both are null.
+    """
+    rows = df.filter(F.col(predicted).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(predicted).cast("boolean").alias("_y"), F.col(label).cast("boolean").alias("_label"))
+    reps = drawn(rows, n, "_key", ["_label"] if stratified else [], seed)
+    y, gold, w = F.col("_y"), F.col("_label"), F.col("weight")
+    cell = {c: F.sum(F.when(test, w).otherwise(0)) for c, test in (("tp", y & gold), ("fp", y & ~gold), ("fn", ~y & gold), ("tn", ~y & ~gold))}
+    cells = reps.groupBy("rep").agg(*[c.alias(k) for k, c in cell.items()])
+    cells = cells.withColumn("_or", odds_ratio(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn"), epsilon))
+    cells = cells.withColumn("_log", clean(F.when(F.col("_or") > 0, F.log("_or"))))
+    point = cells.filter("rep = 0").select(F.col("_or").alias("or_point"), fisher_p(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")).alias("fisher_p"), F.col("_log").alias("_at"))
+    a, boot = (1 - level) / 2, cells.filter("rep > 0").crossJoin(point.select("_at"))
+    shift = F.signum(F.col("_log") - F.col("_at"))
+    low, high = F.avg((1 - shift) / 2), F.avg((1 + shift) / 2)
+    enough = F.count("_log") >= 2
+    told = boot.agg(F.when(enough, F.exp(F.percentile("_log", F.lit(a)))).alias("ci_lower"), F.when(enough, F.exp(F.percentile("_log", F.lit(1 - a)))).alias("ci_upper"), F.when(enough, F.least(F.lit(1.0), 2 * F.least(low, high))).alias("boot_p"), F.count("_log").alias("n_boot_finite"))
+    return point.drop("_at").crossJoin(told)
+
+
 def bootstrap_summary(estimates: DataFrame, value: str, within: list[str], level: float = 0.95) -> DataFrame:
     """estimate, bootstrap_sd, ci_lower, ci_upper, n_bootstrap of a metric from its values by ``rep``."""
     boot = F.when(F.col("rep") > 0, clean(F.col(value)))

@@ -51,6 +51,12 @@ def monte_carlo(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str, ke
     return obs.join(n, key, "left").withColumn("mcpval", (F.col("n_ge") + 1) / (F.col("n_ctrl") + 1)).drop("n_ge", "n_ctrl")
 
 
+def interpolated(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str, key: str, group: str | None = None) -> DataFrame:
+    """Adds ``survival``: the share of controls that are larger, 1 minus their distribution at the observation."""
+    n = counts_at_least(obs.withColumn(value, -F.col(value)), ctrl.withColumn(ctrl_value, -F.col(ctrl_value)), value, ctrl_value, key, group)
+    return obs.join(n.select(key, (1 - F.try_divide(F.col("n_ge"), F.col("n_ctrl"))).alias("survival")), key, "left")
+
+
 def centred(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str, group: str, se: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Observations and controls standardised by their group's controls (mean and population deviation).
 

@@ -10,26 +10,27 @@ from pyspark.sql import functions as F
 
 from ..functions.special import clean
 from ..operators import metrics
+from ..sources.shared import stored
 
 
 @dataclass(frozen=True)
 class Metric:
-    """A metric by name: from (rows, score, label, key, within) to (within, name); smaller scores rank first if ``ascending``."""
+    """A metric by name: from (rows, score, label, key, within, weight) to (within, name); smaller scores rank first if ``ascending``."""
 
     name: str
-    make: Callable[[DataFrame, str, str, str, list[str]], DataFrame]
+    make: Callable[[DataFrame, str, str, str, list[str], str | None], DataFrame]
 
 
 def defaults(ascending: bool = True, early: float = 0.2) -> list[Metric]:
     """Weighted area, early area, top-k odds, average and early average precision."""
     flip = lambda df, s: df.withColumn("_flip", -F.col(s) if ascending else F.col(s))
     return [
-        Metric("auerc", lambda d, s, l, k, w: metrics.auerc(d, s, l, k, ascending, w)),
-        Metric("avg_enrichment", lambda d, s, l, k, w: metrics.auerc(d, s, l, k, ascending, w, weighted=False).withColumnRenamed("auerc", "avg_enrichment")),
-        Metric("auerc_early", lambda d, s, l, k, w: metrics.auerc(d, s, l, k, ascending, w, weighted=False, max_recall=early).withColumnRenamed("auerc", "auerc_early")),
-        Metric("auorc", lambda d, s, l, k, w: metrics.auorc(d, s, l, k, ascending, w)),
-        Metric("ap", lambda d, s, l, k, w: metrics.average_precision(flip(d, s), "_flip", l, w)),
-        Metric("pap", lambda d, s, l, k, w: metrics.partial_average_precision(flip(d, s), "_flip", l, early, w)),
+        Metric("auerc", lambda d, s, l, k, w, m=None: metrics.auerc(d, s, l, k, ascending, w, weight=m)),
+        Metric("avg_enrichment", lambda d, s, l, k, w, m=None: metrics.auerc(d, s, l, k, ascending, w, weighted=False, weight=m).withColumnRenamed("auerc", "avg_enrichment")),
+        Metric("auerc_early", lambda d, s, l, k, w, m=None: metrics.auerc(d, s, l, k, ascending, w, weighted=False, max_recall=early, weight=m).withColumnRenamed("auerc", "auerc_early")),
+        Metric("auorc", lambda d, s, l, k, w, m=None: metrics.auorc(d, s, l, k, ascending, w, weight=m)),
+        Metric("ap", lambda d, s, l, k, w, m=None: metrics.average_precision(flip(d, s), "_flip", l, w, m)),
+        Metric("pap", lambda d, s, l, k, w, m=None: metrics.partial_average_precision(flip(d, s), "_flip", l, early, w, m)),
     ]
 
 
@@ -64,13 +65,19 @@ def supported(rows: DataFrame, label: str, stratum: list[str], least: int = 100,
     return rows.join(ok, stratum, "left_semi")
 
 
-def bootstrap(rows: DataFrame, methods: list[str], label: str, key: str, n: int, ascending: bool = True, stratum: Column | None = None, seed: int = 0) -> DataFrame:
-    """stratum, method, estimate, bootstrap_sd, ci_lower, ci_upper, n_bootstrap of the weighted area for each method and stratum.
+def bootstrap(rows: DataFrame, methods: list[str], label: str, key: str, n: int, ascending: bool = True, stratum: Column | None = None, seed: int = 0, specs: list[Metric] | None = None, by_class: bool = False) -> DataFrame:
+    """stratum, method, metric, estimate, bootstrap_sd, ci_lower, ci_upper, n_bootstrap of each of ``specs`` (all of :func:`defaults`) for each method and stratum.
 
-    All replicates, strata and methods are one plan; replicates are weights, not copies.
+    Replicates are weights, not copies, and the same for all methods and metrics. ``by_class`` draws
+    gold and other rows of a stratum apart, so that each keeps its number.
     """
     rows = rows.withColumn("stratum", F.lit("all") if stratum is None else stratum)
-    long = long_form(rows, methods, [key, label, "stratum"])
-    reps = metrics.replicates(long, n, key, seed)
-    est = metrics.auerc(reps, "score", label, key, ascending, ["stratum", "method", "rep"], weight="weight")
-    return metrics.bootstrap_summary(est, "auerc", ["stratum", "method"])
+    kept = rows.select(key, label, "stratum", *methods)
+    reps = metrics.drawn(kept, n, key, ["stratum", label], seed) if by_class else metrics.replicates(kept, n, key, seed)
+    long = stored(long_form(reps, methods, [key, label, "stratum", "rep", "weight"]), "replicates")
+    within = ["stratum", "method", "rep"]
+    out = None
+    for m in specs or defaults(ascending):
+        est = m.make(long, "score", label, key, within, "weight").select(*within, F.lit(m.name).alias("metric"), F.col(m.name).alias("value"))
+        out = est if out is None else out.unionByName(est)
+    return metrics.bootstrap_summary(out, "value", ["stratum", "method", "metric"])

@@ -15,7 +15,7 @@ from ..operators.binning import combined_label, nested_bins, quantile_bins
 from ..operators.intervals import window_links
 from ..operators.matrix import feature_moments
 from ..operators.nulls import control_features, control_pairs
-from ..operators.pairs import histograms, pearson, poisson_fit
+from ..operators.pairs import histograms, pearson, poisson_fit, spearman
 from ..operators.pvalues import benjamini_hochberg, empirical_fdr, monte_carlo, pooled, studentised, z_scores
 from ..sources.shared import stored
 
@@ -74,10 +74,10 @@ def control_links(links: DataFrame, controls: DataFrame, bins: Bins) -> DataFram
 
 
 def fit(links: DataFrame, x: DataFrame, y: DataFrame, n_cells: int, method: str = "poisson") -> DataFrame:
-    """``links`` with beta and se (Poisson) or beta alone (Pearson)."""
+    """``links`` with beta and se (Poisson) or beta alone (Pearson, Spearman); also for control links, whose ``grp`` is the bin."""
     pairs = links.select("x_id", "y_id").distinct().withColumn("link_id", F.concat_ws(";", F.col("x_id").cast("string"), F.col("y_id").cast("string")))  # equal pairs are fitted once
-    if method == "pearson":
-        got = pearson(pairs, x, y, n_cells).select("x_id", "y_id", F.col("corr").alias("beta"), F.lit(None).cast("double").alias("se"))
+    if method in ("pearson", "spearman"):
+        got = (pearson if method == "pearson" else spearman)(pairs, x, y, n_cells).select("x_id", "y_id", F.col("corr").alias("beta"), F.lit(None).cast("double").alias("se"))
     else:
         got = poisson_fit(histograms(pairs, x, y, n_cells)).select("x_id", "y_id", F.col("b1").alias("beta"), "se")
     return links.join(got, ["x_id", "y_id"], "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.special import cauchy_combined, lgamma, normal_sf
 from spanloom.operators import binning, meta, metrics, nulls, pairs, pvalues, residuals, specificity
+from spanloom.plans import evaluation, jobs
 
 
 def frame(spark, rows, schema):
@@ -142,3 +143,56 @@ def test_specificity_bounds(spark):
     d = spark.createDataFrame([([1.0, 1.0, 1.0],), ([1.0, 0.0, 0.0],), ([0.0, 0.0],)], "v array<double>")
     got = [r[0] for r in d.select(specificity.entropy_specificity(F.col("v"), min_total=0.1)).collect()]
     assert got[0] == pytest.approx(0, abs=1e-9) and got[1] > 0.99 and got[2] is None
+
+
+def scored(spark, n=60):
+    rng = np.random.default_rng(8)
+    return frame(spark, [(i, bool(rng.random() < 0.4), float(rng.random()), float(rng.random())) for i in range(n)], "id long, label boolean, a double, b double")
+
+
+def test_weights_stand_for_copies_in_every_default_metric(spark):
+    d = scored(spark).withColumn("weight", (F.col("id") % 3).cast("int"))
+    copies = d.filter("weight > 0").withColumn("c", F.explode(F.sequence(F.lit(1), F.col("weight")))).withColumn("id", F.col("id") * 10 + F.col("c"))
+    for m in evaluation.defaults():
+        got, want = m.make(d, "a", "label", "id", [], "weight").first()[m.name], m.make(copies, "a", "label", "id", [], None).first()[m.name]
+        assert got == pytest.approx(want), m.name
+
+
+def test_draws_keep_class_counts(spark):
+    d = scored(spark)
+    gold = d.filter("label").count()
+    got = metrics.drawn(d, 5, "id", ["label"], seed=2).groupBy("rep").agg(F.sum("weight").alias("n"), F.sum(F.when(F.col("label"), F.col("weight"))).alias("g"), F.max("weight").alias("m")).collect()
+    assert len(got) == 6 and all(r["n"] == 60 and r["g"] == gold and (r["m"] > 1) == (r["rep"] > 0) for r in got)
+
+
+def test_bootstrap_covers_all_metrics(spark):
+    d = scored(spark)
+    got = {(r["method"], r["metric"]): r for r in evaluation.bootstrap(d, ["a", "b"], "label", "id", 8, by_class=True).collect()}
+    assert len(got) == 12 and all(r["ci_lower"] <= r["ci_upper"] and r["n_bootstrap"] == 8 for r in got.values())
+    for m in evaluation.defaults():
+        assert got["b", m.name]["estimate"] == pytest.approx(m.make(d, "b", "label", "id", []).first()[m.name])
+
+
+def test_bootstrap_odds_ratio(spark):
+    d = frame(spark, [(i, i % 10 < (7 if i < 100 else 3), i < 100) for i in range(200)], "id long, y boolean, label boolean")
+    got = metrics.bootstrap_odds_ratio(d, "y", "label", "id", 100).first()
+    assert got["or_point"] == pytest.approx(70.5 * 70.5 / (30.5 * 30.5)) and got["fisher_p"] < 1e-6 and got["n_boot_finite"] == 100
+    assert 1 < got["ci_lower"] < got["or_point"] < got["ci_upper"] and got["boot_p"] > 0.5
+
+
+def test_interpolated_survival(spark):
+    got = pvalues.interpolated(frame(spark, [(1, 0, 2.0), (2, 0, 0.0), (3, 0, 9.0)], "key int, grp int, value double"), frame(spark, [(0, float(v)) for v in (1, 2, 3, 4)], "grp int, ctrl double"), "value", "ctrl", "key", "grp")
+    assert {r["key"]: (r["value"], r["survival"]) for r in got.collect()} == {1: (2.0, 0.5), 2: (0.0, 1.0), 3: (9.0, 0.0)}
+
+
+def test_cluster_bootstrap_draws_whole_sets(spark):
+    d = frame(spark, [(s, float(x), float(s * x)) for s in range(1, 5) for x in range(3)], "s int, x double, y double")
+    got = {r["rep"]: r["slope"] for r in meta.bootstrap_slope(d, "x", "y", "s", 20).collect()}
+    assert len(got) == 21 and got[0] == pytest.approx(2.5) and all(b * 4 == pytest.approx(round(b * 4)) for b in got.values()) and len(set(got.values())) > 2
+
+
+def test_control_links_are_fitted_by_spearman(spark):
+    x = frame(spark, [(c, 0, float(c)) for c in range(1, 9)], "cell_id long, feature_id long, value double")
+    y = frame(spark, [(c, 0, float(c**3)) for c in range(1, 9)], "cell_id long, feature_id long, value double")
+    got = jobs.fit(frame(spark, [("a", 0, 0)], "grp string, x_id long, y_id long"), x, y, 10, "spearman").first()
+    assert got["grp"] == "a" and got["beta"] == pytest.approx(1.0)
