@@ -19,7 +19,8 @@ def control_features(features: DataFrame, bin_col: str, per_feature: int, seed:
     """feature_id, ctrl_rank (from 0), ctrl_id: for every feature the ``per_feature`` others of its bin with the smallest hash.
 
     Candidates come from within a bin, and all but the first ones of a feature are dropped as they
-    are ranked (a limit within the group that Spark applies before the shuffle).
+    are ranked (a limit within the group that Spark applies before the shuffle). Features of bins in
+    :func:`short_features` get all others, which are fewer.
     """
     a, b = features.select("feature_id", F.col(bin_col).alias("_bin")), features.select(F.col("feature_id").alias("ctrl_id"), F.col(bin_col).alias("_bin"))
     pairs = a.join(b, "_bin").filter("feature_id <> ctrl_id")
@@ -31,7 +32,8 @@ def control_pairs(left: DataFrame, right: DataFrame, per_bin: int, seed: int = 0
     """bin, ctrl_rank, left_id, right_id: ``per_bin`` distinct pairs from the product of each left and right bin.
 
     ``left``/``right``: (id, bin). The product is never built: a stride that has no common divisor
-    with its size steps through its numbers, and each number is taken apart into two positions.
+    with its size steps through its numbers, and each number is taken apart into two positions. Bins
+    in :func:`short_pairs` give their whole product, which is less.
     """
 
     def numbered(df: DataFrame, tag: str) -> DataFrame:
@@ -49,6 +51,27 @@ def control_pairs(left: DataFrame, right: DataFrame, per_bin: int, seed: int = 0
     return out.select(F.concat_ws("_", F.col("left_bin").cast("string"), F.col("right_bin").cast("string")).alias("bin"), F.col("ctrl_rank").cast("int").alias("ctrl_rank"), "left_id", "right_id")
 
 
+def short_features(features: DataFrame, bin_col: str, per_feature: int) -> DataFrame:
+    """bin, available, asked: the bins whose features have fewer than ``per_feature`` others."""
+    sizes = features.filter(F.col(bin_col).isNotNull()).groupBy(F.col(bin_col).cast("string").alias("bin")).agg((F.count("*") - 1).alias("available"))
+    return sizes.withColumn("asked", F.lit(per_feature).cast("long")).filter("available < asked")
+
+
+def short_pairs(left: DataFrame, right: DataFrame, per_bin: int) -> DataFrame:
+    """bin, available, asked: the pairs of bins whose product holds fewer than ``per_bin`` pairs."""
+    a, b = (df.groupBy("bin").agg(F.count("*").alias(f"{tag}_n")).withColumnRenamed("bin", f"{tag}_bin") for df, tag in ((left, "left"), (right, "right")))
+    bins = a.crossJoin(b)  # one row a pair of bins
+    name = F.concat_ws("_", F.col("left_bin").cast("string"), F.col("right_bin").cast("string"))
+    return bins.select(name.alias("bin"), (F.col("left_n") * F.col("right_n")).alias("available"), F.lit(per_bin).cast("long").alias("asked")).filter("available < asked")
+
+
+def refuse(short: DataFrame) -> None:
+    """An error that names the short bins, if there are any."""
+    found = short.orderBy("bin").collect()  # at most one row a bin
+    if found:
+        raise ValueError(f"{len(found)} bins have fewer controls than asked: " + ", ".join(f"{r['bin']} ({r['available']} of {r['asked']})" for r in found[:20]))
+
+
 def other_group_partner(left: DataFrame, right: DataFrame, seed: int = 0) -> DataFrame:
     """id, partner_id: for every left row (id, grp) one right row (id, grp) of another group, by a seeded position.
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.binning import combined_label, nested_bins, quantile_bins
 from ..operators.intervals import window_links
 from ..operators.matrix import feature_moments
-from ..operators.nulls import control_features, control_pairs
+from ..operators.nulls import control_features, control_pairs, refuse, short_features, short_pairs
 from ..operators.pairs import histograms, pearson, poisson_fit, spearman
 from ..operators.pvalues import benjamini_hochberg, empirical_fdr, monte_carlo, pooled, studentised, z_scores
 from ..sources.shared import stored
@@ -54,16 +54,36 @@ def feature_bins(counts: DataFrame, n_cells: int, main: int, nested: int, second
     return nested_bins(m, "mean_bin", second, "feature_id", nested, "bin").select("feature_id", "mean_bin", "bin")
 
 
-def generate_controls(x: DataFrame, y: DataFrame, n_cells: int, bins: Bins, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Control table and the bins of both sides. One-sided: (feature_id, ctrl_rank, ctrl_id); else (bin, ctrl_rank, left_id, right_id)."""
-    xb = feature_bins(x, n_cells, bins.first, bins.first_nested)
+def generate_controls(x: DataFrame, y: DataFrame, n_cells: int, bins: Bins, seed: int = 0, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Control table and the bins of both sides. One-sided: (feature_id, ctrl_rank, ctrl_id); else (bin, ctrl_rank, left_id, right_id).
+
+    A bin that has fewer controls than asked is an error, or without ``strict`` has all that there are.
+    """
+    xb = stored(feature_bins(x, n_cells, bins.first, bins.first_nested), "x-bins")
     if bins.one_sided:
+        if strict:
+            refuse(short_features(xb, "bin", bins.controls))
         return control_features(xb, "bin", bins.controls, seed), xb, None
-    yb = feature_bins(y, n_cells, bins.second, bins.second_nested)
+    yb = stored(feature_bins(y, n_cells, bins.second, bins.second_nested), "y-bins")
     pair = lambda df: df.select(F.col("feature_id").alias("id"), "bin")
+    if strict:
+        refuse(short_pairs(pair(xb), pair(yb), bins.controls))
     return control_pairs(pair(xb), pair(yb), bins.controls, seed), xb, yb
 
 
+def with_shortfall(links: DataFrame, xb: DataFrame, yb: DataFrame | None, bins: Bins) -> DataFrame:
+    """Adds ``ctrl_short``: how many of the controls asked the link's bin lacks, which makes its p-values coarser."""
+    missing = (F.col("asked") - F.col("available")).alias("_short")
+    if yb is None:
+        short = short_features(xb, "bin", bins.controls).select("bin", missing)
+        short = xb.select("feature_id", F.col("bin").cast("string").alias("bin")).join(short, "bin").select(F.col("feature_id").alias("x_id"), "_short")
+        out = links.join(short, "x_id", "left")
+    else:
+        pair = lambda df: df.select(F.col("feature_id").alias("id"), "bin")
+        out = links.join(short_pairs(pair(xb), pair(yb), bins.controls).select(F.col("bin").alias("grp"), missing), "grp", "left")
+    return out.withColumn("ctrl_short", F.coalesce("_short", F.lit(0).cast("long"))).drop("_short")
+
+
 def control_links(links: DataFrame, controls: DataFrame, bins: Bins) -> DataFrame:
     """link_id, grp, ctrl_rank, x_id, y_id: the pairs to be fitted for the null."""
     if bins.one_sided:
@@ -97,17 +117,17 @@ def p_values(cis: DataFrame, ctrl: DataFrame, group: str) -> DataFrame:
 
 
 def associate(x: DataFrame, y: DataFrame, peaks: DataFrame, genes: DataFrame, n_cells: int, config: str, distance: int, bin_width: int, method: str = "poisson", seed: int = 0) -> DataFrame:
-    """The whole study: links, their statistics, controls, p-values. Counts, links and fits are written once, as every p-value reads them again."""
+    """The whole study: links, their statistics, controls (``ctrl_short``: how many a link's bin lacks), p-values. Counts, links and fits are written once, as every p-value reads them again."""
     bins = Bins.parse(config)
     x, y = stored(x, "x"), stored(y, "y")
     links = generate_links(peaks, genes, distance, bin_width)
-    controls, xb, yb = generate_controls(x, y, n_cells, bins, seed)
+    controls, xb, yb = generate_controls(x, y, n_cells, bins, seed, strict=False)
     if bins.one_sided:
         links = links.withColumn("grp", F.col("link_id"))
     else:
         a, b = xb.select(F.col("feature_id").alias("x_id"), F.col("bin").alias("_xb")), yb.select(F.col("feature_id").alias("y_id"), F.col("bin").alias("_yb"))
         links = links.join(a, "x_id").join(b, "y_id").withColumn("grp", combined_label(F.col("_xb"), F.col("_yb"))).drop("_xb", "_yb")
-    links = stored(links, "links")
+    links = stored(with_shortfall(links, xb, yb, bins), "links")
     cis = stored(fit(links, x, y, n_cells, method), "cis")
     ctrl = stored(fit(control_links(links, controls, bins), x, y, n_cells, method), "ctrl")
     return p_values(cis, ctrl, "grp")

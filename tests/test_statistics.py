@@ -196,3 +196,21 @@ def test_control_links_are_fitted_by_spearman(spark):
     y = frame(spark, [(c, 0, float(c**3)) for c in range(1, 9)], "cell_id long, feature_id long, value double")
     got = jobs.fit(frame(spark, [("a", 0, 0)], "grp string, x_id long, y_id long"), x, y, 10, "spearman").first()
     assert got["grp"] == "a" and got["beta"] == pytest.approx(1.0)
+
+
+def test_short_bins_are_refused(spark):
+    x = frame(spark, [(c, f, float(1 + f)) for f in range(4) for c in range(f + 1)], "cell_id long, feature_id long, value double")
+    for config in ("2.1.2.1.5", "2.1.inf.inf.2"):
+        with pytest.raises(ValueError, match="fewer controls than asked"):
+            jobs.generate_controls(x, x, 10, jobs.Bins.parse(config))
+    for config, rows in (("2.1.2.1.4", 16), ("2.1.inf.inf.1", 4)):
+        assert jobs.generate_controls(x, x, 10, jobs.Bins.parse(config))[0].count() == rows
+
+
+def test_links_tell_the_shortfall_of_their_bin(spark):
+    xb = frame(spark, [(0, "a"), (1, "a"), (2, "a"), (3, "b")], "feature_id long, bin string")
+    links = frame(spark, [(0, 0, "a_a"), (3, 3, "b_b"), (0, 3, "a_b")], "x_id long, y_id long, grp string")
+    got = {r["grp"]: r["ctrl_short"] for r in jobs.with_shortfall(links, xb, xb, jobs.Bins.parse("2.1.2.1.5")).collect()}
+    assert got == {"a_a": 0, "b_b": 4, "a_b": 2}
+    got = {r["grp"]: r["ctrl_short"] for r in jobs.with_shortfall(links, xb, None, jobs.Bins.parse("2.1.inf.inf.2")).collect()}
+    assert got == {"a_a": 0, "b_b": 2, "a_b": 0}
