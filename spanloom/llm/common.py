@@ -27,6 +27,26 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more rows than this, and than one in HOT_KEYS of all, is hot.
+HOT_ROWS, HOT_KEYS = 100_000, 1000
+
+
+def by_key(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
+    """``rows`` with the columns of ``side``, which has one row a key and the number of its rows as ``_rows``.
+
+    Hot keys, of which there are HOT_KEYS at most by their definition, are broadcast, so that their
+    rows stay where they are; all others are joined by shuffle, with bounded rows a key. Null keys
+    match nothing. ``total``, if it is known, are all rows of ``side`` together.
+    """
+    total = total if total is not None else side.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    slim = side.drop("_rows")
+    if total <= HOT_ROWS or (hot := side.filter(F.col("_rows") > bound).drop("_rows")).isEmpty():
+        return rows.join(slim, keys, how)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.filter(F.col("_rows") <= bound).drop("_rows"), keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 #: Rows that go to a Python worker at a time: whole texts, some of them very long, stand in a batch.
 BATCH_ROWS = 1000
 

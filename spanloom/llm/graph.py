@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import by_key, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,15 +19,16 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select("a", "b").filter("a is not null and b is not null and a <> b")
     e = stored(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
+    n = e.count()
     while True:
         both = e.union(e.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        e = both.join(least, F.col("a") == F.col("n")).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()  # large star: larger neighbours to the least
-        least = e.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        near = e.join(least, F.col("a") == F.col("n"))
-        e = stored(near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("n", "m")).distinct(), "edges")  # small star: the node and its smaller neighbours to the least
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_rows")).withColumn("m", F.least("a", "m"))
+        e = by_key(both, least, ["a"], total=2 * n).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()  # large star: larger neighbours to the least
+        least = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_rows"))
+        near = by_key(e, least, ["a"], total=2 * n)
+        e = stored(near.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m")).distinct(), "edges")  # small star: the node and its smaller neighbours to the least
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % (1 << 31)), F.lit(0))).first()
         if now == mark:
             break
-        mark = now
+        mark, n = now, now[0]
     return e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).union(e.select("b", F.col("b")).distinct())

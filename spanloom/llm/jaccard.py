@@ -1,51 +1,50 @@
 """N-gram Jaccard join in the metric space of shingle sets.
 
-Jaccard distance is a metric, so documents can be dealt to the Voronoi regions of pivots: whoever
-lies within twice the radius of the border to another region is copied there, and every pair
-within the radius then meets in a region. Regions that are too large choose pivots of their own.
-
-Among millions of documents almost all distances are 1, and no choice of documents as pivots
-separates them. The first level therefore takes single shingles as pivots: a document lies at
-distance below 1 exactly from the shingles that it holds, and to be within the radius of another
-it must share one of its rarest few (the window: all but the commonest 90 % of its set, for a
-similarity of 0.9). Documents that share such a pivot, directly or over others, form a region; each
-document is sent to one region only. Inside, documents are the pivots, and regions split
-recursively. A frequency sketch of all shingles, of fixed size, says which are rare; it only steers
-the work, and any order gives the same links.
+Jaccard distance is a metric. Pivots are documents: each has a region, regions are dealt to the
+Voronoi cells of further pivots, whoever lies within twice the radius of the border to another
+cell is copied there, cells choose pivots of their own, and so on. Every pair within the radius
+meets in a cell or at a pivot, so the join is exact.
+
+Among millions of documents almost all distances are 1, and such a distance tells nothing: a pivot
+can only divide the documents that share something with it. So a pivot's region are the documents
+that hold one of the rare shingles for which it stands, and two documents within the radius share
+one of their rarest few (all but the commonest 90 % of a set, for a similarity of 0.9). A
+frequency sketch of all shingles, of bounded size, says which are rare; it only steers the work,
+and any order gives the same links. Links come from distances to pivots and from the pairs that
+pivots leave over in a cell, and each says from which.
 
 Exact copies are merged before, by a 128-bit sum over the set.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import Words, flat_bytes, mixed, tidy
-from .common import stored, table
+from .common import by_key, stored, table
 from .graph import components
 
 #: Words of a shingle and similarity in percent, where nothing else is asked for.
 SHINGLE, PERCENT = 5, 80
-#: Counters of the frequency sketch (a power of two), and counters in one row of it.
-COUNTERS, CHUNK = 1 << 23, 1 << 16
+#: Counters of the frequency sketch: a power of two between these, that follows the number of rows; and counters in one row of it.
+COUNTERS, MOST_COUNTERS, CHUNK = 1 << 23, 1 << 26, 1 << 16
 #: Shingles come in order of the leading bits of their number; only a leading band of them, this many
 #: times as many as are chosen, is counted, so that counters are shared by few and common shingles can be left out.
 BAND_TIMES = 2.5
 #: Documents and shingles up to which a region is joined in one task.
-REGION_DOCS, REGION_SHINGLES = 4096, 2_000_000
-#: Times that regions over the bound are split by the shingles rare among themselves before they are dealt to cells.
-LEVELS = 3
-#: Pivots of a region, and documents up to which it isn't split any more.
-PIVOTS, SMALL = 8, 64
-#: Sets further than this from all pivots form a region of their own, the outer one.
+REGION_DOCS, REGION_SHINGLES = 512, 500_000
+#: Pivots of a round, rounds of a cell, documents up to which a cell isn't divided any more, and the share of
+#: its pairs that its cells may hold together if it is.
+PIVOTS, ROUNDS, SMALL, DIVIDED = 8, 16, 4, 0.8
+#: Sets further than this from all pivots form a cell of their own, the outer one.
 OUTER = 0.7
-#: Rows of two ids, and of single shingles, up to which they are broadcast (16 MB either); beyond, both sides are shuffled.
-BROADCAST_IDS, BROADCAST_SHINGLES = 1_000_000, 2_000_000
+#: Rows of a few numbers up to which they are broadcast (some 32 MB); beyond, both sides are shuffled.
+BROADCAST_IDS = 500_000
 #: Text that is shingled at a time.
 BLOCK = 1_000_000
 
@@ -88,8 +87,13 @@ def banded(s: np.ndarray, percent: int) -> int:
     return int(np.searchsorted(s, np.uint64(int(min(0.999, BAND_TIMES * (1 - percent / 100)) * 2.0**64))))
 
 
-def counter_of(s: np.ndarray) -> np.ndarray:
-    return (s & np.uint64(COUNTERS - 1)).astype(np.int64)
+def counter_of(s: np.ndarray, counters: int) -> np.ndarray:
+    return (s & np.uint64(counters - 1)).astype(np.int64)
+
+
+def counters_for(rows: int) -> int:
+    """Counters of the sketch: eight rows of documents or fewer to a counter, within the bounds."""
+    return min(MOST_COUNTERS, max(COUNTERS, 1 << max(0, rows // 8).bit_length()))
 
 
 def summary(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, np.ndarray]:
@@ -97,9 +101,10 @@ def summary(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, np.nda
 
     A task counts each set once. Counters stop at 255 within a task.
     """
+    size_of_sketch = counters_for(docs.count())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, seen = np.zeros(COUNTERS, np.uint8), set()
+        counters, seen = np.zeros(size_of_sketch, np.uint8), set()
         names = ["doc_id", "n", "f1", "f2", "chunk", "counts"]
         for batch in batches:
             n, f1, f2, new = [], [], [], []
@@ -108,7 +113,7 @@ def summary(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, np.nda
                 n.append(len(s)), f1.append(key[0]), f2.append(key[1])
                 if key not in seen:
                     seen.add(key)
-                    new.append(counter_of(s[: banded(s, percent)]))
+                    new.append(counter_of(s[: banded(s, percent)], size_of_sketch))
             if new:
                 at, times = np.unique(np.concatenate(new), return_counts=True)
                 counters[at] = np.minimum(counters[at] + times, 255)
@@ -144,8 +149,8 @@ def summary(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, np.nda
             found = [np.clip(np.round(4 * np.log2(np.maximum(np.frombuffer(x.as_py(), np.uint32), 1) / usual)), 0, 255).astype(np.uint8).tobytes() for x in batch.column("counts")]
             yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(found, pa.binary())], names=["chunk", "levels"])
 
-    levels = np.zeros(COUNTERS, np.uint8)
-    for r in counts.mapInArrow(level, "chunk int, levels binary").toLocalIterator():  # COUNTERS bytes, whatever the input
+    levels = np.zeros(size_of_sketch, np.uint8)
+    for r in counts.mapInArrow(level, "chunk int, levels binary").toLocalIterator():  # MOST_COUNTERS bytes at most
         levels[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(bytes(r["levels"]), np.uint8)
     tidy()
     return both.filter("chunk is null").select("doc_id", "n", "f1", "f2"), levels
@@ -157,68 +162,54 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def rare_shingles(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(shingle, doc_id, n): the rarest shingles of each document, enough that two within the radius share one.
+    """(shingle, key, n): the rarest shingles of each set, enough that two within the radius share one.
 
-    A task sends each set once, however many copies of it there are.
+    ``key`` is the first number of the set's digest. A task sends each set once, however many copies
+    of it there are.
     """
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        levels = sent.value
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             shingles, owners, sizes = [], [], []
-            for row, s in shingle_sets(batch.column("_bytes"), size):
+            for _, s in shingle_sets(batch.column("_bytes"), size):
                 if not len(s) or (key := digest(s)) in seen:
                     continue
                 seen.add(key)
                 k, band = prefix_size(len(s), percent), s[: banded(s, percent)]
-                order = np.argsort(sent.value[counter_of(band)], kind="stable")[:k]  # by level, then by number
+                order = np.argsort(levels[counter_of(band, len(levels))], kind="stable")[:k]  # by level, then by number
                 part = np.concatenate((band[order], s[len(band) : len(band) + k - len(order)]))
                 shingles.append(part.view(np.int64))
-                owners.append(np.full(k, ids[row]))
+                owners.append(np.full(k, key[0]))
                 sizes.append(np.full(k, len(s)))
             flat = np.concatenate(shingles) if shingles else np.zeros(0, np.int64)
             who = np.concatenate(owners).astype(np.int64) if owners else np.zeros(0, np.int64)
             n = np.concatenate(sizes).astype(np.int32) if sizes else np.zeros(0, np.int32)
             for a in range(0, len(flat), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (flat, who, n)], names=["shingle", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 200_000]) for x in (flat, who, n)], names=["shingle", "key", "n"])
         tidy()
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes"))
-    return rows.mapInArrow(scan, "shingle long, doc_id long, n int")
+    rows = docs.filter("doc_id is not null").select(F.col("text").cast("binary").alias("_bytes"))
+    return rows.mapInArrow(scan, "shingle long, key long, n int")
 
 
-def shared_pivots(postings: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that connect documents of a shingle whose sizes can be similar. Linear in the postings.
+def pivot_regions(postings: DataFrame, percent: int) -> DataFrame:
+    """(pivot, key, n): the regions that each set belongs to. Linear in the postings.
 
-    Sizes fall into classes so wide that similar sets are in one class or in neighbouring ones. All
-    documents of a shingle and class are tied to the least of them, and so are the least ones of
-    neighbouring classes.
+    Of all sets that hold a rare shingle the one with the least key is the pivot, and all of them
+    belong to its region. Two sets within the radius share a rare shingle, so they meet in the
+    region of its pivot. Sizes fall into classes so wide that similar sets are in one class or in
+    neighbouring ones; every class with its successor has pivots of its own.
     """
-    lists = stored(postings.groupBy("shingle").count().filter("count > 1").select("shingle"), "jaccard-lists")
+    lists = postings.groupBy("shingle").agg(F.min("key").alias("_a"), F.max("key").alias("_b"), F.count("*").alias("_rows")).filter("_a < _b").select("shingle", "_rows")
+    shared = stored(by_key(postings, stored(lists, "jaccard-lists"), ["shingle"]), "jaccard-shared")
     width = float(np.log(100 / percent) * (1 + 1e-9))
-    if lists.count() <= BROADCAST_SHINGLES:
-        sent = postings.sparkSession.sparkContext.broadcast(np.sort(lists.toArrow().column(0).to_numpy()))
-        tidy()
-
-        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                s = batch.column("shingle").to_numpy()
-                at = np.searchsorted(sent.value, s)
-                at[at == len(sent.value)] = 0
-                yield batch.filter(pa.array(sent.value[at] == s if len(sent.value) else np.zeros(len(s), bool)))
-            tidy()
-
-        found = postings.mapInArrow(held, postings.schema)
-    else:
-        found = postings.join(lists, "shingle")
-    shared = stored(found.withColumn("class", F.floor(F.log("n") / width).cast("int")).drop("n"), "jaccard-shared")
-    least = shared.groupBy("shingle", "class").agg(F.min("doc_id").alias("low"))
-    steps = Window.partitionBy("shingle").orderBy("class")  # one row a class
-    between = least.select(F.col("low").alias("a"), F.lag("low").over(steps).alias("b"), (F.col("class") - F.lag("class").over(steps)).alias("gap")).filter("gap = 1").select("a", "b")
-    inside = shared.join(least, ["shingle", "class"]).select(F.col("doc_id").alias("a"), F.col("low").alias("b"))
-    return inside.union(between).filter("a <> b").distinct()
+    own = F.floor(F.log("n") / width).cast("int")
+    classed = shared.withColumn("_own", own).withColumn("class", F.explode(F.array(F.col("_own"), F.col("_own") - 1)))
+    heads = classed.groupBy("shingle", "class").agg(F.min("key").alias("pivot"), F.max("key").alias("_b"), F.max(F.col("class") == F.col("_own")).alias("_any"), F.count("*").alias("_rows")).filter("_any and pivot < _b").select("shingle", "class", "pivot", "_rows")
+    return by_key(classed, stored(heads, "jaccard-heads"), ["shingle", "class"]).groupBy("pivot", "key").agg(F.max("n").alias("n"))
 
 
 class Union:
@@ -259,10 +250,20 @@ def windows(d: np.ndarray, radius: float) -> np.ndarray:
     return np.vstack([(d <= near + 2 * radius + 1e-9) & (d <= OUTER + radius + 1e-9), near > OUTER - radius - 1e-9])
 
 
+#: What a link was found by: a distance to a pivot, or a pair of a cell that pivots don't divide any more.
+BY_PIVOT, BY_PAIR = 0, 1
+
+
 class Region:
-    """Exact join of the sets of a region. Links inside what is already connected aren't looked for."""
+    """Exact join of the sets of a region by pivots. Links inside what is already connected aren't looked for.
+
+    The first set is the region's own pivot. Each round takes up to PIVOTS of them, the next always
+    the most central one beyond the radius of those before, and measures all sets against them. If
+    the Voronoi cells with their windows hold fewer pairs, the join goes on inside them with pivots of
+    their own, else with further pivots of the same cell. ``work`` counts what was done.
+    """
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, connected: np.ndarray | None = None):
         self.n = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         self.tokens = np.unique(flat, return_inverse=True)[1]
@@ -270,7 +271,11 @@ class Region:
         self.mark = np.zeros(int(self.tokens.max()) + 1, np.int64)
         self.percent, self.radius = percent, 1 - percent / 100
         self.union = Union(len(sets))
-        self.links: list[tuple[int, int]] = []
+        self.links: list[tuple[int, int, int, int]] = []
+        self.work = {"pivots": 0, "cells": 0, "copies": 0, "depth": 0, "distances": 0, "pairs": 0}
+        if connected is not None:
+            for i in connected[1:]:
+                self.union.join(int(connected[0]), int(i))
 
     def shared(self, i: int, others: np.ndarray) -> np.ndarray:
         """Shingles that i shares with each of the others."""
@@ -283,67 +288,80 @@ class Region:
         self.mark[own] = 0
         return out
 
-    def compare(self, i: int, others: np.ndarray) -> np.ndarray:
+    def compare(self, i: int, others: np.ndarray, how: int, depth: int) -> np.ndarray:
         """Distances from i; links it to all within the radius."""
+        self.work["distances" if how == BY_PIVOT else "pairs"] += len(others)
         both = self.shared(i, others)
         either = self.n[i] + self.n[others] - both
         for j in others[100 * both >= self.percent * either]:
             if self.union.join(i, int(j)):
-                self.links.append((i, int(j)))
+                self.links.append((i, int(j), how, depth))
         return 1 - both / either
 
-    def parts(self) -> Iterator[np.ndarray]:
-        """Sets that share one of their rarest shingles, over any number of steps; rare as counted in this region."""
-        frequency = np.bincount(self.tokens)
-        rank = np.empty(len(frequency), np.int64)
-        rank[np.argsort(frequency, kind="stable")] = np.arange(len(frequency))
-        held, owner = [], []
-        for i in range(len(self.n)):
-            k = prefix_size(int(self.n[i]), self.percent)
-            own = rank[self.tokens[self.first[i] : self.first[i + 1]]]
-            held.append(np.partition(own, k - 1)[:k])
-            owner.append(np.full(k, i))
-        held, owner = np.concatenate(held), np.concatenate(owner)
-        order = np.argsort(held, kind="stable")
-        held, owner = held[order], owner[order]
-        same = np.flatnonzero(held[1:] == held[:-1])
-        steps = np.unique(np.stack([owner[same], owner[same + 1]]), axis=1) if len(same) else np.zeros((2, 0), np.int64)
-        met = Union(len(self.n))
-        for a, b in steps.T.tolist():
-            met.join(a, b)
-        roots = met.roots()
-        order = np.argsort(roots, kind="stable")
-        yield from np.split(order, np.flatnonzero(np.diff(roots[order])) + 1)
+    def spread(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sets of a cell that can have others within the radius, and how many sets of the cell hold their shingles on average.
+
+        All others together are a set too, and whoever is further than the radius from its best part
+        (the shingles that any other holds) is so from each of them.
+        """
+        size = self.n[cell]
+        start = np.concatenate(([0], np.cumsum(size)[:-1]))
+        tokens = self.tokens[np.repeat(self.first[cell] - start, size) + np.arange(int(size.sum()))]
+        held = np.bincount(tokens)[tokens]
+        near = 100 * np.add.reduceat((held > 1).astype(np.int64), start) >= self.percent * size
+        return cell[near], (np.add.reduceat(held, start) / size)[near]
 
     def run(self, cell: np.ndarray, depth: int = 0) -> None:
-        if len(cell) < 2:
+        self.work["depth"] = max(self.work["depth"], depth)
+        if len(cell) < 2 or self.one(cell):
             return
-        if len(cell) <= SMALL or depth > 8:
-            self.pairs(cell, np.zeros((0, len(cell))))
+        cell, centrality = self.spread(cell)
+        if len(cell) < 2:
             return
         far = np.full(len(cell), np.inf)
-        rows, pick = [], 0
-        for _ in range(PIVOTS):  # each next pivot is the farthest from those before
-            rows.append(self.compare(int(cell[pick]), cell))
-            far = np.minimum(far, rows[-1])
-            pick = int(np.argmax(far))
-            if far[pick] <= self.radius:
+        rows, used = [], np.zeros(len(cell), bool)
+        for _ in range(ROUNDS):
+            for _ in range(PIVOTS):  # each next pivot is the most central set beyond the radius of those before
+                open_ = far > self.radius
+                if not open_.any() or self.one(cell):
+                    break
+                pick = 0 if not rows and not depth else int(np.argmax(np.where(open_, centrality, -1)))
+                rows.append(self.compare(int(cell[pick]), cell, BY_PIVOT, depth))
+                used[pick] = True
+                far = np.minimum(far, rows[-1])
+            if self.one(cell):
+                break
+            parts = windows(np.array(rows)[:, ~used], self.radius)  # pivots have met everyone
+            sizes = parts.sum(axis=1)
+            divides = (sizes * sizes).sum() <= DIVIDED * (~used).sum() ** 2
+            if divides or not (far > self.radius).any():
                 break
-        d = np.array(rows)
-        cells = [cell[c] for c in windows(d, self.radius)]
-        if max(len(c) for c in cells) <= 0.8 * len(cell) and sum(len(c) for c in cells) <= 2 * len(cell):
-            for c in cells:
-                self.run(c, depth + 1)
+        self.work["pivots"] += len(rows)
+        if self.one(cell):
+            return
+        d, cell = np.array(rows)[:, ~used], cell[~used]
+        if len(cell) > SMALL and divides:
+            self.work["cells"] += int((sizes > 0).sum())
+            self.work["copies"] += int(sizes.sum()) - len(cell)
+            for p in parts:
+                self.run(cell[p], depth + 1)
         else:
-            self.pairs(cell, d)
+            self.pairs(cell, d, depth)
+
+    def one(self, cell: np.ndarray) -> bool:
+        """Whether all are connected."""
+        first = self.union.root(int(cell[0])) if len(cell) else 0
+        return all(self.union.root(int(i)) == first for i in cell)
 
-    def pairs(self, cell: np.ndarray, d: np.ndarray) -> None:
+    def pairs(self, cell: np.ndarray, d: np.ndarray, depth: int) -> None:
         """All pairs of a cell whose distances to the pivots differ by the radius at most."""
+        if len(cell) < 2:
+            return
         roots = self.union.roots()[cell]
         _, inverse, count = np.unique(roots, return_inverse=True, return_counts=True)
         order = np.lexsort((inverse, count[inverse]))  # the largest connected part last: it needs no pairs inside
         cell, d, roots = cell[order], d[:, order], roots[order]
-        stale = 0
+        stale = len(self.links)
         for k in range(len(cell) - 1):
             i, rest = int(cell[k]), cell[k + 1 :]
             if len(self.links) != stale:
@@ -353,99 +371,153 @@ class Region:
                 continue
             low, high = np.minimum(self.n[i], self.n[rest]), np.maximum(self.n[i], self.n[rest])
             ok &= 100 * low >= self.percent * high
-            for row in d:
-                ok &= np.abs(row[k + 1 :] - row[k]) <= self.radius + 1e-9
+            ok &= (np.abs(d[:, k + 1 :] - d[:, k : k + 1]) <= self.radius + 1e-9).all(axis=0)
             if ok.any():
-                self.compare(i, rest[ok])
+                self.compare(i, rest[ok], BY_PAIR, depth)
+
+
+LINK = "a long, b long, how int, depth int"
 
 
 def region_links(part: pa.Table, percent: int) -> pa.Table:
-    ids = part.column("doc_id").to_numpy()
-    region = Region([unpacked(x.as_py()) for x in part.column("shingles")], percent)
-    for cell in region.parts():
-        region.run(cell)
-    links = pa.table({"a": pa.array([int(ids[i]) for i, _ in region.links], pa.int64()), "b": pa.array([int(ids[j]) for _, j in region.links], pa.int64())})
-    if len(ids) > SMALL:
-        del region
+    """Links of one region; its own pivot, if it is there, comes first, and ``core`` sets are connected already."""
+    nodes, firsts = np.unique(part.column("node").to_numpy(), return_index=True)  # a row that stands twice is one set
+    pivot, keys = part.column("region")[0].as_py(), part.column("key").to_numpy()[firsts]
+    order = np.argsort(keys != pivot, kind="stable")
+    nodes, firsts = nodes[order], firsts[order]
+    columns = [[], [], [], []]
+    if len(nodes) > 1:
+        core = np.flatnonzero(part.column("core").to_numpy(zero_copy_only=False)[firsts])
+        sets = part.column("shingles")
+        region = Region([unpacked(sets[int(k)].as_py()) for k in firsts], percent, core if len(core) > 1 else None)
+        region.run(np.arange(len(nodes)))
+        if region.links:
+            a, b, how, depth = zip(*region.links)
+            columns = [nodes[list(a)], nodes[list(b)], list(how), list(depth)]
+    if len(nodes) > 64:
         tidy()
-    return links
+    return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "how": pa.array(columns[2], pa.int32()), "depth": pa.array(columns[3], pa.int32())})
 
 
 def packed(s: np.ndarray) -> bytes:
-    """The leading 48 bits of each shingle, which is what sets are compared by: two that differ are taken for one once in 2**48."""
-    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    return s.astype("<u8").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
+    return np.frombuffer(data, "<u8")
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(region, doc_id, n, shingles) of the documents in ``wanted`` (region, doc_id), one row an id."""
-    side = wanted.select(F.col("doc_id").alias("_id"), "region")
+    """(region, blocks, key, node, n, shingles): the sets of ``wanted`` (rep, n, f1, f2, node, regions), a row for each region."""
+    side = wanted.withColumnRenamed("n", "_n")
     side = F.broadcast(side) if side.count() <= BROADCAST_IDS else side
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes")).join(side, F.col("doc_id") == F.col("_id")).select("region", "doc_id", "_bytes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("_bytes")).join(side, F.col("doc_id") == F.col("rep"))
+    rows = rows.select("_bytes", "_n", "f1", "f2", "node", "regions")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [packed(s) for _, s in shingle_sets(batch.column("_bytes"), size)]
-            yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("doc_id"), pa.array([len(s) // 6 for s in sets], pa.int64()), pa.array(sets, pa.binary())], names=["region", "doc_id", "n", "shingles"])
+            sets, keep = [], []
+            known = zip(batch.column("_n").to_pylist(), batch.column("f1").to_pylist(), batch.column("f2").to_pylist())
+            for (row, s), (n, f1, f2) in zip(shingle_sets(batch.column("_bytes"), size), known):
+                if len(s) == n and digest(s) == (f1, f2):  # an id may have other texts too
+                    keep.append(row)
+                    sets.append(packed(s))
+            own = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own.column("regions"), own.column("f1"), own.column("node"), own.column("_n"), pa.array(sets, pa.binary())], names=["regions", "key", "node", "n", "shingles"])
         tidy()
 
-    return rows.mapInArrow(scan, "region long, doc_id long, n long, shingles binary").filter("n > 0")
+    found = rows.mapInArrow(scan, "regions array<struct<region:long,blocks:int>>, key long, node long, n long, shingles binary")
+    return found.select(F.inline("regions"), "key", "node", "n", "shingles")
 
 
-def dealt(inside: DataFrame, percent: int) -> DataFrame:
-    """Deals the documents of large regions out to cells of bounded size: adds ``cell``.
+def dealt(inside: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Deals the sets of large regions out to tasks of bounded size: (links to pivots, rows with a ``cell`` of their own).
 
-    Every document gets its distances to the region's pivots and goes to its Voronoi cell and to
-    those within twice the radius. Cells that are still too large are cut into blocks, and every
-    two blocks meet in a task of their own.
+    The region's blocks are measured against its pivots apart from each other, so a region of any
+    size is many tasks. Sets go to their Voronoi cell and, by the windows, to those within twice the
+    radius. Sets within the radius of the cell's pivot (its core) are linked to it and need no
+    comparison among each other: blocks of the others meet all blocks of the core and each other.
     """
     radius = 1 - percent / 100
-    order = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "shingles")
-    salted = inside.groupBy("region", F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS)).alias("p")).agg(F.min(order).alias("x"))
-    pivots = salted.groupBy("region").agg(F.sort_array(F.collect_list("x.shingles")).alias("pivots"))  # at most PIVOTS sets a region
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    salted = inside.groupBy("region", "blocks", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("_p")).agg(F.min(F.struct(F.when(F.col("key") == F.col("region"), 0).otherwise(1).alias("o"), "key", "node", "shingles")).alias("x"))
+    pivots = salted.groupBy("region", "blocks").agg(F.sort_array(F.collect_list("x")).alias("pivots"))  # at most PIVOTS sets a region
+    pivots = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_block"), "pivots.node", "pivots.shingles").toDF("_region", "_block", "pivot_nodes", "pivots")
+    rows = inside.withColumn("_b", block).join(pivots, (F.col("region") == F.col("_region")) & (F.col("_b") == F.col("_block")))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for region, doc, n, mine, others in zip(*(batch.column(c).to_pylist() for c in ("region", "doc_id", "n", "shingles", "pivots"))):
-                s = unpacked(mine)
-                d = []
+            for region, key, node, n, mine, names, others in zip(*(batch.column(c).to_pylist() for c in ("region", "key", "node", "n", "shingles", "pivot_nodes", "pivots"))):
+                s, d = unpacked(mine), []
                 for other in others:
                     o = unpacked(other)
                     both = len(np.intersect1d(s, o, assume_unique=True))
-                    d.append(1 - both / (len(s) + len(o) - both))
-                out += [(region, doc, n, mine, int(j)) for j in np.flatnonzero(windows(np.array([d]).T, radius)[:, 0])]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["region", "doc_id", "n", "shingles", "cell"])
-
-    cells = stored(inside.join(pivots, "region").mapInArrow(place, "region long, doc_id long, n long, shingles binary, cell long"), "jaccard-cells")
-    sums = cells.groupBy("region", "cell").agg(F.count("*").alias("docs"), F.sum("n").alias("n")).withColumn("blocks", F.greatest(F.ceil(F.col("docs") / REGION_DOCS), F.ceil(F.col("n") / REGION_SHINGLES)) * 2)
-    sums = sums.select("region", "cell", F.when((F.col("docs") <= REGION_DOCS) & (F.col("n") <= REGION_SHINGLES), F.lit(1)).otherwise(F.col("blocks")).cast("long").alias("blocks"))
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    met = cells.join(sums, ["region", "cell"]).withColumn("_b", block).withColumn("_o", other)
-    key = F.xxhash64("cell", F.least("_b", "_o"), F.greatest("_b", "_o"))
-    return met.select("region", "doc_id", "n", "shingles", key.alias("cell"))
-
-
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents with these ids."""
-    side = ids.select(F.col("doc_id").alias("_id"))
-    side = F.broadcast(side) if side.count() <= BROADCAST_IDS else side
-    return docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_id"), "left_semi")
+                    d.append(1.0 - both / (len(s) + len(o) - both) if 100 * both < percent * (len(s) + len(o) - both) else min(radius, 1.0 - both / (len(s) + len(o) - both)))
+                near = [m for m, x in zip(names, d) if x <= radius and m != node]
+                for k, j in enumerate(np.flatnonzero(windows(np.array([d]).T, radius)[:, 0])):
+                    out.append((region, int(j), key, node, n, mine, bool(j < len(d) and d[j] <= radius), near if not k else []))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["region", "cell", "key", "node", "n", "shingles", "core", "near"])
+
+    cells = stored(rows.mapInArrow(place, "region long, cell int, key long, node long, n long, shingles binary, core boolean, near array<long>"), "jaccard-cells")
+    links = cells.select(F.col("node").alias("a"), F.explode("near").alias("b"), F.lit(BY_PIVOT).alias("how"), F.lit(0).alias("depth"))
+    blocks = lambda c: F.ceil(F.greatest(F.count_if(c) / REGION_DOCS, F.sum(F.when(c, F.col("n")).otherwise(0)) / REGION_SHINGLES)).cast("int")
+    sums = stored(cells.groupBy("region", "cell").agg(blocks(F.col("core")).alias("_cores"), blocks(~F.col("core")).alias("_rests"), F.count("*").alias("_rows")).filter("_rests > 0"), "jaccard-blocks")
+    met = by_key(cells.drop("near"), sums, ["region", "cell"]).withColumn("_b", F.pmod(F.xxhash64("node"), F.when(F.col("core"), F.col("_cores")).otherwise(F.col("_rests"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    pair = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    none = F.array().cast("array<struct<x:int,y:int>>")
+    with_core = F.when(F.col("_cores") > 0, F.transform(upto(F.col("_cores")), lambda c: pair(F.col("_b"), -1 - c))).otherwise(none)
+    with_rest = F.when((F.col("_rests") > 1) | (F.col("_cores") == 0), F.transform(upto(F.col("_rests")), lambda j: pair(F.least("_b", j), F.greatest("_b", j)))).otherwise(none)
+    keys = F.when(F.col("core"), F.transform(upto(F.col("_rests")), lambda i: pair(i, -1 - F.col("_b")))).otherwise(F.concat(with_core, with_rest))
+    met = met.withColumn("_k", F.explode(keys))
+    return links, met.select("region", F.xxhash64("cell", "_k").alias("cell"), "key", "node", "n", "shingles", "core")
+
+
+def found_links(docs: DataFrame, classes: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
+    """Links (a, b: nodes; how, depth) that connect all sets within the radius; ``classes``: rep, n, f1, f2, node."""
+    postings = stored(rare_shingles(docs, levels, size, percent), "jaccard-postings")
+    regions = stored(pivot_regions(postings, percent), "jaccard-regions")
+    blocks = F.ceil(F.greatest(F.count("*") / REGION_DOCS, F.sum("n") / REGION_SHINGLES)).cast("int")
+    weights = stored(regions.groupBy("pivot").agg(blocks.alias("blocks"), F.count("*").alias("_rows")), "jaccard-weights")
+    mine = by_key(regions, weights, ["pivot"]).groupBy("key").agg(F.collect_list(F.struct(F.col("pivot").alias("region"), "blocks")).alias("regions"))  # at most one for each shingle of a set
+    wanted = stored(mine.join(classes, F.col("key") == F.col("f1")).select("rep", "n", "f1", "f2", "node", "regions"), "jaccard-wanted")
+
+    def some(ok: Callable[[Column], Column]) -> DataFrame:
+        return wanted.withColumn("regions", F.filter("regions", ok)).filter(F.size("regions") > 0)
+
+    sets = with_sets(docs, some(lambda x: x["blocks"] <= 1), size).select("region", F.lit(0).cast("long").alias("cell"), "key", "node", "n", "shingles", F.lit(False).alias("core"))
+    large = some(lambda x: x["blocks"] > 1)
+    links = None
+    if not large.isEmpty():
+        links, cells = dealt(stored(with_sets(docs, large, size), "jaccard-sets"), percent)
+        sets = sets.unionByName(cells)
+    inner = sets.groupBy("region", "cell").applyInArrow(lambda part: region_links(part, percent), LINK)
+    return inner if links is None else inner.unionByName(links)
 
 
-def first_regions(docs: DataFrame, levels: np.ndarray, ends: DataFrame, size: int, percent: int) -> DataFrame:
-    """(region, doc_id): documents connected by pivots that they share, copies by their representative in ``ends`` (doc_id, rep)."""
-    postings = stored(rare_shingles(docs, levels, size, percent), "jaccard-postings")
-    edges = shared_pivots(postings, percent)
-    edges = edges.join(ends.toDF("a", "ra"), "a").join(ends.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    return stored(components(edges).select(F.col("component").alias("region"), F.col("node").alias("doc_id")), "jaccard-regions")
+def classed(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, f1, f2), their distinct sets (rep, n, f1, f2, node, _rows) and the links between those."""
+    tidy()
+    slim, levels = summary(docs, size, percent)
+    full = slim.filter("n > 0 and doc_id is not null")
+    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_rows"))
+    classes = stored(classes.withColumn("node", F.xxhash64("n", "f1", "f2")), "jaccard-classes")
+    return slim, classes, stored(found_links(docs, classes, levels, size, percent), "jaccard-links")
+
+
+def row_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n, f1, f2, component_id for every row; rows of one id are judged by their own text."""
+    slim, classes, links = classed(docs, size, percent)
+    named = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = stored(named, "jaccard-named")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("_many")).filter("_many > 1").withColumnRenamed("_many", "_rows")
+    several = by_key(named.withColumnRenamed("_rows", "_copies"), stored(least, "jaccard-least"), ["component"]).select("n", "f1", "f2", "component_id", F.col("_copies").alias("_rows"))
+    # a set alone is named by its rows' smallest id, which differs from a row's own only where there are copies
+    alone = named.filter("_rows > 1").join(least, "component", "left_anti").select("n", "f1", "f2", F.col("rep").alias("component_id"), "_rows")
+    found = by_key(slim, stored(several.unionByName(alone), "jaccard-components"), ["n", "f1", "f2"], how="left")
+    return found.select("doc_id", "n", "f1", "f2", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -455,47 +527,48 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     case. A text of fewer than ``size`` words is one shingle; null texts and texts without words
     have none and are linked with nothing; rows without doc_id have a null component. Documents
     whose sets are similar by ``percent`` or more are linked, and a component carries its smallest
-    doc_id. Copies, also repeated rows, are in one component. An empty table gives none. Only
-    doc_id and text are read.
+    doc_id. Copies, also repeated rows, are in one component; rows that share an id but not their
+    text are linked by their texts alone. An empty table gives none. Only doc_id and text are read.
     """
-    tidy()
-    slim, levels = summary(docs, size, percent)
-    full = slim.filter("n > 0 and doc_id is not null")
-    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    reps = stored(full.join(classes, ["n", "f1", "f2"]).select("doc_id", "n", "rep").distinct(), "jaccard-reps")
-    ends = reps.select("doc_id", "rep")
-    regions = first_regions(docs, levels, ends, size, percent)
-    for level in range(LEVELS + 1):
-        weight = regions.join(reps.select("doc_id", "n"), "doc_id").groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
-        large = stored(weight.filter((F.col("docs") > REGION_DOCS) | (F.col("n") > REGION_SHINGLES)).select("region"), "jaccard-large")
-        if large.isEmpty() or level == LEVELS:
-            break
-        inside = only(docs, regions.join(large, "region", "left_semi").select("doc_id"))
-        within = first_regions(inside, summary(inside, size, percent)[1], ends, size, percent)
-        regions = stored(regions.join(large, "region", "left_anti").unionByName(within), "jaccard-regions")
-    sets = with_sets(docs, regions.join(large, "region", "left_anti"), size).withColumn("cell", F.lit(0).cast("long"))
-    if not large.isEmpty():
-        sets = sets.union(dealt(stored(with_sets(docs, regions.join(large, "region", "left_semi"), size), "jaccard-sets"), percent))
-    links = sets.groupBy("region", "cell").applyInArrow(lambda part: region_links(part, percent), "a long, b long")
-    found = components(links).toDF("rep", "component_id")
-    named = reps.join(found, "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return slim.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = row_components(docs, size, percent)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def with_digests(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` with n, f1 and f2 of every row's set, as _n, _f1 and _f2."""
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _n long, _f1 long, _f2 long"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(len(s), *digest(s)) for _, s in shingle_sets(batch.column("text"), size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array([f[k] for f in found], pa.int64()) for k in range(3)]], names=[*names, "_n", "_f1", "_f2"])
+
+    return docs.mapInArrow(scan, schema)
+
+
 def without_near_copies(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, but one document (the smallest id) of each component.
 
-    Rows without doc_id stay. Of rows that repeat an id, one stays.
+    Rows without doc_id stay. Of rows that repeat an id and its text (as a set of shingles) one stays;
+    rows that share an id but not the text are judged each by their own text.
     """
-    found = stored(join_components(docs, size, percent), "jaccard-found")
+    found = stored(row_components(docs, size, percent), "jaccard-found").filter("doc_id is not null")
     gone = stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    small = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    again = stored(found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again")), "jaccard-again")
+
+    def less(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        return rows.join(side, F.col("doc_id") == F.col(ids.columns[0]), how)
+
     if again.isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.filter("doc_id is null"))
+        return less(docs, gone, "left_anti")
+    once = less(less(docs, again, "left_anti"), gone, "left_anti")
+    several = with_digests(less(docs, again, "left_semi"), size).dropDuplicates(["doc_id", "_n", "_f1", "_f2"])
+    bad = less(found, again, "left_semi").filter("doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("n").alias("_an"), F.col("f1").alias("_a1"), F.col("f2").alias("_a2")).distinct()
+    stay = several.join(bad, (F.col("doc_id") == F.col("_d")) & (F.col("_n") == F.col("_an")) & (F.col("_f1") == F.col("_a1")) & (F.col("_f2") == F.col("_a2")), "left_anti")
+    return once.unionByName(stay.drop("_n", "_f1", "_f2"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,25 +181,66 @@ def test_tree_recall_on_clusters():
     assert np.bincount(tree.file(x), minlength=tree.n_leaves).sum() == 4000
 
 
-@pytest.mark.parametrize("caps", [(4096, 2_000_000), (40, 4000)])
-def test_jaccard_on_chains_and_groups(spark, monkeypatch, caps):
+def chains(n):
+    """Near copies at all distances, linked in chains, beside texts of their own, copies and repeated lines."""
     rng = random.Random(7)
     base = [f"w{rng.randrange(400)}" for _ in range(120)]
     texts = []
-    for _ in range(150):  # near copies at all distances, linked in chains
+    for _ in range(n):
         t = list(base)
         for _ in range(rng.randrange(6)):
             t[rng.randrange(len(t))] = f"v{rng.randrange(1000)}"
         texts.append(" ".join(t))
-    texts += [" ".join(f"u{rng.randrange(10_000)}" for _ in range(rng.randrange(1, 80))) for _ in range(100)] + texts[:5] + ["same line of text"] * 9
-    rows = list(enumerate(texts))
-    monkeypatch.setattr(jaccard, "REGION_DOCS", caps[0])
-    monkeypatch.setattr(jaccard, "REGION_SHINGLES", caps[1])
-    monkeypatch.setattr(jaccard, "SMALL", 8)
+    return texts + [" ".join(f"u{rng.randrange(10_000)}" for _ in range(rng.randrange(1, 80))) for _ in range(100)] + texts[:5] + ["same line of text"] * 9
+
+
+@pytest.mark.parametrize("caps", [None, (40, 4000)])
+def test_jaccard_on_chains_and_groups(spark, monkeypatch, caps):
+    rows = list(enumerate(chains(150)))
+    if caps:  # regions that are dealt out over tasks
+        monkeypatch.setattr(jaccard, "REGION_DOCS", caps[0])
+        monkeypatch.setattr(jaccard, "REGION_SHINGLES", caps[1])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
     assert got == brute.jaccard(rows, 3, 90)
 
 
+def test_pivots_carry_the_join():
+    """With the shipped constants pivots, Voronoi cells, windows and recursion do the work, and most links are distances to pivots."""
+    rng, texts = random.Random(5), chains(100)
+    parent = [f"w{k}" for k in range(150)]
+    for _ in range(40):  # families at middle distances, each of near copies
+        head = [w if rng.random() > 0.25 else f"f{rng.randrange(10_000)}" for w in parent]
+        texts += [" ".join(w if rng.random() > 0.012 else f"v{rng.randrange(1000)}" for w in head) for _ in range(12)]
+    sets = [s for _, s in jaccard.shingle_sets(pa.array([t.encode() for t in dict.fromkeys(texts)]), 3)]
+    region = jaccard.Region(sets, 90)
+    region.run(np.arange(len(sets)))
+    assert region.work["pivots"] > 8 and region.work["cells"] > 1 and region.work["copies"] > 0 and region.work["depth"] > 0
+    how = [k for _, _, k, _ in region.links]
+    assert how.count(jaccard.BY_PIVOT) > how.count(jaccard.BY_PAIR) and region.work["pairs"] < len(sets) * (len(sets) - 1) / 4
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))]
+    met = jaccard.Union(len(sets))
+    for i, j in want:
+        met.join(i, j)
+    same = lambda u: {tuple(np.flatnonzero(u.roots() == r)) for r in set(u.roots().tolist())}
+    assert same(met) == same(region.union)
+
+
+def test_windows_keep_every_close_pair_together():
+    rng = np.random.default_rng(3)
+    points = rng.random((400, 2))
+    pivots, radius = points[:6], 0.1
+    d = np.sqrt(((points[None] - pivots[:, None]) ** 2).sum(-1))
+    cells = jaccard.windows(d, radius)
+    close = np.sqrt(((points[None] - points[:, None]) ** 2).sum(-1)) <= radius
+    assert all((cells[:, i] & cells[:, j]).any() for i, j in np.argwhere(close))
+
+
+def test_near_copies_judge_rows_of_one_id_by_their_texts(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    d = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b), (7, b + " x"), (7, "z")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in jaccard.without_near_copies(d).collect()) == [(3, a), (5, b), (7, "z")]
+
+
 def test_near_copies_leave_one_of_each(spark):
     d = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "x"), (3, "x"), (4, None), (None, "z")], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1) for r in jaccard.without_near_copies(d).collect()) == [-1, 1, 3, 4]
