@@ -51,3 +51,19 @@ def cauchy_combined(p_values: Column, clip: float = 1e-15) -> Column:
     kept = F.filter(p_values, lambda p: p.isNotNull() & ~F.isnan(p))
     total = F.aggregate(kept, F.lit(0.0), lambda s, p: s + F.tan(math.pi * (0.5 - F.greatest(F.least(p, F.lit(1 - clip)), F.lit(clip)))))
     return F.when(F.size(kept) > 0, 0.5 - F.atan(total / F.size(kept)) / math.pi)
+
+
+#: Draws are numbers below this prime, which products of two of them in 64 bits allow.
+PRIME = 2147483647
+
+
+def draw(a: Column, b: Column, seed: int) -> Column:
+    """A number from 0 to PRIME - 1 that looks random in (a, b, seed) and that any engine can compute.
+
+    Squares modulo a prime between linear steps: draws of neighbouring numbers have nothing in common.
+    """
+    a, b = F.pmod(a.cast("long"), F.lit(PRIME)), F.pmod(b.cast("long"), F.lit(PRIME))
+    h = F.pmod(a * 48271 + b * 69621 + F.lit(seed % PRIME * 16807 + 1), F.lit(PRIME))
+    for factor, other in ((39373, a), (40692, b), (62089, a), (25214, b)):
+        h = F.pmod(h * h + other * factor + 12345, F.lit(PRIME))
+    return h

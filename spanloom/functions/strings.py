@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PEAK = r"(?i)^(?:chr)?([0-9XYMT]+)[:-]([0-9]+)-([0-9]+)$"
+#: Symbols that the name of a peak's chromosome is made of, in either case.
+CHROMOSOME = "0123456789XYMT"
 
 
 def normal_chromosome(chrom: Column) -> Column:
-    """chr in front of numbers, X and Y; MT and M become chrM; anything else stays; null and NaN are null."""
-    bare = F.upper(F.regexp_replace(chrom, "(?i)^chr", ""))
-    return F.when(F.lower(chrom) == "nan", F.lit(None)).when(bare.isin("MT", "M"), "chrM").when(bare.rlike("^([0-9]+|X|Y)$"), F.concat(F.lit("chr"), bare)).otherwise(chrom)
+    """chr in front of numbers, X and Y; MT and M become chrM; anything else stays as it is, also in other cases; null is null."""
+    return F.when(chrom.isin("MT", "M"), "chrM").when(chrom.isin("X", "Y") | chrom.rlike("^[0-9]+$"), F.concat(F.lit("chr"), chrom)).otherwise(chrom)
 
 
 def canonical_peak(name: Column) -> Column:
-    """chrN:start-end from the common spellings; what doesn't look like a place stays."""
-    t = F.trim(name)
-    parts = [F.regexp_extract(t, PEAK, k) for k in (1, 2, 3)]
-    return F.when(t.rlike(PEAK), F.concat(F.lit("chr"), F.upper(parts[0]), F.lit(":"), parts[1], F.lit("-"), parts[2])).otherwise(name)
+    """chrN:start-end from N:start-end and N-start-end, each with or without chr in front, in any case; what is no such place stays, without blanks at its ends."""
+    text = F.trim(name)
+    bare = F.when(F.lower(F.substring(text, 1, 3)) == "chr", F.substring(text, F.lit(4), F.length(text))).otherwise(text)
+    # at most one colon, and that after the chromosome
+    parts = F.split(F.when(F.locate(":", bare) < F.locate("-", bare), F.regexp_replace(bare, "^([^:]*):", "$1-")).otherwise(bare), "-", -1)
+    chrom, start, end = (F.get(parts, F.lit(i)) for i in range(3))
+    number = lambda c: (c != "") & (F.translate(c, "0123456789", "") == "")
+    place_ = (F.size(parts) == 3) & (chrom != "") & (F.translate(F.upper(chrom), CHROMOSOME, "") == "") & number(start) & number(end)
+    return F.when(place_, F.concat(F.lit("chr"), F.upper(chrom), F.lit(":"), start, F.lit("-"), end)).otherwise(text)
 
 
 def place(name: Column) -> Column:

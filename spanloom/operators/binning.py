@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import running, with_totals
+
 
 def rank_quantile(rank: Column, n: Column, q: int) -> Column:
     """The quantile bin (from 0) of a rank among 1..n when the ranks are cut into q quantiles.
@@ -27,11 +29,16 @@ def rank_quantile(rank: Column, n: Column, q: int) -> Column:
 def quantile_bins(df: DataFrame, value: str, key: str, q: int, out: str, within: str | None = None) -> DataFrame:
     """Adds ``out``: the quantile bin of ``value`` by first rank (ties by ``key``), over all rows or within a group.
 
-    Over all rows the window has no partition; use it on tables of features, not of counts.
+    Ranks over all rows are running counts by ranges of the value, so no task sorts everything.
     """
-    part = Window.partitionBy(F.lit(1) if within is None else F.col(within))
-    df = df.withColumns({"_r": F.row_number().over(part.orderBy(value, key)), "_n": F.count("*").over(part)})
-    return df.withColumn(out, rank_quantile(F.col("_r"), F.col("_n"), q)).drop("_r", "_n")
+    if within is None:
+        rows = running(df, value, key, True, [], {"_r": F.lit(1)})
+        n = df.agg(F.count("*").alias("_n"))  # one row
+        rows = with_totals(rows, n, [])
+    else:
+        part = Window.partitionBy(F.col(within))
+        rows = df.withColumns({"_r": F.row_number().over(part.orderBy(value, key)), "_n": F.count("*").over(part)})
+    return rows.withColumn(out, rank_quantile(F.col("_r"), F.col("_n"), q)).drop("_r", "_n")
 
 
 def nested_bins(df: DataFrame, group: str, value: str, key: str, q: int, out: str) -> DataFrame:
@@ -48,23 +55,58 @@ def whitened(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.withColumn("_k", F.lit(1)).join(F.broadcast(s.withColumn("_k", F.lit(1))), "_k").withColumns({"z2": z2, "z1": (F.col(x) - u12 * z2) / F.sqrt("_s11")}).drop("_k", "_s11", "_s12", "_s22")
 
 
+def above(value: Column, edges: list[float]) -> Column:
+    """The right-closed bin (from 0) between rising edges; the lowest edge belongs to the first."""
+    return F.greatest(sum((F.when(value > e, 1).otherwise(0) for e in edges[:-1]), F.lit(0)) - 1, F.lit(0)).cast("int")
+
+
+def value_quantiles(df: DataFrame, value: str, q: int) -> list[float]:
+    """The distinct linear quantiles of a column that cut it into q parts."""
+    found = df.agg(F.percentile(value, [i / q for i in range(q + 1)])).first()[0]
+    return sorted(set(found or []))
+
+
 def width_bins(df: DataFrame, value: str, key: str, q: int, least: int, out: str) -> DataFrame:
-    """Adds ``out``: one of q bins of equal width, right-closed. While a bin has fewer than ``least`` rows the number of
-    bins shrinks by one; with none left, quantile bins are used. The loop looks at bin counts only."""
-    lo, hi = df.agg(F.min(value), F.max(value)).first()
-    for k in range(q, 1, -1):
-        label = F.least(F.greatest(F.ceil((F.col(value) - lo) / ((hi - lo) / k)) - 1, F.lit(0)), F.lit(k - 1)).cast("int") if lo is not None and hi > lo else F.lit(0)
-        sizes = df.groupBy(label.alias("_b")).count().agg(F.min("count"), F.count("*")).first()
-        if sizes[0] is not None and sizes[0] >= least and sizes[1] == k:
-            return df.withColumn(out, label)
-    return quantile_bins(df, value, key, q, out)
+    """Adds ``out``: bins of the value by equal width that hold ``least`` rows each, as far as that can be had.
+
+    q bins of equal width come first. While one that isn't empty holds too few rows, the range is cut
+    into m times as many (m = 1, 2, ...); the lowest q - q // 2 of these stay and all rows above are cut
+    into as many quantiles again. When m passes the number of distinct values over ``least``, quantiles
+    of all rows are taken. Null stays null. The loop looks at bin counts only.
+    """
+    rows = df.withColumn("_v", F.col(value).cast("double"))
+    known = rows.filter("_v is not null")
+    lo, hi, distinct = known.agg(F.min("_v"), F.max("_v"), F.count_distinct("_v")).first()
+    v = F.col("_v")
+
+    def cut(k: int) -> Column:
+        return above(v, [lo + i * ((hi - lo) / k) for i in range(k + 1)])
+
+    def smallest(label: Column) -> int:
+        return known.groupBy(label.alias("_b")).count().agg(F.min("count")).first()[0]
+
+    def done(label: Column) -> DataFrame:
+        return rows.withColumn(out, F.when(v.isNotNull(), label)).drop("_v")
+
+    if lo is None or hi == lo:
+        return done(F.lit(0 if lo is None else q // 2 if q % 2 else q // 2 - 1).cast("int"))
+    label, low, m = cut(q), q - q // 2, 1
+    while smallest(label) < least:
+        if m > distinct // least:
+            return done(above(v, value_quantiles(known, "_v", q)))
+        fine = cut(q * m)
+        edges = value_quantiles(known.filter(fine >= low), "_v", low)
+        label = F.when(fine >= low, low + above(v, edges) if edges else F.lit(low)).otherwise(fine)
+        m += 1
+    return done(label)
 
 
 def percent_rank_average(df: DataFrame, value: str, out: str) -> DataFrame:
     """Adds ``out``: the average rank of equal values, as a share of the number of non-null ones; null stays null."""
-    part = Window.partitionBy(F.col(value).isNull())
-    rank = F.rank().over(part.orderBy(value)) + (F.count("*").over(Window.partitionBy(value)) - 1) / 2
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), rank / F.count("*").over(part)))
+    levels = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    ranked = with_totals(running(levels, value, value, True, [], {"_upto": F.col("_c")}), levels.agg(F.sum("_c").alias("_n")), [])
+    share = (F.col("_upto") - (F.col("_c") - 1) / 2) / F.col("_n")
+    return df.join(ranked.select(F.col(value).alias("_at"), share.alias(out)), F.col(value) == F.col("_at"), "left").drop("_at")
 
 
 def edges_label(value: Column, edges: list[float], labels: list[str]) -> Column:

@@ -9,32 +9,38 @@ multiplicities and no copies are made.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import clean, lgamma
+from ..functions.special import PRIME, clean, draw, lgamma
 
 #: Ranges that a total order is cut into.
 RANGES = 32
 
 
-def running(df: DataFrame, score: str, key: str, ascending: bool, within: list[str], sums: dict[str, Column], ties: bool = False) -> DataFrame:
-    """Adds for each of ``sums`` the sum over all rows up to this one in order of (score, key), within groups.
+def running(df: DataFrame, score: str, key: str, ascending: bool, within: list[str], sums: dict[str, Column], ties: bool = False, least: bool = False) -> DataFrame:
+    """Adds for each of ``sums`` the sum (or with ``least`` the minimum) over all rows up to this one in order of (score, key), within groups.
 
-    With ``ties``, up to the last row with the same score. Ranges are cut at quantiles of the score.
+    With ``ties``, up to the last row with the same score. Ranges are cut at quantiles of the score;
+    a null score counts as the smallest.
     """
+    total, joined = (F.min, F.least) if least else (F.sum, lambda x, y: x + F.coalesce(y, F.lit(0)))
     edges = df.select(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 1000).alias("e")).first()["e"] or []
     cut = F.lit(0)
     for e in sorted(set(edges)):
         cut = cut + F.when(F.col(score) > e, 1).otherwise(0)
     rows = df.withColumn("_cut", cut if ascending else -cut)
-    part = rows.groupBy(*within, "_cut").agg(*[F.sum(c).alias(f"_s_{k}") for k, c in sums.items()])  # RANGES rows a group
+    part = rows.groupBy(*within, "_cut").agg(*[total(c).alias(f"_s_{k}") for k, c in sums.items()])  # RANGES rows a group
     before = Window.partitionBy(*within, F.lit(1)).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part.select(*within, "_cut", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums])
+    offsets = part.select(*[F.col(c).alias(f"_in_{c}") for c in within], F.col("_cut").alias("_in_cut"), *[total(f"_s_{k}").over(before).alias(f"_o_{k}") for k in sums])
     order = Window.partitionBy(*within, "_cut").orderBy(F.col(score).asc() if ascending else F.col(score).desc(), *([] if ties else [key]))
     order = order.rangeBetween(Window.unboundedPreceding, 0) if ties else order.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(F.broadcast(offsets), [*within, "_cut"]).withColumns({k: F.sum(c).over(order) + F.col(f"_o_{k}") for k, c in sums.items()}).drop("_cut", *[f"_o_{k}" for k in sums])
+    same = F.col("_cut") == F.col("_in_cut")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_in_{c}"))
+    return rows.join(F.broadcast(offsets), same).withColumns({k: joined(total(c).over(order), F.col(f"_o_{k}")) for k, c in sums.items()}).drop("_cut", "_in_cut", *[f"_in_{c}" for c in within], *[f"_o_{k}" for k in sums])
 
 
 def contingency(df: DataFrame, predicted: Column, label: Column, within: list[str] | None = None) -> DataFrame:
@@ -58,73 +64,112 @@ def fisher_p(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
     return F.least(F.lit(1.0), F.aggregate(F.sequence(low, high), F.lit(0.0), lambda s, k: s + F.when(log_p(k.cast("double")) <= observed + math.log1p(1e-7), F.exp(log_p(k.cast("double")))).otherwise(0.0)))
 
 
-def copies(df: DataFrame, weight: str | None) -> DataFrame:
-    """Each row as often as its weight says: where every row is a point of a curve, a row of weight w is w points."""
-    if weight is None:
-        return df
-    return df.filter(F.col(weight) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(weight).cast("int")))).drop("_copy")
+def cumulated(df: DataFrame, score: str, label: str, key: str, ascending: bool, within: list[str], weight: str | None) -> DataFrame:
+    """Rows with a label, best scores first and those without a score last: _scored, _w, and up to each row _rank (of all), _linked (of scored) and _gold; _n and _g of the group."""
+    w = F.lit(1) if weight is None else F.col(weight).cast("int")
+    value = clean(F.col(score).cast("double"))
+    rows = df.filter(F.col(label).isNotNull()).withColumns({"_w": w, "_scored": value.isNotNull(), "_at": F.coalesce(value, F.lit(float("inf") if ascending else float("-inf")))}).filter("_w > 0")
+    hit = F.col("_w") * F.col(label).cast("int")
+    total = rows.groupBy(*within).agg(F.sum("_w").alias("_n"), F.sum(hit).alias("_g"))
+    rows = running(rows, "_at", key, ascending, within, {"_rank": F.col("_w"), "_linked": F.when(F.col("_scored"), F.col("_w")).otherwise(0), "_gold": hit})
+    return with_totals(rows, total, within).drop("_at")
 
 
-def enrichment_curve(df: DataFrame, score: str, label: str, key: str, ascending: bool = True, within: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """Adds recall and enrichment at each scored row: the share of gold rows found so far, and precision so far over the overall share."""
-    within = within or []
-    w = F.lit(1)
-    rows = copies(df.filter(clean(F.col(score)).isNotNull() & F.col(label).isNotNull()), weight)
-    rows = running(rows, score, key, ascending, within, {"_linked": w, "_gold": w * F.col(label).cast("int")})
-    total = rows.groupBy(*within).agg(F.sum(w).alias("_n"), F.sum(w * F.col(label).cast("int")).alias("_g"))
-    rows = rows.join(F.broadcast(total), within) if within else rows.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    return rows.withColumns({"recall": F.try_divide(F.col("_gold"), F.col("_g")), "enrichment": F.try_divide(F.try_divide(F.col("_gold"), F.col("_linked")), F.try_divide(F.col("_g"), F.col("_n")))}).drop("_linked", "_gold", "_n", "_g")
+def with_totals(rows: DataFrame, total: DataFrame, within: list[str]) -> DataFrame:
+    """``rows`` with the columns of their group's row of ``total``; null is a group too."""
+    named = total.withColumnsRenamed({c: f"_of_{c}" for c in within})
+    same = F.lit(True)
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return rows.join(F.broadcast(named), same).drop(*[f"_of_{c}" for c in within])
 
 
-def trapezoid(df: DataFrame, x: str, y: str, within: list[str], weight: Column | None = None) -> DataFrame:
-    """within, area, width, height: the area under (x, y) by trapezoids, and the mean height, weighted if asked.
+def enrichment_curve(df: DataFrame, score: str, label: str, key: str, ascending: bool = True, within: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """Adds recall and enrichment at each scored row: the share of all gold rows found so far, and precision so far over the overall share.
 
-    Points at equal x add nothing. One row a group.
+    Rows without a score are no points, but count among all rows and all gold rows.
     """
-    order = Window.partitionBy(*within, F.lit(1)).orderBy(x, y)
-    w = F.lit(1.0) if weight is None else weight
-    rows = df.withColumns({"_w": w}).withColumns({"_px": F.lag(x).over(order), "_py": F.lag(y).over(order), "_pw": F.lag("_w").over(order)})
-    step = F.col(x) - F.col("_px")
-    area, mass = F.sum(step * (F.col(y) * F.col("_w") + F.col("_py") * F.col("_pw")) / 2), F.sum(step * (F.col("_w") + F.col("_pw")) / 2)
-    return rows.groupBy(*within).agg(area.alias("area"), F.sum(step).alias("width"), F.try_divide(area, mass).alias("height"))
-
-
-def one_point(df: DataFrame, x: str, y: str, within: list[str]) -> DataFrame:
-    """The mean y of each x: one point a value, in order of x."""
-    return df.groupBy(*within, x).agg(F.avg(y).alias(y))
+    rows = cumulated(df, score, label, key, ascending, within or [], weight).filter("_scored")
+    rows = rows.withColumn("_back", F.explode(F.sequence(F.lit(0), F.col("_w") - 1))) if weight else rows.withColumn("_back", F.lit(0))
+    gold, linked = F.col("_gold") - F.when(F.col(label), F.col("_back")).otherwise(0), F.col("_linked") - F.col("_back")
+    return rows.withColumns({"recall": F.try_divide(gold, F.col("_g")), "enrichment": F.try_divide(F.try_divide(gold, linked), F.try_divide(F.col("_g"), F.col("_n")))}).drop("_back", "_w", "_scored", "_rank", "_linked", "_gold", "_n", "_g")
 
 
 def auerc(df: DataFrame, score: str, label: str, key: str, ascending: bool = True, within: list[str] | None = None, weighted: bool = True, max_recall: float = 1.0, weight: str | None = None) -> DataFrame:
-    """Area under the enrichment-recall curve as a mean height, weighted by 1 - recall, or up to ``max_recall``.
+    """Area under the whole enrichment-recall curve, as a mean height, weighted by 1 - recall, or up to ``max_recall``.
 
-    Points of equal recall are averaged, so the order of ties within a recall doesn't matter.
+    The curve is held constant to recall 0 before its first point and to ``max_recall`` after its last. Fewer
+    than two points, or a group without gold rows, give null. Only gold rows move the recall, and the
+    point before a gold row follows from its own counts, so the area is a plain sum over rows.
     """
     within = within or []
-    curve = enrichment_curve(df, score, label, key, ascending, within, weight).filter(F.col("recall") <= max_recall)
-    points = one_point(curve, "recall", "enrichment", within)
-    return trapezoid(points, "recall", "enrichment", within, (1 - F.col("recall")) if weighted else None).withColumnRenamed("height", "auerc").drop("area", "width")
+    rows = cumulated(df, score, label, key, ascending, within, weight).filter("_scored")
+    n, g = F.col("_n").cast("double"), F.nullif(F.col("_g").cast("double"), F.lit(0.0))
+    share = lambda gold, linked: F.try_divide(F.try_divide(gold, linked), F.try_divide(g, n))
+    mass = lambda recall: (1 - recall) if weighted else F.lit(1.0)
+
+    def step(j: Column) -> Column:
+        """Area and mass between a copy of a gold row, the j-th of the row's, and the point before it."""
+        gold, linked = F.col("_gold") - F.col("_w") + j, F.col("_linked") - F.col("_w") + j
+        x, px = gold / g, (gold - 1) / g
+        y, py = share(gold, linked), F.when(linked > 1, share(gold - 1, linked - 1))
+        w, pw = mass(x), F.when(linked > 1, mass(px)).otherwise(mass(x))
+        area, base = (x - px) * (y * w + F.coalesce(py, y) * pw) / 2, (x - px) * (w + pw) / 2
+        return F.when(x <= max_recall, F.struct(area.alias("area"), base.alias("mass"), linked.alias("linked"), gold.alias("gold")))
+
+    hits = F.filter(F.transform(F.sequence(F.lit(1), F.col("_w")), step), lambda p: p.isNotNull())
+    steps = F.when(F.col(label) & (F.col("_g") > 0), hits)
+    flat = F.when(~F.col(label) & (F.col("_gold") / g <= max_recall), F.struct(F.col("_linked").alias("linked"), F.col("_gold").alias("gold")))
+    rows = rows.withColumns({"_steps": steps, "_flat": flat})
+    last = F.coalesce(F.transform(F.slice("_steps", -1, 1), lambda p: F.struct(p["linked"].alias("linked"), p["gold"].alias("gold")))[0], F.col("_flat"))
+    points = F.sum(F.when(F.col("_steps").isNotNull(), F.size("_steps")).when(F.col("_flat").isNotNull(), F.col("_w")).otherwise(0))
+
+    def summed(field: str) -> Column:
+        return F.sum(F.when(F.size("_steps") > 0, F.aggregate("_steps", F.lit(0.0), lambda t, p: t + p[field])).otherwise(0.0))
+
+    rows = rows.withColumn("_last", F.when(F.coalesce(F.size("_steps") > 0, F.lit(False)) | F.col("_flat").isNotNull(), last))
+    sums = rows.groupBy(*within, "_n", "_g").agg(summed("area").alias("_area"), summed("mass").alias("_mass"), points.alias("_points"), F.max("_last").alias("_end"))
+    x = F.col("_end")["gold"] / g
+    rest = (max_recall - x) * mass(x)
+    area, whole = F.col("_area") + rest * share(F.col("_end")["gold"], F.col("_end")["linked"]), F.col("_mass") + rest
+    return sums.select(*within, F.when(F.col("_points") >= 2, F.try_divide(area, whole)).alias("auerc"))
 
 
 def top_k_log_odds(df: DataFrame, score: str, label: str, key: str, ascending: bool = True, within: list[str] | None = None, epsilon: float = 0.5, share: float = 0.99, weight: str | None = None) -> DataFrame:
     """k, log_or for k up to the number of gold rows and to ``share`` of the rows: the top k against the rest.
 
-    A row of weight w stands for w rows, each with a k of its own.
+    Rows without a score rank last. A row of weight w stands for w rows, each with a k of its own. A
+    group without gold rows, or without others, has none.
     """
     within = within or []
-    rows = copies(df.filter(clean(F.col(score)).isNotNull() & F.col(label).isNotNull()), weight)
-    rows = running(rows, score, key, ascending, within, {"k": F.lit(1), "_tp": F.col(label).cast("int")})
-    total = rows.groupBy(*within).agg(F.count("*").alias("_n"), F.sum(F.col(label).cast("int")).alias("_g"))
-    rows = rows.join(F.broadcast(total), within) if within else rows.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
-    rows = rows.filter((F.col("k") <= F.col("_g")) & (F.col("k") <= F.floor(F.col("_n") * share)))
-    tp, fp = F.col("_tp"), F.col("k") - F.col("_tp")
-    fn, tn = F.col("_g") - F.col("_tp"), F.col("_n") - F.col("k") - F.col("_g") + F.col("_tp")
-    return rows.select(*within, F.col("k").cast("long").alias("k"), F.log(odds_ratio(tp, fp, fn, tn, epsilon)).alias("log_or"))
+    log_or, rows = top_k(df, score, label, key, ascending, within, epsilon, share, weight)
+    return rows.select(*within, F.col("_k").cast("long").alias("k"), log_or(F.col("_k"), F.col("_tp")).alias("log_or"))
+
+
+def top_k(df: DataFrame, score: str, label: str, key: str, ascending: bool, within: list[str], epsilon: float, share: float, weight: str | None) -> tuple[Callable[[Column, Column], Column], DataFrame]:
+    """The log odds ratio as a function of (k, true positives), and the ranked rows with their _k and _tp."""
+    rows = cumulated(df, score, label, key, ascending, within, weight).filter("_g > 0 and _g < _n")
+    rows = rows.withColumn("_back", F.explode(F.sequence(F.lit(0), F.col("_w") - 1))) if weight else rows.withColumn("_back", F.lit(0))
+    rows = rows.withColumns({"_k": F.col("_rank") - F.col("_back"), "_tp": F.col("_gold") - F.when(F.col(label), F.col("_back")).otherwise(0)})
+
+    def log_or(k: Column, tp: Column) -> Column:
+        return F.log(odds_ratio(tp, k - tp, F.col("_g") - tp, F.col("_n") - F.col("_g") - k + tp, epsilon))
+
+    return log_or, rows.filter((F.col("_k") <= F.col("_g")) & (F.col("_k") <= F.floor(F.col("_n") * share)))
 
 
 def auorc(df: DataFrame, score: str, label: str, key: str, ascending: bool = True, within: list[str] | None = None, epsilon: float = 0.5, weight: str | None = None) -> DataFrame:
-    """Area under the top-k log odds ratios over k, weighted by 1 / k, as a mean height."""
+    """Area under the top-k log odds ratios over k, weighted by 1 / k, as a mean height; null under two points.
+
+    The point before a row follows from the row's own counts, so this is a plain sum.
+    """
     within = within or []
-    return trapezoid(top_k_log_odds(df, score, label, key, ascending, within, epsilon, weight=weight), "k", "log_or", within, 1 / F.col("k")).withColumnRenamed("height", "auorc").drop("area", "width")
+    log_or, rows = top_k(df, score, label, key, ascending, within, epsilon, 0.99, weight)
+    k, tp = F.col("_k"), F.col("_tp")
+    before = log_or(k - 1, tp - F.col(label).cast("int"))
+    area = F.when(k > 1, (log_or(k, tp) / k + before / (k - 1)) / 2)
+    mass = F.when(k > 1, (1 / k + 1 / (k - 1)) / 2)
+    return rows.groupBy(*within).agg(F.try_divide(F.sum(area), F.sum(mass)).alias("auorc"))
 
 
 def precision_recall(df: DataFrame, score: str, label: str, within: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -135,7 +180,7 @@ def precision_recall(df: DataFrame, score: str, label: str, within: list[str] |
     levels = rows.groupBy(*within, score).agg(F.sum(w).alias("_c"), F.sum(w * F.col(label).cast("int")).alias("_p")).filter("_c > 0")
     levels = running(levels, score, score, False, within, {"_n": F.col("_c"), "_tp": F.col("_p")})
     total = levels.groupBy(*within).agg(F.sum("_p").alias("_g"))
-    levels = levels.join(F.broadcast(total), within) if within else levels.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    levels = with_totals(levels, total, within)
     return levels.select(*within, score, (F.col("_tp") / F.col("_n")).alias("precision"), F.try_divide(F.col("_tp"), F.col("_g")).alias("recall"), F.try_divide(F.col("_p"), F.col("_g")).alias("gain"))
 
 
@@ -144,35 +189,32 @@ def average_precision(df: DataFrame, score: str, label: str, within: list[str] |
 
 
 def partial_average_precision(df: DataFrame, score: str, label: str, max_recall: float = 0.2, within: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """The trapezoid area of precision over recall up to ``max_recall``, from (0, 1), divided by it."""
+    """The trapezoid area of precision over recall up to ``max_recall``, from (0, 1), divided by it; null without another point."""
     within = within or []
-    points = precision_recall(df, score, label, within, weight).select(*within, "recall", "precision").filter(F.col("recall") <= max_recall)
-    start = points.select(*within).distinct().withColumns({"recall": F.lit(0.0), "precision": F.lit(1.0)}) if within else points.sparkSession.createDataFrame([(0.0, 1.0)], "recall double, precision double")
+    curve = precision_recall(df, score, label, within, weight).select(*within, "recall", "precision")
+    points = curve.filter(F.col("recall") <= max_recall)
+    start = curve.select(*within).distinct().withColumns({"recall": F.lit(0.0), "precision": F.lit(1.0)}) if within else points.sparkSession.createDataFrame([(0.0, 1.0)], "recall double, precision double")
     # points of one recall stand in order of falling precision, as the scores fall
     order = Window.partitionBy(*within, F.lit(1)).orderBy("recall", F.desc("precision"))
     all_points = points.unionByName(start).withColumns({"_x": F.lag("recall").over(order), "_y": F.lag("precision").over(order)})
-    return all_points.groupBy(*within).agg((F.coalesce(F.sum((F.col("recall") - F.col("_x")) * (F.col("precision") + F.col("_y")) / 2), F.lit(0.0)) / max_recall).alias("pap"))
+    return all_points.groupBy(*within).agg((F.sum((F.col("recall") - F.col("_x")) * (F.col("precision") + F.col("_y")) / 2) / max_recall).alias("pap"))
 
 
 def minus_log10(p: Column) -> Column:
     return F.when(p.isNotNull(), -F.log10(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-300))))
 
 
-#: Cumulative Poisson(1) probabilities in parts of PARTS: multiplicities of a bootstrap replicate.
-PARTS = 1_000_003
-
-
 def multiplicity(key: Column, replicate: Column, seed: int) -> Column:
     """How often a row stands in a bootstrap replicate: Poisson(1) from an integer hash, the same in any engine.
 
     Independent Poisson weights need no common total, so replicates are made row by row.
     """
-    u = F.pmod((key.cast("long") + 1) * 48271 + (replicate.cast("long") + 1) * 69621 * F.pmod(key.cast("long") * 7919 + seed, F.lit(9973)) + seed, F.lit(PARTS))
+    u = draw(key, replicate, seed)
     p, total, out = math.exp(-1), 0.0, F.lit(0)
     for k in range(8):
         total += p
         p /= k + 1
-        out = out + F.when(u >= int(total * PARTS), 1).otherwise(0)
+        out = out + F.when(u >= int(total * PRIME), 1).otherwise(0)
     return out
 
 

@@ -1,6 +1,6 @@
 """Matched controls, drawn by an integer hash that any engine can compute.
 
-Draws are ordered by :func:`mixed`; the same seed gives the same controls everywhere.
+Draws come from :func:`spanloom.functions.special.draw`; the same seed gives the same controls everywhere.
 """
 
 from __future__ import annotations
@@ -8,47 +8,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PRIME = 2147483647
+from ..functions.special import draw
 
+#: Draws made for each control asked, and some more, so that enough different ones are among them
+#: wherever there are more than twice as many candidates as controls; elsewhere all candidates are ordered.
+DRAWS, MORE_DRAWS = 3, 40
 
-def mixed(a: Column, b: Column, seed: int) -> Column:
-    return F.pmod(a.cast("long") * 48271 + b.cast("long") * 69621 + F.lit(seed * 40692), F.lit(PRIME))
+
+def positioned(df: DataFrame, group: str, key: str) -> DataFrame:
+    """Adds _pos (from 0, by key), _n (rows of the group) and _least (its smallest key)."""
+    part = Window.partitionBy(group)
+    return df.withColumns({"_pos": (F.row_number().over(part.orderBy(key)) - 1).cast("long"), "_n": F.count("*").over(part), "_least": F.min(key).over(part)})
+
+
+def first_distinct(drawn: DataFrame, by: list[str], what: list[str], turn: str, most: int) -> DataFrame:
+    """Of repeated draws the first, and of those the first ``most``, numbered from 0 as ctrl_rank."""
+    distinct = drawn.groupBy(*by, *what).agg(F.min(turn).alias(turn))
+    order = Window.partitionBy(*by).orderBy(turn)
+    return distinct.withColumn("ctrl_rank", F.row_number().over(order) - 1).filter(F.col("ctrl_rank") < most)
 
 
 def control_features(features: DataFrame, bin_col: str, per_feature: int, seed: int = 0) -> DataFrame:
-    """feature_id, ctrl_rank (from 0), ctrl_id: for every feature the ``per_feature`` others of its bin with the smallest hash.
+    """feature_id, ctrl_rank (from 0), ctrl_id: for every feature ``per_feature`` random others of its bin.
 
-    Candidates come from within a bin, and all but the first ones of a feature are dropped as they
-    are ranked (a limit within the group that Spark applies before the shuffle). Features of bins in
+    Every feature draws positions among the others of its bin; no pairs of a bin are built. In bins
+    of at most twice as many others as asked all are ordered at random instead. Features of bins in
     :func:`short_features` get all others, which are fewer.
     """
-    a, b = features.select("feature_id", F.col(bin_col).alias("_bin")), features.select(F.col("feature_id").alias("ctrl_id"), F.col(bin_col).alias("_bin"))
-    pairs = a.join(b, "_bin").filter("feature_id <> ctrl_id")
-    order = Window.partitionBy("feature_id").orderBy(mixed(F.col("feature_id"), F.col("ctrl_id"), seed), "ctrl_id")
-    return pairs.withColumn("ctrl_rank", F.row_number().over(order) - 1).filter(F.col("ctrl_rank") < per_feature).select("feature_id", "ctrl_rank", "ctrl_id")
+    rows = positioned(features.filter(F.col(bin_col).isNotNull()).select("feature_id", F.col(bin_col).alias("_bin")), "_bin", "feature_id").drop("_least")
+    many = F.col("_n") - 1 > 2 * per_feature
+    turns = F.when(many, F.lit(DRAWS * per_feature + MORE_DRAWS)).otherwise(F.col("_n") - 1)
+    drawn = rows.filter("_n > 1").withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1)))
+    lot = draw(F.col("feature_id"), F.col("_turn"), seed)
+    place = F.when(many, F.pmod(lot, F.col("_n") - 1)).otherwise(F.col("_turn"))  # among the others: the feature's own place is skipped
+    drawn = drawn.select("feature_id", "_bin", (place + F.when(place >= F.col("_pos"), 1).otherwise(0)).alias("_at"), F.when(many, F.col("_turn")).otherwise(lot * (1 << 24) + F.col("_turn")).alias("_turn"))
+    found = first_distinct(drawn, ["feature_id", "_bin"], ["_at"], "_turn", per_feature)
+    names = rows.select(F.col("_bin").alias("_b"), F.col("_pos").alias("_p"), F.col("feature_id").alias("ctrl_id"))
+    return found.join(names, (F.col("_bin") == F.col("_b")) & (F.col("_at") == F.col("_p"))).select("feature_id", "ctrl_rank", "ctrl_id")
 
 
 def control_pairs(left: DataFrame, right: DataFrame, per_bin: int, seed: int = 0) -> DataFrame:
-    """bin, ctrl_rank, left_id, right_id: ``per_bin`` distinct pairs from the product of each left and right bin.
+    """bin, ctrl_rank, left_id, right_id: ``per_bin`` distinct random pairs from the product of each left and right bin.
 
-    ``left``/``right``: (id, bin). The product is never built: a stride that has no common divisor
-    with its size steps through its numbers, and each number is taken apart into two positions. Bins
-    in :func:`short_pairs` give their whole product, which is less.
+    ``left``/``right``: (id, bin). The product is never built: both positions are drawn. Products of
+    at most twice as many pairs as asked are ordered at random instead. Bins in :func:`short_pairs`
+    give their whole product, which is less.
     """
-
-    def numbered(df: DataFrame, tag: str) -> DataFrame:
-        part = Window.partitionBy("bin")
-        return df.select(F.col("bin").alias(f"{tag}_bin"), F.col("id").alias(f"{tag}_id"), (F.row_number().over(part.orderBy("id")) - 1).cast("long").alias(f"{tag}_pos"), F.count("*").over(part).alias(f"{tag}_n"))
-
-    a, b = numbered(left, "left"), numbered(right, "right")
-    sizes_a, sizes_b = a.select("left_bin", "left_n").distinct(), b.select("right_bin", "right_n").distinct()
-    bins = sizes_a.withColumn("_k", F.lit(1)).join(sizes_b.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one row a pair of bins
+    side = lambda df, tag: positioned(df.filter(F.col("bin").isNotNull()).select("id", "bin"), "bin", "id").toDF(*[f"{tag}_{c}" for c in ("id", "bin", "pos", "n", "least")])
+    a, b = side(left, "left"), side(right, "right")
+    sizes = lambda df, tag: df.groupBy(f"{tag}_bin").agg(F.max(f"{tag}_n").alias(f"{tag}_n"), F.max(f"{tag}_least").alias(f"{tag}_least"))
+    bins = sizes(a, "left").crossJoin(sizes(b, "right"))  # one row a pair of bins
     total = F.col("left_n") * F.col("right_n")
-    drawn = bins.withColumn("ctrl_rank", F.explode(F.sequence(F.lit(0).cast("long"), F.least(total, F.lit(per_bin)) - 1)))
-    number = F.pmod(F.col("ctrl_rank") * PRIME + F.lit(seed), total)  # a prime larger than any product of bins shares no divisor
-    drawn = drawn.withColumns({"left_pos": F.floor(number / F.col("right_n")), "right_pos": F.pmod(number, F.col("right_n"))})
-    out = drawn.drop("left_n", "right_n").join(a.drop("left_n"), ["left_bin", "left_pos"]).join(b.drop("right_n"), ["right_bin", "right_pos"])
-    return out.select(F.concat_ws("_", F.col("left_bin").cast("string"), F.col("right_bin").cast("string")).alias("bin"), F.col("ctrl_rank").cast("int").alias("ctrl_rank"), "left_id", "right_id")
+    many = total > 2 * per_bin
+    drawn = bins.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.when(many, F.lit(DRAWS * per_bin + MORE_DRAWS)).otherwise(total) - 1)))
+    base = draw(F.col("left_least"), F.col("right_least"), seed)
+    drawn = drawn.withColumn("_base", base)
+    lot = draw(F.col("_base"), F.col("_turn"), seed + 1)
+    drawn = drawn.select(
+        "left_bin", "right_bin", F.when(many, F.pmod(lot, F.col("left_n"))).otherwise(F.floor(F.col("_turn") / F.col("right_n"))).alias("_l"),
+        F.when(many, F.pmod(draw(F.col("_base"), F.col("_turn"), seed + 2), F.col("right_n"))).otherwise(F.pmod("_turn", "right_n")).alias("_r"),
+        F.when(many, F.col("_turn")).otherwise(lot * (1 << 24) + F.col("_turn")).alias("_turn"),
+    )
+    found = first_distinct(drawn, ["left_bin", "right_bin"], ["_l", "_r"], "_turn", per_bin)
+    found = found.join(a.select("left_bin", F.col("left_pos").alias("_l"), "left_id"), ["left_bin", "_l"]).join(b.select("right_bin", F.col("right_pos").alias("_r"), "right_id"), ["right_bin", "_r"])
+    return found.select(F.concat_ws("_", F.col("left_bin").cast("string"), F.col("right_bin").cast("string")).alias("bin"), F.col("ctrl_rank").cast("int").alias("ctrl_rank"), "left_id", "right_id")
 
 
 def short_features(features: DataFrame, bin_col: str, per_feature: int) -> DataFrame:
@@ -73,15 +96,18 @@ def refuse(short: DataFrame) -> None:
 
 
 def other_group_partner(left: DataFrame, right: DataFrame, seed: int = 0) -> DataFrame:
-    """id, partner_id: for every left row (id, grp) one right row (id, grp) of another group, by a seeded position.
+    """id, partner_id: for every left row (id, grp) one random right row (id, grp) of another group.
 
-    Positions are counted over the right side with its own group skipped, so no pairs are built.
+    Positions are counted within the groups and the groups laid end to end; a row's own group is
+    skipped, so no pairs are built.
     """
-    order = Window.orderBy("grp", "id")  # over the table of features
-    r = right.select("grp", F.col("id").alias("partner_id"), (F.row_number().over(order) - 1).cast("long").alias("_pos"))
-    spans = r.groupBy(F.col("grp").alias("_g")).agg(F.min("_pos").alias("_first"), F.count("*").alias("_own"))
-    n = right.count()
-    l = left.join(spans, left["grp"] == spans["_g"], "left").na.fill(0, ["_own"]).withColumn("_first", F.coalesce("_first", F.lit(n)))
-    pick = mixed(F.col("id"), F.lit(0), seed) % (F.lit(n) - F.col("_own"))
-    l = l.filter(F.col("_own") < n).withColumn("_pos", F.when(pick < F.col("_first"), pick).otherwise(pick + F.col("_own")))
-    return l.select("id", "_pos").join(r.select("partner_id", "_pos"), "_pos").select("id", "partner_id")
+    r = positioned(right.filter(F.col("grp").isNotNull()).select("id", "grp"), "grp", "id").drop("_least")
+    sizes = r.groupBy(F.col("grp").alias("_g")).agg(F.count("*").alias("_own"))
+    ends = sizes.withColumn("_end", F.sum("_own").over(Window.orderBy("_g")))  # one row a group
+    spans = ends.select("_g", "_own", (F.col("_end") - F.col("_own")).alias("_first"))
+    n = right.filter(F.col("grp").isNotNull()).count()
+    l = left.join(F.broadcast(spans), left["grp"] == spans["_g"], "left").na.fill(0, ["_own"]).withColumn("_first", F.coalesce("_first", F.lit(n)))
+    pick = F.pmod(draw(F.col("id"), F.lit(0), seed), F.lit(n) - F.col("_own"))
+    l = l.filter(F.col("_own") < n).select("id", F.when(pick < F.col("_first"), pick).otherwise(pick + F.col("_own")).alias("_at"))
+    placed = r.join(F.broadcast(spans.select("_g", F.col("_first").alias("_from"))), F.col("grp") == F.col("_g")).select(F.col("id").alias("partner_id"), (F.col("_from") + F.col("_pos")).alias("_at"))
+    return l.join(placed, "_at").select("id", "partner_id")

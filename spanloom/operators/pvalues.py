@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import clean, normal_sf
+from .metrics import running, with_totals
 
 
 def counts_at_least(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str, key: str, group: str | None = None) -> DataFrame:
@@ -94,21 +95,36 @@ def studentised(beta: Column, se: Column, limit: float = 100.0) -> Column:
 
 def empirical_fdr(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str, key: str, group: str | None = None) -> DataFrame:
     """Adds ``q_value``: for each threshold the share of controls over the share of statistics at least as large, at most 1,
-    made monotone from the least stringent threshold. Shares are of all rows, null ones too."""
+    made monotone from the least stringent threshold. Shares are of all controls, null ones too, and of the statistics that there are."""
     g = F.lit(0) if group is None else F.col(group)
     stat = counts_at_least(obs, obs, value, value, key, group).select(key, F.col("n_ge").alias("_stat_ge"))
     n = counts_at_least(obs, ctrl, value, ctrl_value, key, group).select(key, F.col("n_ge").alias("_ctrl_ge"))
-    sizes = obs.groupBy(g.alias("_g")).agg(F.count("*").alias("_m")).join(ctrl.groupBy(g.alias("_g")).agg(F.count("*").alias("_b")), "_g")
+    sizes = obs.groupBy(g.alias("_g")).agg(F.count(clean(F.col(value).cast("double"))).alias("_m")).join(ctrl.groupBy(g.alias("_g")).agg(F.count("*").alias("_b")), "_g")
     rows = obs.join(stat, key).join(n, key).withColumn("_g", g).join(sizes, "_g", "left")
     ratio = F.least(F.lit(1.0), F.try_divide(F.col("_ctrl_ge") / F.col("_b"), F.col("_stat_ge") / F.col("_m")))
     levels = rows.filter(F.col("_stat_ge").isNotNull()).groupBy("_g", F.col(value).alias("_t")).agg(F.min(ratio).alias("_r"))  # one row a threshold
-    run = levels.withColumn("q_value", F.min("_r").over(Window.partitionBy("_g").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0))).select(F.col("_g").alias("_gg"), "_t", "q_value")
+    run = running(levels, "_t", "_t", True, ["_g"], {"q_value": F.col("_r")}, least=True).select(F.col("_g").alias("_gg"), "_t", "q_value")
     return rows.join(run, (F.col("_g") == F.col("_gg")) & (F.col(value) == F.col("_t")), "left").drop("_g", "_gg", "_t", "_m", "_b", "_stat_ge", "_ctrl_ge")
 
 
+def fdr_threshold(tested: DataFrame, value: str, target: float = 0.1, group: list[str] | None = None) -> DataFrame:
+    """One row a group: ``t_star``, the largest statistic whose ``q_value`` is ``target`` at most; null without one."""
+    return tested.groupBy(*(group or [])).agg(F.max(F.when(F.col("q_value") <= target, F.col(value))).alias("t_star"))
+
+
 def benjamini_hochberg(df: DataFrame, p: str, key: str, group: str | None = None) -> DataFrame:
-    """Adds ``bh_q``: p * n / rank, made monotone from the largest p; null p stays null."""
-    part = Window.partitionBy(F.lit(0) if group is None else F.col(group), F.col(p).isNull())
-    df = df.withColumns({"_r": F.row_number().over(part.orderBy(p, key)), "_n": F.count("*").over(part)}).withColumn("_q", F.col(p) * F.col("_n") / F.col("_r"))
-    q = F.min("_q").over(part.orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("bh_q", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), q))).drop("_r", "_n", "_q")
+    """Adds ``bh_q``: p * n / rank, made monotone from the largest p; null p stays null.
+
+    Equal p share the largest of their ranks, as the running minimum makes of any order among them.
+    """
+    within = [] if group is None else [group]
+    levels = df.filter(F.col(p).isNotNull()).groupBy(*within, p).agg(F.count("*").alias("_c"))
+    ranked = running(levels, p, p, True, within, {"_r": F.col("_c")})
+    total = levels.groupBy(*within).agg(F.sum("_c").alias("_n"))
+    ranked = with_totals(ranked, total, within).withColumn("_q", F.col(p) * F.col("_n") / F.col("_r"))
+    best = running(ranked, p, p, False, within, {"_least": F.col("_q")}, least=True)
+    best = best.select(*[F.col(c).alias(f"_of_{c}") for c in within], F.col(p).alias("_p"), F.least(F.lit(1.0), "_least").alias("bh_q"))
+    same = F.col(p) == F.col("_p")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return df.join(best, same, "left").drop("_p", *[f"_of_{c}" for c in within])

@@ -43,23 +43,30 @@ def mc(group: bool, digits: int = 9) -> str:
     return f"SELECT key, round((1 + (SELECT count(*) FROM ctrl c WHERE {g}c.ctrl >= o.value)) / (1.0 + (SELECT count(*) FROM ctrl c WHERE {n})), {digits}) AS mcpval FROM obs o"
 
 
-CURVE = """w AS (SELECT *, count(*) OVER o AS linked, count(*) FILTER (label) OVER o AS gold, count(*) OVER p AS n, count(*) FILTER (label) OVER p AS g FROM {t} WINDOW o AS ({p} ORDER BY {s}, doc_id ROWS UNBOUNDED PRECEDING), p AS ({p})),
-c AS (SELECT *, gold / g AS recall, (gold / linked) / (g / n) AS enrichment FROM w)"""
+CURVE = """w AS (SELECT *, {s} IS NOT NULL AS scored, count(*) OVER o AS k, count({s}) OVER o AS linked, count(*) FILTER (label) OVER o AS gold, count(*) OVER p AS n, count(*) FILTER (label) OVER p AS g FROM {t} WINDOW o AS ({p} ORDER BY {s} NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING), p AS ({p})),
+c AS (SELECT *, gold / g AS recall, (gold / linked) / (g / n) AS enrichment FROM w WHERE scored)"""
 LONG = "lg AS (SELECT doc_id, label, lang, 'm1' AS method, m1 AS score FROM sc UNION ALL SELECT doc_id, label, lang, 'm2', m2 FROM sc)"
 
 
+def draw(a: str, b: str, seed: int) -> str:
+    """The integer hash of :func:`spanloom.functions.special.draw`."""
+    p = 2147483647
+    a, b = f"(CAST({a} AS BIGINT) % {p})", f"(CAST({b} AS BIGINT) % {p})"
+    h = f"(({a} * 48271 + {b} * 69621 + {seed % p * 16807 + 1}) % {p})"
+    for factor, other in ((39373, a), (40692, b), (62089, a), (25214, b)):
+        h = f"(({h} * {h} + {other} * {factor} + 12345) % {p})"
+    return h
+
+
 def multiplicity(key: str, rep: str, seed: int) -> str:
     import math
 
-    from ..operators.metrics import PARTS
-
-    u = f"((({key} + 1) * 48271 + ({rep} + 1) * 69621 * (({key} * 7919 + {seed}) % 9973) + {seed}) % {PARTS})"
     p, total, out = math.exp(-1), 0.0, []
     for k in range(8):
         total += p
         p /= k + 1
-        out.append(f"CASE WHEN {u} >= {int(total * PARTS)} THEN 1 ELSE 0 END")
-    return "(" + " + ".join(out) + ")"
+        out.append(f"WHEN u < {int(total * 2147483647)} THEN {k}")
+    return f"(SELECT CASE {' '.join(out)} ELSE 8 END FROM (SELECT {draw(key, rep, seed)} AS u))"
 
 
 def reps(table: str, n: int, seed: int) -> str:
@@ -131,6 +138,14 @@ SELECT side, feature_id, count(*) AS cells, sum(value) AS total FROM u GROUP BY
     "rank_qcut_bins": "WITH k AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS rk, count(*) OVER (PARTITION BY p_brand) AS n FROM part) SELECT p_partkey, p_brand, CAST(" + QCUT.format(q=7) + " AS INTEGER) AS bin FROM k",
     "nested_mean_var_bins": base() + ", m AS (SELECT feature_id, sum(value) / any_value(n) AS mean, sum(value * value) / any_value(n) - (sum(value) / any_value(n)) * (sum(value) / any_value(n)) AS var FROM x, nc GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY mean, feature_id) AS rk, count(*) OVER () AS n FROM m), b AS (SELECT feature_id, var, CAST(" + QCUT.format(q=5) + " AS INTEGER) AS mean_bin FROM k), k2 AS (SELECT *, row_number() OVER (PARTITION BY mean_bin ORDER BY var, feature_id) AS rk, count(*) OVER (PARTITION BY mean_bin) AS n FROM b) SELECT feature_id, mean_bin, mean_bin || '.' || CAST(" + QCUT.format(q=3) + " AS INTEGER) AS bin FROM k2",
     "whitened_bins": "WITH p AS (SELECT p_partkey, log10(p_retailprice) AS a, p_size / 50.0::DOUBLE AS b FROM part), s AS (SELECT var_samp(a) AS s11, covar_samp(a, b) AS s12, var_samp(b) AS s22 FROM p), z AS (SELECT p_partkey, a, s11, s12 / sqrt(s11) AS u12, b / sqrt(s22 - (s12 / sqrt(s11)) * (s12 / sqrt(s11))) AS z2 FROM p, s) SELECT p_partkey, round((a - u12 * z2) / sqrt(s11), 6) AS z1, round(z2, 6) AS z2 FROM z",
+    "value_bins": """WITH d AS (SELECT value * value * value AS v FROM events WHERE value IS NOT NULL), s AS (SELECT min(v) AS lo, max(v) AS hi, count(DISTINCT v) AS u FROM d),
+c AS (SELECT v, m, greatest(len(list_filter(range(0, 6 * m), lambda i: v > lo + i * ((hi - lo) / (6 * m)))) - 1, 0) AS fine FROM d, s, (SELECT unnest(range(1, 9)) AS m)),
+e AS (SELECT m, list_sort(list_distinct(quantile_cont(v, [0, 1 / 3.0::DOUBLE, 2 / 3.0::DOUBLE, 1]))) AS q FROM c WHERE fine >= 3 GROUP BY 1),
+l AS (SELECT 0 AS m, v, fine AS bin FROM c WHERE m = 1 UNION ALL SELECT m, v, CASE WHEN fine >= 3 THEN 3 + greatest(len(list_filter(q[:-2], lambda x: v > x)) - 1, 0) ELSE fine END FROM c LEFT JOIN e USING (m)
+ UNION ALL SELECT 99, v, greatest(len(list_filter(q[:-2], lambda x: v > x)) - 1, 0) FROM d, (SELECT list_sort(list_distinct(quantile_cont(v, [0, 1 / 6.0::DOUBLE, 2 / 6.0::DOUBLE, 3 / 6.0::DOUBLE, 4 / 6.0::DOUBLE, 5 / 6.0::DOUBLE, 1]))) AS q FROM d)),
+z AS (SELECT m, min(n) AS least FROM (SELECT m, bin, count(*) AS n FROM l GROUP BY ALL) GROUP BY 1),
+w AS (SELECT coalesce(min(m) FILTER (least >= 20 AND m < 99 AND m <= u // 20), 99) AS m FROM z, s)
+SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, min(v) AS low, max(v) AS high FROM l JOIN w USING (m) GROUP BY 1""",
     "percentile_rank_bins": f"WITH d AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS v FROM documents), k AS (SELECT doc_id, {fr('v')} AS p FROM d) SELECT doc_id, CASE WHEN p <= 0.25 THEN 'q1' WHEN p <= 0.5 THEN 'q2' WHEN p <= 0.75 THEN 'q3' WHEN p <= 1 THEN 'q4' END AS bin FROM k",
     "bins_2d": f"WITH k AS (SELECT {fr('value')} AS a, {fr('user_id')} AS b FROM events) SELECT CASE WHEN a <= 0.5 THEN 'low' ELSE 'high' END || '_' || CASE WHEN b <= 0.5 THEN 'low' ELSE 'high' END AS bin, count(*) AS n FROM k GROUP BY 1",
     "threshold_bins": "SELECT event_type, CASE WHEN value <= 50 THEN 'low' WHEN value > 50 THEN 'high' END AS bin, count(*) AS n FROM events GROUP BY ALL",
@@ -145,9 +160,9 @@ SELECT side, feature_id, count(*) AS cells, sum(value) AS total FROM u GROUP BY
     "union_distinct_links": "SELECT l_partkey AS peak, l_suppkey AS gene FROM lineitem WHERE l_quantity > 25 UNION SELECT l_partkey, l_suppkey FROM lineitem WHERE l_discount > 0.05",
     "missing_bins_anti": "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)",
     "set_overlap_jaccard": "WITH s AS (SELECT DISTINCT o_orderpriority AS p, o_custkey FROM orders), n AS (SELECT a.p AS a, b.p AS b, count(*) AS n FROM s a JOIN s b USING (o_custkey) GROUP BY ALL) SELECT n.a, n.b, round(n.n / (x.n + y.n - n.n), 6) AS jaccard FROM n JOIN n x ON x.a = n.a AND x.b = n.a JOIN n y ON y.a = n.b AND y.b = n.b",
-    "control_peaks_hash": "SELECT a.p_partkey AS feature_id, CAST(row_number() OVER (PARTITION BY a.p_partkey ORDER BY (a.p_partkey * 48271 + b.p_partkey * 69621 + 3 * 40692) % 2147483647, b.p_partkey) - 1 AS INTEGER) AS ctrl_rank, b.p_partkey AS ctrl_id FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey QUALIFY ctrl_rank < 5",
-    "control_pairs_decode": "WITH a AS (SELECT p_type AS bin, p_partkey AS id, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS pos, count(*) OVER (PARTITION BY p_type) AS n FROM part), b AS (SELECT CAST(s_nationkey % 4 AS VARCHAR) AS bin, s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey % 4 ORDER BY s_suppkey) - 1 AS pos, count(*) OVER (PARTITION BY s_nationkey % 4) AS n FROM supplier), t AS (SELECT a.bin AS ab, b.bin AS bb, a.n AS an, b.n AS bn, unnest(range(0, least(a.n * b.n, 50))) AS k FROM (SELECT DISTINCT bin, n FROM a) a, (SELECT DISTINCT bin, n FROM b) b), d AS (SELECT *, (k * 2147483647 + 11) % (an * bn) AS num FROM t) SELECT d.ab || '_' || d.bb AS bin, CAST(k AS INTEGER) AS ctrl_rank, a.id AS left_id, b.id AS right_id FROM d JOIN a ON a.bin = d.ab AND a.pos = num // bn JOIN b ON b.bin = d.bb AND b.pos = num % bn",
-    "cross_group_null_pairs": "WITH r AS (SELECT s_suppkey AS id, s_nationkey % 5 AS grp, row_number() OVER (ORDER BY s_nationkey % 5, s_suppkey) - 1 AS pos FROM supplier), g AS (SELECT grp, min(pos) AS f, count(*) AS own FROM r GROUP BY 1), l AS (SELECT p_partkey AS id, coalesce(own, 0) AS own, coalesce(f, (SELECT count(*) FROM r)) AS f, ((p_partkey * 48271 + 5 * 40692) % 2147483647) % ((SELECT count(*) FROM r) - coalesce(own, 0)) AS pick FROM part LEFT JOIN g ON g.grp = p_size % 5) SELECT l.id, r.id AS partner_id FROM l JOIN r ON r.pos = CASE WHEN pick < f THEN pick ELSE pick + own END",
+    "control_peaks_hash": "WITH r AS (SELECT p_partkey AS f, p_brand AS b, row_number() OVER o - 1 AS pos, count(*) OVER (PARTITION BY p_brand) AS n FROM part WINDOW o AS (PARTITION BY p_brand ORDER BY p_partkey)), t AS (SELECT *, unnest(range(0, CASE WHEN n - 1 > 10 THEN 55 ELSE n - 1 END)) AS turn FROM r WHERE n > 1), d AS (SELECT *, " + draw("f", "turn", 3) + " AS lot FROM t), e AS (SELECT f, b, pos, CASE WHEN n - 1 > 10 THEN lot % (n - 1) ELSE turn END AS place, CASE WHEN n - 1 > 10 THEN turn ELSE lot * 16777216 + turn END AS turn FROM d), g AS (SELECT f, b, place + (place >= pos)::INT AS at, min(turn) AS turn FROM e GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY turn) - 1 AS rk FROM g) SELECT k.f AS feature_id, CAST(rk AS INTEGER) AS ctrl_rank, r.f AS ctrl_id FROM k JOIN r ON r.b = k.b AND r.pos = k.at WHERE rk < 5",
+    "control_pairs_decode": "WITH a AS (SELECT p_type AS bin, p_partkey AS id, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1 AS pos, count(*) OVER (PARTITION BY p_type) AS n, min(p_partkey) OVER (PARTITION BY p_type) AS lo FROM part), b AS (SELECT CAST(s_nationkey % 4 AS VARCHAR) AS bin, s_suppkey AS id, row_number() OVER (PARTITION BY s_nationkey % 4 ORDER BY s_suppkey) - 1 AS pos, count(*) OVER (PARTITION BY s_nationkey % 4) AS n, min(s_suppkey) OVER (PARTITION BY s_nationkey % 4) AS lo FROM supplier), t AS (SELECT a.bin AS ab, b.bin AS bb, a.n AS an, b.n AS bn, a.lo AS alo, b.lo AS blo, unnest(range(0, CASE WHEN a.n * b.n > 100 THEN 190 ELSE a.n * b.n END)) AS turn FROM (SELECT DISTINCT bin, n, lo FROM a) a, (SELECT DISTINCT bin, n, lo FROM b) b), u AS (SELECT *, " + draw("alo", "blo", 11) + " AS base FROM t), v AS (SELECT *, " + draw("base", "turn", 12) + " AS lot, " + draw("base", "turn", 13) + " AS lot2 FROM u), d AS (SELECT ab, bb, CASE WHEN an * bn > 100 THEN lot % an ELSE turn // bn END AS l, CASE WHEN an * bn > 100 THEN lot2 % bn ELSE turn % bn END AS r, min(CASE WHEN an * bn > 100 THEN turn ELSE lot * 16777216 + turn END) AS turn FROM v GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY ab, bb ORDER BY turn) - 1 AS rk FROM d) SELECT ab || '_' || bb AS bin, CAST(rk AS INTEGER) AS ctrl_rank, a.id AS left_id, b.id AS right_id FROM k JOIN a ON a.bin = ab AND a.pos = l JOIN b ON b.bin = bb AND b.pos = r WHERE rk < 50",
+    "cross_group_null_pairs": "WITH r AS (SELECT s_suppkey AS id, s_nationkey % 5 AS grp, row_number() OVER (ORDER BY s_nationkey % 5, s_suppkey) - 1 AS pos FROM supplier), g AS (SELECT grp, min(pos) AS f, count(*) AS own FROM r GROUP BY 1), l AS (SELECT p_partkey AS id, coalesce(own, 0) AS own, coalesce(f, (SELECT count(*) FROM r)) AS f, " + draw("p_partkey", "0", 5) + " % ((SELECT count(*) FROM r) - coalesce(own, 0)) AS pick FROM part LEFT JOIN g ON g.grp = p_size % 5) SELECT l.id, r.id AS partner_id FROM l JOIN r ON r.pos = CASE WHEN pick < f THEN pick ELSE pick + own END",
     "pearson_pairs": base() + SUMS.format(x="x", y="y") + f" SELECT link_id, {PEARSON} AS corr FROM prs JOIN xs USING (x_id) JOIN ys USING (y_id) LEFT JOIN xy USING (x_id, y_id), nc",
     "spearman_pairs": base() + ", xf AS (SELECT cell_id, f.feature_id, coalesce(value, 0) AS value FROM cells CROSS JOIN (SELECT DISTINCT feature_id FROM x) f LEFT JOIN x USING (cell_id, feature_id)), yf AS (SELECT cell_id, f.feature_id, coalesce(value, 0) AS value FROM cells CROSS JOIN (SELECT DISTINCT feature_id FROM y) f LEFT JOIN y USING (cell_id, feature_id)), xr AS (SELECT cell_id, feature_id, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2 AS r FROM xf), yr AS (SELECT cell_id, feature_id, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2 AS r FROM yf) SELECT link_id, round(corr(xr.r, yr.r), 6) AS corr FROM prs JOIN xr ON xr.feature_id = x_id JOIN yr ON yr.feature_id = y_id AND yr.cell_id = xr.cell_id GROUP BY 1",
     "poisson_binary_mle": base() + SUMS.format(x="(SELECT cell_id, feature_id, 1.0::DOUBLE AS value FROM x)", y="y") + ", v AS (SELECT link_id, sx AS n1, n - sx AS n0, coalesce(sxy, 0) AS y1, sy - coalesce(sxy, 0) AS y0 FROM prs JOIN xs USING (x_id) JOIN ys USING (y_id) LEFT JOIN xy USING (x_id, y_id), nc) SELECT link_id, round(CASE WHEN y0 > 0 AND n0 > 0 THEN ln(y0 / n0) END, 6) AS b0, round(CASE WHEN y0 > 0 AND n0 > 0 AND y1 > 0 AND n1 > 0 THEN ln(y1 / n1) - ln(y0 / n0) END, 6) AS b1, round(CASE WHEN y0 > 0 AND y1 > 0 THEN sqrt(1 / y0 + 1 / y1) END, 6) AS se FROM v",
@@ -168,11 +183,11 @@ SELECT side, feature_id, count(*) AS cells, sum(value) AS total FROM u GROUP BY
     "contingency_log_or": f"WITH {SCORES}, c AS (SELECT lang, count(*) FILTER (m1 <= 1500 AND label) AS tp, count(*) FILTER (m1 <= 1500 AND NOT label) AS fp, count(*) FILTER (m1 > 1500 AND label) AS fn, count(*) FILTER (m1 > 1500 AND NOT label) AS tn FROM sc GROUP BY 1) SELECT *, round(ln((tp + 0.5) * (tn + 0.5) / ((fp + 0.5) * (fn + 0.5))), 6) + 0.0 AS log_or FROM c",
     "fisher_exact_p": f"WITH {SCORES}, c AS (SELECT lang, count(*) FILTER (m1 <= 1500 AND label) AS a, count(*) FILTER (m1 <= 1500 AND NOT label) AS b, count(*) FILTER (m1 > 1500 AND label) AS c, count(*) FILTER (m1 > 1500 AND NOT label) AS d FROM sc GROUP BY 1), k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS k FROM c), l AS (SELECT *, lgamma(a + b + 1) - lgamma(k + 1) - lgamma(a + b - k + 1) + lgamma(c + d + 1) - lgamma(a + c - k + 1) - lgamma(c + d - a - c + k + 1) AS v, lgamma(a + b + 1) - lgamma(a + 1) - lgamma(b + 1) + lgamma(c + d + 1) - lgamma(c + 1) - lgamma(d + 1) AS o, lgamma(a + b + c + d + 1) - lgamma(a + c + 1) - lgamma(b + d + 1) AS t FROM k) SELECT lang, round(least(1.0, sum(exp(v - t)) FILTER (v <= o + ln(1.0000001))), 6) AS p FROM l GROUP BY 1",
     "enrichment_recall": f"WITH {SCORES}, " + CURVE.format(t="sc", p="", s="m1") + " SELECT doc_id, round(recall, 6) AS recall, round(enrichment, 6) AS enrichment FROM c",
-    "auerc": f"WITH {SCORES}, {LONG}, " + CURVE.format(t="lg", p="PARTITION BY method, lang", s="score") + ", q AS (SELECT method, lang, recall, avg(enrichment) AS e FROM c GROUP BY ALL), l AS (SELECT method, lang, recall AS x, e * (1 - recall) AS yw, 1 - recall AS w, lag(recall) OVER o AS px, lag(e * (1 - recall)) OVER o AS pyw, lag(1 - recall) OVER o AS pw FROM q WINDOW o AS (PARTITION BY method, lang ORDER BY recall)) SELECT method, lang, round(sum((x - px) * (yw + pyw)) / sum((x - px) * (w + pw)), 6) AS auerc FROM l GROUP BY ALL",
-    "topk_log_or": f"WITH {SCORES}, " + CURVE.format(t="sc", p="", s="m1") + " SELECT linked AS k, round(ln((gold + 0.5) * (n - linked - g + gold + 0.5) / ((linked - gold + 0.5) * (g - gold + 0.5))), 6) AS log_or FROM c WHERE linked <= g AND linked <= floor(n * 0.99)",
-    "auorc": f"WITH {SCORES}, " + CURVE.format(t="sc", p="PARTITION BY lang", s="m1") + ", q AS (SELECT lang, linked AS k, ln((gold + 0.5) * (n - linked - g + gold + 0.5) / ((linked - gold + 0.5) * (g - gold + 0.5))) AS v FROM c WHERE linked <= g AND linked <= floor(n * 0.99)), l AS (SELECT lang, k, v / k AS y, 1 / k AS w, lag(k) OVER o AS pk, lag(v / k) OVER o AS py, lag(1 / k) OVER o AS pw FROM q WINDOW o AS (PARTITION BY lang ORDER BY k)) SELECT lang, round(sum((k - pk) * (y + py)) / sum((k - pk) * (w + pw)), 6) AS auorc FROM l GROUP BY 1",
+    "auerc": f"WITH {SCORES}, {LONG}, " + CURVE.format(t="lg", p="PARTITION BY method, lang", s="score") + ", l AS (SELECT method, lang, recall AS x, enrichment * (1 - recall) AS yw, 1 - recall AS w, lag(recall) OVER o AS px, lag(enrichment * (1 - recall)) OVER o AS pyw, lag(1 - recall) OVER o AS pw, row_number() OVER o AS i, count(*) OVER (PARTITION BY method, lang) AS m FROM c WINDOW o AS (PARTITION BY method, lang ORDER BY linked)), a AS (SELECT method, lang, any_value(m) AS m, sum(CASE WHEN i = 1 THEN x * yw ELSE (x - px) * (yw + pyw) / 2 END) + sum(CASE WHEN i = m THEN (1 - x) * yw ELSE 0 END) AS area, sum(CASE WHEN i = 1 THEN x * w ELSE (x - px) * (w + pw) / 2 END) + sum(CASE WHEN i = m THEN (1 - x) * w ELSE 0 END) AS mass FROM l GROUP BY ALL) SELECT method, lang, CASE WHEN m >= 2 AND mass <> 0 THEN round(area / mass, 6) END AS auerc FROM a",
+    "topk_log_or": f"WITH {SCORES}, " + CURVE.format(t="sc", p="", s="m1") + " SELECT k, round(ln((gold + 0.5) * (n - k - g + gold + 0.5) / ((k - gold + 0.5) * (g - gold + 0.5))), 6) AS log_or FROM w WHERE g > 0 AND g < n AND k <= g AND k <= floor(n * 0.99)",
+    "auorc": f"WITH {SCORES}, " + CURVE.format(t="sc", p="PARTITION BY lang", s="m1") + ", q AS (SELECT lang, k, ln((gold + 0.5) * (n - k - g + gold + 0.5) / ((k - gold + 0.5) * (g - gold + 0.5))) AS v FROM w WHERE g > 0 AND g < n AND k <= g AND k <= floor(n * 0.99)), l AS (SELECT lang, k, v / k AS y, 1 / k AS w, lag(k) OVER o AS pk, lag(v / k) OVER o AS py, lag(1 / k) OVER o AS pw FROM q WINDOW o AS (PARTITION BY lang ORDER BY k)) SELECT lang, round(sum((k - pk) * (y + py)) / sum((k - pk) * (w + pw)), 6) AS auorc FROM l GROUP BY 1",
     "average_precision": f"WITH {SCORES}, " + ap("sc", "m1", "lang") + " SELECT lang, round(ap, 6) AS ap FROM apt",
-    "partial_ap": f"WITH {SCORES}, " + ap("sc", "m1", "") + ", q AS (SELECT rec, pre FROM pr WHERE rec <= 0.2 UNION ALL SELECT 0.0, 1.0), l AS (SELECT rec - lag(rec) OVER o AS dx, pre + lag(pre) OVER o AS h FROM q WINDOW o AS (ORDER BY rec, pre DESC)) SELECT round(coalesce(sum(dx * h / 2), 0) / 0.2, 6) AS pap FROM l",
+    "partial_ap": f"WITH {SCORES}, " + ap("sc", "m1", "") + ", q AS (SELECT rec, pre FROM pr WHERE rec <= 0.2 UNION ALL SELECT 0.0, 1.0), l AS (SELECT rec - lag(rec) OVER o AS dx, pre + lag(pre) OVER o AS h FROM q WINDOW o AS (ORDER BY rec, pre DESC)) SELECT round(sum(dx * h / 2) / 0.2, 6) AS pap FROM l",
     "bootstrap_metric_ci": f"WITH {SCORES}, " + reps("sc", 50, 17) + ", " + ap("rp", "m1", "rep", "weight") + " SELECT round(max(ap) FILTER (rep = 0), 6) AS estimate, round(stddev_samp(ap) FILTER (rep > 0), 5) AS bootstrap_sd, round(quantile_cont(ap, 0.025) FILTER (rep > 0), 5) AS ci_lower, round(quantile_cont(ap, 0.975) FILTER (rep > 0), 5) AS ci_upper, count(ap) FILTER (rep > 0) AS n_bootstrap FROM apt",
     "bootstrap_paired_difference": f"WITH {SCORES}, {LONG}, " + reps("lg", 50, 17) + ", " + ap("rp", "score", "method, rep", "weight") + ", d AS (SELECT a.method, a.rep, a.ap - b.ap AS d FROM apt a JOIN apt b ON a.rep = b.rep AND b.method = 'm2') SELECT method, round(max(d) FILTER (rep = 0), 5) + 0.0 AS diff_estimate, round(quantile_cont(d, 0.025) FILTER (rep > 0), 5) + 0.0 AS diff_ci_lower, round(quantile_cont(d, 0.975) FILTER (rep > 0), 5) + 0.0 AS diff_ci_upper, round(least(1.0, 2 * least(avg((d <= 0)::INT) FILTER (rep > 0), avg((d >= 0)::INT) FILTER (rep > 0))), 5) AS p_value FROM d GROUP BY 1",
     "entropy_specificity": base() + ", " + spec("x", "s") + " SELECT feature_id, round(specificity, 6) AS specificity, dominant FROM s",
@@ -189,9 +204,9 @@ SELECT side, feature_id, count(*) AS cells, sum(value) AS total FROM u GROUP BY
     "residual_pearson_alpha": base() + ", t AS (SELECT sum(value) AS t FROM y), d AS (SELECT c.cell_id, coalesce(sum(value), 0) AS d FROM cells c LEFT JOIN y USING (cell_id) GROUP BY 1), p AS (SELECT feature_id, sum(value) / any_value(t) AS p FROM y, t GROUP BY 1), f AS (SELECT d.cell_id, p.feature_id, coalesce(value, 0) AS v, d * p AS mu FROM d CROSS JOIN p LEFT JOIN y ON y.cell_id = d.cell_id AND y.feature_id = p.feature_id), a AS (SELECT feature_id, greatest(sum((v - mu) * (v - mu) - mu) / sum(mu * mu), 0) AS alpha FROM f GROUP BY 1) SELECT feature_id, round(any_value(alpha), 6) + 0.0 AS alpha, round(sum((v - mu) * (v - mu) / greatest(mu + alpha * mu * mu, 1e-8)), 3) AS squares, count(*) AS n FROM f JOIN a USING (feature_id) GROUP BY 1",
     "chunk_gap_check": "WITH c AS (SELECT o_orderkey // 500 AS c, min(o_orderkey) AS s, max(o_orderkey) + CASE WHEN (o_orderkey // 500) % 7 = 3 THEN 0 ELSE 1 END AS e FROM orders GROUP BY c), l AS (SELECT s, lag(e) OVER (ORDER BY s, e) AS p FROM c) SELECT p AS gap_start, s AS gap_end, s - p AS gap_length FROM l WHERE p IS NOT NULL AND p <> s",
     "consolidated_chunks": "SELECT l_orderkey, max(l_partkey) AS l_partkey FROM lineitem GROUP BY 1",
-    "canonical_peak": f"SELECT p_partkey, CASE WHEN regexp_matches(trim({PEAKNAME}), '(?i)^(?:chr)?([0-9XYMT]+)[:-]([0-9]+)-([0-9]+)$') THEN 'chr' || upper(regexp_extract(trim({PEAKNAME}), '(?i)^(?:chr)?([0-9XYMT]+)[:-]([0-9]+)-([0-9]+)$', 1)) || ':' || p_partkey || '-' || (p_partkey + 500) ELSE {PEAKNAME} END AS peak FROM part",
+    "canonical_peak": f"SELECT p_partkey, CASE WHEN regexp_matches(trim({PEAKNAME}), '(?i)^(?:chr)?([0-9XYMT]+)[:-]([0-9]+)-([0-9]+)$') THEN 'chr' || upper(regexp_extract(trim({PEAKNAME}), '(?i)^(?:chr)?([0-9XYMT]+)[:-]([0-9]+)-([0-9]+)$', 1)) || ':' || p_partkey || '-' || (p_partkey + 500) ELSE trim({PEAKNAME}) END AS peak FROM part",
     "strip_version": "SELECT p_partkey, 'ENSG' || p_partkey AS gene FROM part",
     "coord_parse": "SELECT p_partkey, 'chr' || p_size AS chrom, p_partkey AS start, CASE WHEN p_partkey % 3 = 0 THEN p_partkey ELSE p_partkey + 9 END AS \"end\" FROM part",
-    "chromosome_names": "SELECT CASE WHEN p_size > 45 THEN 'chrM' WHEN p_size > 40 THEN 'chrX' WHEN p_size > 35 THEN 'GL000' ELSE 'chr' || p_size END AS chrom, count(*) AS n FROM part GROUP BY 1",
+    "chromosome_names": "SELECT CASE WHEN p_size > 45 THEN 'chrM' WHEN p_size > 40 THEN 'x' WHEN p_size > 35 THEN 'GL000' ELSE 'chr' || p_size END AS chrom, count(*) AS n FROM part GROUP BY 1",
     "link_id_parts": "SELECT DISTINCT l_partkey || ';' || l_suppkey || ';' || l_returnflag AS id, CAST(l_partkey AS VARCHAR) AS peak, l_suppkey || ';' || l_returnflag AS gene FROM lineitem",
 }

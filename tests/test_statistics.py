@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import strings
 from spanloom.functions.special import cauchy_combined, lgamma, normal_sf
 from spanloom.operators import binning, meta, metrics, nulls, pairs, pvalues, residuals, specificity
 from spanloom.plans import evaluation, jobs
@@ -214,3 +217,77 @@ def test_links_tell_the_shortfall_of_their_bin(spark):
     assert got == {"a_a": 0, "b_b": 4, "a_b": 2}
     got = {r["grp"]: r["ctrl_short"] for r in jobs.with_shortfall(links, xb, None, jobs.Bins.parse("2.1.inf.inf.2")).collect()}
     assert got == {"a_a": 0, "b_b": 2, "a_b": 0}
+
+
+def test_curve_over_whole_range_and_unscored_rows(spark):
+    rows = lambda labels, scores=None: spark.createDataFrame([(i, float(i) if scores is None else scores[i], bool(x)) for i, x in enumerate(labels)], "id long, s double, y boolean")
+    got = metrics.auerc(rows([1, 0, 0, 1]), "s", "y", "id", weighted=False).first()["auerc"]
+    assert abs(got - (0.5 * 2 + 0.5 * (2 / 3 + 1) / 2)) < 1e-12
+    # a gold row without a score counts among all gold rows
+    some = rows([1, 0, 1, 1], [0.0, 1.0, 2.0, None])
+    curve = metrics.enrichment_curve(some, "s", "y", "id").orderBy("id").collect()
+    assert [round(r["recall"], 9) for r in curve] == [round(1 / 3, 9), round(1 / 3, 9), round(2 / 3, 9)]
+    assert metrics.auerc(rows([0, 0]), "s", "y", "id").first()["auerc"] is None
+    assert metrics.top_k_log_odds(some, "s", "y", "id").count() == 3
+    assert metrics.partial_average_precision(rows([0, 1, 0, 0]).withColumn("s", -F.col("s")), "s", "y", 0.2).first()["pap"] is not None
+    assert metrics.partial_average_precision(rows([1, 0]).withColumn("s", -F.col("s")), "s", "y", 0.2).first()["pap"] is None
+
+
+def test_curve_weights_are_copies(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.random(), rng.random() < 0.3, rng.randrange(4)) for i in range(80)]
+    one = spark.createDataFrame(rows, "id long, s double, y boolean, w int")
+    many = spark.createDataFrame([(k * 100 + c, s, y, 1) for k, (_, s, y, w) in enumerate(rows) for c in range(w)], "id long, s double, y boolean, w int")
+    for make in (lambda d, w: metrics.auerc(d, "s", "y", "id", weight=w), lambda d, w: metrics.auerc(d, "s", "y", "id", weighted=False, max_recall=0.2, weight=w), lambda d, w: metrics.auorc(d, "s", "y", "id", weight=w)):
+        a, b = make(one, "w").first()[0], make(many, None).first()[0]
+        assert abs(a - b) < 1e-9
+
+
+def test_false_discovery_counts_only_statistics_that_are_there(spark):
+    obs = spark.createDataFrame([(1, 3.0), (2, 1.0), (3, None), (4, None)], "key long, v double")
+    ctrl = spark.createDataFrame([(2.0,), (0.0,), (0.0,), (0.0,)], "c double")
+    got = pvalues.empirical_fdr(obs, ctrl, "v", "c", "key")
+    assert {r["key"]: r["q_value"] for r in got.collect()} == {1: 0.0, 2: 0.25, 3: None, 4: None}
+    assert pvalues.fdr_threshold(got, "v", 0.1).first()["t_star"] == 3.0 and pvalues.fdr_threshold(got, "v", 0.3).first()["t_star"] == 3.0
+
+
+def test_controls_of_two_features_overlap_as_chance_has_it(spark):
+    f = spark.range(2000).select((F.col("id") * 25).alias("feature_id"), F.lit("a").alias("bin"))
+    got = {}
+    for r in nulls.control_features(f, "bin", 100, seed=1).filter("feature_id < 1500").collect():
+        got.setdefault(r["feature_id"], []).append(r["ctrl_id"])
+    assert all(len(set(v)) == 100 and k not in v for k, v in got.items()) and len(got) == 60
+    shared = [len(set(a) & set(b)) for a, b in itertools.combinations(got.values(), 2)]
+    assert 4 < sum(shared) / len(shared) < 6 and max(shared) < 25
+    small = nulls.control_features(spark.range(8).select(F.col("id").alias("feature_id"), F.lit(0).alias("bin")), "bin", 5).collect()
+    assert len(small) == 40 and len({(r["feature_id"], r["ctrl_id"]) for r in small}) == 40
+    pairs = nulls.control_pairs(spark.range(300).select("id", F.lit("x").alias("bin")), spark.range(200).select("id", F.lit("y").alias("bin")), 500, seed=2).collect()
+    assert len({(r["left_id"], r["right_id"]) for r in pairs}) == 500
+    assert 200 < len({r["left_id"] for r in pairs}) and 150 < len({r["right_id"] for r in pairs})
+
+
+def test_width_bins_against_plain_python(spark):
+    rng = np.random.default_rng(2)
+    for x, q, least in ((rng.exponential(size=400) ** 2, 5, 30), (rng.normal(size=300), 4, 5), (rng.exponential(size=60), 6, 20), (np.repeat([1.0, 2.0, 9.0], 20), 3, 30)):
+        cut = lambda k, x=x: np.maximum((x[:, None] > x.min() + np.arange(k) * ((x.max() - x.min()) / k)).sum(1) - 1, 0)
+        quantile = lambda v, k: np.maximum((v[:, None] > np.unique(np.quantile(v, np.arange(k + 1) / k))[:-1]).sum(1) - 1, 0)
+        label, low, m = cut(q), q - q // 2, 1
+        while np.unique(label, return_counts=True)[1].min() < least:
+            if m > len(np.unique(x)) // least:
+                label = quantile(x, q)
+                break
+            label = cut(q * m)
+            up = label >= low
+            label[up] = low + quantile(x[up], low)
+            m += 1
+        rows = binning.width_bins(spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, v double"), "v", "id", q, least, "b").orderBy("id").collect()
+        assert [r["b"] for r in rows] == label.tolist()
+
+
+def test_names_of_chromosomes_and_peaks(spark):
+    names = ["1", "X", "x", "MT", "M", "chrMT", "chr1", "GL1", None]
+    got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i long, n string").orderBy("i").select(strings.normal_chromosome(F.col("n"))).collect()]
+    assert got == ["chr1", "chrX", "x", "chrM", "chrM", "chrMT", "chr1", "GL1", None]
+    peaks = ["1:100-200", "chr1-100-200", " CHRx:5-9 ", "chr1:100:200", "1-100", "chrUn:1-2", "a b", "mt-1-2", "1:-1-2", "", "chr:1-2", "1-2:3-4"]
+    got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(peaks)], "i long, n string").orderBy("i").select(strings.canonical_peak(F.col("n"))).collect()]
+    assert got == ["chr1:100-200", "chr1:100-200", "chrX:5-9", "chr1:100:200", "1-100", "chrUn:1-2", "a b", "chrMT:1-2", "1:-1-2", "", "chr:1-2", "1-2:3-4"]
