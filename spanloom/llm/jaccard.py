@@ -161,6 +161,18 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def sent_size(n: int, percent: int) -> int:
+    """Shingles of a set of n that are sent: a quarter more than :func:`prefix_size`, so that two within the radius share :func:`shared_least` of them."""
+    k = prefix_size(n, percent)
+    return k + -(-k // 4) - 1
+
+
+def shared_least(n: Column, percent: int) -> Column:
+    """How many of the sent shingles of a set of n any set within the radius, which has ``percent`` of its size at least, sends too."""
+    least = F.ceil(n * percent / 100)
+    return F.ceil((least - F.ceil(least * percent / 100) + 1) / 4)
+
+
 def rare_shingles(docs: DataFrame, levels: np.ndarray, size: int, percent: int) -> DataFrame:
     """(shingle, key, n): the rarest shingles of each set, enough that two within the radius share one.
 
@@ -178,7 +190,7 @@ def rare_shingles(docs: DataFrame, levels: np.ndarray, size: int, percent: int)
                 if not len(s) or (key := digest(s)) in seen:
                     continue
                 seen.add(key)
-                k, band = prefix_size(len(s), percent), s[: banded(s, percent)]
+                k, band = sent_size(len(s), percent), s[: banded(s, percent)]
                 order = np.argsort(levels[counter_of(band, len(levels))], kind="stable")[:k]  # by level, then by number
                 part = np.concatenate((band[order], s[len(band) : len(band) + k - len(order)]))
                 shingles.append(part.view(np.int64))
@@ -198,6 +210,7 @@ def rare_shingles(docs: DataFrame, levels: np.ndarray, size: int, percent: int)
 def pivot_regions(postings: DataFrame, percent: int) -> DataFrame:
     """(pivot, key, n): the regions that each set belongs to. Linear in the postings.
 
+    Sets that share too few of their sent shingles with any others are left out: nobody is within the radius.
     Of all sets that hold a rare shingle the one with the least key is the pivot, and all of them
     belong to its region. Two sets within the radius share a rare shingle, so they meet in the
     region of its pivot. Sizes fall into classes so wide that similar sets are in one class or in
@@ -205,6 +218,8 @@ def pivot_regions(postings: DataFrame, percent: int) -> DataFrame:
     """
     lists = postings.groupBy("shingle").agg(F.min("key").alias("_a"), F.max("key").alias("_b"), F.count("*").alias("_rows")).filter("_a < _b").select("shingle", "_rows")
     shared = stored(by_key(postings, stored(lists, "jaccard-lists"), ["shingle"]), "jaccard-shared")
+    enough = shared.groupBy("key").agg(F.count("*").alias("_c"), F.max("n").alias("_m")).filter(F.col("_c") >= shared_least(F.col("_m"), percent)).select("key")
+    shared = stored(shared.join(enough, "key", "left_semi"), "jaccard-shared")
     width = float(np.log(100 / percent) * (1 + 1e-9))
     own = F.floor(F.log("n") / width).cast("int")
     classed = shared.withColumn("_own", own).withColumn("class", F.explode(F.array(F.col("_own"), F.col("_own") - 1)))
