@@ -8,7 +8,10 @@ and how likely each pattern means personal data. A logistic classifier over vote
 trained on these probabilities and decides on the candidates that no fixed pattern covers.
 
 All work on rows is DataFrame code. Offsets are characters: they follow from the lengths of the
-matches and of the gaps between them, in one pass and without searching again.
+matches and of the gaps between them. Texts of any length and with any number of candidates take
+time in proportion: running sums go block by block (:func:`scan`), and characters are reached through
+pieces of the text (:func:`chunks_of`) instead of from its start. Candidates are written once, and
+both training and judgement read them from there.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The fixed patterns. Possessive groups and a look behind keep them linear on long runs; they find
@@ -39,10 +42,11 @@ LOOSE = {
 }
 #: What a text must hold for a pattern to be tried.
 NEEDED = {"email": "@", "ip": ".", "phone": "+"}
-LOOSE_NEEDED = {"email": r"(?:\(at\)|\[at\]| at ).*(?:\(dot\)|\[dot\]| dot )", "ip": r"(?:[0-9a-fA-F]{1,4}:){7}", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"0[0-9]{1,4}\)?(?:[ ./-]?[0-9]{2,4}){2}"}
+LOOSE_NEEDED = {"email": (r"\(at\)|\[at\]| at ", r"\(dot\)|\[dot\]| dot "), "ip": (r"(?:[0-9a-fA-F]{1,4}:){7}",), "card": (r"[0-9](?:[ -]?[0-9]){12}",), "phone": (r"0[0-9]{1,4}\)?(?:[ ./-]?[0-9]{2,4}){2}",)}
 #: Gazetteers: ends of domains, country codes, first digits of cards, first parts of ips that name no host.
 DOMAINS = ("com", "org", "net", "edu", "gov", "io", "info", "de", "fr", "es", "uk", "it", "nl", "eu", "ch", "at", "us")
 COUNTRIES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "82", "86", "90", "91")
+AREAS = ("01", "02", "030", "040", "05", "069", "07", "0800", "089", "091", "093")
 CARDS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "60", "64", "65", "62", "35", "30", "36", "38")
 NO_HOSTS = ("0.", "127.", "255.")
 #: Words before a span that speak for its kind, and words that speak against any.
@@ -54,18 +58,65 @@ BEFORE, AFTER = 40, 2
 LABELERS, ROUNDS, EPOCHS, SURE = 5, 30, 300, 0.9
 
 
+#: Elements of a block of a running total, and characters of a piece of a text.
+BLOCK, CHUNK = 256, 256
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` of a value that is computed once, however often it is used, also inside lambdas."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def scan(xs: Column, most: bool = False) -> Column:
+    """For each number (bigint) of an array the sum, or with ``most`` the maximum (at least 0), of those before it.
+
+    Blocks of BLOCK numbers are run through apart, each from the total of the blocks before, so that
+    no array grows number by number beyond a block.
+    """
+    join = (lambda a, b: F.greatest(a, b)) if most else (lambda a, b: a + b)
+    zero = F.lit(0).cast("long")
+
+    def before(first: Column, numbers: Column) -> Column:
+        begin = F.struct(first.alias("at"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(numbers, begin, lambda a, x: F.struct(join(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def whole(numbers: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / BLOCK).cast("int")), lambda i: F.slice(numbers, i * BLOCK + 1, F.lit(BLOCK)))
+        return let(blocks, lambda bs: F.flatten(F.zip_with(bs, before(zero, F.transform(bs, lambda b: F.aggregate(b, zero, join))), lambda b, o: before(o, b))))
+
+    return let(xs, lambda numbers: F.when(F.size(numbers) > 0, whole(numbers)).otherwise(F.array().cast("array<bigint>")))
+
+
 def spans_of(text: Column, matches: Column, pattern: str) -> Column:
     """Array of (start, end, value) of the matches, end exclusive."""
     gaps = F.slice(F.split(text, pattern), F.lit(1), F.size(matches))
-    pieces = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    pieces = F.zip_with(gaps, matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own"), m.alias("value")))
+
+    def placed(x: Column, before: Column) -> Column:
+        start = (before + x["gap"]).cast("int")
+        return F.struct(start.alias("start"), (start + x["own"]).alias("end"), x["value"].alias("value"))
+
+    return let(pieces, lambda ps: F.zip_with(ps, scan(F.transform(ps, lambda x: (x["gap"] + x["own"]).cast("long"))), placed))
+
+
+def chunks_of(text: Column) -> Column:
+    """The text in pieces of CHUNK characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
-    def add(a: Column, x: Column) -> Column:
-        s = a["at"] + x["gap"]
-        e = s + F.length(x["value"])
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("start"), e.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    return F.aggregate(pieces, start, add, lambda a: a["out"])
+def near(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end, at most CHUNK of them."""
+    k = F.floor(start / CHUNK).cast("int")
+    two = F.concat(F.coalesce(F.get(chunks, k), F.lit("")), F.coalesce(F.get(chunks, k + 1), F.lit("")))
+    return F.substring(two, start - k * CHUNK + 1, end - start)
+
+
+def part(chunks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end, any number of them."""
+    i, j = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    first, last = (F.coalesce(F.get(chunks, k), F.lit("")) for k in (i, j))
+    whole = F.concat(F.substring(first, start - i * CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(last, F.lit(1), end - j * CHUNK))
+    return F.when(start >= end, F.lit("")).when(i == j, F.substring(first, start - i * CHUNK + 1, end - start)).otherwise(whole)
 
 
 def digits(value: Column) -> Column:
@@ -92,7 +143,7 @@ def valid(kind: str) -> Callable[[Column], Column]:
     if kind == "ip":
         return lambda s: ip_parts(s["value"])
     if kind == "card":
-        return lambda s: F.length(digits(s["value"])).between(16, 19) & luhn(s["value"])
+        return lambda s: F.when(F.length(digits(s["value"])).between(16, 19), luhn(s["value"])).otherwise(F.lit(False))
     if kind == "phone":
         return lambda s: F.length(digits(s["value"])).between(8, 15)
     return lambda s: F.lit(True)
@@ -103,57 +154,85 @@ def vote(good: Column, bad: Column) -> Column:
 
 
 def votes(kind: str, base: bool, s: Column, before: Column, after: Column) -> Column:
-    """The five votes on a candidate."""
+    """The five votes on a candidate: pattern, shape, gazetteer, words before, characters around."""
     value, d, no = s["value"], digits(s["value"]), F.lit(False)
     if kind == "email":
         end = F.lower(F.regexp_extract(value, "([A-Za-z0-9-]+)$", 1))
         shape, listed = vote(end.rlike("^[a-z]{2,10}$"), ~end.rlike("^[a-z]{2,}$")), vote(end.isin(*DOMAINS), no)
+        strict = vote(value.rlike(r"[(\[]at[)\]]"), value.rlike(r" at ") & value.rlike(r" dot "))
     elif kind == "ip":
         shape, listed = vote(F.lit(True), no), vote(F.lit(True), F.lit(False) if not base else F.greatest(*[value.startswith(p) for p in NO_HOSTS]))
+        strict = vote(value.rlike("[a-fA-F]"), ~value.rlike("[1-9a-fA-F]"))
     elif kind == "card":
         ok = luhn(value)
         shape, listed = vote(ok, ~ok), vote(F.greatest(*[d.startswith(p) for p in CARDS]), ~F.greatest(*[d.startswith(p) for p in CARDS]))
+        strict = vote(value.rlike("^[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,3}$|^[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}$"), value.rlike("^[0-9]+$"))
     else:
         n = F.length(d)
-        shape, listed = vote(n.between(9, 13), ~n.between(8, 15)), vote(F.lit(base) & F.greatest(*[d.startswith(p) for p in COUNTRIES]), no)
-    near = F.lower(before)
-    said = vote(near.rlike(FOR[kind]), near.rlike(AGAINST))
+        shape = vote(n.between(9, 13), ~n.between(8, 15))
+        listed = vote(F.greatest(*[d.startswith(p) for p in (COUNTRIES if base else AREAS)]), no)
+        strict = vote(value.rlike(r"^\(|^0[0-9]+[ ./-]"), value.rlike("^[0-9]+$"))
+    said_by = F.lower(before)
+    said = vote(said_by.rlike(FOR[kind]), said_by.rlike(AGAINST))
     glued = before.rlike("[A-Za-z0-9]$") | after.rlike("^[A-Za-z0-9]")
-    return F.array(F.lit(1 if base else 0), shape, listed, said, vote(~glued, glued))
+    return F.array(F.lit(1) if base else strict, shape, listed, said, vote(~glued, glued))
+
+
+def apart(loose: Column, base: Column) -> Column:
+    """The loose candidates that touch no base span: both in order of their starts, with the furthest end of a base span
+    before each, and the nearest start of one after it."""
+    far = 2**31 - 1
+    bare = F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("o"), b["end"].alias("end"), F.lit(None).cast("int").alias("at")))
+    own = F.transform(loose, lambda x, i: F.struct(x["start"].alias("start"), F.lit(1).alias("o"), x["end"].alias("end"), i.alias("at")))
+
+    def alone(mixed: Column) -> Column:
+        end_before = scan(F.transform(mixed, lambda x: F.when(x["o"] == 0, x["end"]).otherwise(0).cast("long")), most=True)
+        start_after = F.reverse(scan(F.reverse(F.transform(mixed, lambda x: F.when(x["o"] == 0, far - x["start"]).otherwise(0).cast("long"))), most=True))
+        left = F.zip_with(mixed, end_before, lambda x, e: F.struct(x.alias("x"), ((x["o"] == 1) & (e <= x["start"])).alias("l")))
+        both = F.zip_with(left, start_after, lambda y, f: F.struct(y["x"]["at"].alias("at"), (y["l"] & (far - f >= y["x"]["end"])).alias("ok")))
+        return F.transform(F.filter(both, lambda t: t["ok"]), lambda t: F.get(loose, t["at"]))
 
+    return let(F.array_sort(F.concat(bare, own)), alone)
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Adds ``base`` and ``loose``: arrays of (kind, start, end, votes, shape) of every row's ``_text``."""
+
+CANDIDATE = "array<struct<kind:string,start:int,end:int,votes:array<int>,shape:int>>"
+
+
+def candidates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``columns`` with ``base`` and ``loose``: arrays of (kind, start, end, votes, shape) of every row's text."""
+    rows = docs.select(*columns, F.coalesce(docs["text"], F.lit("")).alias("_text"))
     text = F.col("_text")
     none = F.array().cast("array<string>")
     nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
     for name, patterns in (("b", BASE), ("l", LOOSE)):
         for kind, p in patterns.items():
-            guard = F.contains(text, F.lit(NEEDED[kind])) if name == "b" and kind in NEEDED else text.rlike("(?s)" + LOOSE_NEEDED[kind]) if name == "l" else F.lit(True)
+            guard = F.lit(True)
+            if name == "b" and kind in NEEDED:
+                guard = F.contains(text, F.lit(NEEDED[kind]))
+            elif name == "l":
+                for needed in LOOSE_NEEDED[kind]:
+                    guard = guard & text.rlike(needed)
             rows = rows.withColumn(f"_{name}{kind}", F.when(guard, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none))
     for name, patterns in (("b", BASE), ("l", LOOSE)):
         rows = rows.withColumns({f"_{name}{k}": F.when(F.size(f"_{name}{k}") > 0, spans_of(text, F.col(f"_{name}{k}"), p)).otherwise(nothing) for k, p in patterns.items()})
     rows = rows.withColumns({f"_b{k}": F.when(F.size(f"_b{k}") > 0, F.filter(f"_b{k}", valid(k))).otherwise(nothing) for k in KINDS})
+    found = sum((F.size(f"_{n}{k}") for n in "bl" for k in KINDS), F.lit(0))
+    rows = rows.withColumn("_chunks", F.when(found > 0, chunks_of(text)).otherwise(none))
 
     def judged(kind: str, base: bool) -> Callable[[Column], Column]:
         def one(s: Column) -> Column:
-            first = F.greatest(s["start"] - BEFORE, F.lit(0))
-            before, after = F.substring(text, first + 1, s["start"] - first), F.substring(text, s["end"] + 1, F.lit(AFTER))
+            before = near(F.col("_chunks"), F.greatest(s["start"] - BEFORE, F.lit(0)), s["start"])
+            after = near(F.col("_chunks"), s["end"], s["end"] + AFTER)
             share = F.floor(F.length(digits(s["value"])) * 3 / F.length(s["value"])).cast("int")
             size = F.least(F.floor(F.length(s["value"]) / 10), F.lit(3)).cast("int")
             return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), votes(kind, base, s, before, after).alias("votes"), (size * 4 + share).alias("shape"))
 
         return one
 
-    kept = [c for c in rows.columns if c[0] != "_" or c == "_text"]
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,votes:array<int>,shape:int>>")
+    empty = F.array().cast(CANDIDATE)
     parts = {name: F.concat(*[F.when(F.size(f"_{name[0]}{k}") > 0, F.transform(f"_{name[0]}{k}", judged(k, name == "base"))).otherwise(empty) for k in KINDS]) for name in ("base", "loose")}
-    rows = rows.select(*kept, parts["base"].alias("base"), parts["loose"].alias("loose"))
-
-    def clear(x: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-
-    return rows.withColumn("loose", F.when(F.size("loose") > 0, F.filter("loose", clear)).otherwise(F.col("loose")))
+    rows = rows.select(*columns, parts["base"].alias("base"), parts["loose"].alias("loose"))
+    return rows.withColumn("loose", F.when((F.size("loose") > 0) & (F.size("base") > 0), apart(F.col("loose"), F.col("base"))).otherwise(F.col("loose")))
 
 
 def reliabilities(counts: dict[tuple[int, ...], int]) -> dict[tuple[int, ...], float]:
@@ -193,13 +272,12 @@ def trained(rows: dict[tuple[tuple[int, ...], int], int], p: dict[tuple[int, ...
     return [round(x, 9) for x in w]
 
 
-def fit(docs: DataFrame) -> dict[str, list[float]]:
-    """Weights of the span classifier of each kind, from the votes on all candidates of all rows.
+def fit(found: DataFrame) -> dict[str, list[float]]:
+    """Weights of the span classifier of each kind, from the votes on all :func:`candidates` of all rows.
 
     What is gathered are counts by kind, votes and shape: at most 4 * 3**5 * 16 rows.
     """
-    rows = candidates(docs.select(F.coalesce("text", F.lit("")).alias("_text")))
-    counts = rows.select(F.explode(F.concat("base", "loose")).alias("c")).groupBy("c.kind", "c.votes", "c.shape").count().collect()
+    counts = found.select(F.explode(F.concat("base", "loose")).alias("c")).groupBy("c.kind", "c.votes", "c.shape").count().collect()
     out = {}
     for kind in KINDS:
         own = {(tuple(r["votes"]), r["shape"]): r["count"] for r in counts if r["kind"] == kind}
@@ -210,44 +288,49 @@ def fit(docs: DataFrame) -> dict[str, list[float]]:
     return out
 
 
-def find_pii(docs: DataFrame, weights: dict[str, list[float]], columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of every row, ``base`` and ``spans``: arrays of (kind, start, end), by kind and start.
-
-    Null and empty texts have no spans. Repeated rows are judged alike, an empty table gives an
-    empty result, and only text and ``columns`` are read, so further columns of any name do no
-    harm. Base spans always stay; added ones touch no base span.
-    """
-    rows = candidates(docs.select(*columns, F.coalesce(docs["text"], F.lit("")).alias("_text")))
+def judged_spans(found: DataFrame, weights: dict[str, list[float]], columns: tuple[str, ...]) -> DataFrame:
+    """``columns``, ``base`` and ``spans`` of :func:`candidates`: base spans and the loose ones that the classifier is sure of."""
     model = F.array(*[F.array(*[F.lit(x) for x in weights[k]]) for k in KINDS])
+    order = F.array(*[F.lit(k) for k in KINDS])
 
     def sure(c: Column) -> Column:
-        own = F.get(model, F.array_position(F.array(*[F.lit(k) for k in KINDS]), c["kind"]).cast("int") - 1)
+        own = F.get(model, F.array_position(order, c["kind"]).cast("int") - 1)
         z = F.get(own, F.lit(0)) + F.get(own, c["shape"] + (1 + LABELERS * 3))
         for j in range(LABELERS):
             z = z + F.get(own, F.get(c["votes"], F.lit(j)) + (2 + j * 3))
         return z >= math.log(SURE / (1 - SURE))
 
-    order = F.array(*[F.lit(k) for k in KINDS])
-
     def bare(xs: Column) -> Column:
         keyed = F.array_sort(F.transform(xs, lambda c: F.struct(F.array_position(order, c["kind"]).alias("o"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
         return F.transform(keyed, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
 
     added = F.when(F.size("loose") > 0, F.filter("loose", sure)).otherwise(F.col("loose"))
-    return rows.select(*columns, "_text", bare(F.col("base")).alias("base"), bare(F.concat("base", added)).alias("spans")).select(*columns, "_text", "base", "spans")
+    rows = found.select(*columns, bare(F.col("base")).alias("_base"), bare(F.concat("base", added)).alias("_spans"))
+    return rows.select(*columns, F.col("_base").alias("base"), F.col("_spans").alias("spans"))
+
+
+def find_pii(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``columns`` of every row, ``base`` and ``spans``: arrays of (kind, start, end), by kind and start.
+
+    Null and empty texts have no spans. Repeated rows are judged alike, an empty table gives an
+    empty result, and only text and ``columns`` are read, so further columns of any name but base,
+    loose and spans do no harm. Base spans always stay; added ones touch no base span.
+    """
+    found = stored(candidates(docs, columns), "pii-candidates")
+    return judged_spans(found, fit(found), columns)
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind; of spans that overlap, the first names the place."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def add(a: Column, s: Column) -> Column:
-        gap = F.concat(F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(gap))).alias("out"))
+    def rebuilt(chunks: Column, ordered: Column) -> Column:
+        end_before = scan(F.transform(ordered, lambda s: s["end"].cast("long")), most=True)
+        parts = F.zip_with(ordered, end_before, lambda s, e: F.when(s["start"] < e, F.lit("")).otherwise(F.concat(part(chunks, e.cast("int"), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
+        last = F.array_max(F.transform(ordered, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), part(chunks, last, F.size(chunks) * CHUNK))
 
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    whole = F.aggregate(by_start, start, add, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, let(chunks_of(text), lambda chunks: let(by_start, lambda ordered: rebuilt(chunks, ordered)))).otherwise(text)
 
 
 def span_text(spans: str) -> Column:
@@ -259,7 +342,6 @@ def of_kind(kind: str) -> Callable[[Column], Column]:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = find_pii(docs, fit(docs))
+    found = find_pii(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
