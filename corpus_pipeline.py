@@ -17,7 +17,7 @@ from spanloom.llm.common import bounded_batches, shared_dir, table
 from spanloom.llm.contamination import decontaminated
 from spanloom.llm.jaccard import without_near_copies
 from spanloom.llm.mixing import mix_documents
-from spanloom.llm.pii import find_pii, fit, redacted
+from spanloom.llm.pii import find_pii, redacted
 from spanloom.llm.quality import resample
 
 
@@ -67,9 +67,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars follows the text."""
     names = tuple(docs.columns)
-    found = find_pii(docs, fit(docs), names)
-    text = F.when(F.col("text").isNotNull(), redacted(F.col("_text"), F.col("spans")))
-    found = found.withColumn("text", text)
+    found = find_pii(docs, names)
+    found = found.withColumn("text", redacted(F.col("text"), F.col("spans")))
     if "n_chars" in names:
         found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*names)
