@@ -7,13 +7,20 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Shared folder used where the session names none, as in local tests.
+#: Shared folder of a session on one machine that names none, as in local tests.
 FALLBACK_SHARED = "/tmp/spanloom-shared"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, else a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    On one machine a folder of its own does; on a cluster it must be named, since executors would
+    write each to its own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or FALLBACK_SHARED
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:

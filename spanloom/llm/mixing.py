@@ -29,6 +29,20 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranked(df: DataFrame, by: str, turn: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Adds the number of each row (from 1) in order of ``by``, null last, and running ``sums``, by ranges of the order.
+
+    Only the totals of the ranges, one row each, go through a window without partitions.
+    """
+    sums = {turn: F.lit(1)} | (sums or {})
+    rows = stored(df.repartitionByRange(F.col(by).asc_nulls_last()).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    parts = rows.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{k}") for k, c in sums.items()])
+    order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_range", *[F.coalesce(F.sum(f"_t_{k}").over(order), F.lit(0)).alias(f"_b_{k}") for k in sums])
+    inner = Window.partitionBy("_range").orderBy(F.col(by).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(F.broadcast(parts), "_range").withColumns({k: F.sum(c).over(inner) + F.col(f"_b_{k}") for k, c in sums.items()}).drop("_range", *[f"_b_{k}" for k in sums])
+
+
 def source_targets(sizes: DataFrame, total_percent: int = TOTAL_PERCENT, most: int = MOST_COPIES, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
     """Targets of the sources by water filling: source, source_size, weight, target.
 
@@ -37,19 +51,20 @@ def source_targets(sizes: DataFrame, total_percent: int = TOTAL_PERCENT, most: i
     would get beyond ``most`` times its size is shared again by weight until no target is above.
     An empty table gives no rows; sources of size 0 get a target of 0.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())  # over one row a source
     weights = F.array(*[F.lit(float(w)) for w in cycle])
-    w = sizes.withColumn("weight", F.get(weights, ((F.row_number().over(order) - 1) % len(cycle)).cast("int")))
+    w = ranked(sizes, "source", "_turn").withColumn("weight", F.get(weights, ((F.col("_turn") - 1) % len(cycle)).cast("int"))).drop("_turn")
     w = stored(w.withColumn("cap", (F.col("source_size") * most).cast("double")), "mix-sources")
-    budget = (w.agg(F.sum("source_size")).first()[0] or 0) * total_percent / 100
-    level, capped = 0.0, -1
-    while True:  # each turn caps one more source at least
-        over = F.col("cap") <= F.lit(level) * F.col("weight")
-        n, fixed, rest = w.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
-        if n == capped or rest == 0:
-            break
-        capped, level = n, (budget - fixed) / rest
-    target = F.col("cap") if rest == 0 else F.least(F.col("cap"), F.lit(level) * F.col("weight"))
+    total, caps, all_weights = w.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("cap"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    budget = total * total_percent / 100
+    # the level at which the capped sources' caps and the others' shares make up the budget: sources
+    # are capped in order of cap / weight, and a source is capped if the budget reaches its edge
+    edges = w.groupBy((F.col("cap") / F.col("weight")).alias("edge")).agg(F.sum("cap").alias("_cap"), F.sum("weight").alias("_weight"))
+    upto = ranked(edges, "edge", "_turn", {"fixed": F.col("_cap"), "gone": F.col("_weight")})
+    reached = upto.withColumn("need", F.col("fixed") + F.col("edge") * (F.lit(all_weights) - F.col("gone"))).filter(F.col("need") <= budget)
+    fixed, gone = reached.agg(F.coalesce(F.max("fixed"), F.lit(0.0)), F.coalesce(F.max("gone"), F.lit(0.0))).first()
+    rest = all_weights - gone
+    level = (budget - fixed) / rest if rest > 0 and caps > budget else float("inf")
+    target = F.least(F.col("cap"), F.lit(level) * F.col("weight"))
     return w.select("source", "source_size", "weight", target.alias("target"))
 
 

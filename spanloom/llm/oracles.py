@@ -48,10 +48,13 @@ def warc_sql() -> str:
     def sq(x: str) -> str:
         return x.replace("'", "''")
 
+    names = "MAP {" + ", ".join(f"'{n}': '{sq(c)}'" for n, c in warc.REFERENCES.items()) + "}"
+    number = "CASE WHEN c BETWEEN 1 AND 1114111 AND NOT c BETWEEN 55296 AND 57343 THEN chr(c::INTEGER) ELSE chr(65533) END"
+
     def decoded(x: str) -> str:
-        for name, char in warc.REFERENCES:
-            x = f"replace({x}, '{sq(name)}', '{sq(char)}')"
-        return x
+        """Every character reference in turn, by the pieces between them."""
+        one = f"CASE WHEN r[2] = '#' THEN list_transform([CAST(CASE WHEN lower(r[3]) = 'x' THEN '0x' || r[4:-2] ELSE r[3:-2] END AS BIGINT)], lambda c: {number})[1] ELSE coalesce(map_extract({names}, r[2:-2])[1], r) END"
+        return f"CASE WHEN regexp_matches({x}, '{warc.REFERENCE}') THEN array_to_string(list_transform(list_zip(string_split_regex({x}, '{warc.REFERENCE}'), list_concat(list_transform(regexp_extract_all({x}, '{warc.REFERENCE}'), lambda r: {one}), [''])), lambda p: p[1] || p[2]), '') ELSE {x} END"
 
     def squeezed(x: str) -> str:
         return rf"trim(regexp_replace({x}, '[ \t\n\r\f]+', ' ', 'g'), ' ')"
@@ -78,7 +81,7 @@ def url_sql() -> str:
         rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{said}' ELSE {verdict} END"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""WITH u AS (SELECT page_id, url, {lower.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '')")} AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-  CAST('0x' || substr(sha256('url' || coalesce(url, '')), 1, 12) AS BIGINT) % {urls.HELD_OUT} = 0 AS held, regexp_replace(translate({lower.format("coalesce(url, '')")}, '123456789', '000000000'), '[^a-z0./:_?=&#%+~-]', '~', 'g') AS norm FROM pages),
+  CAST('0x' || substr(sha256('url' || host), 1, 12) AS BIGINT) % {urls.HELD_OUT} = 0 AS held, regexp_replace(translate({lower.format("coalesce(url, '')")}, '123456789', '000000000'), '[^a-z0./:_?=&#%+~-]', '~', 'g') AS norm FROM pages),
 r AS (SELECT *, {rule} AS rule, {verdict} AS ruled, row_number() OVER () AS id FROM u),
 g AS (SELECT id, ruled, held, instr('{urls.ALPHABET}', substr(s, p, 1)) - 1 AS x, instr('{urls.ALPHABET}', substr(s, p + 1, 1)) - 1 AS y, instr('{urls.ALPHABET}', substr(s, p + 2, 1)) - 1 AS z FROM (SELECT id, ruled, held, '^^' || norm AS s, unnest(range(1, length(norm) + 1)) AS p FROM r)),
 c AS (SELECT x, y, z, count(*) FILTER (ruled = 'allow') AS acc, count(*) FILTER (ruled = 'block') AS rej FROM g WHERE ruled IS NOT NULL AND NOT held GROUP BY ALL),
@@ -89,7 +92,7 @@ lr AS (SELECT x, y, z, CAST(round((ln(p_acc) - ln(p_rej)) * {unit}) AS BIGINT) A
 sc AS (SELECT id, CAST(floor(sum(lr) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS units FROM g JOIN lr USING (x, y, z) GROUP BY 1),
 f AS (SELECT r.*, coalesce(units, 0) AS units, greatest(-{urls.FURTHEST}, least({urls.FURTHEST}, CAST(floor(coalesce(units, 0) / {urls.BUCKET}.0::DOUBLE) AS BIGINT))) AS bucket FROM r LEFT JOIN sc USING (id)),
 h AS (SELECT bucket, sum(k) OVER (ORDER BY bucket) AS upto, sum(k) OVER () AS total FROM (SELECT bucket, count(*) FILTER (ruled = 'allow') AS k FROM f WHERE ruled IS NOT NULL AND held GROUP BY 1)),
-cut AS (SELECT least(min(bucket) FILTER (upto * 100 > total * {urls.LOSS_PERCENT}), 0) AS cut FROM h WHERE total > 0)
+cut AS (SELECT CASE WHEN min(bucket) FILTER (upto * 100 > total * {urls.LOSS_PERCENT}) < 0 THEN min(bucket) FILTER (upto * 100 > total * {urls.LOSS_PERCENT}) WHEN min(bucket) FILTER (upto * 100 > total * {urls.LOSS_PERCENT}) >= 0 THEN 0 END AS cut FROM h WHERE total > 0)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bucket < cut THEN 'block' ELSE 'allow' END) AS verdict, units / {unit}.0::DOUBLE AS score FROM f, cut"""
 
 

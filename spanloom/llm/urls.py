@@ -4,8 +4,8 @@ URLs that a rule decides train two smoothed variable-order Markov models over ch
 the accepted and one of the rejected. Order two is interpolated with order one and that with order
 zero, each with KAPPA pseudo-counts of the lower order, so contexts that were seen often count for
 themselves and rare ones fall back. A URL without a rule is blocked if its log-likelihood
-difference a character lies under a threshold, which is calibrated on labelled URLs held out of
-training. Everything is DataFrame code; the model is one array of ALPHABET**3 numbers.
+difference a character lies under a threshold, which is calibrated on labelled URLs of hosts that
+are held out of training. Everything is DataFrame code; the model is one array of ALPHABET**3 numbers.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 ALPHABET = "^abcdefghijklmnopqrstuvwxyz0./:-_?=&#%+~"
 #: Pseudo-counts of the lower order.
 KAPPA = 8.0
-#: One in so many labelled URLs, by hash, is held out for calibration.
+#: One in so many hosts, by hash, is held out with all its labelled URLs for calibration.
 HELD_OUT = 5
 #: Largest share of accepted held-out URLs that the threshold may lose, in percent.
 LOSS_PERCENT = 1
@@ -96,7 +96,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, loss_per
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), (key_hash(F.col("url"), "url") % HELD_OUT == 0).alias("held"), contexts(symbols(F.col("url"))).alias("grams"))
+    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), (key_hash(F.col("host"), "url") % HELD_OUT == 0).alias("held"), contexts(symbols(F.col("url"))).alias("grams"))
     rows = stored(rows, "urls")
     trained = rows.filter(F.col("ruled").isNotNull() & ~F.col("held"))
     said = trained.select(F.explode("grams").alias("i"), (F.col("ruled") == "allow").alias("good"))

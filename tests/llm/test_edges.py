@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import random
 import re
 import time
@@ -332,3 +333,25 @@ def test_words_of_flat_arrays():
     assert set(again.hashes().tolist()) == set(w.hashes()[:2].tolist())
     long = Words(*flat_bytes(pa.array(["a" * 256 + "b" + "a" * 300, "b" + "a" * 556])))
     assert len(set(long.hashes().tolist())) == 2
+
+
+def test_warc_blocks_that_hold_the_first_line_of_a_record(spark, tmp_path):
+    blocks = ["plain", "a\r\nWARC/1.1\r\nWARC-Type: fake\r\n\r\nb", "WARC/1.1\r\n", "", "é WARC/1.1\r\nWARC/1.1\r\n end"]
+    page = "<html><title>T</title><p>x &amp; y</p></html>"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n{page}"
+    whole = b"".join(f"WARC/1.1\r\nWARC-Type: {'response' if b is http else 'resource'}\r\nWARC-Record-ID: <id:{i}>\r\nContent-Length: {len(b.encode())}\r\n\r\n{b}\r\n\r\n".encode() for i, b in enumerate([*blocks, http]))
+    (tmp_path / "a.warc").write_bytes(whole)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(whole))
+    for name in ("a.warc", "b.warc.gz"):
+        read = warc.read_records(spark, str(tmp_path / name))
+        assert {r["headers"]["warc-record-id"]: r["block"] for r in read.collect()} == {f"<id:{i}>": b for i, b in enumerate([*blocks, http])}
+        made = {r["record_type"]: r for r in warc.derivatives(warc.responses_of(read)).collect()}
+        assert made["conversion"]["block"] == "T x & y" and made["conversion"]["refers_to"] == "<id:5>" and "Content-Type: text/html" in made["metadata"]["block"]
+
+
+def test_markup_is_linear_and_references_are_decoded(spark):
+    texts = ["<script x " * 100_000, "<!-- " * 200_000, "<a " * 300_000, "&eacute;&#233;&#x2014;&bogus;&#xD800;&amp;lt; &#99999999; &copy; 1 &lt; 2", "a<!-- b --> c <script>if (1<2) '<!--'</script> d <style>x</style>e<p>f"]
+    began = time.time()
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(warc.plain_text(F.col("t"))).collect()]
+    assert time.time() - began < 30
+    assert got == ["", "", "", "éé—&bogus;\ufffd&lt; &#99999999; © 1 < 2", "a c d e f"]
