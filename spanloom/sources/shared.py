@@ -6,12 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where the session names no ``spark.checkpoint.dir``, as in local tests.
+#: Where a session on one machine names no ``spark.checkpoint.dir``, as in local tests.
 FALLBACK = "/tmp/spanloom-shared"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK
+    """``spark.checkpoint.dir``; on a cluster it must be named, since executors would write each to its own disk."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or FALLBACK
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
