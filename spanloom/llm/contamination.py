@@ -1,14 +1,17 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised test items.
 
 Texts are normalised on bytes: A-Z become lower case, every other ASCII character that is no
-letter or digit becomes a blank, and bytes of non-ASCII characters stay. Words joined by single
-blanks, with a blank at both ends, make substring search the same as search by whole words. The
-automaton holds every window of the benchmark once and reports all its occurrences in one scan of
-a text; word numbers of the hits lead back to character offsets of the original text.
+letter or digit becomes a blank, and bytes of non-ASCII characters stay. The automaton's symbols are
+the benchmark's words. Any window of ten words holds a whole block of five that starts at a multiple
+of five in its item, so the automaton holds these blocks, about one state a word of the benchmark,
+and reports all their occurrences in one scan of a text. Each is widened both ways along its item; a
+common run of ten words or more is hit. Items of fewer words must be found whole. Word numbers of
+the hits lead back to character offsets of the original text.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,9 +24,10 @@ from .common import stored, table
 
 #: Words of a window; an item of fewer words is one window as a whole.
 WINDOW = 10
-#: Text of windows that one automaton may hold. A larger benchmark is dealt to several automata, and
-#: the texts pass through them one after the other, so that memory stays bounded.
-AUTOMATON_BYTES = 4_000_000
+#: Text of items that one automaton may hold, which is broadcast and takes some ten times its size in a
+#: worker. Only a larger benchmark is dealt to several automata, and the texts pass through them one
+#: after the other, so that memory stays bounded.
+AUTOMATON_BYTES = 64_000_000
 
 #: Bytes to lower case, separators to blank; bytes from 0x80 belong to words.
 NORMAL = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -33,62 +37,79 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(NORMAL).split() if text else []
 
 
-def windows_of(words: list[bytes], size: int = WINDOW) -> set[bytes]:
-    """The windows of an item: none without words, the whole item under ``size`` words."""
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+Item = tuple[str | None, bytes | None]
 
 
-def automata_of(items: Iterable[tuple[str, bytes | None]], size: int = WINDOW, limit: int = AUTOMATON_BYTES) -> Iterator[dict[str, tuple[int, list[str]]]]:
-    """Windows with their word counts and items, in parts of about ``limit`` bytes of text; one empty part without any.
-
-    Items are taken one after the other and forgotten with their part, so a test set of any size
-    needs the memory of one part.
-    """
-    owners: dict[bytes, set[str]] = {}
-    filled = parts = 0
-
-    def packed() -> dict[str, tuple[int, list[str]]]:
-        return {f" {w.decode('latin-1')} ": (w.count(b" ") + 1, sorted(owners[w])) for w in sorted(owners)}
-
+def parts_of(items: Iterable[Item], limit: int = AUTOMATON_BYTES) -> Iterator[list[Item]]:
+    """Items in parts of about ``limit`` bytes of text; one empty part without any."""
+    part: list[Item] = []
+    held = n = 0
     for item, text in items:
-        for w in sorted(windows_of(words_of(text), size)):
-            if w not in owners:
-                if filled > limit:
-                    yield packed()
-                    owners, filled, parts = {}, 0, parts + 1
-                filled += len(w)
-            owners.setdefault(w, set()).add(item)
-    if owners or not parts:
-        yield packed()
+        if held > limit:
+            yield part
+            part, held, n = [], 0, n + 1
+        part.append((item, text))
+        held += len(text or b"")
+    if part or not n:
+        yield part
 
 
 class Scanner:
-    """Finds the windows of one automaton in texts."""
+    """Finds the windows of items in texts."""
 
-    def __init__(self, windows: dict[str, tuple[int, list[str]]]):
+    def __init__(self, items: list[Item], size: int = WINDOW):
         import ahocorasick
 
-        self.found = ahocorasick.Automaton()
-        for w, value in windows.items():
-            self.found.add_word(w, value)
-        if windows:
+        self.size, block = size, (size + 1) // 2
+        self.numbers: dict[bytes, int] = {}
+        self.items: list[str | None] = []
+        self.words: list[array] = []
+        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        seen: set[tuple[str | None, bytes | None]] = set()
+        for item, text in items:
+            if (item, text) in seen or not (words := words_of(text)):
+                continue
+            seen.add((item, text))
+            own = array("I", [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words])  # 0 is any other word
+            for at in [0] if len(own) < size else range(0, len(own) - block + 1, block):
+                places.setdefault(tuple(own[at : at + block]), []).append((len(self.items), at))
+            self.items.append(item)
+            self.words.append(own)
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, value in places.items():
+            self.found.add_word(key, (len(key), value))
+        self.empty = not places
+        if places:
             self.found.make_automaton()
-        self.empty = not windows
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Runs of hit words (first, end), merged, and the items found."""
+        """Runs of hit words (first, end), merged, and the items found; items without a name are hit but not told."""
         if self.empty or not words:
             return [], set()
-        line = b" " + b" ".join(words) + b" "
-        matches = list(self.found.iter(line.decode("latin-1")))
-        if not matches:
-            return [], set()
-        blanks = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-        ends = np.searchsorted(blanks, [m[0] for m in matches])  # the blank after the last word: its number is the word's end
-        spans = sorted((int(e) - n, int(e)) for e, (_, (n, _)) in zip(ends, matches))
-        return merged(spans), {item for _, (_, items) in matches for item in items}
+        get = self.numbers.get
+        text = tuple([get(w, 0) for w in words])
+        spans: list[tuple[int, int]] = []
+        names: set[str] = set()
+        upto: dict[tuple[int, int], int] = {}  # by item and shift against the text: the end of the run looked at last
+        for end, (length, places) in self.found.iter(text):
+            first = end - length + 1
+            for item, at in places:
+                key = (item, first - at)
+                if upto.get(key, -1) > first:
+                    continue
+                own = self.words[item]
+                a, i = first, at
+                while a and i and text[a - 1] == own[i - 1]:
+                    a, i = a - 1, i - 1
+                b, j = end + 1, at + length
+                while b < len(text) and j < len(own) and text[b] == own[j]:
+                    b, j = b + 1, j + 1
+                upto[key] = b
+                if b - a >= min(self.size, len(own)):
+                    spans.append((a, b))
+                    if self.items[item] is not None:
+                        names.add(self.items[item])
+        return merged(spans), names
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -114,7 +135,7 @@ def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
 FIELDS = "_words long, _runs array<struct<first:int,end:int>>, _items array<string>, spans array<struct<start:int,end:int>>"
 
 
-def _scanned(rows: DataFrame, part: dict, first: bool) -> DataFrame:
+def _scanned(rows: DataFrame, part: list[Item], first: bool, size: int) -> DataFrame:
     """One pass through one automaton: merges its hits with those that the rows carry."""
     sent = rows.sparkSession.sparkContext.broadcast(part)
     kept = [c for c in rows.columns if c not in ("_words", "_runs", "_items", "spans")]
@@ -124,7 +145,7 @@ def _scanned(rows: DataFrame, part: dict, first: bool) -> DataFrame:
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(sent.value)
+        scanner = Scanner(sent.value, size)
         for batch in batches:
             counts, all_runs, all_items, all_spans = [], [], [], []
             before = None if first else (batch.column("_runs").to_pylist(), batch.column("_items").to_pylist())
@@ -154,15 +175,16 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...]
     ``spans`` are the hit passages in characters of the original text. A null or empty text has no
     words and no hits; null or empty items have no windows; repeated rows are judged one by one; an
     empty benchmark hits nothing; columns beyond doc_id, text, item_id and ``carry`` aren't read.
-    The test set streams through the driver; each part of it is one pass over the documents.
+    Items without item_id hit words, but are not among the items. The test set streams through the
+    driver; up to ``limit`` bytes of it are one automaton and one pass over the documents.
     """
-    items = ((str(r["item_id"]), r["text"]) for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).toLocalIterator())
+    items = ((r["item_id"], r["text"]) for r in benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).toLocalIterator())
     rows = docs.select(*carry) if "text" in carry else docs.select(*carry, F.col("text").cast("binary").alias("_bytes"))
-    parts = automata_of(items, size, limit)
+    parts = parts_of(items, limit)
     part, first = next(parts), True
     while part is not None:
         following = next(parts, None)
-        rows = _scanned(rows, part, first)
+        rows = _scanned(rows, part, first, size)
         if following is not None:  # else two automata would be held at once
             rows = stored(rows, "leaks")
         part, first = following, False

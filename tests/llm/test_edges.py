@@ -169,6 +169,23 @@ def test_decontamination_with_several_automata_and_offsets(spark):
         assert text[s["start"] : s["end"]].startswith(f"WORD{r['doc_id']}") and text[s["start"] : s["end"]].endswith("ten")
 
 
+def test_windows_of_random_words_against_brute_force(spark):
+    rng = random.Random(2)
+    some = lambda n: " ".join(rng.choice("a b c d e".split()) for _ in range(n))
+    items = [(i, some(rng.randrange(0, 26))) for i in range(40)] + [(None, some(12)), (7, None), (7, "z y x w v u t s r q p o")]
+    docs = []
+    for i in range(200):
+        tail = rng.choice([t for _, t in items if t])
+        docs.append((i, f"{some(rng.randrange(0, 60))} {tail} {some(rng.randrange(0, 9))}" if i % 2 else some(rng.randrange(0, 120))))
+    rows = contamination.scan_documents(spark.createDataFrame(docs, "doc_id long, text string"), bench(spark, items)).collect()
+    want = brute.leaks(docs, [x for x in items if x[0] is not None])
+    named = {i: tuple(w[2:3]) for i, w in want.items()}
+    all_hits = brute.leaks(docs, items)
+    for r in rows:
+        assert (r["n_words"], r["n_hit"]) == all_hits[r["doc_id"]][:2] and (r["n_items"],) == named[r["doc_id"]]
+        assert brute.sha(",".join(r["item_ids"])) == want[r["doc_id"]][3]
+
+
 def test_mixing_leaves_null_sources_and_zero_sizes_whole(spark):
     d = spark.createDataFrame([(1, "a b", None), (1, "a b", None), (2, None, "z"), (3, "c d e f", "a")], "doc_id long, text string, source string")
     rows = mixing.mix_documents(d).collect()
