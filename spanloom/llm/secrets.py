@@ -1,12 +1,15 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with false-discovery control.
 
 Long tokens that no pattern covers are tested twice. First, the encoding is inferred from the
-characters, and a token whose symbols are not uniform over its alphabet (chi-squared), whose runs
-about the median are too few or too many, or whose neighbours correlate, is no random string. Then
-what remains gets a p-value against ordinary text: how often would text of this corpus, with its
-letter frequencies and its rate of changes between capitals, small letters, digits and marks, look
-as mixed as this? All long tokens of the corpus count as tests, and within each class of lengths
-the Benjamini-Hochberg rule keeps the share of false finds under LEVEL.
+characters, and three tests ask whether its symbols are uniform over the alphabet (chi-squared),
+whether there are too few or too many runs about the median, and whether neighbours correlate. Their
+p-values make one (three times the least, which holds however they depend on each other), and within
+each class of lengths the Benjamini-Hochberg rule over all tested tokens of the corpus says which are
+no random strings, such that at most REJECT of those turned down are random after all. Second, what
+remains gets a p-value against ordinary text: how often would text of this corpus, with its letter
+frequencies and its rate of changes between capitals, small letters, digits and marks, look as mixed
+as this? All long tokens count as tests, and by the same rule the share of false finds within a
+class of lengths stays under LEVEL.
 """
 
 from __future__ import annotations
@@ -33,15 +36,15 @@ KINDS = ("assign", "access", "hex", "random")
 #: Shortest token that is tested, and the lengths at which a new class begins.
 LEAST = 20
 CLASSES = (20, 28, 40, 64)
-#: Share of false finds within a class, and the p-value under which a test rejects randomness.
+#: Share of false finds within a class of lengths, and share of random strings among those that the battery turns down.
 LEVEL, REJECT = 0.001, 0.001
 TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 PLAIN = re.compile(rb"[A-Za-z]{20,}")
 #: What a token falls into: '=' stays only at its end, as padding; runs that have the marks of one base64 alphabet.
 PART = re.compile(rb"[A-Za-z0-9+/_-]+(?:=+\Z)?")
 RUNS = (re.compile(rb"[A-Za-z0-9+/]+=*"), re.compile(rb"[A-Za-z0-9_-]+=*"))
-#: p-values are kept by tenths of their negative decimal logarithm, up to BINS of them.
-BINS = 400
+#: p-values are kept by tenths of their negative decimal logarithm, up to BINS of them, those of the battery up to BATTERY_BINS.
+BINS, BATTERY_BINS = 400, 100
 
 CLASS_OF = np.full(256, 3, np.int8)
 CLASS_OF[ord("a") : ord("z") + 1], CLASS_OF[ord("A") : ord("Z") + 1], CLASS_OF[ord("0") : ord("9") + 1] = 0, 1, 2
@@ -216,15 +219,17 @@ def length_class(n: int) -> int:
     return sum(n >= c for c in CLASSES) - 1
 
 
-def surprises(null: TextNull, tokens: list[bytes]) -> list[int]:
-    """Tenths of the negative decimal logarithm of each token's p-value; -1 where randomness is rejected."""
+def tenths(p: float, most: int) -> int:
+    """Tenths of the negative decimal logarithm."""
+    return min(most - 1, int(-10 * math.log10(max(p, 1e-300))))
+
+
+def surprises(null: TextNull, tokens: list[bytes]) -> list[tuple[int, int]]:
+    """For each token the bins of its p-values as a random string, by the whole battery, and as ordinary text."""
     out = []
     for t in tokens:
-        symbols = alphabet_of(t)
-        if symbols is None or min(randomness(t, symbols)) < REJECT:
-            out.append(-1)
-        else:
-            out.append(min(BINS - 1, int(-10 * math.log10(max(null.p_value(t, symbols), 1e-300)))))
+        symbols = alphabet_of(t) or b""
+        out.append((tenths(min(1.0, 3 * min(randomness(t, symbols))), BATTERY_BINS), tenths(null.p_value(t, symbols), BINS)))
     return out
 
 
@@ -262,20 +267,28 @@ def find_secrets(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataF
     null = TextNull(np.array(sums[len(CLASSES) + 2 :], float), changes, neighbours)
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(CLASSES), BINS), np.int64)
+        counts = np.zeros((len(CLASSES), BATTERY_BINS, BINS), np.int64)
         for batch in batches:
             tokens = [x["token"] for row in batch.column("tested").to_pylist() for x in row]
-            for t, b in zip(tokens, surprises(null, tokens)):
-                if b >= 0:
-                    counts[length_class(len(t)), b] += 1
-        c, b = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[c, b])], names=["c", "b", "n"])
+            for t, (r, b) in zip(tokens, surprises(null, tokens)):
+                counts[length_class(len(t)), r, b] += 1
+        c, r, b = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(r, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[c, r, b])], names=["c", "r", "b", "n"])
 
-    hist: dict[int, dict[int, int]] = {c: {} for c in range(len(CLASSES))}
     tested = rows.filter(F.size("tested") > 0)
-    for r in tested.select("tested").mapInArrow(histogram, "c int, b int, n long").groupBy("c", "b").agg(F.sum("n").alias("n")).collect():
-        hist[r["c"]][r["b"]] = r["n"]
-    cuts = [discovery_cut(hist[c], per_class[c]) for c in range(len(CLASSES))]
+    counts = tested.select("tested").mapInArrow(histogram, "c int, r int, b int, n long").groupBy("c", "r", "b").agg(F.sum("n").alias("n")).collect()  # bins alone, whatever the input
+    orderly, cuts = [], []
+    for c in range(len(CLASSES)):
+        own = [x for x in counts if x["c"] == c]
+        battery: dict[int, int] = {}
+        for x in own:
+            battery[x["r"]] = battery.get(x["r"], 0) + x["n"]
+        orderly.append(min(BATTERY_BINS, discovery_cut(battery, sum(battery.values()), REJECT)))
+        found: dict[int, int] = {}
+        for x in own:
+            if x["r"] < orderly[c]:
+                found[x["b"]] = found.get(x["b"], 0) + x["n"]
+        cuts.append(discovery_cut(found, per_class[c]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carry).schema) + ", base array<struct<start:int,end:int,kind:string>>, spans array<struct<start:int,end:int,kind:string>>"
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +296,11 @@ def find_secrets(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataF
             out = []
             for fixed, tests in zip(batch.column("base").to_pylist(), batch.column("tested").to_pylist()):
                 bins = surprises(null, [x["token"] for x in tests])
-                added = [(b, {"start": x["start"], "end": x["end"], "kind": "random"}) for x, b in zip(tests, bins) if b >= cuts[length_class(len(x["token"]))] and b >= 0]
+                added = []
+                for x, (r, b) in zip(tests, bins):
+                    c = length_class(len(x["token"]))
+                    if r < orderly[c] and b >= cuts[c]:
+                        added.append((b, {"start": x["start"], "end": x["end"], "kind": "random"}))
                 out.append(sorted(fixed + apart(added), key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), batch.column("base"), pa.array(out, pa.list_(SPAN))], names=[*carry, "base", "spans"])
 

@@ -141,6 +141,25 @@ def test_secrets_by_randomness(spark):
     assert min(secrets.randomness(b"A1" * 20, secrets.alphabet_of(b"A1" * 20))) < 0.001
 
 
+def test_planted_random_strings_are_found_and_nothing_else(spark):
+    rng = random.Random(21)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    plain = ["internationalization of counterrevolutionaries", "see /usr/share/documentation/packages/readme_first.html", "A1A1A1A1A1A1A1A1A1A1A1A1A1A1A1A1A1A1A1A1", "call getElementsByTagNameAndClass now", "0123456789012345678901234567890", "abcabcabcabcabcabcabcabcABCABCABCABCABC123123123"]
+    texts, want = [], {}
+    for i in range(400):
+        if i % 4:
+            texts.append(f"text {i} {plain[i % len(plain)]} and more")
+            continue
+        token = "".join(rng.choice(alphabets[i // 4 % 3]) for _ in range(rng.randrange(40, 64)))
+        texts.append(f"note {i}: {token} is here")
+        want[i] = token
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "random"] for r in secrets.find_secrets(d).collect()}
+    wrong = [i for i in range(400) if i not in want and got[i]]
+    assert not wrong, [got[i] for i in wrong]
+    assert sum(got[i] == [want[i]] for i in want) >= 0.97 * len(want)
+
+
 def test_secrets_behind_names_and_in_paths(spark):
     rng = random.Random(11)
     symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
