@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +25,37 @@ def shared_dir(spark: SparkSession) -> str:
     return named or FALLBACK_SHARED
 
 
+#: Folders of intermediate tables that :func:`cleared` is to delete, while it is open.
+_MADE: list[list[str]] = []
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the intermediate tables made inside, whose readers must be done by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        paths = _MADE.pop()
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage, survives lost executors and lets later readers prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = new_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -26,8 +26,8 @@ NEAREST, EVERY = 5, 50
 SAMPLE, SAMPLE_NUMBERS = 20_000, 4_000_000
 #: Children of a node, rows of a leaf aimed at, sample rows of a leaf at least, and rounds of k-means.
 BRANCHES, LEAF, LEAF_SAMPLE, ROUNDS = 8, 500, 16, 12
-#: Held-out queries, and the recall at which visits stop widening.
-TRIALS, TARGET = 400, 0.95
+#: One in so many rows of the sample is held out of the fit; held-out queries, and the recall at which visits stop widening.
+HELD_OUT, TRIALS, TARGET = 10, 400, 0.95
 #: Rows and queries of a block.
 BLOCK, QUERY_BLOCK = 4096, 2048
 #: Scores this close to the last of a block are computed again exactly before any is dropped.
@@ -110,18 +110,16 @@ class Tree:
                 heapq.heappush(queue, (d[kid], kid))
 
 
-def calibrated(tree: Tree, sample: np.ndarray, k: int = NEAREST, target: float = TARGET) -> int:
-    """Leaves to visit: the fewest at which recall on held-out rows of the sample reaches ``target``."""
-    n = min(TRIALS, len(sample))
-    if n <= k or tree.n_leaves == 1:
+def calibrated(tree: Tree, sample: np.ndarray, held: np.ndarray, k: int = NEAREST, target: float = TARGET) -> int:
+    """Leaves to visit: the fewest at which recall of ``held`` rows, which the tree wasn't fitted on, among ``sample`` reaches ``target``."""
+    n = min(TRIALS, len(held))
+    if not n or len(sample) < k or tree.n_leaves == 1:
         return tree.n_leaves
-    at = np.linspace(0, len(sample) - 1, n).astype(int)
-    scores = sample[at] @ sample.T
-    scores[np.arange(n), at] = -2
-    best = np.argpartition(-scores, k, axis=1)[:, :k]
+    asked = held[np.linspace(0, len(held) - 1, n).astype(int)]
+    best = np.argpartition(-(asked @ sample.T), k - 1, axis=1)[:, :k]
     leaf = tree.file(sample)
     need = np.zeros((n, k), np.int64)  # visits that reach each true neighbour
-    for i, walk in enumerate(tree.visits(sample[at])):
+    for i, walk in enumerate(tree.visits(asked)):
         place = np.zeros(tree.n_leaves, np.int64)
         for step, l in enumerate(walk):
             place[l] = step + 1
@@ -192,8 +190,9 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = NEAREST) -> DataFram
     most = min(SAMPLE, SAMPLE_NUMBERS // dim)
     picked = first if n <= most else first.filter(key_hash(F.col("vec_id"), "ann") < int((1 << HASH_BITS) * (most / n)))
     sample = units(np.array([r["v"] for r in picked.orderBy("vec_id").collect()], float).reshape(-1, dim))
-    tree = Tree(sample, n)
-    visits = calibrated(tree, sample, k)
+    out = np.arange(len(sample)) % HELD_OUT == 0
+    tree = Tree(sample[~out], n)
+    visits = calibrated(tree, sample[~out], sample[out], k)
     sc = rows.sparkSession.sparkContext
     sent = sc.broadcast(tree)
 

@@ -174,25 +174,29 @@ def calibrated_cut(scores: list[tuple[float, bool]]) -> float | None:
     return cut
 
 
-def kth_largest(keys: DataFrame, k: int) -> float:
-    """A number that about k values of ``key`` reach: by a histogram and a second one of its boundary bucket."""
+def kth_largest(keys: DataFrame, k: int) -> tuple[float, int | None] | None:
+    """The k-th row in order of falling key and rising doc_id: its key and id; None for k of 0.
+
+    A histogram of keys finds the bucket in which it lies, and a second one a part of that; only the
+    rows of this part are ordered.
+    """
     if k <= 0:
-        return float("inf")
+        return None
     bucket = F.greatest(F.lit(-FURTHEST), F.least(F.lit(FURTHEST), F.floor(F.col("key") / WIDTH)))
-    left, edge = k, None
-    for r in keys.groupBy(bucket.alias("b")).count().orderBy(F.desc("b")).collect():
-        if r["count"] >= left:
+    inner = F.least(F.lit(PARTS - 1), F.greatest(F.lit(0), F.floor((F.col("key") / WIDTH - F.floor(F.col("key") / WIDTH)) * PARTS)))
+    left, rows = k, keys
+    for level in (bucket, inner):
+        edge = None
+        for r in rows.groupBy(level.alias("b")).count().orderBy(F.desc("b")).collect():  # a row a bucket
             edge = r["b"]
-            break
-        left -= r["count"]
-    if edge is None or edge == -FURTHEST:
-        return float("-inf")
-    inner = F.least(F.lit(PARTS - 1), F.floor((F.col("key") - float(edge * WIDTH)) * (PARTS / WIDTH)))
-    for r in keys.filter(bucket == edge).groupBy(inner.alias("b")).count().orderBy(F.desc("b")).collect():
-        left -= r["count"]
-        if left <= 0:
-            return edge * WIDTH + r["b"] * (WIDTH / PARTS)
-    return edge * WIDTH
+            if r["count"] >= left:
+                break
+            left -= r["count"]
+        if edge is None:
+            return None
+        rows = rows.filter(level == edge)
+    last = rows.select("key", F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.desc("key"), F.asc_nulls_last("doc_id")).limit(left).orderBy("key", F.desc_nulls_first("doc_id")).first()
+    return (last["key"], last["doc_id"]) if last else None
 
 
 def resample(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -223,7 +227,10 @@ def resample(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("do
     if cut is None:
         return rows.withColumn("keep", F.lit(True)).select(*columns, "log_weight", "key", "keep")
     least = kth_largest(slim, slim.filter(F.col("log_weight") >= cut).count())
-    return rows.withColumn("keep", F.col("key") >= least).select(*columns, "log_weight", "key", "keep")
+    if least is None:
+        return rows.withColumn("keep", F.lit(False)).select(*columns, "log_weight", "key", "keep")
+    tie = F.lit(True) if least[1] is None else F.coalesce(F.col("doc_id").cast("long") <= least[1], F.lit(False))
+    return rows.withColumn("keep", (F.col("key") > least[0]) | ((F.col("key") == least[0]) & tie)).select(*columns, "log_weight", "key", "keep")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
