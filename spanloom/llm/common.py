@@ -36,6 +36,11 @@ def new_folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextlib.contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the intermediate tables made inside, whose readers must be done by then."""
@@ -43,10 +48,8 @@ def cleared(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        paths = _MADE.pop()
-        for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        for path in _MADE.pop():
+            deleted(spark, path)
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
