@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bounded_batches, shared_dir, table
+from spanloom.llm.common import bounded_batches, cleared, deleted, shared_dir, table
 from spanloom.llm.contamination import decontaminated
 from spanloom.llm.jaccard import without_near_copies
 from spanloom.llm.mixing import mix_documents
@@ -93,10 +93,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. Each stage's own tables, and its input from the stage before, are deleted once its output is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark).rstrip('/')}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with cleared(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            deleted(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
