@@ -50,6 +50,13 @@ class Inputs:
         rows = self.peaks().select(F.col("peak_id").alias("link_id"), F.col("peak_id").alias("x_id"), (F.col("peak_id") % N_Y).alias("y_id"))
         return rows.join(self.genes().select(F.col("gene_id").alias("y_id")), "y_id", "left_semi").select("link_id", "x_id", "y_id")
 
+    def parts_and_suppliers(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Matrices whose features grow with the data: ordered parts, and suppliers in classes of N_Y; and links of every part with five classes."""
+        x, y = self._counts(F.col("l_partkey")), self._counts(F.col("l_suppkey") % N_Y)
+        parts = self.table("lineitem").select(F.col("l_partkey").cast("long").alias("x_id")).distinct()
+        links = parts.select("x_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select((F.col("x_id") * 5 + F.col("k")).alias("link_id"), "x_id", ((F.col("x_id") + F.col("k") * 4) % N_Y).alias("y_id"))
+        return links, x, y
+
     def spans(self) -> DataFrame:
         """Events as intervals of their user's time, in whole seconds."""
         start = F.unix_timestamp("ts")

@@ -22,6 +22,12 @@ def base(d: int = 3000) -> str:
     return "WITH RECURSIVE " + BASE.format(d=d)
 
 
+def by_part() -> str:
+    """The inputs with a feature for each part, five links a part, and the supplier classes as before."""
+    whole = BASE[: BASE.index("prs AS")].replace("l_partkey % 40 AS feature_id", "l_partkey AS feature_id", 1).format(d=3000)
+    return "WITH RECURSIVE " + whole + "prs AS (SELECT x_id * 5 + k AS link_id, x_id, (x_id + k * 4) % 20 AS y_id FROM (SELECT DISTINCT l_partkey AS x_id FROM lineitem), (SELECT unnest(range(0, 5)) AS k))"
+
+
 SPANS = """spans AS (SELECT event_id, user_id AS chrom, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + 60 + CAST(floor(value * 20) AS BIGINT) AS e, event_type, value FROM events)"""
 SCORES = """sc AS (SELECT doc_id, quality = 1 AS label, CAST(n_chars AS DOUBLE) AS m1, CAST(doc_id * 7919 % 1009 AS DOUBLE) AS m2, lang, source FROM documents JOIN labels USING (doc_id))"""
 CONTROLS = """obs AS (SELECT p_partkey AS key, p_brand AS grp, p_retailprice % 97 AS value FROM part),
@@ -167,6 +173,7 @@ SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, min(v) AS low, max(v) AS high
     "spearman_pairs": base() + ", xf AS (SELECT cell_id, f.feature_id, coalesce(value, 0) AS value FROM cells CROSS JOIN (SELECT DISTINCT feature_id FROM x) f LEFT JOIN x USING (cell_id, feature_id)), yf AS (SELECT cell_id, f.feature_id, coalesce(value, 0) AS value FROM cells CROSS JOIN (SELECT DISTINCT feature_id FROM y) f LEFT JOIN y USING (cell_id, feature_id)), xr AS (SELECT cell_id, feature_id, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2 AS r FROM xf), yr AS (SELECT cell_id, feature_id, rank() OVER (PARTITION BY feature_id ORDER BY value) + (count(*) OVER (PARTITION BY feature_id, value) - 1) / 2 AS r FROM yf) SELECT link_id, round(corr(xr.r, yr.r), 6) AS corr FROM prs JOIN xr ON xr.feature_id = x_id JOIN yr ON yr.feature_id = y_id AND yr.cell_id = xr.cell_id GROUP BY 1",
     "poisson_binary_mle": base() + SUMS.format(x="(SELECT cell_id, feature_id, 1.0::DOUBLE AS value FROM x)", y="y") + ", v AS (SELECT link_id, sx AS n1, n - sx AS n0, coalesce(sxy, 0) AS y1, sy - coalesce(sxy, 0) AS y0 FROM prs JOIN xs USING (x_id) JOIN ys USING (y_id) LEFT JOIN xy USING (x_id, y_id), nc) SELECT link_id, round(CASE WHEN y0 > 0 AND n0 > 0 THEN ln(y0 / n0) END, 6) AS b0, round(CASE WHEN y0 > 0 AND n0 > 0 AND y1 > 0 AND n1 > 0 THEN ln(y1 / n1) - ln(y0 / n0) END, 6) AS b1, round(CASE WHEN y0 > 0 AND y1 > 0 THEN sqrt(1 / y0 + 1 / y1) END, 6) AS se FROM v",
     "poisson_irls_hist": base() + ", " + IRLS.format(ridge="0", k=25) + " SELECT link_id, round(b0, 5) + 0.0 AS b0, round(b1, 5) + 0.0 AS b1, round(sqrt(w / (w * wxx - wx * wx)), 5) AS se FROM fin",
+    "poisson_fits_by_part": by_part() + ", " + IRLS.format(ridge="0", k=12) + " SELECT y_id, count(*) AS fits, count(*) FILTER (b1 IS NOT NULL AND NOT isnan(b1)) AS finite, round(min(b0), 4) + 0.0 AS least_b0, round(max(b1), 4) + 0.0 AS most_b1 FROM fin JOIN prs USING (link_id) GROUP BY 1",
     "poisson_ridge": base() + ", " + IRLS.format(ridge="1.0", k=50) + " SELECT link_id, round(b1, 5) + 0.0 AS b1 FROM fin",
     "poisson_likelihood_ratio": base() + ", " + IRLS.format(ridge="0", k=25) + ", z AS (SELECT feature_id AS y_id, sum(value) AS s FROM y GROUP BY 1), q AS (SELECT y_id, s * ln(s / n) - s AS ll0 FROM z, nc) SELECT link_id, round(2 * (list_sum(list_transform(l, lambda b: b.y * (b0 + b1 * b.x) - b.n * exp(b0 + b1 * b.x))) - ll0), 3) AS lr FROM fin JOIN prs USING (link_id) JOIN q USING (y_id)",
     "poisson_reduced_ll": base() + " SELECT feature_id AS y_id, round(sum(value) * ln(sum(value) / any_value(n)) - sum(value) - sum(lgamma(value + 1)), 3) AS ll0 FROM y, nc GROUP BY 1",

@@ -11,6 +11,7 @@ from ..functions import strings
 from ..functions.special import cauchy_combined
 from ..operators import binning, dedup, intervals, matrix, meta, metrics, neighbourhoods, nulls, pairs, pvalues, residuals, specificity
 from ..sources import readers
+from ..sources.shared import stored
 from . import evaluation, jobs
 from .inputs import N_X, N_Y, Inputs
 
@@ -292,6 +293,14 @@ def poisson_irls_hist(t: Inputs) -> DataFrame:
     return pairs.poisson_fit(h, rounds=25, tolerance=1e-10).select("link_id", r("b0", 5).alias("b0"), r("b1", 5).alias("b1"), r("se", 5).alias("se"))
 
 
+@query
+def poisson_fits_by_part(t: Inputs) -> DataFrame:
+    links, x, y = t.parts_and_suppliers()
+    x, y = stored(x, "x"), stored(y, "y")
+    fits = pairs.poisson_fit(pairs.histograms(stored(links, "links"), x, y, t.n_cells()), rounds=12, tolerance=1e-10)
+    return fits.groupBy("y_id").agg(F.count("*").alias("fits"), F.count_if(F.col("b1").isNotNull() & ~F.isnan("b1")).alias("finite"), r(F.min("b0"), 4).alias("least_b0"), r(F.max("b1"), 4).alias("most_b1"))
+
+
 @query
 def poisson_ridge(t: Inputs) -> DataFrame:
     h = pairs.histograms(t.pairs(), t.x(), t.y(), t.n_cells())
