@@ -1,13 +1,13 @@
 """DuckDB SQL for the queries that SQL can express, with the parameters of the operators filled in.
 
-Nearest neighbours, token counts, span classifiers, importance weights and randomness tests are
+Approximate neighbours, token counts, span classifiers, importance weights and randomness tests are
 beyond SQL and tested against brute force in ``tests/llm`` instead; the Jaccard join is too slow in
 SQL on whole tables.
 """
 
 from __future__ import annotations
 
-from . import contamination, mixing, urls, warc
+from . import codes, contamination, mixing, topk, urls, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -96,9 +96,39 @@ cut AS (SELECT CASE WHEN min(bucket) FILTER (upto * 100 > total * {urls.LOSS_PER
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN bucket < cut THEN 'block' ELSE 'allow' END) AS verdict, units / {unit}.0::DOUBLE AS score FROM f, cut"""
 
 
+FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+
+def codes_sql() -> str:
+    """The rounds one after the other: every part against every entry, and means of the parts of each entry."""
+    n, units = codes.PARTS, codes.UNITS
+    rounds = []
+    for r in range(codes.ROUNDS + 1):
+        rounds.append(f"a{r} AS MATERIALIZED (SELECT rid, p, min(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * {codes.ENTRIES} + s) AS best FROM p JOIN b{r} USING (p) GROUP BY ALL)")
+        rounds.append(f"m{r} AS (SELECT p, s, j, CAST(floor(sum(y)::DOUBLE / count(*)) AS BIGINT) AS y FROM (SELECT p, best % {codes.ENTRIES} AS s, unnest(x) AS y, unnest(range(len(x))) AS j FROM a{r} JOIN p USING (rid, p)) GROUP BY ALL)")
+        rounds.append(f"b{r + 1} AS MATERIALIZED (SELECT p, s, coalesce(n, c) AS c FROM b{r} LEFT JOIN (SELECT p, s, list(y ORDER BY j) AS n FROM m{r} GROUP BY ALL) USING (p, s))")
+    last = codes.ROUNDS
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor({units} * x::DOUBLE) AS BIGINT)) AS v FROM embeddings WHERE {FINITE}),
+p AS MATERIALIZED (SELECT rid, p, v[p * len(v) // {n} + 1 : (p + 1) * len(v) // {n}] AS x FROM k, (SELECT unnest(range({n})) AS p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS s, x AS c FROM p WHERE rid <= {codes.ENTRIES}),
+{", ".join(rounds[:-2])},
+h AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, s, j)) AS codebooks_sha256 FROM (SELECT p, s, unnest(c) AS y, unnest(range(len(c))) AS j FROM b{last})),
+e AS (SELECT vec_id, label, string_agg(lpad(to_hex(best % {codes.ENTRIES}), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best // {codes.ENTRIES}) AS BIGINT) AS error FROM k JOIN a{last} USING (rid) GROUP BY rid, vec_id, label)
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e, h"""
+
+
+def top_k_sql() -> str:
+    return f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({topk.UNITS} * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND {FINITE}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % {topk.EVERY} = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {topk.BEST}"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": url_sql(),
     "op2_warc_derivatives": warc_sql(),
     "op3_mixing": mixing_sql(),
     "op4_decontamination": decontamination_sql(),
+    "op11_vector_codes": codes_sql(),
+    "op12_exact_top_k": top_k_sql(),
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .codes import op11_vector_codes
 from .common import bounded_batches
 from .contamination import op4_decontamination
 from .jaccard import op9_jaccard_join
@@ -15,6 +16,7 @@ from .pii import op7_pii
 from .quality import op8_quality
 from .secrets import op10_secrets
 from .tokens import op5_token_counts
+from .topk import op12_exact_top_k
 from .urls import op1_url_filter
 from .warc import op2_warc_derivatives
 
@@ -39,5 +41,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secrets": op10_secrets,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_exact_top_k": op12_exact_top_k,
 }
 QUERIES = {name: bounded(query) for name, query in QUERIES.items()}
