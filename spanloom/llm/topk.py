@@ -1,10 +1,10 @@
 """Exact top-k search by inner product: Fagin's threshold algorithm over sorted per-dimension lists.
 
 Rows are dealt into blocks of similar vectors, and each block keeps a list for every dimension,
-sorted by that component. For a query the lists are read from the end that helps it, in lockstep:
-every row that a list shows is scored in full, and the bound is what a row not yet shown could
-score at most, given how far each list has come. Once the bound is below the k-th best score, the
-rest of the block can't matter. The k-th best of a sample is known from the start, so most blocks
+sorted by that component. The lists are read from both ends in lockstep, for many queries at a time:
+every row that a list shows is scored in full, and a query's bound is what a row not yet shown could
+score at most, given how far each list has come from the end that helps this query. Once the bound
+is below its k-th best score, the rest of the block can't matter to it. The k-th best of a sample is known from the start, so most blocks
 end before their lists are read. Nothing is approximate: blocks and sample decide on the work only.
 """
 
@@ -27,30 +27,50 @@ BEST, EVERY, UNITS = 5, 50, 256
 BLOCK, WAVE, WAVE_NUMBERS = 4096, 65_536, 4_000_000
 #: Queries whose bounds are computed together.
 CHUNK = 2048
-#: Rows of the index in a partition, about.
-PART_ROWS = 65_536
+#: Rows of the index, and queries, in a partition, about.
+PART_ROWS, PART_QUERIES = 8192, 512
+#: How much deeper the lists are read before the bound is looked at again.
+STEP = 4
 
 
 class Leaders:
-    """The k best ids of each query so far, in order: highest score first, then the smaller id."""
+    """The k best ids of every query so far, as flat arrays in order of query, falling score, rising id."""
 
     def __init__(self, own: np.ndarray, floor: np.ndarray, k: int):
+        #: A result below a query's floor can't be among its best.
         self.own, self.floor, self.k = own, floor.copy(), k
-        self.ids = [np.zeros(0, np.int64)] * len(own)
-        self.scores = [np.zeros(0, np.int64)] * len(own)
+        self.query, self.ids, self.scores = (np.zeros(0, np.int64) for _ in range(3))
+        #: Scores computed.
         self.shown = 0
 
-    def offer(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        self.shown += len(ids)
-        good = (scores >= self.floor[q]) & (ids != self.own[q])
-        if not good.any():
+    def offer(self, queries: np.ndarray, ids: np.ndarray, scores: np.ndarray, repeats: int) -> None:
+        """Scores of rows (columns) for some queries (rows); among the rows are ``repeats`` more than ids."""
+        self.shown += scores.size
+        floor = self.floor[queries]
+        most = self.k + 1 + repeats  # the query's own row, and repeats of an id, may stand among the first
+        if scores.shape[1] > most:
+            floor = np.maximum(floor, np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most])
+        at, row = np.nonzero((scores >= floor[:, None]) & (ids[None, :] != self.own[queries][:, None]))
+        if not len(at):
             return
-        ids, scores = np.concatenate((self.ids[q], ids[good])), np.concatenate((self.scores[q], scores[good]))
-        order = np.lexsort((ids, -scores))
-        order = order[np.sort(np.unique(ids[order], return_index=True)[1])][: self.k]  # an id once, with its best score
-        self.ids[q], self.scores[q] = ids[order], scores[order]
-        if len(order) == self.k:
-            self.floor[q] = max(self.floor[q], self.scores[q][-1])
+        touched = np.zeros(len(self.own), bool)
+        touched[queries[at]] = True
+        old = touched[self.query]
+        q, i, s = (np.concatenate(x) for x in ((self.query[old], queries[at]), (self.ids[old], ids[row]), (self.scores[old], scores[at, row].astype(np.int64))))
+        order = np.lexsort((-s, i, q))  # an id counts once, with its best score
+        q, i, s = q[order], i[order], s[order]
+        once = np.concatenate(([True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])))
+        q, i, s = q[once], i[once], s[once]
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        last = place == self.k - 1
+        self.floor[q[last]] = np.maximum(self.floor[q[last]], s[last])
+        best = place < self.k
+        q, i, s = (np.concatenate(x) for x in ((self.query[~old], q[best]), (self.ids[~old], i[best]), (self.scores[~old], s[best])))
+        order = np.lexsort((i, -s, q))
+        self.query, self.ids, self.scores = q[order], i[order], s[order]
 
 
 class Block:
@@ -58,24 +78,29 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
-        self.order = np.argsort(x, axis=0, kind="stable")
-        n, depth, rungs = len(ids), 1, []
+        self.repeats = len(ids) - len(np.unique(ids))
+        n, depth, rungs = len(ids), 1, [0]
         while depth < n:
             rungs.append(depth)
-            depth *= 2
-        #: Rows that each list has shown when the bound is looked at.
-        self.rungs = np.array([0, *rungs], np.int64)
+            depth *= STEP
+        #: Rows that each list has shown from either end when the bound is looked at.
+        self.rungs = np.array(rungs, np.int64)
+        self.order = np.argsort(x, axis=0, kind="stable")
         sorted_x = np.take_along_axis(x, self.order, axis=0)
         #: What the lists show next at every rung, from the low and the high end.
         self.low, self.high = sorted_x[self.rungs], sorted_x[n - 1 - self.rungs]
         self.centre = x.mean(axis=0)
         self.radius = float(np.sqrt(((x - self.centre) ** 2).sum(axis=1).max()))
+        self.peak = int(np.abs(x).max(initial=0))
+
+    def kind(self, q: np.ndarray) -> type:
+        """Doubles where every sum of products is exact in them, as they multiply faster."""
+        return np.float64 if max(1, self.peak) * max(1, int(np.abs(q).max(initial=0))) * max(1, q.shape[1]) < 2**52 else np.int64
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """For each query and rung the most that a row not yet shown can score."""
-        kind = np.float64 if self._small(q) else object
-        up, down = np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-        return up @ self.high.T.astype(kind) + down @ self.low.T.astype(kind)
+        kind = self.kind(q)
+        return np.maximum(q, 0).astype(kind) @ self.high.T.astype(kind) + np.minimum(q, 0).astype(kind) @ self.low.T.astype(kind)
 
     def reach(self, q: np.ndarray) -> np.ndarray:
         """The most that any row can score by its distance from the centre, rounded up."""
@@ -83,32 +108,33 @@ class Block:
         far = q @ self.centre + length * self.radius
         return far + 1 + np.abs(far) * 1e-9 + length * (np.abs(self.centre).sum() + self.radius) * 1e-9
 
-    def _small(self, q: np.ndarray) -> bool:
-        """Sums of products are exact in doubles."""
-        peak = max(1, int(np.abs(self.x).max(initial=0))) * max(1, int(np.abs(q).max(initial=0)))
-        return peak * max(1, q.shape[1]) < 2**52
-
     def search(self, q: np.ndarray, leaders: Leaders, first: int) -> None:
-        """Offers ``leaders`` every row of the block that can be among the best of the queries ``first`` and on."""
-        bound = self.bounds(q)
+        """Offers ``leaders`` every row of the block that can be among the best of the queries ``first`` and on.
+
+        The lists are read for all of these together: a row that any list shows is scored for every
+        query still at it, each of which stops by its own bound.
+        """
+        n, bound = len(self.ids), self.bounds(q)
         floor = leaders.floor[first : first + len(q)]
-        for i in np.flatnonzero((bound[:, 0] >= floor) & (self.reach(q) >= floor)).tolist():
-            self._walk(q[i], bound[i], leaders, first + i)
-
-    def _walk(self, q: np.ndarray, bound: np.ndarray, leaders: Leaders, number: int) -> None:
-        n, seen = len(self.ids), np.zeros(len(self.ids), bool)
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        if not len(up) + len(down):  # a query of zeros scores 0 everywhere
-            leaders.offer(number, self.ids, np.zeros(n, np.int64))
+        at = np.flatnonzero((bound[:, 0] >= floor) & (self.reach(q) >= floor))
+        if not len(at):
             return
+        kind, seen = self.kind(q), np.zeros(n, bool)
         for rung, depth in enumerate(self.rungs.tolist()):
-            if bound[rung] < leaders.floor[number]:
+            at = at[bound[at, rung] >= leaders.floor[first + at]]
+            if not len(at):
                 return
             upto = int(self.rungs[rung + 1]) if rung + 1 < len(self.rungs) else n
-            shown = np.concatenate((self.order[n - upto : n - depth, up].ravel(), self.order[depth:upto, down].ravel()))
-            shown = np.unique(shown[~seen[shown]])
-            seen[shown] = True
-            leaders.offer(number, self.ids[shown], self.x[shown] @ q)
+            new = np.ones(n, bool)
+            if upto < n:
+                new[:] = False
+                new[self.order[depth:upto].ravel()] = True
+                new[self.order[n - upto : n - depth].ravel()] = True
+            new &= ~seen
+            seen |= new
+            rows = np.flatnonzero(new)
+            if len(rows):
+                leaders.offer(first + at, self.ids[rows], q[at].astype(kind) @ self.x[rows].T.astype(kind), self.repeats)
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
@@ -209,7 +235,7 @@ def of_length(spark: SparkSession, kept: DataFrame, queries: DataFrame, size: in
     index = stored(placed.repartitionByRange(max(1, -(-n // PART_ROWS)), "leaf", "vec_id").sortWithinPartitions("leaf", "vec_id"), "topk-index")
     wave = max(1, min(WAVE, WAVE_NUMBERS // max(size, 1)))
     n_waves = -(-n_queries // wave)
-    asked = stored(queries.mapInArrow(floored, "query_id long, v array<long>, floor long").withColumn("wave", F.pmod(F.xxhash64("query_id"), F.lit(n_waves))), "topk-asked")
+    asked = stored(queries.repartition(max(1, -(-n_queries // PART_QUERIES)), "query_id").mapInArrow(floored, "query_id long, v array<long>, floor long").withColumn("wave", F.pmod(F.xxhash64("query_id"), F.lit(n_waves))), "topk-asked")
     found = None
     for w in range(n_waves):
         some = asked.filter(F.col("wave") == w).toArrow()  # about `wave` queries
@@ -221,9 +247,7 @@ def of_length(spark: SparkSession, kept: DataFrame, queries: DataFrame, size: in
             for block in blocks(batches):
                 for first in range(0, len(own), CHUNK):
                     block.search(q[first : first + CHUNK], leaders, first)
-            counts = [len(i) for i in leaders.ids]
-            if sum(counts):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, counts)), pa.array(np.concatenate(leaders.ids)), pa.array(np.concatenate(leaders.scores))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[leaders.query]), pa.array(leaders.ids), pa.array(leaders.scores)], names=["query_id", "vec_id", "score"])
 
         part = stored(index.mapInArrow(searched, "query_id long, vec_id long, score long"), "topk-found")
         sent.unpersist()
