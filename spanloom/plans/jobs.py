@@ -7,6 +7,7 @@ of rows, and results can be written by partition and read again at any point.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,15 +105,24 @@ def fit(links: DataFrame, x: DataFrame, y: DataFrame, n_cells: int, method: str
 
 
 def p_values(cis: DataFrame, ctrl: DataFrame, group: str) -> DataFrame:
-    """Monte Carlo, pooled and z p-values of beta and of beta / se (suffix _z), and empirical and step-up false discovery rates."""
-    cis, ctrl = cis.withColumn("stud", studentised(F.col("beta"), F.col("se"))), ctrl.withColumn("stud", studentised(F.col("beta"), F.col("se")))
-    out = cis
+    """Monte Carlo, pooled and z p-values of beta and of beta / se (suffix _z), and empirical and step-up false discovery rates.
+
+    ``link_id`` tells the rows of ``cis`` apart. Each p-value is made from the same small stored table
+    and joined once; made one on top of the other, plans would double with every step.
+    """
+    cis = stored(cis.withColumn("stud", studentised(F.col("beta"), F.col("se"))), "p-links")
+    c = stored(ctrl.select(group, "beta", studentised(F.col("beta"), F.col("se")).alias("stud")), "p-controls")
+    obs = cis.select("link_id", group, "beta", "stud")
+    found = []
     for value, suffix in (("stud", "_z"), ("beta", "")):
-        c = ctrl.select(group, F.col(value).alias("_c"))
-        out = monte_carlo(out, c, value, "_c", "link_id", group).withColumnRenamed("mcpval", f"mcpval{suffix}")
-        out = pooled(out, c, value, "_c", "link_id", group).withColumnRenamed("ppval", f"ppval{suffix}")
-        out = z_scores(out, c, value, "_c", group).drop("z").withColumnRenamed("zpval", f"zpval{suffix}")
-    out = empirical_fdr(out, ctrl.select(group, F.col("stud").alias("_c")), "stud", "_c", "link_id")
+        own, ctl = obs.select("link_id", group, value), c.select(group, F.col(value).alias("_c"))
+        found += [
+            monte_carlo(own, ctl, value, "_c", "link_id", group).select("link_id", F.col("mcpval").alias(f"mcpval{suffix}")),
+            pooled(own, ctl, value, "_c", "link_id", group).select("link_id", F.col("ppval").alias(f"ppval{suffix}")),
+            z_scores(own, ctl, value, "_c", group).select("link_id", F.col("zpval").alias(f"zpval{suffix}")),
+        ]
+    found.append(empirical_fdr(obs.select("link_id", "stud"), c.select(F.col("stud").alias("_c")), "stud", "_c", "link_id").select("link_id", "q_value"))
+    out = stored(reduce(lambda a, b: a.join(b, "link_id", "left"), found, cis), "p-values")
     return benjamini_hochberg(out, "mcpval", "link_id")
 
 

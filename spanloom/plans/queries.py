@@ -594,7 +594,8 @@ def link_id_parts(t: Inputs) -> DataFrame:
 
 @query
 def association_study(t: Inputs) -> DataFrame:
-    return jobs.associate(t.x(), t.y(), t.peaks(), t.genes(), t.n_cells(), "3.2.3.2.20", 3000, 5000).drop("overlap")
+    found = jobs.associate(t.x(), t.y(), t.peaks(), t.genes(), t.n_cells(), "3.2.3.2.20", 3000, 5000)
+    return found.select("link_id", "x_id", "y_id", "grp", "ctrl_short", *[r(c, 5).alias(c) for c in ("beta", "se", "stud", "mcpval_z", "ppval_z", "zpval_z", "mcpval", "ppval", "zpval", "q_value", "bh_q")])
 
 
 @query

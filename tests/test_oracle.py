@@ -6,9 +6,11 @@ import pytest
 
 from spanloom.plans.oracles import ORACLE_SQL
 from spanloom.plans.queries import QUERIES
+from spanloom.plans.study_sql import STUDY_SQL
 from tests.oracle import database, differences
 
 DIR = "/root/testdata/sf0.001"
+SQL = ORACLE_SQL | STUDY_SQL
 
 
 @pytest.fixture(scope="module")
@@ -16,10 +18,10 @@ def con():
     return database(DIR)
 
 
-@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_agrees_with_sql(spark, con, name):
-    assert differences(QUERIES[name](spark, DIR), ORACLE_SQL[name], con) == []
+    assert differences(QUERIES[name](spark, DIR), SQL[name], con) == []
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLE_SQL) <= set(QUERIES)
+    assert set(SQL) <= set(QUERIES)
