@@ -105,7 +105,8 @@ def main() -> None:
     p.add_argument("--config", default=CONFIG)
     p.add_argument("--stages", default=",".join(STAGES))
     a = p.parse_args()
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
+    logging.basicConfig(format="%(asctime)s %(name)s %(message)s")
+    logging.getLogger("spanloom").setLevel(logging.INFO)
     spark = SparkSession.builder.appName("association study").getOrCreate()
     try:
         run(spark, a.tables, a.out, settings(spark, a.config), tuple(a.stages.split(",")))

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobs import association_study as study
+from jobs import text_evaluation as texts
 from jobs.queries import ORACLE_SQL, QUERIES
 from spanloom.plans import jobs as plans
 from spanloom.plans.stages import Stages
@@ -133,3 +134,75 @@ def test_study_from_the_command_line(tables, tmp_path):
     done = subprocess.run([sys.executable, str(ROOT / "jobs/association_study.py"), "--tables", tables, "--out", str(tmp_path / "out"), "--config", str(config), "--stages", "counts,links"], env=env, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-2000:]
     assert "read lineitem" in done.stderr and "wrote links" in done.stderr and glob.glob(str(tmp_path / "out/links/*.parquet"))
+
+
+EVALUATION = {"label_threshold": 0.5, "least_rows": 20, "least_gold": 5, "word_edges": [50, 200], "files_at_a_time": 1}
+
+
+@pytest.fixture()
+def arriving(spark, tmp_path):
+    """Documents and labels of sf0.01 as a folder that begins with one of three files, and the other two."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("_w", F.lit("?")).withColumn("kind", F.lit("?"))
+    for k in range(3):
+        docs.filter(F.col("doc_id") % 3 == k).coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+    (tmp_path / "documents").mkdir()
+
+    def arrive(k, name=None):
+        source = glob.glob(str(tmp_path / f"part{k}/*.parquet"))[0]
+        shutil.copy(source, tmp_path / "documents" / (name or f"{k}.parquet"))
+
+    arrive(0)
+    return str(tmp_path / "documents"), "/root/testdata/sf0.01/labels.parquet", arrive
+
+
+def test_evaluation_takes_only_what_is_new(spark, arriving, tmp_path, caplog):
+    documents, labels, arrive = arriving
+    out = str(tmp_path / "out")
+    caplog.set_level("INFO", "spanloom.text_evaluation")
+    first = rows(texts.run(spark, documents, labels, out, EVALUATION))
+    held = files(f"{out}/scores")
+    arrive(1)
+    arrive(2)
+    second = rows(texts.run(spark, documents, labels, out, EVALUATION))
+    assert second != first and held.items() <= files(f"{out}/scores").items()
+    assert rows(texts.run(spark, documents, labels, out, EVALUATION)) == second
+    assert rows(texts.run(spark, documents, labels, str(tmp_path / "fresh"), EVALUATION)) == second
+    arrive(1, "again.parquet")  # documents that were there before change nothing
+    assert rows(texts.run(spark, documents, labels, out, EVALUATION)) == second
+    n = [spark.read.parquet(str(tmp_path / f"part{k}")).count() for k in range(3)]
+    assert [int(m.split(": ")[1].split()[0]) for m in caplog.messages if "new documents" in m] == [n[0], n[1] + n[2], 0, sum(n), n[1]]
+
+
+def test_evaluation_broken_between_its_steps(spark, arriving, tmp_path, monkeypatch):
+    documents, labels, _ = arriving
+    out = str(tmp_path / "out")
+    with monkeypatch.context() as m:
+        m.setattr(texts, "evaluated", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            texts.run(spark, documents, labels, out, EVALUATION)
+    assert rows(texts.run(spark, documents, labels, out, EVALUATION)) == rows(texts.run(spark, documents, labels, str(tmp_path / "fresh"), EVALUATION))
+
+
+def test_evaluation_of_odd_documents(spark, tmp_path):
+    texts_in = [None, "", " \n", "a", "a a a", "!?!", "é ü 日本", "x " * 50_000]
+    docs = spark.createDataFrame([(k // 2, t, None if k % 2 else "de", None) for k, t in enumerate(texts_in * 2)], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(k, k % 2) for k in range(20)] + [(1, None), (2, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "l"))
+    found = texts.run(spark, str(tmp_path / "d"), str(tmp_path / "l"), str(tmp_path / "out"), EVALUATION | {"least_rows": 1, "least_gold": 1}).collect()
+    whole = {r["method"]: r for r in found if r["kind"] == "all"}
+    assert set(whole) == set(texts.METHODS) and all(r["n"] == 8 and r["n_gold"] == 5 for r in whole.values())
+    assert {r["stratum"] for r in found if r["kind"] == "source"} == {""}
+    got = {r["doc_id"]: r for r in texts.scored(docs.dropDuplicates(["text"])).collect() if r["words"] > 3}
+    assert [(r["words"], round(r["repeats"], 5)) for r in got.values()] == [(50_000, 0.99998)]
+    none = texts.run(spark, str(tmp_path / "d"), str(tmp_path / "l"), str(tmp_path / "none"), EVALUATION | {"least_rows": 1000})
+    assert none.count() == 0
+    docs.filter("false").coalesce(1).write.parquet(str(tmp_path / "e"))
+    assert texts.run(spark, str(tmp_path / "e"), str(tmp_path / "l"), str(tmp_path / "empty"), EVALUATION).count() == 0
+
+
+def test_evaluation_from_the_command_line(arriving, tmp_path):
+    documents, labels, _ = arriving
+    env = os.environ | {"PYSPARK_SUBMIT_ARGS": f"--master local[2] --conf spark.sql.shuffle.partitions=2 --conf spark.checkpoint.dir=file://{tmp_path}/shared pyspark-shell"}
+    done = subprocess.run([sys.executable, str(ROOT / "jobs/text_evaluation.py"), "--documents", documents, "--labels", labels, "--out", str(tmp_path / "out")], env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "new documents" in done.stderr and {p.split("kind=")[1].split("/")[0] for p in glob.glob(str(tmp_path / "out/metrics/*/*.parquet"))} >= {"all", "lang", "length"}
