@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import lgamma
+from ..functions.special import digamma, lgamma, trigamma
 
 
 def cross_sums(links: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
@@ -136,3 +136,71 @@ def binary_fit(links: DataFrame, x: DataFrame, y: DataFrame, n_cells: int) -> Da
     b0 = F.log(F.when((y0 > 0) & (n_cells - n1 > 0), y0 / (n_cells - n1)))
     b1 = F.log(F.when((y1 > 0) & (n1 > 0), y1 / n1)) - b0
     return s.select("link_id", b0.alias("b0"), b1.alias("b1"), F.when((y0 > 0) & (y1 > 0), F.sqrt(F.when(y0 > 0, 1 / y0) + F.when(y1 > 0, 1 / y1))).alias("se"))
+
+
+def joint_histograms(links: DataFrame, x: DataFrame, y: DataFrame, n_cells: int) -> DataFrame:
+    """One row a link: ``bars``, an array of (x, y, n cells) by distinct pair of values, the pair of zeros first, and sum_y."""
+    xs = links.select("link_id", "x_id", "y_id").join(x.select(F.col("feature_id").alias("x_id"), "cell_id", F.col("value").alias("_x")), "x_id").select("link_id", "cell_id", "_x", F.lit(0.0).alias("_y"))
+    ys = links.select("link_id", "x_id", "y_id").join(y.select(F.col("feature_id").alias("y_id"), "cell_id", F.col("value").alias("_y")), "y_id").select("link_id", "cell_id", F.lit(0.0).alias("_x"), "_y")
+    cells = xs.unionByName(ys).groupBy("link_id", "cell_id").agg(F.sum("_x").alias("_x"), F.sum("_y").alias("_y"))
+    bars = cells.groupBy("link_id", "_x", "_y").agg(F.count("*").cast("double").alias("_n"))
+    packed = bars.groupBy("link_id").agg(F.array_sort(F.collect_list(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_n").alias("n")))).alias("_b"))
+    held = F.coalesce("_b", F.array().cast("array<struct<x:double,y:double,n:double>>"))
+    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), (F.lit(float(n_cells)) - F.aggregate(held, F.lit(0.0), lambda s, b: s + b["n"])).alias("n"))
+    rows = links.join(packed, "link_id", "left").withColumn("bars", F.concat(F.array(zero), held))
+    return rows.withColumn("sum_y", F.aggregate("bars", F.lit(0.0), lambda s, b: s + b["n"] * b["y"])).select(*links.columns, "bars", "sum_y")
+
+
+#: Bounds of the log of the size (1 / alpha) of a negative binomial, and the longest steps of it and of coefficients.
+SIZE_FROM, SIZE_UPTO, SIZE_STEP, LONGEST = -12.0, 18.0, 2.0, 5.0
+
+
+def negative_binomial_fit(hists: DataFrame, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """Adds b0, b1, alpha and se: regression of y on x with variance mean + alpha * mean^2, all three by maximum likelihood.
+
+    ``hists``: from :func:`joint_histograms`. Each round takes a scoring step of the coefficients and
+    a Newton step of the log of the size, whose errors are uncorrelated; all rounds are one fold.
+    Without any y all results are null. Without over-dispersion alpha ends at exp(-18), next to 0. Where x
+    separates y from 0 the slope has no maximum; it stops when the score is next to nothing or the
+    rounds are through, far out but finite.
+    """
+    names = ("g0", "g1", "h00", "h01", "h11", "l1", "l2")
+
+    def sums(s: Column) -> Column:
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
+
+        def add(a: Column, b: Column) -> Column:
+            def inner(m: Column) -> Column:
+                mu, r, n, x, y = m["mu"], m["r"], b["n"], b["x"], b["y"]
+                w, u = n * mu * r / (r + mu), n * (y - mu) * r / (r + mu)
+                first = F.when(y > 0, digamma(y + r) - digamma(r)).otherwise(0.0) - F.log1p(mu / r) + (mu - y) / (r + mu)
+                second = F.when(y > 0, trigamma(y + r) - trigamma(r)).otherwise(0.0) + mu / (r * (r + mu)) + (y - mu) / ((r + mu) * (r + mu))
+                return F.struct(*[(a[k] + v).alias(k) for k, v in zip(names, (u, u * x, w, w * x, w * x * x, n * first, n * second))])
+
+            eta = F.greatest(F.least(s["b0"] + s["b1"] * b["x"], F.lit(30.0)), F.lit(-80.0))
+            return F.get(F.transform(F.array(F.struct(F.exp(eta).alias("mu"), F.exp(s["t"]).alias("r"))), inner), F.lit(0))
+
+        return F.aggregate("bars", zero, add)
+
+    def cut(v: Column, most: float) -> Column:
+        return F.greatest(F.least(v, F.lit(most)), F.lit(-most))
+
+    def moved(s: Column, m: Column) -> Column:
+        r = F.exp(s["t"])
+        det = F.greatest(m["h00"] * m["h11"] - m["h01"] * m["h01"], F.lit(1e-12))
+        d0, d1 = cut((m["h11"] * m["g0"] - m["h01"] * m["g1"]) / det, LONGEST), cut((m["h00"] * m["g1"] - m["h01"] * m["g0"]) / det, LONGEST)
+        slope, bend = r * m["l1"], r * r * m["l2"] + r * m["l1"]
+        dt = cut(F.when(bend < 0, -slope / bend).otherwise(F.signum(slope) * 1.0), SIZE_STEP)
+        t = F.greatest(F.least(s["t"] + dt, F.lit(SIZE_UPTO)), F.lit(SIZE_FROM))
+        still = (F.greatest(F.abs(d0), F.abs(d1)) < tolerance) | (F.greatest(F.abs(m["g0"]), F.abs(m["g1"])) < 1e-12 * (1 + F.col("sum_y")))
+        return F.struct((s["b0"] + d0).alias("b0"), (s["b1"] + d1).alias("b1"), t.alias("t"), (still & (F.abs(t - s["t"]) < tolerance)).alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        return F.when(s["done"], s).otherwise(F.get(F.transform(F.array(sums(s)), lambda m: moved(s, m)), F.lit(0)))
+
+    cells = F.aggregate("bars", F.lit(0.0), lambda s, b: s + b["n"])
+    start = F.struct(F.log(F.when(F.col("sum_y") > 0, F.col("sum_y") / cells)).alias("b0"), F.lit(0.0).alias("b1"), F.lit(0.0).alias("t"), F.lit(False).alias("done"))
+    fitted = hists.withColumn("_fit", F.when(F.col("sum_y") > 0, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)))
+    fitted = fitted.withColumn("_info", F.when(F.col("sum_y") > 0, sums(F.col("_fit"))))
+    det = F.col("_info.h00") * F.col("_info.h11") - F.col("_info.h01") * F.col("_info.h01")
+    return fitted.select(*hists.columns, "_fit.b0", "_fit.b1", F.exp(-F.col("_fit.t")).alias("alpha"), F.when(det > 1e-12, F.sqrt(F.col("_info.h00") / det)).alias("se"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.special import PRIME, bound, count_cdf, draw, normal_quantile
+from ..sources.shared import stored
+from .regression import FURTHEST, Regression
+
 
 def alpha_moments(y: Column, mu: Column) -> Column:
     """Dispersion by moments, an aggregate: sum of ((y - mu)^2 - mu) over sum of mu^2, not under 0."""
@@ -39,93 +39,130 @@ def standardised(df: DataFrame, value: str, within: str) -> DataFrame:
     return df.join(s, within).withColumn(value, (F.col(value) - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)).drop("_m", "_s")
 
 
-def shrunk_alpha(features: DataFrame, mu: str, alpha: str, threshold: float, tau: float, clip: tuple[float, float]) -> DataFrame:
-    """``alpha`` of features with a mean under ``threshold`` drawn to the median on the log scale, the more so the smaller the mean."""
-    median = features.filter(F.col(alpha) > 0).agg(F.percentile(F.log(alpha), F.lit(0.5))).first()[0]
+def shrunk_alpha(features: DataFrame, mean: str = "mean", squares: str = "squares", alpha: str = "alpha", threshold: float = 0.1, tau: float = 1e4, clip: tuple[float, float] = (1e-6, 30.0)) -> DataFrame:
+    """``alpha`` of features with a mean under ``threshold`` drawn to a median on the log scale, the more so the smaller the sum of squared means.
+
+    The median is that of the features with a larger mean, or of all if there are none; the weight
+    of a feature's own alpha is squares / (squares + tau). All alphas end inside ``clip``.
+    """
+    raised = F.greatest(F.col(alpha), F.lit(clip[0]))
+    above = F.col(mean) > threshold
+    middle = lambda c: F.percentile(c, F.lit(0.5))
+    medians = features.agg(middle(F.when(above, F.log(raised))).alias("_above"), middle(F.log(raised)).alias("_all")).first()  # a row a feature
+    median = medians["_above"] if medians["_above"] is not None else medians["_all"]
     if median is None:
         return features
-    w = F.col(mu) / (F.col(mu) + tau)
-    drawn = F.exp(w * F.log(F.greatest(F.col(alpha), F.lit(clip[0]))) + (1 - w) * median)
-    return features.withColumn(alpha, F.greatest(F.least(F.when(F.col(mu) < threshold, drawn).otherwise(F.col(alpha)), F.lit(clip[1])), F.lit(clip[0])))
-
-
-def poisson_newton(x: np.ndarray, y: np.ndarray, offset: np.ndarray | None = None, ridge: float = 0.0, rounds: int = 100, tolerance: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients and standard errors of Poisson regression on the columns of x; the first column is never penalised."""
-    penalty = ridge * np.eye(x.shape[1])
-    penalty[0, 0] = 0
-    b = np.zeros(x.shape[1])
-    info = np.eye(x.shape[1])
-    off = np.zeros(len(y)) if offset is None else offset
-    b[0] = math.log(max(y.mean(), 1e-12)) - off.mean() if len(y) else 0.0
-    for _ in range(rounds):
-        mu = np.exp(np.clip(x @ b + off, -80, 80))
-        info = x.T @ (x * mu[:, None]) + penalty
-        step = np.linalg.pinv(info) @ (x.T @ (y - mu) - penalty @ b)
-        b = b + np.clip(step, -5, 5)
-        if np.abs(step).max() < tolerance:
-            break
-    return b, np.sqrt(np.maximum(np.diag(np.linalg.pinv(info)), 0))
-
-
-def alpha_chi_squared(y: np.ndarray, mu: np.ndarray, df: int) -> float:
-    """The dispersion at which the squared Pearson residuals sum to their degrees of freedom; 0 without over-dispersion."""
-    excess = lambda a: float(np.sum((y - mu) ** 2 / (mu + a * mu * mu))) - df
-    if excess(0.0) <= 0:
-        return 0.0
-    low, high = 0.0, 1.0
-    for _ in range(30):
-        if excess(high) <= 0:
-            break
-        low, high = high, 2 * high
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if excess(middle) > 0 else (low, middle)
-    return (low + high) / 2
-
-
-def nb_residuals(counts: DataFrame, cells: DataFrame, clip: float = 10.0) -> DataFrame:
-    """cell_id, feature_id, residual: counts of each feature regressed on log depth and batch over all cells, with dispersion by chi-squared matching.
-
-    ``cells``: cell_id, batch. A task holds one feature: its non-zeros and the cells' covariates, which are sent to all tasks; they
-    are as many as there are cells, and checked to be at most five million.
+    w = F.col(squares) / (F.col(squares) + tau)
+    drawn = F.exp(w * F.log(raised) + (1 - w) * median)
+    return features.withColumn(alpha, F.greatest(F.least(F.when(F.col(mean) < threshold, drawn).otherwise(raised), F.lit(clip[1])), F.lit(clip[0])))
+
+
+def log_offsets(cells: DataFrame, offset: str = "offset") -> DataFrame:
+    """Offsets on the log scale, with a mean of 0: values with a median above 50 and a maximum above 100 are counts, and become log(value + 1e-8)."""
+    o = F.col(offset)
+    s = cells.agg(F.count(o).alias("n"), F.count_if(o > 50).alias("over"), F.max(o).alias("most"), F.max(F.when(o <= 50, o)).alias("below"), F.min(F.when(o > 50, o)).alias("above")).first()
+    # the median of an even number is the mean of the middle two
+    counts = s["n"] and s["most"] > 100 and (2 * s["over"] > s["n"] or 2 * s["over"] == s["n"] and (s["below"] + s["above"]) / 2 > 50)
+    value = F.log(o + 1e-8) if counts else o
+    mean = cells.agg(F.avg(value)).first()[0]
+    return cells.withColumn(offset, value - F.lit(mean or 0.0))
+
+
+#: Levels of a batch column at most; each is a coefficient.
+MOST_LEVELS = 500
+
+
+def batch_design(cells: DataFrame, batch: str = "batch") -> DataFrame:
+    """Adds ``c``: an array of ones and zeros for each level of the batch but the first; a null batch has zeros."""
+    levels = [r[0] for r in cells.select(batch).filter(F.col(batch).isNotNull()).distinct().orderBy(batch).limit(MOST_LEVELS + 1).collect()]
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} batches")
+    return cells.withColumn("c", F.array(*[F.when(F.col(batch) == v, 1.0).otherwise(0.0) for v in levels[1:]]).cast("array<double>"))
+
+
+def count_model(counts: DataFrame, cells: DataFrame, alpha_init: float = 0.5, refit: bool = True) -> DataFrame:
+    """feature_id, b, alpha, mean, squares: a negative binomial regression of each feature on an offset and the batch.
+
+    ``counts``: cell_id, feature_id, value, non-zeros only. ``cells``: cell_id, offset (log scale), c
+    (an array of covariates). The first fit has ``alpha_init``; then alpha is matched to the squared
+    residuals, and where it is above 0 the fit is made again with it. ``mean`` and ``squares``
+    belong to the fitted means over all cells. Features without counts don't come up.
     """
-    depth = cells.join(counts.groupBy("cell_id").agg(F.sum("value").alias("d")), "cell_id", "left").na.fill(0.0, ["d"])
-    if depth.count() > 5_000_000:
-        raise ValueError("too many cells for dense residuals")
-    table = depth.orderBy("cell_id").toPandas()
-    ids = table.cell_id.to_numpy()
-    batches = pd.get_dummies(table.batch, drop_first=True).to_numpy(float)
-    design = np.column_stack([np.ones(len(ids)), batches])
-    offset = np.log(np.maximum(table.d.to_numpy(float), 1.0))
-    offset = offset - offset.mean()
-    sent = counts.sparkSession.sparkContext.broadcast((ids, design, offset))
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, design, offset = sent.value
-        y = np.zeros(len(ids))
-        y[np.searchsorted(ids, rows.cell_id.to_numpy())] = rows.value.to_numpy()
-        b, _ = poisson_newton(design, y, offset)
-        mu = np.exp(np.clip(design @ b + offset, -80, 80))
-        alpha = alpha_chi_squared(y, mu, len(y) - design.shape[1])
-        r = np.clip((y - mu) / np.sqrt(np.maximum(mu + alpha * mu * mu, 1e-8)), -clip, clip)
-        return pd.DataFrame({"cell_id": ids, "feature_id": rows.feature_id.iloc[0], "residual": r})
-
-    return counts.groupBy("feature_id").applyInPandas(fit, "cell_id long, feature_id long, residual double")
+    r = Regression(counts.select(F.col("feature_id").alias("unit"), "cell_id", F.lit(0.0).alias("x"), F.col("value").alias("y")), cells, has_x=False)
+    p = r.dispersed(r.fitted(r.start(alpha_init)))
+    if refit:
+        p = r.fitted(p, dispersed_only=True)
+    return r.table(r.moments(p)).select(F.col("unit").alias("feature_id"), "b", "alpha", F.get("more", F.lit(0)).alias("mean"), F.element_at("more", -1).alias("squares"))
+
+
+#: Features that stand in one row while residuals are made.
+TOGETHER = 512
+
+
+def modelled(counts: DataFrame, cells: DataFrame, features: DataFrame) -> DataFrame:
+    """cell_id, feature_id, value, mu, alpha for every cell and every feature of ``features`` (feature_id, b, alpha).
+
+    The full table is dense by nature, but it is made row by row: features come in blocks, a cell's
+    counts of a block as a map, and only these are joined.
+    """
+    n = max(1, -(-features.count() // TOGETHER))
+    block = F.pmod(F.xxhash64("feature_id"), F.lit(n)).alias("_block")
+    packed = features.groupBy(block).agg(F.collect_list(F.struct("feature_id", "b", "alpha")).alias("_f"))  # about TOGETHER features each
+    held = counts.groupBy("cell_id", block).agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("_y"))
+    every = cells.select("cell_id", "offset", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_block"))
+    full = every.join(held, ["cell_id", "_block"], "left").join(packed, "_block").select("cell_id", "offset", "c", "_y", F.inline("_f"))
+    z = F.concat(F.array(F.lit(1.0)), F.col("c"))
+    eta = F.aggregate(F.zip_with("b", z, lambda a, v: a * v), F.col("offset"), lambda s, v: s + v)
+    value = F.coalesce(F.try_element_at("_y", F.col("feature_id")), F.lit(0.0))
+    return full.select("cell_id", "feature_id", value.alias("value"), F.exp(F.greatest(F.least(eta, F.lit(FURTHEST)), F.lit(-FURTHEST))).alias("mu"), "alpha")
+
+
+def quantile_residual(y: Column, mu: Column, alpha: Column, u: Column) -> Column:
+    """Randomised quantile residual: the normal quantile of a point between the distribution function below y and at y, at the share ``u``.
+
+    Poisson where alpha is 0, else negative binomial with size 1 / alpha. The point stays 1e-12 off 0 and 1.
+    """
+    between = F.struct(count_cdf(y - 1, mu, alpha).alias("below"), count_cdf(y, mu, alpha).alias("upto"), u.alias("u"))
+    point = bound(between, lambda s: s["below"] + s["u"] * F.greatest(F.least(s["upto"] - s["below"], F.lit(1.0)), F.lit(0.0)))
+    return normal_quantile(F.greatest(F.least(point, F.lit(1 - 1e-12)), F.lit(1e-12)))
+
+
+def count_residuals(counts: DataFrame, cells: DataFrame, kind: str = "pearson", refit: bool = True, shrink: bool = False, clip: float | None = 10.0, standardise: bool = False, whole: bool = False, seed: int = 0) -> DataFrame:
+    """cell_id, feature_id, mu, alpha, residual for every cell and every feature with counts: a negative binomial model of offset and batch.
+
+    ``cells``: cell_id, offset (logs, or counts told by :func:`log_offsets`), batch. ``kind``:
+    'pearson' or 'quantile' (randomised by an integer hash of cell, feature and seed). ``whole``
+    refuses counts that aren't whole numbers.
+    """
+    if whole and not counts.filter(F.col("value") != F.floor("value")).isEmpty():
+        raise ValueError("counts must be whole numbers")
+    cells = stored(batch_design(log_offsets(cells)).select("cell_id", "offset", "c"), "model-cells")
+    features = stored(count_model(counts, cells, refit=refit), "model-features")
+    if shrink:
+        features = shrunk_alpha(features)
+    full = modelled(counts, cells, features)
+    y, mu, alpha = F.col("value"), F.col("mu"), F.col("alpha")
+    if kind == "quantile":
+        u = (draw(F.col("cell_id"), F.col("feature_id"), seed) + 0.5) / PRIME
+        r = quantile_residual(y, mu, alpha, u)
+    else:
+        r = pearson_residual(y, mu, alpha)
+    if clip is not None:
+        r = F.greatest(F.least(r, F.lit(clip)), F.lit(-clip))
+    out = full.select("cell_id", "feature_id", "mu", "alpha", r.alias("residual"))
+    return standardised(stored(out, "residuals"), "residual", "feature_id") if standardise else out
 
 
 def poisson_multi(links: DataFrame, x: DataFrame, y: DataFrame, covariates: DataFrame, ridge: float = 0.0) -> DataFrame:
-    """link_id, beta, se: the slope of y on x beside an intercept and covariates (cell_id, c: array), over all cells."""
-    table = covariates.orderBy("cell_id").toPandas()
-    ids, extra = table.cell_id.to_numpy(), np.vstack(table.c.to_numpy()).astype(float)
-    sent = links.sparkSession.sparkContext.broadcast((ids, extra))
-    xs = links.join(x.select(F.col("feature_id").alias("x_id"), "cell_id", "value"), "x_id").select("link_id", "cell_id", "value", F.lit(0).alias("side"))
-    ys = links.join(y.select(F.col("feature_id").alias("y_id"), "cell_id", "value"), "y_id").select("link_id", "cell_id", "value", F.lit(1).alias("side"))
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, extra = sent.value
-        sides = np.zeros((2, len(ids)))
-        sides[rows.side.to_numpy(), np.searchsorted(ids, rows.cell_id.to_numpy())] = rows.value.to_numpy()
-        b, se = poisson_newton(np.column_stack([np.ones(len(ids)), sides[0], extra]), sides[1], ridge=ridge)
-        return pd.DataFrame({"link_id": [rows.link_id.iloc[0]], "beta": [b[1]], "se": [se[1]]})
-
-    return xs.union(ys).groupBy("link_id").applyInPandas(fit, f"link_id {links.schema['link_id'].dataType.simpleString()}, beta double, se double")
+    """link_id, beta, se: the slope of y on x beside an intercept and covariates (cell_id, c: array), over all cells.
+
+    A link whose x and y are 0 in all cells has no slope and doesn't come up.
+    """
+    numbered = links.select("link_id", "x_id", "y_id", F.xxhash64("x_id", "y_id").alias("unit"))  # equal pairs are fitted once
+    pairs = numbered.select("unit", "x_id", "y_id").distinct()
+    xs = pairs.join(x.select(F.col("feature_id").alias("x_id"), "cell_id", F.col("value").alias("x")), "x_id").select("unit", "cell_id", "x", F.lit(0.0).alias("y"))
+    ys = pairs.join(y.select(F.col("feature_id").alias("y_id"), "cell_id", F.col("value").alias("y")), "y_id").select("unit", "cell_id", F.lit(0.0).alias("x"), "y")
+    entries = xs.unionByName(ys).groupBy("unit", "cell_id").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    r = Regression(entries, covariates.select("cell_id", F.lit(0.0).alias("offset"), "c"), has_x=True)
+    fits = r.table(r.fitted(r.start(), ridge)).select("unit", F.get("b", F.lit(1)).alias("beta"), F.get("more", F.lit(1)).alias("se"))
+    return numbered.join(fits, "unit").select("link_id", "beta", "se")

@@ -538,16 +538,37 @@ def residual_pearson_alpha(t: Inputs) -> DataFrame:
     return res.groupBy("feature_id").agg(r(F.max("alpha")).alias("alpha"), r(F.sum(F.col("residual") * F.col("residual")), 3).alias("squares"), F.count("*").alias("n"))
 
 
+def with_depth(t: Inputs, counts: DataFrame) -> DataFrame:
+    """cell_id, offset (the log of a cell's counts), batch (three of them)."""
+    depth = counts.groupBy("cell_id").agg(F.sum("value").alias("_d"))
+    return t.cells().join(depth, "cell_id", "left").select("cell_id", F.log(F.greatest(F.coalesce("_d", F.lit(0.0)), F.lit(1.0))).alias("offset"), (F.col("batch") % 3).alias("batch"))
+
+
 @query
 def nb_residuals(t: Inputs) -> DataFrame:
-    cells = t.cells().select("cell_id", (F.col("batch") % 3).alias("batch"))
-    return residuals.nb_residuals(t.y(), cells)
+    y = t.y()
+    found = residuals.count_residuals(y, with_depth(t, y), whole=True)
+    return found.select("cell_id", "feature_id", r("mu", 4).alias("mu"), r("alpha", 5).alias("alpha"), r("residual", 4).alias("residual"))
+
+
+@query
+def nb_residuals_standardised(t: Inputs) -> DataFrame:
+    """Alphas of features with few counts drawn to the median, quantile residuals standardised; one row a feature."""
+    y = t.y()
+    found = residuals.count_residuals(y, with_depth(t, y), kind="quantile", shrink=True, standardise=True, seed=9)
+    return found.groupBy("feature_id").agg(F.count("*").alias("cells"), r(F.min("residual"), 4).alias("least"), r(F.max("residual"), 4).alias("most"), r(F.avg("residual"), 6).alias("mean"), r(F.stddev_samp("residual"), 6).alias("deviation"))
 
 
 @query
 def poisson_multi_irls(t: Inputs) -> DataFrame:
     cov = t.cells().select("cell_id", F.array((F.col("balance") / 10000).cast("double"), (F.col("batch") % 2).cast("double")).alias("c"))
-    return residuals.poisson_multi(t.pairs(), t.x(), t.y(), cov)
+    return residuals.poisson_multi(t.pairs(), t.x(), t.y(), cov).select("link_id", r("beta", 5).alias("beta"), r("se", 5).alias("se"))
+
+
+@query
+def negative_binomial_pairs(t: Inputs) -> DataFrame:
+    found = pairs.negative_binomial_fit(pairs.joint_histograms(t.pairs(), t.x(), t.y(), t.n_cells()))
+    return found.select("link_id", r("b0", 5).alias("b0"), r("b1", 5).alias("b1"), r("alpha", 5).alias("alpha"), r("se", 5).alias("se"))
 
 
 @query

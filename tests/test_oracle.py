@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-from spanloom.plans.oracles import ORACLE_SQL
 from spanloom.plans.queries import QUERIES
-from spanloom.plans.study_sql import STUDY_SQL
+from spanloom.plans.sql import ALL_SQL
 from tests.oracle import database, differences
 
 DIR = "/root/testdata/sf0.001"
-SQL = ORACLE_SQL | STUDY_SQL
+SQL = ALL_SQL
 
 
 @pytest.fixture(scope="module")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import strings
 from spanloom.functions.special import cauchy_combined, lgamma, normal_sf
-from spanloom.operators import binning, meta, metrics, nulls, pairs, pvalues, residuals, specificity
+from spanloom.operators import binning, meta, metrics, nulls, pairs, pvalues, specificity
 from spanloom.plans import evaluation, jobs
+from tests import newton
 
 
 def frame(spark, rows, schema):
@@ -88,7 +89,7 @@ def test_poisson_fit_matches_newton(spark):
     x, y, lx, ly, links = simulated(spark)
     got = {r["link_id"]: r for r in pairs.poisson_fit(pairs.histograms(links, lx, ly, 400), tolerance=1e-10).collect()}
     for k in range(8):
-        b, se = residuals.poisson_newton(np.column_stack([np.ones(400), x[k]]), y[k].astype(float))
+        b, se, _ = newton.fitted(np.column_stack([np.ones(400), x[k]]), y[k].astype(float))
         assert got[k]["b0"] == pytest.approx(b[0], abs=1e-6) and got[k]["b1"] == pytest.approx(b[1], abs=1e-6) and got[k]["se"] == pytest.approx(se[1], abs=1e-5)
 
 
@@ -102,17 +103,6 @@ def test_correlations_match_numpy(spark):
         assert s[k] == pytest.approx(np.corrcoef(rank(x[k]), rank(y[k]))[0, 1], abs=1e-9)
 
 
-def test_multivariate_fit(spark):
-    rng = np.random.default_rng(3)
-    cov = rng.normal(size=300)
-    x = rng.poisson(1.0, 300)
-    y = rng.poisson(np.exp(0.2 + 0.3 * x + 0.5 * cov))
-    lx = frame(spark, [(c, 0, float(v)) for c, v in enumerate(x) if v], "cell_id long, feature_id long, value double")
-    ly = frame(spark, [(c, 0, float(v)) for c, v in enumerate(y) if v], "cell_id long, feature_id long, value double")
-    got = residuals.poisson_multi(frame(spark, [(0, 0, 0)], "link_id long, x_id long, y_id long"), lx, ly, frame(spark, [(c, [float(v)]) for c, v in enumerate(cov)], "cell_id long, c array<double>")).first()
-    assert got["beta"] == pytest.approx(0.3, abs=0.15) and 0 < got["se"] < 0.2
-
-
 def test_control_features_are_distinct_others_of_the_bin(spark):
     f = frame(spark, [(i, "a" if i % 2 else "b") for i in range(40)], "feature_id long, bin string")
     got = nulls.control_features(f, "bin", 6, seed=1).collect()
