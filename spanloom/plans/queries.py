@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings
 from ..functions.special import cauchy_combined
-from ..operators import binning, dedup, intervals, matrix, meta, metrics, neighbourhoods, nulls, pairs, pvalues, residuals, specificity
+from ..operators import binning, dedup, intervals, jackknife, matrix, meta, metrics, neighbourhoods, nulls, pairs, pvalues, residuals, specificity
 from ..sources import readers
 from ..sources.shared import stored
 from . import evaluation, jobs
@@ -429,6 +429,28 @@ def partial_ap(t: Inputs) -> DataFrame:
     return metrics.partial_average_precision(t.scores(), "m1", "label", 0.2).select(r("pap").alias("pap"))
 
 
+@query
+def odds_ratio_jackknife(t: Inputs) -> DataFrame:
+    long = evaluation.long_form(t.scores(), ["m1", "m2"], ["doc_id", "label", "lang"])
+    found = jackknife.odds_jackknife(long, "score", "label", "lang", "doc_id", [40, 80, 160], ["method"], epsilon=0.5)
+    return found.select("method", "top", *[r(c).alias(c) for c in ("odds_ratio", "fisher_p", "ci_lower", "ci_upper", "jackknife_sd")], "n_blocks")
+
+
+@query
+def enrichment_area_jackknife(t: Inputs) -> DataFrame:
+    """Word counts as the gold value, so that rows differ in it."""
+    long = evaluation.long_form(t.scores(), ["m1", "m2"], ["doc_id", "label", "lang"]).withColumn("gold", F.col("label").cast("double") + F.col("doc_id") % 7 / 10)
+    found = jackknife.area_jackknife(long, "score", "gold", "lang", "doc_id", [10, 20, 40, 70], ["method"])
+    return found.select("method", *[r(c).alias(c) for c in ("area", "ci_lower", "ci_upper", "jackknife_sd")], "n_blocks")
+
+
+@query
+def bin_contributions(t: Inputs) -> DataFrame:
+    rows = t.scores().withColumns({"gold": F.col("label").cast("double") + F.col("doc_id") % 7 / 10, "bin": (F.col("doc_id") % 3).cast("string")})
+    found = jackknife.bin_contributions(rows, "m1", "gold", "lang", "bin", "doc_id", [10, 20, 40, 70])
+    return found.select("bin", r("contribution").alias("contribution"), r("se").alias("se"))
+
+
 @query
 def bootstrap_metric_ci(t: Inputs) -> DataFrame:
     reps = metrics.replicates(t.scores(), 50, "doc_id", seed=17)

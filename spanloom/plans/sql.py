@@ -1,7 +1,8 @@
 """DuckDB SQL of all registered queries that have some."""
 
+from .jackknife_sql import JACKKNIFE_SQL
 from .model_sql import MODEL_SQL
 from .oracles import ORACLE_SQL
 from .study_sql import STUDY_SQL
 
-ALL_SQL: dict[str, str] = ORACLE_SQL | STUDY_SQL | MODEL_SQL
+ALL_SQL: dict[str, str] = ORACLE_SQL | STUDY_SQL | MODEL_SQL | JACKKNIFE_SQL
