@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings
 from ..functions.special import cauchy_combined
-from ..operators import binning, dedup, intervals, jackknife, matrix, meta, metrics, neighbourhoods, nulls, pairs, pvalues, residuals, specificity
+from ..operators import agreement, binning, dedup, intervals, jackknife, matrix, meta, metrics, neighbourhoods, nulls, pairs, pvalues, residuals, specificity
 from ..sources import readers
 from ..sources.shared import stored
 from . import evaluation, jobs
@@ -429,6 +429,32 @@ def partial_ap(t: Inputs) -> DataFrame:
     return metrics.partial_average_precision(t.scores(), "m1", "label", 0.2).select(r("pap").alias("pap"))
 
 
+def link_sets(t: Inputs) -> DataFrame:
+    """Parts with suppliers as links; years of shipping as data sets; positive where enough was ordered."""
+    line = t.table("lineitem")
+    link = F.concat_ws(";", (F.col("l_partkey") % 200).cast("string"), (F.col("l_suppkey") % 20).cast("string"))
+    return line.select(F.year("l_shipdate").cast("string").alias("dataset"), link.alias("link"), (F.col("l_quantity") > 40).alias("positive"))
+
+
+@query
+def dataset_agreement(t: Inputs) -> DataFrame:
+    return agreement.pair_counts(link_sets(t), "dataset", "link", "positive")
+
+
+@query
+def dataset_odds_matrix(t: Inputs) -> DataFrame:
+    found = agreement.odds_matrix(agreement.pair_counts(link_sets(t), "dataset", "link", "positive"))
+    return found.select("a", "b", *[r(c).alias(c) for c in ("odds_ratio", "chi_squared", "p_value")])
+
+
+@query
+def formula_bootstrap(t: Inputs) -> DataFrame:
+    """Prices of parts by size, brand class and their interaction; brands are the data sets that are drawn."""
+    part = t.table("part").select("p_brand", (F.col("p_retailprice") / 100).alias("price"), (F.col("p_size") / 10.0).alias("size"), F.when(F.col("p_partkey") % 3 == 0, "late").otherwise("early").alias("kind"))
+    found = meta.coefficient_summary(meta.bootstrap_formula(part, "price ~ size * kind", "p_brand", 200, seed=4))
+    return found.select("term", *[r(c, 5).alias(c) for c in ("estimate", "bootstrap_sd", "ci_lower", "ci_upper", "p_value")])
+
+
 @query
 def odds_ratio_jackknife(t: Inputs) -> DataFrame:
     long = evaluation.long_form(t.scores(), ["m1", "m2"], ["doc_id", "label", "lang"])
