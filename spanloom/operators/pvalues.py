@@ -1,9 +1,9 @@
 """Empirical p-values and false discovery rates by counting in sorted windows.
 
 Controls and observations are put into one frame and counted by a window, so no observation is
-ever paired with all controls. Windows over all rows (pooled values) go through
-:func:`counts_at_least`, which cuts the values into ranges, counts within each range in parallel
-and adds the totals of the ranges above; no single task sorts all rows.
+ever paired with all controls. Counts over all rows (pooled values, false discovery rates) first
+make one row a distinct value, store these, and run over them by ranges of values with the totals
+of the ranges above; no single task sorts all rows, and rows are read once.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import clean, normal_sf
+from ..sources.shared import stored
 from .metrics import running, with_totals
 
 
@@ -30,17 +31,11 @@ def counts_at_least(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str
         n = F.when(F.col("_v").isNotNull(), total.over(part.orderBy(F.desc("_v")).rangeBetween(Window.unboundedPreceding, 0)))
         out = both.withColumns({"n_ge": n, "n_ctrl": total.over(part)})
     else:
-        edges = both.filter("_v is not null").select(F.percentile_approx("_v", [i / 32 for i in range(1, 32)], 1000).alias("e")).first()["e"] or []
-        cut = F.lit(0)
-        for e in sorted(set(edges)):
-            cut = cut + F.when(F.col("_v") > e, 1).otherwise(0)
-        both = both.withColumn("_p", F.when(F.col("_v").isNotNull(), cut))
-        sizes = {r["_p"]: r["n"] for r in both.filter("_p is not null").groupBy("_p").agg(total.alias("n")).collect()}  # 32 ranges at most
-        above = F.lit(0).cast("long")
-        for p in sizes:
-            above = above + F.when(F.col("_p") < p, F.lit(sizes[p])).otherwise(F.lit(0))
-        inner = total.over(Window.partitionBy("_p").orderBy(F.desc("_v")).rangeBetween(Window.unboundedPreceding, 0))
-        out = both.withColumns({"n_ge": F.when(F.col("_v").isNotNull(), inner + above), "n_ctrl": F.lit(sum(sizes.values())).cast("long")})
+        # one row a distinct value, so that equal values are no work and ranges of values can be cut anywhere
+        levels = stored(both.filter("_v is not null").groupBy("_v").agg(total.alias("_c")), "levels")
+        upto = running(levels, "_v", "_v", False, [], {"n_ge": F.col("_c")}).select(F.col("_v").alias("_at"), "n_ge")
+        n = levels.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("n_ctrl"))  # one row
+        out = o.join(upto, F.col("_v") == F.col("_at"), "left").join(F.broadcast(n))
     return out.filter("_obs = 1").select(F.col("_key").alias(key), "n_ge", "n_ctrl")
 
 
@@ -97,14 +92,18 @@ def empirical_fdr(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str,
     """Adds ``q_value``: for each threshold the share of controls over the share of statistics at least as large, at most 1,
     made monotone from the least stringent threshold. Shares are of all controls, null ones too, and of the statistics that there are."""
     g = F.lit(0) if group is None else F.col(group)
-    stat = counts_at_least(obs, obs, value, value, key, group).select(key, F.col("n_ge").alias("_stat_ge"))
-    n = counts_at_least(obs, ctrl, value, ctrl_value, key, group).select(key, F.col("n_ge").alias("_ctrl_ge"))
-    sizes = obs.groupBy(g.alias("_g")).agg(F.count(clean(F.col(value).cast("double"))).alias("_m")).join(ctrl.groupBy(g.alias("_g")).agg(F.count("*").alias("_b")), "_g")
-    rows = obs.join(stat, key).join(n, key).withColumn("_g", g).join(sizes, "_g", "left")
-    ratio = F.least(F.lit(1.0), F.try_divide(F.col("_ctrl_ge") / F.col("_b"), F.col("_stat_ge") / F.col("_m")))
-    levels = rows.filter(F.col("_stat_ge").isNotNull()).groupBy("_g", F.col(value).alias("_t")).agg(F.min(ratio).alias("_r"))  # one row a threshold
-    run = running(levels, "_t", "_t", True, ["_g"], {"q_value": F.col("_r")}, least=True).select(F.col("_g").alias("_gg"), "_t", "q_value")
-    return rows.join(run, (F.col("_g") == F.col("_gg")) & (F.col(value) == F.col("_t")), "left").drop("_g", "_gg", "_t", "_m", "_b", "_stat_ge", "_ctrl_ge")
+    v, zero, one = F.col("_v"), F.lit(0), F.lit(1)
+    o = obs.select(g.alias("_g"), clean(F.col(value).cast("double")).alias("_v"), one.alias("_o"), zero.alias("_c"))
+    c = ctrl.select(g.alias("_g"), clean(F.col(ctrl_value).cast("double")).alias("_v"), zero.alias("_o"), one.alias("_c"))
+    # statistics and controls are read once, into one row a distinct value; the null value has those without one
+    levels = stored(o.unionByName(c).groupBy("_g", "_v").agg(F.sum("_o").alias("_o"), F.sum("_c").alias("_c")), "levels")
+    sizes = levels.groupBy("_g").agg(F.coalesce(F.sum(F.when(v.isNotNull(), F.col("_o"))), zero).alias("_m"), F.sum("_c").alias("_b"))
+    upto = running(levels.filter("_v is not null"), "_v", "_v", False, ["_g"], {"_stat_ge": F.col("_o"), "_ctrl_ge": F.col("_c")})
+    ratio = F.least(F.lit(1.0), F.try_divide(F.try_divide(F.col("_ctrl_ge"), F.col("_b")), F.try_divide(F.col("_stat_ge"), F.col("_m"))))
+    tested = stored(with_totals(upto.filter("_o > 0"), sizes, ["_g"]).select("_g", "_v", ratio.alias("_r")), "thresholds")
+    run = running(tested, "_v", "_v", True, ["_g"], {"q_value": F.col("_r")}, least=True).select(F.col("_g").alias("_gg"), F.col("_v").alias("_t"), "q_value")
+    rows = obs.withColumn("_g", g)
+    return rows.join(run, F.col("_g").eqNullSafe(F.col("_gg")) & (clean(F.col(value).cast("double")) == F.col("_t")), "left").drop("_g", "_gg", "_t")
 
 
 def fdr_threshold(tested: DataFrame, value: str, target: float = 0.1, group: list[str] | None = None) -> DataFrame:
@@ -118,10 +117,10 @@ def benjamini_hochberg(df: DataFrame, p: str, key: str, group: str | None = None
     Equal p share the largest of their ranks, as the running minimum makes of any order among them.
     """
     within = [] if group is None else [group]
-    levels = df.filter(F.col(p).isNotNull()).groupBy(*within, p).agg(F.count("*").alias("_c"))
+    levels = stored(df.filter(F.col(p).isNotNull()).groupBy(*within, p).agg(F.count("*").alias("_c")), "levels")
     ranked = running(levels, p, p, True, within, {"_r": F.col("_c")})
     total = levels.groupBy(*within).agg(F.sum("_c").alias("_n"))
-    ranked = with_totals(ranked, total, within).withColumn("_q", F.col(p) * F.col("_n") / F.col("_r"))
+    ranked = stored(with_totals(ranked, total, within).withColumn("_q", F.col(p) * F.col("_n") / F.col("_r")), "thresholds")
     best = running(ranked, p, p, False, within, {"_least": F.col("_q")}, least=True)
     best = best.select(*[F.col(c).alias(f"_of_{c}") for c in within], F.col(p).alias("_p"), F.least(F.lit(1.0), "_least").alias("bh_q"))
     same = F.col(p) == F.col("_p")
