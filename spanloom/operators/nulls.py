@@ -5,10 +5,13 @@ Draws come from :func:`spanloom.functions.special.draw`; the same seed gives the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import draw
+from ..functions.special import bound, draw
+from .pairs import pearson
 
 #: Draws made for each control asked, and some more, so that enough different ones are among them
 #: wherever there are more than twice as many candidates as controls; elsewhere all candidates are ordered.
@@ -111,3 +114,52 @@ def other_group_partner(left: DataFrame, right: DataFrame, seed: int = 0) -> Dat
     l = l.filter(F.col("_own") < n).select("id", F.when(pick < F.col("_first"), pick).otherwise(pick + F.col("_own")).alias("_at"))
     placed = r.join(F.broadcast(spans.select("_g", F.col("_first").alias("_from"))), F.col("grp") == F.col("_g")).select(F.col("id").alias("partner_id"), (F.col("_from") + F.col("_pos")).alias("_at"))
     return l.join(placed, "_at").select("id", "partner_id")
+
+
+#: Rounds of the permutation, and walks through places beyond n, at most: for small n as many as there can be, for others more than will ever be met.
+ROUNDS, WALKS = 6, 64
+
+
+def permuted(index: Column, n: int, seed: Column | int) -> Column:
+    """A pseudo-random permutation of 0..n-1, computed in place: the number that ``index`` moves to.
+
+    Numbers below n stand in a grid of about sqrt(n) rows and columns; each round shifts the row by
+    a hash of the column and then the column by a hash of the row, which can be undone, so the whole
+    is one to one. Whoever leaves 0..n-1, which the grid exceeds by at most 2 sqrt(n) + 1, goes on until
+    back. Any ``seed`` column gives a permutation of its own. Null stays null; numbers outside are an error.
+    """
+    if n < 1:
+        raise ValueError("nothing to permute")
+    rows = math.isqrt(n - 1) + 1
+    columns = -(-n // rows)
+    walks = min(rows * columns - n + 1, WALKS)
+    seed = F.lit(seed) if isinstance(seed, int) else seed
+
+    def shuffled(at: Column) -> Column:
+        start = F.struct(F.floor(at / columns).cast("long").alias("r"), F.pmod(at, F.lit(columns)).cast("long").alias("c"))
+
+        def turn(s: Column, k: Column) -> Column:
+            row = F.pmod(s["r"] + F.pmod(F.xxhash64(s["c"], k, seed), F.lit(rows)), F.lit(rows))
+            return bound(row, lambda r: F.struct(r.alias("r"), F.pmod(s["c"] + F.pmod(F.xxhash64(r, k, seed, F.lit(1)), F.lit(columns)), F.lit(columns)).alias("c")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: s["r"] * columns + s["c"])
+
+    index = index.cast("long")
+    known = F.when((index < 0) | (index >= n), F.raise_error(F.lit(f"a number to be permuted is outside 0..{n - 1}")).cast("long")).otherwise(index)
+    once = bound(known, shuffled)
+    back = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), once, lambda at, _: F.when(at < n, at).otherwise(shuffled(at))) if walks > 1 else once
+    return bound(back, lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("a walk of the permutation is too long")).cast("long")))
+
+
+def permutation_null(links: DataFrame, x: DataFrame, y: DataFrame, n_cells: int, n: int, seed: int = 0) -> DataFrame:
+    """link_id, x_id, y_id, rep, corr: Pearson correlations after the cells of y were permuted, ``n`` times.
+
+    Cells are numbered 0..n_cells-1. Every feature of y is permuted by itself, as every replicate is.
+    Only the non-zeros of y move, and each where it says itself; no table of draws is made or shuffled.
+    """
+    reps = y.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    moved = reps.withColumn("cell_id", permuted(F.col("cell_id"), n_cells, F.xxhash64("feature_id", "rep", F.lit(seed))))
+    moved = moved.select("cell_id", F.struct("feature_id", "rep").alias("feature_id"), "value")
+    asked = links.select("link_id", "x_id", "y_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rep"))
+    asked = asked.select(F.struct("link_id", "rep").alias("link_id"), "x_id", F.struct(F.col("y_id").alias("feature_id"), "rep").alias("y_id"))
+    return pearson(asked, x, moved, n_cells).select("link_id.link_id", "x_id", F.col("y_id.feature_id").alias("y_id"), "link_id.rep", "corr")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings
 from ..functions.special import cauchy_combined
-from ..operators import agreement, binning, dedup, intervals, jackknife, matrix, meta, metrics, neighbourhoods, nulls, pairs, pvalues, residuals, specificity
+from ..operators import agreement, binning, causal, dedup, intervals, jackknife, matrix, meta, metrics, neighbourhoods, nulls, pairs, pvalues, residuals, specificity, ties
 from ..sources import readers
 from ..sources.shared import stored
 from . import evaluation, jobs
@@ -455,6 +455,54 @@ def formula_bootstrap(t: Inputs) -> DataFrame:
     return found.select("term", *[r(c, 5).alias(c) for c in ("estimate", "bootstrap_sd", "ci_lower", "ci_upper", "p_value")])
 
 
+@query
+def tie_block_tops(t: Inputs) -> DataFrame:
+    """Scores in tens, so that many are equal."""
+    rows = t.scores().withColumn("tens", F.floor(F.col("m2") / 100).cast("double"))
+    found = ties.expected_tops(rows, "tens", "label", [5, 20, 50, 100], ["lang"])
+    return found.select("lang", "top", *[r(c).alias(c) for c in ("tp", "precision", "recall", "odds_ratio", "ci_lower", "ci_upper")])
+
+
+@query
+def tie_block_curve(t: Inputs) -> DataFrame:
+    rows = t.scores().withColumn("tens", F.when(F.col("m2") < 900, F.floor(F.col("m2") / 100).cast("double")))
+    return ties.curve(rows, "tens", "label", ["lang"], extrapolate=True).select("lang", r("recall").alias("recall"), r("enrichment").alias("enrichment"))
+
+
+@query
+def odds_by_regime(t: Inputs) -> DataFrame:
+    rows = t.scores().withColumn("tens", F.floor(F.col("m2") / 50).cast("double"))
+    found = ties.regime_odds(rows, "tens", "label", ["source"], 30)
+    return found.select("source", "tp", "fp", "fn", "tn", r("smoothed").alias("smoothed"), r("ci_lower").alias("ci_lower"), r("ci_upper").alias("ci_upper"))
+
+
+@query
+def points_in_intervals(t: Inputs) -> DataFrame:
+    """Orders of each day and status in the ninety days around an order of the same status."""
+    days = t.table("orders").select("o_orderkey", "o_orderstatus", F.floor(F.unix_timestamp("o_orderdate") / 86400).alias("day"))
+    spans = days.select("o_orderkey", F.col("o_orderstatus").alias("chrom"), (F.col("day") - 45).alias("start"), (F.col("day") + 45).alias("end"))
+    return causal.counts_between(spans, days.select(F.col("o_orderstatus").alias("chrom"), F.col("day").alias("pos")), "o_orderkey")
+
+
+@query
+def causal_variant_enrichment(t: Inputs) -> DataFrame:
+    """Customers stand for genes, their orders for variants, lines for causal variants in annotated places."""
+    orders = t.table("orders").select("o_orderkey", F.col("o_custkey").alias("gene"), F.col("o_orderstatus").alias("chrom"), F.floor(F.unix_timestamp("o_orderdate") / 86400).alias("pos"))
+    lines = t.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    found = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("gene").alias("eqtl_gene"), F.when(F.col("l_partkey") % 3 == 0, F.col("gene") + 1).otherwise(F.col("gene")).alias("annotated_gene"), F.col("l_discount").alias("probability"), F.col("l_tax").alias("p"))
+    windows = orders.groupBy("gene").agg(F.min("chrom").alias("chrom"), F.min("pos").alias("start"), F.max("pos").alias("end"))
+    reference = lines.filter(F.col("l_suppkey") % 5 > 0).select("gene", F.col("l_discount").alias("probability"))
+    out = causal.causal_enrichment(found, found.filter("id % 7 = 0"), orders.filter(F.col("o_orderkey") % 4 > 0).select("gene"), reference, orders, windows, "p", 0.05)
+    return out.select("gene", r("pip_annotated").alias("pip_annotated"), "n_annotated", r("pip_total").alias("pip_total"), "n_window", r("enrichment").alias("enrichment"))
+
+
+@query
+def permutation_null(t: Inputs) -> DataFrame:
+    """The spread of permuted correlations by link, rounded to what a hash doesn't change."""
+    found = nulls.permutation_null(t.pairs(), t.x(), t.y(), t.n_cells(), 50, seed=3)
+    return found.groupBy("link_id").agg(F.count("*").alias("n"), r(F.avg("corr")).alias("mean"), r(F.stddev_samp("corr")).alias("deviation"))
+
+
 @query
 def odds_ratio_jackknife(t: Inputs) -> DataFrame:
     long = evaluation.long_form(t.scores(), ["m1", "m2"], ["doc_id", "label", "lang"])
