@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import SCORES
+from .oracles import SCORES, base
 
 Z = 1.959963984540054
 
@@ -50,4 +50,12 @@ n AS (SELECT gene, CAST(coalesce(sum(v.n), 0) AS BIGINT) AS n_window FROM w LEFT
 a AS (SELECT gene, sum(prob) AS pip FROM l WHERE p < 0.05 AND ann = gene GROUP BY 1), c AS (SELECT ann AS gene, count(*) AS k FROM l WHERE id % 7 = 0 GROUP BY 1), t AS (SELECT gene, sum(prob) AS total FROM l WHERE l_suppkey % 5 > 0 GROUP BY 1),
 j AS (SELECT gene, coalesce(pip, 0) AS pip, coalesce(k, 0) AS k, coalesce(total, 0) AS total, n_window FROM g LEFT JOIN a USING (gene) LEFT JOIN c USING (gene) LEFT JOIN t USING (gene) LEFT JOIN n USING (gene))
 SELECT CAST(gene AS VARCHAR) AS gene, round(pip, 6) AS pip_annotated, k AS n_annotated, round(total, 6) AS pip_total, n_window, round(CASE WHEN total = 0 OR k = 0 THEN 0 WHEN n_window > 0 THEN (pip / k) / (total / n_window) END, 6) AS enrichment FROM j""",
+    # cells without a direction are 1 away from all others
+    "chromatin_potential": base() + """, xp AS (SELECT cell_id, l_partkey % 20 AS feature_id, CAST(count(*) AS DOUBLE) AS value FROM lo GROUP BY ALL), f AS (SELECT unnest(range(0, 20)) AS feature_id),
+yo AS (SELECT cell_id, feature_id, coalesce(value, 0) AS v FROM cells CROSS JOIN f LEFT JOIN y USING (cell_id, feature_id)), yp AS (SELECT cell_id, feature_id, coalesce(value, 0) AS v FROM cells CROSS JOIN f LEFT JOIN xp USING (cell_id, feature_id)),
+so AS (SELECT cell_id, feature_id, CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) ELSE 0 END AS v FROM yo WINDOW w AS (PARTITION BY feature_id)),
+sp AS (SELECT cell_id, feature_id, CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) ELSE 0 END AS v FROM yp WINDOW w AS (PARTITION BY feature_id)),
+co AS (SELECT cell_id, list(v - m ORDER BY feature_id) AS l FROM (SELECT *, avg(v) OVER (PARTITION BY cell_id) AS m FROM so) GROUP BY 1), cp AS (SELECT cell_id, list(v - m ORDER BY feature_id) AS l FROM (SELECT *, avg(v) OVER (PARTITION BY cell_id) AS m FROM sp) GROUP BY 1),
+d AS (SELECT a.cell_id, round(1 - list_dot_product(a.l, b.l) / greatest(sqrt(list_dot_product(a.l, a.l)) * sqrt(list_dot_product(b.l, b.l)), 1e-300), 12) AS d, b.cell_id AS o FROM co a, cp b),
+k AS (SELECT cell_id, d, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY d, o) AS INTEGER) AS rank FROM d) SELECT cell_id, rank, round(d, 6) AS distance FROM k WHERE rank <= 3""",
 }

@@ -503,6 +503,19 @@ def permutation_null(t: Inputs) -> DataFrame:
     return found.groupBy("link_id").agg(F.count("*").alias("n"), r(F.avg("corr")).alias("mean"), r(F.stddev_samp("corr")).alias("deviation"))
 
 
+@query
+def chromatin_potential(t: Inputs) -> DataFrame:
+    """Cells by their counts of supplier classes, against cells by their counts of as many classes of parts."""
+    cells, classes = t.cells().select("cell_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N_Y - 1).cast("long")))
+
+    def dense(counts: DataFrame) -> DataFrame:
+        return cells.withColumn("feature_id", classes).join(counts, ["cell_id", "feature_id"], "left").na.fill(0.0, ["value"])
+
+    parts = t.table("lineitem").join(t.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("cell_id"), (F.col("l_partkey") % N_Y).cast("long").alias("feature_id")).agg(F.count("*").cast("double").alias("value"))
+    found = neighbourhoods.chromatin_potential(dense(t.y()), dense(parts), 3).rows
+    return found.select(F.col("id").alias("cell_id"), "rank", r("distance").alias("distance"))
+
+
 @query
 def odds_ratio_jackknife(t: Inputs) -> DataFrame:
     long = evaluation.long_form(t.scores(), ["m1", "m2"], ["doc_id", "label", "lang"])
