@@ -8,7 +8,7 @@ second run, or a task that runs again, gives the same records.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,10 +42,14 @@ def character(code: Column) -> Column:
     return F.when(fine, F.decode(F.unhex(hexed), "UTF-32")).otherwise("\ufffd")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def decoded(text: Column) -> Column:
     """Character references replaced, each once; unknown names stay."""
     named = F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair])
-    found, gaps = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), F.split(text, REFERENCE)
 
     def one(ref: Column) -> Column:
         body = F.substring(ref, F.lit(2), F.length(ref) - 2)
@@ -53,13 +57,16 @@ def decoded(text: Column) -> Column:
         ten = F.substring(body, F.lit(2), F.length(body)).try_cast("long")
         return F.when(body.rlike("^#[xX]"), character(sixteen)).when(F.substring(body, 1, 1) == "#", character(ten)).otherwise(F.coalesce(F.try_element_at(named, body), ref))
 
-    pieces = F.zip_with(F.transform(found, one), F.slice(gaps, F.lit(2), F.size(found)), lambda c, g: F.concat(c, g))
-    return F.when(text.rlike(REFERENCE), F.concat(F.get(gaps, F.lit(0)), F.array_join(pieces, ""))).otherwise(text)
+    def replaced(text: Column) -> Column:
+        found, gaps = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), F.split(text, REFERENCE)
+        return once(F.struct(found.alias("found"), gaps.alias("gaps")), lambda s: F.concat(F.get(s["gaps"], F.lit(0)), F.array_join(F.zip_with(F.transform(s["found"], one), F.slice(s["gaps"], F.lit(2), F.size(s["found"])), lambda c, g: F.concat(c, g)), "")))
+
+    return once(text, lambda t: F.when(t.contains("&"), replaced(t)).otherwise(t))
 
 
 def squeezed(text: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.btrim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(text, r"[ \t\n\r\f]{2,}|[\t\n\r\f]", " "), F.lit(" "))  # single blanks stay as they are
 
 
 def plain_text(html: Column) -> Column:
