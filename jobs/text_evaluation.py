@@ -32,6 +32,7 @@ from spanloom.operators.binning import above
 from spanloom.operators.dedup import merged_duplicates
 from spanloom.plans import evaluation
 from spanloom.sources.shared import stored
+from spanloom.streaming.arrivals import append_new, arriving
 
 log = logging.getLogger("spanloom.text_evaluation")
 CONFIG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "text_evaluation.json")
@@ -62,13 +63,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
 def ingest(spark: SparkSession, documents: str, out: str, files_at_a_time: int) -> int:
     """Scores the documents that are new since the checkpoint and appends them; returns how many there were."""
-    schema = spark.read.parquet(documents).schema
-    parent, _, name = documents.rstrip("/").rpartition("/")
-    # as a pattern, the path may be one file as well as a folder; the plain path of a stream must be a folder
-    new = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_a_time).parquet(f"{parent}/{{{name}}}")
-    stream = scored(new).writeStream.format("parquet").outputMode("append").option("path", f"{out}/scores").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    rows = sum(p.numInputRows for p in stream.recentProgress)
+    rows = append_new(scored(arriving(spark, documents, files_at_a_time)), f"{out}/scores", f"{out}/checkpoint")
     log.info("read %s: %s new documents", documents, rows)
     return rows
 

@@ -49,10 +49,10 @@ def spearman(links: DataFrame, x: DataFrame, y: DataFrame, n_cells: int) -> Data
     return s.select("link_id", "x_id", "y_id", F.when((vx > 1e-9) & (vy > 1e-9), (F.col("sxy") - F.col("sx") * F.col("sy") / n) / F.sqrt(vx * vy)).alias("corr"))
 
 
-def histograms(links: DataFrame, x: DataFrame, y: DataFrame, n_cells: int) -> DataFrame:
+def histograms(links: DataFrame, x: DataFrame, y: DataFrame, n_cells: int | str) -> DataFrame:
     """One row a link: ``hist``, an array of (x, cells, sum of y) by distinct x with 0 included, and sum_y.
 
-    Weights of the regression depend on x alone, so this is all that it needs; counts have few
+    ``n_cells`` is a number, or a column of ``links`` where it differs. Weights of the regression depend on x alone, so this is all that it needs; counts have few
     distinct values.
     """
     xs = links.join(x.select(F.col("feature_id").alias("x_id"), "cell_id", F.col("value").alias("_x")), "x_id")
@@ -64,7 +64,8 @@ def histograms(links: DataFrame, x: DataFrame, y: DataFrame, n_cells: int) -> Da
     held = F.coalesce("_h", F.array().cast("array<struct<x:double,n:double,y:double>>"))
     n = F.aggregate(held, F.lit(0.0), lambda s, b: s + b["n"])
     seen = F.aggregate(held, F.lit(0.0), lambda s, b: s + b["y"])
-    zero = F.struct(F.lit(0.0).alias("x"), (F.lit(float(n_cells)) - n).alias("n"), (F.col("sum_y") - seen).alias("y"))
+    every = F.col(n_cells).cast("double") if isinstance(n_cells, str) else F.lit(float(n_cells))
+    zero = F.struct(F.lit(0.0).alias("x"), (every - n).alias("n"), (F.col("sum_y") - seen).alias("y"))
     return rows.select(*links.columns, F.concat(F.array(zero), held).alias("hist"), "sum_y")
 
 

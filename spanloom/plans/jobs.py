@@ -143,14 +143,29 @@ def associate(x: DataFrame, y: DataFrame, peaks: DataFrame, genes: DataFrame, n_
     return p_values(cis, ctrl, "grp")
 
 
+#: Groups of cells at most that are told apart.
+MOST_GROUPS = 1000
+
+
 def by_group(x: DataFrame, y: DataFrame, cells: DataFrame, group: str, links: DataFrame, least: int = 10) -> DataFrame:
-    """Links fitted again within each group of cells with at least ``least`` cells: adds the group's column."""
-    sizes = {r[group]: r["count"] for r in cells.groupBy(group).count().filter(F.col(group).isNotNull() & (F.col("count") >= least)).collect()}  # one row a cell type
-    parts = []
-    for name, n in sorted(sizes.items()):
-        own = cells.filter(F.col(group) == name).select("cell_id")
-        parts.append(fit(links, x.join(own, "cell_id", "left_semi"), y.join(own, "cell_id", "left_semi"), n).withColumn(group, F.lit(name)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Links fitted again within each group of cells with at least ``least`` cells: adds the group's column, beta and se.
+
+    The group is part of each feature's key, so all groups are one plan. Cells without a group, and
+    counts of unknown cells, are left out.
+    """
+    known = cells.filter(F.col(group).isNotNull())
+    sizes = known.groupBy(group).count().filter(F.col("count") >= least).orderBy(group).limit(MOST_GROUPS + 1).collect()  # one row a cell type
+    if len(sizes) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups of cells")
+    kind = cells.schema[group].dataType
+    names = F.array(*[F.struct(F.lit(r[group]).cast(kind).alias("g"), F.lit(r["count"]).cast("long").alias("n")) for r in sizes]) if sizes else F.array().cast(f"array<struct<g:{kind.simpleString()},n:bigint>>")
+    own = known.select("cell_id", F.col(group).alias("_g"))
+    keyed = lambda m: m.join(own, "cell_id").select("cell_id", F.struct(F.col("feature_id").alias("f"), F.col("_g").alias("g")).alias("feature_id"), "value")
+    both = lambda c: F.struct(F.col(c).alias("f"), F.col("_k.g").alias("g")).alias(c)
+    pairs = links.select("x_id", "y_id").distinct().withColumn("_k", F.explode(names)).select(both("x_id"), both("y_id"), F.col("_k.n").alias("_n"))
+    pairs = pairs.withColumn("link_id", F.struct("x_id", "y_id"))
+    fits = poisson_fit(histograms(pairs, stored(keyed(x), "x"), stored(keyed(y), "y"), "_n"))
+    fits = fits.select(F.col("x_id.f").alias("x_id"), F.col("y_id.f").alias("y_id"), F.col("x_id.g").alias(group), F.col("b1").alias("beta"), "se")
+    return links.join(fits, ["x_id", "y_id"])
+
+

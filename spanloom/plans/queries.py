@@ -722,18 +722,21 @@ def link_id_parts(t: Inputs) -> DataFrame:
     return links.select("id", peak.alias("peak"), gene.alias("gene"))
 
 
+def study_columns(found: DataFrame) -> DataFrame:
+    return found.select("link_id", "x_id", "y_id", "grp", "ctrl_short", *[r(c, 5).alias(c) for c in ("beta", "se", "stud", "mcpval_z", "ppval_z", "zpval_z", "mcpval", "ppval", "zpval", "q_value", "bh_q")])
+
+
 @query
 def association_study(t: Inputs) -> DataFrame:
-    found = jobs.associate(t.x(), t.y(), t.peaks(), t.genes(), t.n_cells(), "3.2.3.2.20", 3000, 5000)
-    return found.select("link_id", "x_id", "y_id", "grp", "ctrl_short", *[r(c, 5).alias(c) for c in ("beta", "se", "stud", "mcpval_z", "ppval_z", "zpval_z", "mcpval", "ppval", "zpval", "q_value", "bh_q")])
+    return study_columns(jobs.associate(t.x(), t.y(), t.peaks(), t.genes(), t.n_cells(), "3.2.3.2.20", 3000, 5000))
 
 
 @query
 def one_sided_association(t: Inputs) -> DataFrame:
-    return jobs.associate(t.x(), t.y(), t.peaks(), t.genes(), t.n_cells(), "3.1.inf.inf.5", 3000, 5000, method="pearson").drop("overlap")
+    return study_columns(jobs.associate(t.x(), t.y(), t.peaks(), t.genes(), t.n_cells(), "3.1.inf.inf.5", 3000, 5000, method="pearson"))
 
 
 @query
 def association_by_celltype(t: Inputs) -> DataFrame:
     links = jobs.generate_links(t.peaks(), t.genes(), 1000, 5000)
-    return jobs.by_group(t.x(), t.y(), t.cells(), "celltype", links).drop("overlap")
+    return jobs.by_group(t.x(), t.y(), t.cells(), "celltype", links).select("link_id", "x_id", "y_id", "celltype", r("beta", 5).alias("beta"), r("se", 5).alias("se"))

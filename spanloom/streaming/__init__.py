@@ -1 +1 @@
-
+"""Tables that grow by files."""
