@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import SCORES, base
+from .oracles import SCORES, ap, base, draw, reps
 
 Z = 1.959963984540054
 
@@ -37,7 +37,22 @@ c AS (SELECT source, tp, k - tp AS fp, tg - tp AS fn, total - k - (tg - tp) AS t
 
 
 DAY = "CAST(floor(epoch(o_orderdate) / 86400) AS BIGINT)"
+
+
+def seed_sql(n: int, seeds: int, amount: float, seed: int) -> str:
+    noise = f"(({draw('doc_id', 'seed', 0)} + 0.5) / 2147483647 * 2 - 1) * {amount}"
+    return f"""WITH {SCORES}, sx AS (SELECT doc_id, label, -floor(m1 / 100) AS m1, -floor(m2 / 100) AS m2 FROM sc), {reps("sx", n, seed)},
+sd AS (SELECT rp.*, seed, {noise} AS e FROM rp, (SELECT unnest(range(0, {seeds})) AS seed)),
+lg AS (SELECT label, rep, weight, seed, 'm1' AS method, m1 + e AS score FROM sd UNION ALL SELECT label, rep, weight, seed, 'm2', m2 + e FROM sd),
+{ap("lg", "score", "method, rep, seed", "weight")},
+me AS (SELECT method, rep, avg(ap) AS v, stddev_samp(ap) AS sd FROM apt GROUP BY ALL), df AS (SELECT me.*, r.v - me.v AS d FROM me JOIN me r ON r.method = 'm1' AND r.rep = me.rep),
+q AS (SELECT method, max(v) FILTER (rep = 0) AS estimate, max(sd) FILTER (rep = 0) AS seed_sd, stddev_samp(v) FILTER (rep > 0) AS bootstrap_sd, quantile_cont(v, 0.025) FILTER (rep > 0) AS ci_lower, quantile_cont(v, 0.975) FILTER (rep > 0) AS ci_upper, count(v) FILTER (rep > 0) AS n_bootstrap,
+ max(d) FILTER (rep = 0) AS diff_estimate, quantile_cont(d, 0.025) FILTER (rep > 0) AS diff_ci_lower, quantile_cont(d, 0.975) FILTER (rep > 0) AS diff_ci_upper, least(1.0, 2 * least(avg(CAST(d <= 0 AS INTEGER)) FILTER (rep > 0), avg(CAST(d >= 0 AS INTEGER)) FILTER (rep > 0))) AS p_value FROM df GROUP BY 1)
+SELECT method, CAST({seeds} AS INTEGER) AS n_seeds, n_bootstrap, {", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("estimate", "seed_sd", "bootstrap_sd", "ci_lower", "ci_upper", "diff_estimate", "diff_ci_lower", "diff_ci_upper", "p_value"))} FROM q"""
+
+
 BLOCKS_SQL: dict[str, str] = {
+    "seed_averaged_bootstrap": seed_sql(20, 4, 0.5, 17),
     "tie_block_tops": tops_sql([5, 20, 50, 100]),
     "tie_block_curve": curve_sql(),
     "odds_by_regime": regime_sql(),

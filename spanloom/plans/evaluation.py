@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import clean
+from ..functions.special import PRIME, clean, draw
 from ..operators import metrics
 from ..sources.shared import stored
 
@@ -81,3 +81,49 @@ def bootstrap(rows: DataFrame, methods: list[str], label: str, key: str, n: int,
         est = m.make(long, "score", label, key, within, "weight").select(*within, F.lit(m.name).alias("metric"), F.col(m.name).alias("value"))
         out = est if out is None else out.unionByName(est)
     return metrics.bootstrap_summary(out, "value", ["stratum", "method", "metric"])
+
+
+def jittered(rows: DataFrame, methods: list[str], key: str, amount: float, seed: Column) -> DataFrame:
+    """Scores moved by up to ``amount`` either way, by one hash of (key, seed) for all methods of a row; missing ones stay."""
+    noise = ((draw(F.col(key), seed, 0) + 0.5) / PRIME * 2 - 1) * amount
+    rows = rows.withColumn("_noise", noise)
+    return rows.withColumns({m: F.col(m) + F.col("_noise") for m in methods}).drop("_noise")
+
+
+def seed_averaged(
+    rows: DataFrame, methods: list[str], label: str, key: str, reference: str, n: int = 1000, seeds: int = 10, amount: float | None = None, ascending: bool = True, stratum: Column | None = None, seed: int = 0,
+    specs: list[Metric] | None = None, by_class: bool = False, least: float | None = 1e-300, fill: float | None = None, level: float = 0.95,
+) -> DataFrame:
+    """stratum, method, metric, estimate, seed_sd, n_seeds, bootstrap_sd, ci_lower, ci_upper, n_bootstrap, diff_estimate, diff_ci_lower, diff_ci_upper, p_value.
+
+    Scores are numbers not under ``least``, missing ones filled with ``fill`` or left; then each of
+    ``seeds`` moves them a little (:func:`jittered`), so that ties fall either way. An estimate is the
+    mean of a metric over seeds, finite values only; every replicate is drawn once for all seeds and
+    methods. Differences are the reference's value minus the method's, paired by replicate.
+    """
+    rows = rows.withColumn("stratum", F.lit("all") if stratum is None else stratum)
+    for m in methods:
+        c = clean(F.col(m).try_cast("double"))
+        c = c if least is None else F.when(c.isNotNull(), F.greatest(c, F.lit(least)))
+        rows = rows.withColumn(m, c if fill is None else F.coalesce(c, F.lit(fill)))
+    kept = rows.select(key, label, "stratum", *methods)
+    reps = metrics.drawn(kept, n, key, ["stratum", label], seed) if by_class else metrics.replicates(kept, n, key, seed)
+    reps = reps.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    if amount is not None:
+        reps = jittered(reps, methods, key, amount, F.col("seed"))
+    long = stored(long_form(reps, methods, [key, label, "stratum", "rep", "seed", "weight"]), "replicates")
+    within = ["stratum", "method", "rep", "seed"]
+    found = None
+    for m in specs or defaults(ascending):
+        est = m.make(long, "score", label, key, within, "weight").select("stratum", "method", "rep", F.lit(m.name).alias("metric"), clean(F.col(m.name)).alias("value"))
+        found = est if found is None else found.unionByName(est)
+    by = ["stratum", "method", "metric"]
+    means = stored(found.groupBy(*by, "rep").agg(F.avg("value").alias("value"), F.stddev_samp("value").alias("seed_sd")), "seed-means")
+    table = metrics.bootstrap_summary(means, "value", by, level)
+    spread = means.filter("rep = 0").select(*by, "seed_sd", F.lit(seeds).alias("n_seeds"))
+    own = means.filter(F.col("method") == reference).select("stratum", "metric", "rep", F.col("value").alias("_r"))
+    d = means.join(own, ["stratum", "metric", "rep"], "left").withColumn("_d", F.col("_r") - F.col("value"))
+    boot, a = F.when(F.col("rep") > 0, F.col("_d")), (1 - level) / 2
+    p = F.least(F.lit(1.0), 2 * F.least(F.avg((boot <= 0).cast("int")), F.avg((boot >= 0).cast("int"))))
+    diff = d.groupBy(*by).agg(F.max(F.when(F.col("rep") == 0, F.col("_d"))).alias("diff_estimate"), F.percentile(boot, F.lit(a)).alias("diff_ci_lower"), F.percentile(boot, F.lit(1 - a)).alias("diff_ci_upper"), p.alias("p_value"))
+    return table.join(spread, by, "left").join(diff, by, "left")

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.binning import combined_label, nested_bins, quantile_bins
-from ..operators.intervals import window_links
+from ..operators.binning import combined_label, nested_bins, quantile_bins, whitened
+from ..operators.intervals import overlap_flag, window_links
 from ..operators.matrix import feature_moments
 from ..operators.nulls import control_features, control_pairs, refuse, short_features, short_pairs
 from ..operators.pairs import histograms, pearson, poisson_fit, spearman
@@ -55,6 +55,30 @@ def feature_bins(counts: DataFrame, n_cells: int, main: int, nested: int, second
     return nested_bins(m, "mean_bin", second, "feature_id", nested, "bin").select("feature_id", "mean_bin", "bin")
 
 
+def whitened_gc_bins(counts: DataFrame, n_cells: int, gc: DataFrame, main: int, nested: int) -> DataFrame:
+    """feature_id, main_bin, bin: quantiles of the log total, whitened with the GC content (feature_id, gc), cut again by the whitened GC content."""
+    m = feature_moments(counts, n_cells).join(gc.select("feature_id", "gc"), "feature_id").filter("gc is not null")
+    m = stored(whitened(m, "log_total", "gc").select("feature_id", "z1", "z2"), "whitened")
+    m = quantile_bins(m, "z1", "feature_id", main, "main_bin")
+    return nested_bins(m, "main_bin", "z2", "feature_id", nested, "bin").select("feature_id", "main_bin", "bin")
+
+
+def promoter_peaks(peaks: DataFrame, genes: DataFrame, distance: int = 2000, bin_width: int = 100_000) -> DataFrame:
+    """``peaks`` (peak_id, chrom, start, end) with ``promoter``: 1 where a peak overlaps the surroundings of a gene's start (chrom, tss), else 0.
+
+    Chromosomes of genes may lack the prefix chr. Genes without a start don't count.
+    """
+    name = F.when(F.col("chrom").startswith("chr"), F.col("chrom")).otherwise(F.concat(F.lit("chr"), "chrom"))
+    starts = genes.filter("tss is not null").select(name.alias("r_chrom"), F.greatest(F.col("tss") - distance, F.lit(0)).cast("long").alias("r_start"), (F.col("tss") + distance).cast("long").alias("r_end")).distinct()
+    return overlap_flag(peaks, starts, "peak_id", bin_width).withColumnRenamed("flag", "promoter")
+
+
+def with_promoter(bins: DataFrame, peaks: DataFrame) -> DataFrame:
+    """``bins`` (feature_id, bin) with the promoter flag of each peak as the last part of the bin, so that controls are drawn among peaks of one kind."""
+    flag = peaks.select(F.col("peak_id").alias("feature_id"), "promoter")
+    return bins.join(flag, "feature_id", "left").withColumn("bin", F.concat_ws(".", "bin", F.coalesce("promoter", F.lit(0)).cast("string"))).drop("promoter")
+
+
 def generate_controls(x: DataFrame, y: DataFrame, n_cells: int, bins: Bins, seed: int = 0, strict: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Control table and the bins of both sides. One-sided: (feature_id, ctrl_rank, ctrl_id); else (bin, ctrl_rank, left_id, right_id).
 

@@ -516,6 +516,32 @@ def chromatin_potential(t: Inputs) -> DataFrame:
     return found.select(F.col("id").alias("cell_id"), "rank", r("distance").alias("distance"))
 
 
+@query
+def seed_averaged_bootstrap(t: Inputs) -> DataFrame:
+    """Scores in hundreds, so that jitter decides among many ties."""
+    rows = t.scores().withColumns({m: -F.floor(F.col(m) / 100) for m in ("m1", "m2")})
+    found = evaluation.seed_averaged(rows, ["m1", "m2"], "label", "doc_id", "m1", 20, 4, 0.5, seed=17, least=None, specs=[evaluation.Metric("ap", lambda d, s, l, k, w, m=None: metrics.average_precision(d, s, l, w, m))])
+    numbers = ("estimate", "seed_sd", "bootstrap_sd", "ci_lower", "ci_upper", "diff_estimate", "diff_ci_lower", "diff_ci_upper", "p_value")
+    return found.select("method", "n_seeds", "n_bootstrap", *[r(c, 5).alias(c) for c in numbers])
+
+
+def gc_of(t: Inputs) -> DataFrame:
+    return t.peaks().select(F.col("peak_id").alias("feature_id"), (F.col("peak_id") * 37 % 101 / 101).alias("gc"))
+
+
+@query
+def mean_gc_bins(t: Inputs) -> DataFrame:
+    """Bins by mean and GC content, and within them by whether a peak is at a gene's start."""
+    bins = jobs.feature_bins(t.x(), t.n_cells(), 4, 2, "gc", gc_of(t))
+    genes = t.genes().select(F.substring("g_chrom", 4, 10).alias("chrom"), F.col("g_start").alias("tss"))
+    return jobs.with_promoter(bins, jobs.promoter_peaks(t.peaks(), genes, 700, 5000)).select("feature_id", "mean_bin", "bin")
+
+
+@query
+def whitened_gc_bins(t: Inputs) -> DataFrame:
+    return jobs.whitened_gc_bins(t.x(), t.n_cells(), gc_of(t), 4, 2)
+
+
 @query
 def odds_ratio_jackknife(t: Inputs) -> DataFrame:
     long = evaluation.long_form(t.scores(), ["m1", "m2"], ["doc_id", "label", "lang"])

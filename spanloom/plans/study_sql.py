@@ -103,4 +103,21 @@ bq AS (SELECT link_id, least(1.0, min(q) OVER (ORDER BY p DESC, link_id DESC ROW
 SELECT link_id, x_id, y_id, grp, CAST(ctrl_short AS BIGINT) AS ctrl_short, {r("beta", "beta")}, {none}, {r("mcb.p", "mcpval")}, {r("ppb.p", "ppval")}, {r("zqb.p", "zpval")}, {r("bq.q", "bh_q")} FROM ci LEFT JOIN mcb USING (link_id) LEFT JOIN ppb USING (link_id) LEFT JOIN zqb USING (link_id) LEFT JOIN bq USING (link_id)"""
 
 
-STUDY_SQL: dict[str, str] = {"association_study": study_sql("3.2.3.2.20", 3000, 0, 5, chrom=False), "association_by_celltype": by_type_sql(1000, 5), "one_sided_association": one_sided_sql(3, 5, 3000, 5)}
+GC = "gc AS (SELECT peak_id AS feature_id, peak_id * 37 % 101 / 101 AS gc FROM peaks)"
+
+
+def gc_sql(main: int, nested: int, distance: int) -> str:
+    return base() + f""", {GC}, m AS (SELECT feature_id, sum(value) / any_value(n) AS mean FROM x, nc GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY mean, feature_id) AS rk, count(*) OVER () AS n FROM m JOIN gc USING (feature_id)),
+b AS (SELECT feature_id, gc, CAST({QCUT.format(q=main)} AS INTEGER) AS mean_bin FROM k), k2 AS (SELECT *, row_number() OVER (PARTITION BY mean_bin ORDER BY gc, feature_id) AS rk, count(*) OVER (PARTITION BY mean_bin) AS n FROM b),
+p AS (SELECT DISTINCT peak_id FROM peaks, genes WHERE peak_id % 5 = gene_id % 5 AND peak_id * 1000 < gene_id * 2000 + {distance} AND greatest(gene_id * 2000 - {distance}, 0) < peak_id * 1000 + 300)
+SELECT feature_id, mean_bin, mean_bin || '.' || CAST({QCUT.format(q=nested)} AS INTEGER) || '.' || CASE WHEN feature_id IN (SELECT peak_id FROM p) THEN '1' ELSE '0' END AS bin FROM k2"""
+
+
+def whitened_gc_sql(main: int, nested: int) -> str:
+    return base() + f""", {GC}, m AS (SELECT feature_id, gc, log10(sum(value) + 1e-10) AS t FROM x JOIN gc USING (feature_id) GROUP BY ALL), s AS (SELECT var_samp(t) AS a, covar_samp(t, gc) AS b, var_samp(gc) AS c FROM m),
+z AS (SELECT feature_id, (t - b / sqrt(a) * z2) / sqrt(a) AS z1, z2 FROM (SELECT *, gc / sqrt(c - (b / sqrt(a)) * (b / sqrt(a))) AS z2 FROM m, s)),
+k AS (SELECT *, row_number() OVER (ORDER BY z1, feature_id) AS rk, count(*) OVER () AS n FROM z), b AS (SELECT feature_id, z2, CAST({QCUT.format(q=main)} AS INTEGER) AS main_bin FROM k),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY main_bin ORDER BY z2, feature_id) AS rk, count(*) OVER (PARTITION BY main_bin) AS n FROM b) SELECT feature_id, main_bin, main_bin || '.' || CAST({QCUT.format(q=nested)} AS INTEGER) AS bin FROM k2"""
+
+
+STUDY_SQL: dict[str, str] = {"association_study": study_sql("3.2.3.2.20", 3000, 0, 5, chrom=False), "association_by_celltype": by_type_sql(1000, 5), "one_sided_association": one_sided_sql(3, 5, 3000, 5), "mean_gc_bins": gc_sql(4, 2, 700), "whitened_gc_bins": whitened_gc_sql(4, 2)}
