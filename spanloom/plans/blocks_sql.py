@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import SCORES, ap, base, draw, reps
+from .oracles import SCORES, SPANS, ap, base, draw, reps
 
 Z = 1.959963984540054
 
@@ -52,6 +52,8 @@ SELECT method, CAST({seeds} AS INTEGER) AS n_seeds, n_bootstrap, {", ".join(f"ro
 
 
 BLOCKS_SQL: dict[str, str] = {
+    "annotated_intervals": f"WITH {SPANS}, j AS (SELECT a.event_id, CAST(b.event_id AS VARCHAR) AS h, CAST(CAST(floor(b.value) AS BIGINT) AS VARCHAR) AS v FROM spans a JOIN spans b ON a.chrom = b.chrom AND a.s < b.e AND b.s < a.e AND a.event_type = 'purchase' AND b.event_type = 'error') SELECT a.event_id, count(h) AS err_sum, coalesce(string_agg(h, ',' ORDER BY h, v), '') AS err_hits, coalesce(string_agg(v, ',' ORDER BY h, v), '') AS err_value FROM spans a LEFT JOIN j USING (event_id) WHERE event_type = 'purchase' GROUP BY 1",
+    "typed_overlaps": f"WITH {SPANS} SELECT a.event_id, " + ", ".join(f"count(*) FILTER (b.event_type = '{k}') AS {k}" for k in ("click", "error", "signup", "view")) + " FROM spans a JOIN spans b ON a.chrom = b.chrom AND a.s < b.e AND b.s < a.e AND a.event_type = 'purchase' AND b.event_type <> 'purchase' WHERE least(a.e, b.e) - greatest(a.s, b.s) >= 0.3 * (a.e - a.s) GROUP BY 1",
     "seed_averaged_bootstrap": seed_sql(20, 4, 0.5, 17),
     "tie_block_tops": tops_sql([5, 20, 50, 100]),
     "tie_block_curve": curve_sql(),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import strings
 from ..functions.special import cauchy_combined
-from ..operators import agreement, binning, causal, dedup, intervals, jackknife, matrix, meta, metrics, neighbourhoods, nulls, pairs, pvalues, residuals, specificity, ties
+from ..operators import agreement, annotation, binning, causal, dedup, intervals, jackknife, matrix, meta, metrics, neighbourhoods, nulls, pairs, pvalues, residuals, specificity, ties
 from ..sources import readers
 from ..sources.shared import stored
 from . import evaluation, jobs
@@ -542,6 +542,22 @@ def whitened_gc_bins(t: Inputs) -> DataFrame:
     return jobs.whitened_gc_bins(t.x(), t.n_cells(), gc_of(t), 4, 2)
 
 
+@query
+def annotated_intervals(t: Inputs) -> DataFrame:
+    """Purchases with the errors that they overlap, as a count and lists of what these say."""
+    spans = t.spans()
+    errors = spans.filter("event_type = 'error'").select("chrom", "start", "end", F.concat_ws(";", F.col("event_id").cast("string"), F.floor("value").cast("string")).alias("packed"))
+    found = annotation.annotated(spans.filter("event_type = 'purchase'"), errors, "event_id", "packed", "err", 3600, ["value"])
+    return found.select("event_id", "err_sum", F.array_join("err_hits", ",").alias("err_hits"), F.array_join("err_value", ",").alias("err_value"))
+
+
+@query
+def typed_overlaps(t: Inputs) -> DataFrame:
+    spans = t.spans()
+    found = annotation.typed_overlaps(spans.filter("event_type = 'purchase'"), spans.filter("event_type <> 'purchase'"), "event_id", "event_type", 3600, 0.3)
+    return found.groupBy("event_id").agg(*[F.sum(f"is_{k}").alias(k) for k in ("click", "error", "signup", "view")])
+
+
 @query
 def odds_ratio_jackknife(t: Inputs) -> DataFrame:
     long = evaluation.long_form(t.scores(), ["m1", "m2"], ["doc_id", "label", "lang"])
