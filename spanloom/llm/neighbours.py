@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ class Tree:
 
     def _grow(self, x: np.ndarray, scale: float) -> int:
         me = len(self.centres)
-        centre = x.mean(axis=0) if len(x) else np.zeros(1)
+        centre = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
         self.centres.append(centre)
         self.children.append([])
         self.leaf.append(-1)
@@ -170,19 +171,25 @@ def top(q: np.ndarray, x: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int)
 def search(vectors: DataFrame, every: int = EVERY, k: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query, nearest first.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do
-    vectors of another length than the most frequent one (the shortest of equally frequent).
+    Vectors that are null, zero, or hold null or non-finite components take no part. Vectors meet
+    those of their own length only; each length has a tree of its own.
     Rows of one id count as one candidate with its best score, and as one query with the smallest
     vector; a query is no candidate of its own. Of rows with the same vector only the k + 1 with
     the smallest ids can be among anyone's nearest, so the rest aren't compared. A table with
     fewer candidates gives all of them; an empty one gives none. Only vec_id and embedding are read.
     """
     rows = vectors.select("vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
-    lengths = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
-    if not lengths:
+    lengths = rows.groupBy(F.size("v").alias("size")).agg(F.count_if(F.col("vec_id") % every == 0).alias("asked")).filter("asked > 0").orderBy("size").collect()  # one row a length
+    found = [search_length(rows.filter(F.size("v") == r["size"]), r["size"], every, k) for r in lengths]
+    if not found:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = lengths[0]["size"]
-    rows = rows.filter(F.size("v") == dim)
+    best = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def search_length(rows: DataFrame, dim: int, every: int, k: int) -> DataFrame:
+    """query_id, vec_id, score of the best rows in each block of the leaves that a query visits, for (vec_id, v) of one length."""
     by_vector = Window.partitionBy(F.xxhash64("v"), F.col("v")[0]).orderBy("vec_id")
     distinct = rows.dropDuplicates(["vec_id", "v"])  # the cap below counts ids, so repeated rows must not fill it
     first = stored(distinct.withColumn("_n", F.row_number().over(by_vector)).filter(F.col("_n") <= k + 1).drop("_n"), "ann-rows")
@@ -236,10 +243,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = NEAREST) -> DataFram
         return pa.table({"query_id": pa.array(own[a] if len(a) else [], pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
     keys = ("leaf", "block", "part")
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
 
 
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

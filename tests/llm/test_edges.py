@@ -235,6 +235,21 @@ def test_nearest_with_bad_vectors_copies_and_ties(spark):
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in few] == [(0, 1, 1, 0.0)]
 
 
+def test_nearest_among_vectors_of_several_lengths(spark):
+    rng = random.Random(8)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(2 + k % 3)]) for k in range(160)] + [(200, [1.0] * 7), (201, [0.3] * 6)]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    unit = lambda v: math.sqrt(sum(x * x for x in v))
+    for q in (0, 50, 100, 150):
+        v = dict(rows)[q]
+        near = sorted((-sum(a * b for a, b in zip(v, w)) / unit(v) / unit(w), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+        assert [got[q][k + 1][0] for k in range(5)] == [i for _, i in near]
+        assert [got[q][k + 1][1] for k in range(5)] == pytest.approx([-s for s, _ in near])
+    assert 200 not in got
+
+
 def test_nearest_with_repeated_rows_and_ids(spark):
     v, near, far = [1.0, 0.0], [1.0, 0.1], [0.0, 1.0]
     rows = [(7, v)] * 6 + [(i, v) for i in range(8, 13)] + [(50, near), (50, near)] + [(i, far) for i in range(20, 30)]
