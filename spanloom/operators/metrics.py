@@ -275,9 +275,14 @@ def bootstrap_summary(estimates: DataFrame, value: str, within: list[str], level
 
 
 def paired_difference(estimates: DataFrame, value: str, method: str, reference: str, level: float = 0.95) -> DataFrame:
-    """method, diff_estimate, diff_ci_lower, diff_ci_upper, p_value: each method minus the reference, paired by replicate."""
-    ref = estimates.filter(F.col(method) == reference).select("rep", F.col(value).alias("_r"))
-    d = estimates.join(ref, "rep").withColumn("_d", F.col(value) - F.col("_r"))
+    """method, diff_estimate, diff_ci_lower, diff_ci_upper, p_value: each method minus the reference, paired by replicate.
+
+    Estimates are made once: made again for the reference, sums in another order would differ in
+    their last digits, and the reference from itself.
+    """
+    same = Window.partitionBy("rep")  # a row a method
+    ref = F.max(F.when(F.col(method) == reference, F.struct(F.col(value).alias("v")))).over(same)
+    d = estimates.withColumn("_r", ref).filter("_r is not null").withColumn("_d", F.col(value) - F.col("_r.v"))
     boot, a = F.when(F.col("rep") > 0, clean(F.col("_d"))), (1 - level) / 2
     p = 2 * F.least(F.avg((boot <= 0).cast("int")), F.avg((boot >= 0).cast("int")))
     return d.groupBy(method).agg(F.max(F.when(F.col("rep") == 0, F.col("_d"))).alias("diff_estimate"), F.percentile(boot, F.lit(a)).alias("diff_ci_lower"), F.percentile(boot, F.lit(1 - a)).alias("diff_ci_upper"), F.least(F.lit(1.0), p).alias("p_value"))

@@ -281,3 +281,22 @@ def test_names_of_chromosomes_and_peaks(spark):
     peaks = ["1:100-200", "chr1-100-200", " CHRx:5-9 ", "chr1:100:200", "1-100", "chrUn:1-2", "a b", "mt-1-2", "1:-1-2", "", "chr:1-2", "1-2:3-4"]
     got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(peaks)], "i long, n string").orderBy("i").select(strings.canonical_peak(F.col("n"))).collect()]
     assert got == ["chr1:100-200", "chr1:100-200", "chrX:5-9", "chr1:100:200", "1-100", "chrUn:1-2", "a b", "chrMT:1-2", "1:-1-2", "", "chr:1-2", "1-2:3-4"]
+
+
+def test_difference_of_the_reference_from_itself_is_none(spark):
+    """Estimates that come out a little differently each time they are made, as sums in another order do."""
+    noise = F.udf(lambda v: v + random.random() * 1e-12, "double").asNondeterministic()
+    est = spark.createDataFrame([(m, rep, 0.5 + rep * 0.01) for m in ("a", "b") for rep in range(9)], "method string, rep int, v double").withColumn("v", noise("v"))
+    got = {r["method"]: r for r in metrics.paired_difference(est, "v", "method", "b").collect()}
+    assert [got["b"][c] for c in ("diff_estimate", "diff_ci_lower", "diff_ci_upper", "p_value")] == [0.0, 0.0, 0.0, 1.0]
+    assert abs(got["a"]["diff_estimate"]) < 1e-11
+
+
+def test_observations_and_controls_are_standardised_by_the_same_numbers(spark):
+    """A mean made twice, its sum in another order, would part an observation from the control that equals it."""
+    ctrl = spark.createDataFrame([("g", v) for v in (0.1, 0.2, 0.7)], "g string, c double")
+    obs = ctrl.select(F.monotonically_increasing_id().alias("k"), "g", F.col("c").alias("v"))
+    o, c = pvalues.centred(obs, ctrl, "v", "c", "g")
+    made_once = lambda df: {f for f in df.inputFiles() if "moments" in f}
+    assert made_once(o) and made_once(o) == made_once(c)
+    assert sorted(r["v"] for r in o.collect()) == sorted(r["c"] for r in c.collect())
