@@ -57,11 +57,13 @@ def centred(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str, group:
     """Observations and controls standardised by their group's controls (mean and population deviation).
 
     With ``se``, a column of standard errors, the variance is the sample variance plus the mean
-    squared error. Groups without controls, or whose deviation is 0, are dropped from both.
+    squared error. Groups without controls, or whose deviation is 0, are dropped from both. Mean and
+    deviation are made once and stored: made for each side, sums in another order would part an
+    observation from the control that equals it.
     """
     v = clean(F.col(ctrl_value))
     spread = F.stddev_pop(v) if se is None else F.sqrt(F.var_samp(v) + F.avg(F.col(se) * F.col(se)))
-    stats = ctrl.groupBy(group).agg(F.avg(v).alias("_m"), spread.alias("_s")).filter("_s > 0")
+    stats = stored(ctrl.groupBy(group).agg(F.avg(v).alias("_m"), spread.alias("_s")).filter("_s > 0"), "moments")  # a row a group
     scaled = lambda df, c: df.join(stats, group).withColumn(c, (F.col(c) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
     return scaled(obs.filter(clean(F.col(value)).isNotNull()), value), scaled(ctrl.filter(v.isNotNull()), ctrl_value)
 
