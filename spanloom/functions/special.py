@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -183,13 +184,19 @@ def cauchy_combined(p_values: Column, clip: float = 1e-15) -> Column:
 PRIME = 2147483647
 
 
-def draw(a: Column, b: Column, seed: int) -> Column:
+def draw(a: Column, b: Column, seed: int, inside: bool = False) -> Column:
     """A number from 0 to PRIME - 1 that looks random in (a, b, seed) and that any engine can compute.
 
     Squares modulo a prime between linear steps: draws of neighbouring numbers have nothing in common.
+    ``inside`` a lambda each step has to be named, or it is made twice for each step after it.
     """
     a, b = F.pmod(a.cast("long"), F.lit(PRIME)), F.pmod(b.cast("long"), F.lit(PRIME))
     h = F.pmod(a * 48271 + b * 69621 + F.lit(seed % PRIME * 16807 + 1), F.lit(PRIME))
     for factor, other in ((39373, a), (40692, b), (62089, a), (25214, b)):
-        h = F.pmod(h * h + other * factor + 12345, F.lit(PRIME))
+        step = partial(_squared, other * factor + 12345)
+        h = bound(h, lambda v: step(v)) if inside else step(h)  # noqa: B023
     return h
+
+
+def _squared(more: Column, h: Column) -> Column:
+    return F.pmod(h * h + more, F.lit(PRIME))

@@ -327,3 +327,11 @@ def test_rows_of_a_join_of_links_dont_grow_with_links(spark):
     m = spark.createDataFrame([(c, f, 1.0) for c in range(30) for f in range(16)], "cell_id long, feature_id long, value double")
     placed, rows, names = pairs.beside(links, m.filter("feature_id = 0"), m)
     assert placed.count() == 16 and rows.count() == 60 and len(names) == pairs.WIDTH
+
+
+def test_draws_of_a_feature_stay_in_its_row(spark):
+    """No draw is a row of its own: what is shuffled before the names are joined are the features."""
+    f = spark.range(400).select(F.col("id").alias("feature_id"), F.lit("b").alias("bin"))
+    got = nulls.control_features(f, "bin", 5, seed=3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and got.count() == 2000
