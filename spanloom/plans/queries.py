@@ -699,7 +699,7 @@ def with_depth(t: Inputs, counts: DataFrame) -> DataFrame:
 
 @query
 def nb_residuals(t: Inputs) -> DataFrame:
-    y = t.y()
+    _, y = t.classes()
     found = residuals.count_residuals(y, with_depth(t, y), whole=True)
     return found.select("cell_id", "feature_id", r("mu", 4).alias("mu"), r("alpha", 5).alias("alpha"), r("residual", 4).alias("residual"))
 
@@ -707,7 +707,7 @@ def nb_residuals(t: Inputs) -> DataFrame:
 @query
 def nb_residuals_standardised(t: Inputs) -> DataFrame:
     """Alphas of features with few counts drawn to the median, quantile residuals standardised; one row a feature."""
-    y = t.y()
+    _, y = t.classes()
     found = residuals.count_residuals(y, with_depth(t, y), kind="quantile", shrink=True, standardise=True, seed=9)
     return found.groupBy("feature_id").agg(F.count("*").alias("cells"), r(F.min("residual"), 4).alias("least"), r(F.max("residual"), 4).alias("most"), r(F.avg("residual"), 6).alias("mean"), r(F.stddev_samp("residual"), 6).alias("deviation"))
 
@@ -715,12 +715,12 @@ def nb_residuals_standardised(t: Inputs) -> DataFrame:
 @query
 def poisson_multi_irls(t: Inputs) -> DataFrame:
     cov = t.cells().select("cell_id", F.array((F.col("balance") / 10000).cast("double"), (F.col("batch") % 2).cast("double")).alias("c"))
-    return residuals.poisson_multi(t.pairs(), t.x(), t.y(), cov).select("link_id", r("beta", 5).alias("beta"), r("se", 5).alias("se"))
+    return residuals.poisson_multi(t.pairs(), *t.classes(), cov).select("link_id", r("beta", 5).alias("beta"), r("se", 5).alias("se"))
 
 
 @query
 def negative_binomial_pairs(t: Inputs) -> DataFrame:
-    found = pairs.negative_binomial_fit(pairs.joint_histograms(t.pairs(), t.x(), t.y(), t.n_cells()))
+    found = pairs.negative_binomial_fit(pairs.joint_histograms(t.pairs(), *t.classes(), t.n_cells()))
     return found.select("link_id", r("b0", 5).alias("b0"), r("b1", 5).alias("b1"), r("alpha", 5).alias("alpha"), r("se", 5).alias("se"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.special import beta_i, count_cdf, digamma, gamma_p, normal_quantile, trigamma
 from spanloom.operators import pairs, regression, residuals
+from spanloom.plans.inputs import Inputs
 from tests import newton
 
 LONG = "cell_id long, feature_id long, value double"
@@ -195,3 +196,25 @@ def test_negative_binomial_matches_a_plain_maximiser(spark):
         assert g["se"] > 0 and math.fsum(b["n"] for b in g["bars"]) == n
     assert got[4]["alpha"] < 0.1 and (got[5]["b0"], got[5]["b1"], got[5]["alpha"], got[5]["se"]) == (None, None, None, None)
     assert math.isfinite(got[6]["b1"]) and got[7]["b0"] == pytest.approx(math.log(ys[7].mean()), abs=1e-6)
+
+
+def test_joint_histograms_move_no_row_for_each_link_and_cell(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.poisson(0.7, (2, 50)), rng.poisson(0.9, (11, 50))
+    pairs_of = [(a * 11 + b, a, b) for a in range(2) for b in range(11)] + [(90, 1, 7), (91, 5, 3), (92, 0, 30)]  # one twice, no such x, no such y
+    links = spark.createDataFrame(pairs_of, "link_id long, x_id long, y_id long")
+    found = pairs.joint_histograms(links, long(spark, x), long(spark, y), 50)
+    got = {q["link_id"]: q for q in found.collect()}
+    assert len(got) == 25
+    for link, a, b in pairs_of:
+        u, v = x[a] if a < 2 else np.zeros(50, int), y[b] if b < 11 else np.zeros(50, int)
+        want = {(0.0, 0.0): 0.0} | {k: float(n) for k, n in zip(*(lambda t, n: ([tuple(map(float, r)) for r in t], n))(*np.unique(np.column_stack([u, v]), axis=0, return_counts=True)))}
+        assert [tuple(q) for q in got[link]["bars"]] == [(*k, n) for k, n in sorted(want.items())] and got[link]["sum_y"] == v.sum()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate [link_id" in line and "cell_id" in line for line in plan.splitlines())
+
+
+def test_classes_are_the_counts_of_both_matrices(spark):
+    t = Inputs(spark, "/root/testdata/sf0.001")
+    for got, want in zip(t.classes(), (t.x(), t.y())):
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
