@@ -1,8 +1,8 @@
 """Count regression on covariates over all cells, without a task that holds them.
 
 A regression (unit) has sparse entries: cells where its x or y isn't zero. All other cells are told
-apart by their covariates alone, so they enter as distinct covariate rows with a number of cells.
-Both are packed once into blocks and stored. A round sends the coefficients of a block of units to
+apart by their covariates alone, so they enter as distinct covariate rows with a number of cells, and
+so do entries of a unit that are equal in x, y and covariates. Both are packed once into blocks and stored. A round sends the coefficients of a block of units to
 its entries and to the covariate blocks; each yields the units' sums (score and information, or
 what the dispersion asks), which add up by block of units; the step is taken on the executors.
 Units that have settled leave the rounds. Entries of a hot unit are many blocks.
@@ -37,9 +37,9 @@ def _matrix(x: bytes, columns: int) -> np.ndarray:
 
 
 class Block:
-    """Covariate rows with numbers of cells, or entries of units: ``z`` has a row each, ``x`` stands in column 1 if there is one."""
+    """Covariate rows or entries of units, with numbers of cells: ``z`` has a row each, ``x`` stands in column 1 if there is one."""
 
-    def __init__(self, z: np.ndarray, offset: np.ndarray, n: np.ndarray | None, unit: np.ndarray | None, y: np.ndarray | None, has_x: bool):
+    def __init__(self, z: np.ndarray, offset: np.ndarray, n: np.ndarray, unit: np.ndarray | None, y: np.ndarray | None, has_x: bool):
         self.z, self.offset, self.n, self.unit, self.y, self.has_x = z, offset, n, unit, y, has_x
         self.pairs = np.triu_indices(z.shape[1])
 
@@ -53,14 +53,14 @@ class Block:
                 out[at] = terms.dense(mean, alpha[at][:, None], self.n, self.z, self.pairs)
             return out
         keep = live[self.unit]
-        u, z, y, offset = self.unit[keep], self.z[keep], self.y[keep], self.offset[keep]
+        u, z, y, offset, n = self.unit[keep], self.z[keep], self.y[keep], self.offset[keep], self.n[keep]
         bare = z.copy()
         if self.has_x:
             bare[:, 1] = 0
         mean, zero = (np.exp(np.clip((b[u] * v).sum(axis=1) + offset, -FURTHEST, FURTHEST)) for v in (z, bare))
         each = terms.entry(y, mean, alpha[u], z, self.pairs) - terms.entry(np.zeros(len(y)), zero, alpha[u], bare, self.pairs)
         out = np.zeros((len(b), each.shape[1]))
-        np.add.at(out, u, each)
+        np.add.at(out, u, each * n[:, None])
         return out
 
 
@@ -114,26 +114,35 @@ def newton_step(b: np.ndarray, sums: np.ndarray, scale: float, ridge: float) ->
     return b + step, settled, np.sqrt(np.maximum(np.diagonal(inverse, axis1=1, axis2=2), 0))
 
 
+def told_cells(cells: DataFrame) -> DataFrame:
+    """cell_id, offset, c as the regression reads them: nulls are 0."""
+    return cells.select("cell_id", F.coalesce("offset", F.lit(0.0)).cast("double").alias("offset"), F.transform("c", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias("c"))
+
+
 class Regression:
     """Units with their entries, and covariates of all cells, packed and stored.
 
     ``entries``: unit, cell_id, x, y (one row for a cell of a unit where x or y isn't 0; without
     ``has_x`` x isn't read). ``cells``: cell_id, offset, c (an array of as many numbers for each
     cell). Units without entries don't come up. Entries of unknown cells are left out; a null x, y,
-    offset or covariate counts as 0; NaN is not allowed.
+    offset or covariate counts as 0; NaN is not allowed. Instead of cell_id entries may have offset and
+    c of :func:`told_cells` and n, a number of cells; those that are equal in all but n add up.
     """
 
     def __init__(self, entries: DataFrame, cells: DataFrame, has_x: bool):
         self.has_x, self.spark = has_x, entries.sparkSession
-        cells = stored(cells.select("cell_id", F.coalesce("offset", F.lit(0.0)).cast("double").alias("offset"), F.transform("c", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias("c")), "regression-cells")
+        cells = stored(told_cells(cells), "regression-cells")
         widths = cells.agg(F.min(F.size("c")), F.max(F.size("c")), F.count("*")).first()
         if widths[0] != widths[1]:
             raise ValueError("cells have covariates of different number")
         self.n_cells, self.p = widths[2], 1 + has_x + (widths[0] or 0)
-        rows = cells.groupBy("offset", "c").agg(F.count("*").cast("double").alias("n"))
+        rows = stored(cells.groupBy("offset", "c").agg(F.count("*").cast("double").alias("n")), "regression-distinct")
         n_rows = rows.count()
-        entries = stored(entries.select("unit", "cell_id", (F.coalesce("x", F.lit(0.0)) if has_x else F.lit(0.0)).cast("double").alias("x"), F.coalesce("y", F.lit(0.0)).cast("double").alias("y")).join(cells, "cell_id"), "regression-entries")
-        sizes = entries.groupBy("unit").agg(F.count("*").alias("n"), F.sum("y").alias("total"))
+        if "n" not in entries.columns:
+            entries = entries.join(cells, "cell_id").withColumn("n", F.lit(1.0))
+        entries = entries.select("unit", (F.coalesce("x", F.lit(0.0)) if has_x else F.lit(0.0)).cast("double").alias("x"), F.coalesce("y", F.lit(0.0)).cast("double").alias("y"), "offset", "c", "n")
+        entries = stored(entries.groupBy("unit", "x", "y", "offset", "c").agg(F.sum("n").alias("n")).filter("n != 0"), "regression-entries")
+        sizes = entries.groupBy("unit").agg(F.count("*").alias("n"))
         n_units = sizes.count()
         self.n_blocks = max(1, -(-n_units // UNITS))
         ub = F.pmod(F.xxhash64("unit"), F.lit(self.n_blocks))
@@ -141,7 +150,7 @@ class Regression:
         self.units = stored(units, "regression-units")
         chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / ENTRIES)).cast("long")
         told = entries.withColumn("ub", ub).join(self.units.select("ub", "ids", chunks.alias("_chunks")), "ub")
-        told = told.withColumns({"chunk": F.pmod(F.xxhash64("cell_id"), F.col("_chunks")), "k": F.array_position("ids", F.col("unit")) - 1})
+        told = told.withColumns({"chunk": F.pmod(F.xxhash64("x", "y", "offset", "c"), F.col("_chunks")), "k": F.array_position("ids", F.col("unit")) - 1})
         p, has = self.p, has_x
 
         def packed(t: pa.Table) -> pa.Table:
@@ -149,7 +158,7 @@ class Regression:
             if has:
                 z[:, 1] = t.column("x").to_numpy()
             z[:, 1 + has :] = t.column("c").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-            return pa.table({"ub": [t.column("ub")[0].as_py()], "n": [None], "k": [t.column("k").to_numpy().astype(np.int64).tobytes()], "y": [t.column("y").to_numpy().tobytes()], "offset": [t.column("offset").to_numpy().tobytes()], "z": [z.tobytes()]}, schema=SCHEMA)
+            return pa.table({"ub": [t.column("ub")[0].as_py()], "n": [t.column("n").to_numpy().tobytes()], "k": [t.column("k").to_numpy().astype(np.int64).tobytes()], "y": [t.column("y").to_numpy().tobytes()], "offset": [t.column("offset").to_numpy().tobytes()], "z": [z.tobytes()]}, schema=SCHEMA)
 
         def dense(t: pa.Table) -> pa.Table:
             z = np.ones((t.num_rows, p))
@@ -159,10 +168,9 @@ class Regression:
             return pa.table({"ub": [None], "n": [t.column("n").to_numpy().tobytes()], "k": [None], "y": [None], "offset": [t.column("offset").to_numpy().tobytes()], "z": [z.tobytes()]}, schema=SCHEMA)
 
         kind = "ub long, n binary, k binary, y binary, offset binary, z binary"
-        self.entries = stored(told.select("ub", "chunk", "k", "y", "x", "offset", "c").groupBy("ub", "chunk").applyInArrow(packed, kind), "regression-blocks")
+        self.entries = stored(told.select("ub", "chunk", "n", "k", "y", "x", "offset", "c").groupBy("ub", "chunk").applyInArrow(packed, kind), "regression-blocks")
         block = F.pmod(F.xxhash64("offset", "c"), F.lit(max(1, -(-n_rows // ROWS))))
         self.rows = stored(rows.groupBy(block.alias("block")).applyInArrow(dense, kind), "regression-rows")
-        self.totals = sizes.select("unit", "total")
 
     def start(self, alpha: float = 0.0) -> DataFrame:
         """Parameters at the first round: coefficients 0."""
@@ -187,11 +195,12 @@ class Regression:
         def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, np.ndarray] = {}
             for batch in batches:
-                for r in batch.to_pylist():
-                    get = lambda c, kind: np.frombuffer(r[c], kind) if r[c] is not None else None  # noqa: B023, E731
-                    block = Block(_matrix(r["z"], p), get("offset", np.float64), get("n", np.float64), get("k", np.int64), get("y", np.float64), has_x)
-                    s = block.sums(_matrix(r["b"], p), get("alpha", np.float64), ~get("done", bool), terms)
-                    held[r["ub"]] = held[r["ub"]] + s if r["ub"] in held else s
+                for i in range(batch.num_rows):  # block by block, each read where it stands
+                    at = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind) if batch.column(c)[i].is_valid else None  # noqa: B023, E731
+                    block = Block(at("z", np.float64).reshape(-1, p), at("offset", np.float64), at("n", np.float64), at("k", np.int64), at("y", np.float64), has_x)
+                    s = block.sums(at("b", np.float64).reshape(-1, p), at("alpha", np.float64), ~at("done", bool), terms)
+                    ub = batch.column("ub")[i].as_py()
+                    held[ub] = held[ub] + s if ub in held else s
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([s.tobytes() for s in held.values()], pa.binary())], names=["ub", "sums"])
 
         return both.mapInArrow(summed, "ub long, sums binary")
