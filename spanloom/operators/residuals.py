@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.special import PRIME, bound, count_cdf, draw, normal_quantile
 from ..sources.shared import stored
-from .regression import FURTHEST, Regression
+from .pairs import beside
+from .regression import FURTHEST, Regression, told_cells
 
 
 def alpha_moments(y: Column, mu: Column) -> Column:
@@ -159,10 +160,14 @@ def poisson_multi(links: DataFrame, x: DataFrame, y: DataFrame, covariates: Data
     A link whose x and y are 0 in all cells has no slope and doesn't come up.
     """
     numbered = links.select("link_id", "x_id", "y_id", F.xxhash64("x_id", "y_id").alias("unit"))  # equal pairs are fitted once
-    pairs = numbered.select("unit", "x_id", "y_id").distinct()
-    xs = pairs.join(x.select(F.col("feature_id").alias("x_id"), "cell_id", F.col("value").alias("x")), "x_id").select("unit", "cell_id", "x", F.lit(0.0).alias("y"))
-    ys = pairs.join(y.select(F.col("feature_id").alias("y_id"), "cell_id", F.col("value").alias("y")), "y_id").select("unit", "cell_id", F.lit(0.0).alias("x"), "y")
-    entries = xs.unionByName(ys).groupBy("unit", "cell_id").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    r = Regression(entries, covariates.select("cell_id", F.lit(0.0).alias("offset"), "c"), has_x=True)
+    pairs = stored(numbered.select(F.col("unit").alias("link_id"), "x_id", "y_id").distinct(), "pairs")
+    cells = stored(told_cells(covariates.select("cell_id", F.lit(0.0).alias("offset"), "c")), "covariates")
+    # cells with x have their y beside it; those with y alone are all that have this y, less those with x
+    placed, rows, names = beside(pairs, x, y, cells)
+    met = rows.select("x_id", "_b", "_c", F.coalesce("_x", F.lit(0.0)).alias("_x"), "offset", "c", F.posexplode(F.array(*names)).alias("_pos", "y")).join(placed, ["x_id", "_b", "_c", "_pos"])
+    entry = lambda x, n: F.struct(x.alias("x"), F.col("y"), F.lit(n).alias("n"))
+    met = met.select(F.col("link_id").alias("unit"), "offset", "c", F.inline(F.array(entry(F.col("_x"), 1.0), entry(F.lit(0.0), -1.0))))
+    alone = pairs.join(y.select(F.col("feature_id").alias("y_id"), "cell_id", F.col("value").alias("y")), "y_id").join(cells, "cell_id").select(F.col("link_id").alias("unit"), "offset", "c", F.lit(0.0).alias("x"), "y", F.lit(1.0).alias("n"))
+    r = Regression(met.unionByName(alone).filter("x != 0 or y != 0"), cells, has_x=True)
     fits = r.table(r.fitted(r.start(), ridge)).select("unit", F.get("b", F.lit(1)).alias("beta"), F.get("more", F.lit(1)).alias("se"))
     return numbered.join(fits, "unit").select("link_id", "beta", "se")

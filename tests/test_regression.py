@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.special import beta_i, count_cdf, digamma, gamma_p, normal_quantile, trigamma
 from spanloom.operators import pairs, regression, residuals
 from spanloom.plans.inputs import Inputs
+from spanloom.sources.shared import stored
 from tests import newton
 
 LONG = "cell_id long, feature_id long, value double"
@@ -218,3 +219,27 @@ def test_classes_are_the_counts_of_both_matrices(spark):
     t = Inputs(spark, "/root/testdata/sf0.001")
     for got, want in zip(t.classes(), (t.x(), t.y())):
         assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_equal_entries_of_a_unit_are_one(spark, monkeypatch):
+    """Cells that are alike in x, y and covariates are counted, so rounds don't grow with cells; a hundred cells of two kinds make as many entries as two."""
+    made = {}
+    monkeypatch.setattr(regression, "stored", lambda df, tag: made.setdefault(tag, stored(df, tag)) if tag == "regression-entries" else stored(df, tag))
+    cells = spark.createDataFrame([(k, 0.1 * (k % 2), [float(k % 2)]) for k in range(100)], "cell_id long, offset double, c array<double>")
+    y = np.array([[1 + k % 2 for k in range(100)]])
+    r = regression.Regression(long(spark, y).select(F.col("feature_id").alias("unit"), "cell_id", F.lit(0.0).alias("x"), F.col("value").alias("y")), cells, has_x=False)
+    assert sorted((q["y"], q["n"]) for q in made["regression-entries"].collect()) == [(1.0, 50.0), (2.0, 50.0)]
+    got = r.table(r.fitted(r.start())).first()["b"]
+    assert got == pytest.approx([0.0, math.log(2) - 0.1], abs=1e-8)
+
+
+def test_links_of_one_x_and_unknown_cells_match_newton(spark):
+    """Several links of an x, y without x, and cells without covariates, which are left out; no row is made for a link and a cell."""
+    c, x, y = study("categories", 120, 3)
+    cov = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(c[:100])], "cell_id long, c array<double>")
+    pairs_of = [(a * 3 + b, a, b) for a in range(2) for b in range(3)]
+    found = residuals.poisson_multi(spark.createDataFrame(pairs_of, "link_id long, x_id long, y_id long"), long(spark, x), long(spark, y), cov)
+    got = {q["link_id"]: q for q in found.collect()}
+    for link, a, b in pairs_of:
+        want, se, _ = newton.fitted(np.column_stack([np.ones(100), x[a][:100], c[:100]]), y[b][:100])
+        assert [got[link]["beta"], got[link]["se"]] == pytest.approx([want[1], se[1]], abs=1e-8)
