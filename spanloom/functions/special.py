@@ -105,22 +105,33 @@ def beta_i(a: Column, b: Column, x: Column) -> Column:
 FEW, LEAST = 256, 1e-290
 
 
-def count_cdf(y: Column, mu: Column, alpha: Column) -> Column:
-    """P(count <= y) of a Poisson count of mean mu where alpha is 0, else of a negative binomial one of variance mu + alpha * mu^2; y whole, 0 below 0.
+def count_span(y: Column, mu: Column, alpha: Column) -> Column:
+    """A struct of ``below`` and ``upto``, P(count < y) and P(count <= y), of a Poisson count of mean mu where alpha is 0, else of a negative binomial one of variance mu + alpha * mu^2; y whole, both 0 below 0.
 
-    Small counts are a plain sum of probabilities, all others an incomplete gamma or beta function.
+    Small counts are a plain sum of probabilities, which gives both in one fold; all others an
+    incomplete gamma or beta function.
     """
+    both = lambda below, upto: F.struct(below.alias("below"), upto.alias("upto"))
 
     def held(s: Column) -> Column:
-        y, mu, size, none = s["y"], s["mu"], s["size"], s["none"]
-        growth = lambda k: F.when(size.isNull(), mu / k).otherwise((size + k - 1) / k * (mu / (size + mu)))
-        few = F.aggregate(F.sequence(F.lit(0), y.cast("int")), F.struct(none.alias("p"), F.lit(0.0).alias("s")), lambda a, k: F.struct(F.when(k == 0, a["p"]).otherwise(a["p"] * growth(k)).alias("p"), (a["s"] + F.when(k == 0, a["p"]).otherwise(a["p"] * growth(k))).alias("s")), lambda a: F.least(a["s"], F.lit(1.0)))
-        many = F.when(size.isNull(), 1 - gamma_p(y + 1, mu)).otherwise(beta_i(size, y + 1, size / (size + mu)))
-        return F.when(y < 0, 0.0).when(mu <= 0, 1.0).when((y <= FEW) & (none > LEAST), few).otherwise(many)
+        y, mu, size, none, ratio = (s[k] for k in ("y", "mu", "size", "none", "ratio"))
+        # p is the last probability, s the sum of those before it
+        growth = lambda k: F.coalesce((size + k - 1) / k * ratio, ratio / k)
+        terms = F.when(y >= 1, F.sequence(F.lit(1), y.cast("int"))).otherwise(F.array().cast("array<int>"))
+        few = F.aggregate(terms, F.struct(none.alias("p"), F.lit(0.0).alias("s")), lambda a, k: F.struct((a["p"] * growth(k)).alias("p"), (a["s"] + a["p"]).alias("s")), lambda a: both(F.least(a["s"], F.lit(1.0)), F.least(a["s"] + a["p"], F.lit(1.0))))
+        many = lambda y: F.when(size.isNull(), 1 - gamma_p(y + 1, mu)).otherwise(beta_i(size, y + 1, size / (size + mu)))
+        rest = both(F.when(y < 1, 0.0).otherwise(many(y - 1)), many(y))
+        return F.when(y < 0, both(F.lit(0.0), F.lit(0.0))).when(mu <= 0, both(F.when(y < 1, 0.0).otherwise(1.0), F.lit(1.0))).when((y <= FEW) & (none > LEAST), few).otherwise(rest)
 
     mu, size = mu.cast("double"), 1 / F.when(alpha > 0, F.greatest(alpha.cast("double"), F.lit(1e-12)))
     none = F.exp(F.when(size.isNull(), -mu).otherwise(-size * F.log1p(mu / size)))
-    return bound(F.struct(y.cast("double").alias("y"), mu.alias("mu"), size.alias("size"), none.alias("none")), held)
+    ratio = F.when(size.isNull(), mu).otherwise(mu / (size + mu))
+    return bound(F.struct(y.cast("double").alias("y"), mu.alias("mu"), size.alias("size"), none.alias("none"), ratio.alias("ratio")), held)
+
+
+def count_cdf(y: Column, mu: Column, alpha: Column) -> Column:
+    """P(count <= y) as in :func:`count_span`."""
+    return count_span(y, mu, alpha)["upto"]
 
 
 #: Rational approximation of the normal quantile (Acklam 2003), good to 1.2e-9. Fixed values.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.special import PRIME, bound, count_cdf, draw, normal_quantile
+from ..functions.special import PRIME, bound, count_span, draw, normal_quantile
 from ..sources.shared import stored
 from .pairs import beside
 from .regression import FURTHEST, Regression, told_cells
@@ -96,21 +96,23 @@ def count_model(counts: DataFrame, cells: DataFrame, alpha_init: float = 0.5, re
     return r.table(r.moments(p)).select(F.col("unit").alias("feature_id"), "b", "alpha", F.get("more", F.lit(0)).alias("mean"), F.element_at("more", -1).alias("squares"))
 
 
-#: Features that stand in one row while residuals are made.
-TOGETHER = 512
+#: Features that stand in one row while residuals are made, and residuals that one task makes, about.
+TOGETHER, RESIDUALS = 512, 100_000
 
 
 def modelled(counts: DataFrame, cells: DataFrame, features: DataFrame) -> DataFrame:
     """cell_id, feature_id, value, mu, alpha for every cell and every feature of ``features`` (feature_id, b, alpha).
 
     The full table is dense by nature, but it is made row by row: features come in blocks, a cell's
-    counts of a block as a map, and only these are joined.
+    counts of a block as a map, and only these are joined. Cells are small beside what is made of
+    them, so they are dealt out by that and not by their size. ``cells`` and ``features`` should be stored.
     """
-    n = max(1, -(-features.count() // TOGETHER))
+    n_features = features.count()
+    n, tasks = max(1, -(-n_features // TOGETHER)), max(1, -(-n_features * cells.count() // RESIDUALS))
     block = F.pmod(F.xxhash64("feature_id"), F.lit(n)).alias("_block")
     packed = features.groupBy(block).agg(F.collect_list(F.struct("feature_id", "b", "alpha")).alias("_f"))  # about TOGETHER features each
-    held = counts.groupBy("cell_id", block).agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("_y"))
-    every = cells.select("cell_id", "offset", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_block"))
+    held = counts.select("cell_id", "feature_id", "value", block).repartition(tasks, "cell_id", "_block").groupBy("cell_id", "_block").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("_y"))
+    every = cells.select("cell_id", "offset", "c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_block")).repartition(tasks, "cell_id", "_block")
     full = every.join(held, ["cell_id", "_block"], "left").join(packed, "_block").select("cell_id", "offset", "c", "_y", F.inline("_f"))
     z = F.concat(F.array(F.lit(1.0)), F.col("c"))
     eta = F.aggregate(F.zip_with("b", z, lambda a, v: a * v), F.col("offset"), lambda s, v: s + v)
@@ -123,8 +125,8 @@ def quantile_residual(y: Column, mu: Column, alpha: Column, u: Column) -> Column
 
     Poisson where alpha is 0, else negative binomial with size 1 / alpha. The point stays 1e-12 off 0 and 1.
     """
-    between = F.struct(count_cdf(y - 1, mu, alpha).alias("below"), count_cdf(y, mu, alpha).alias("upto"), u.alias("u"))
-    point = bound(between, lambda s: s["below"] + s["u"] * F.greatest(F.least(s["upto"] - s["below"], F.lit(1.0)), F.lit(0.0)))
+    within = lambda s: s["below"] + u * F.greatest(F.least(s["upto"] - s["below"], F.lit(1.0)), F.lit(0.0))
+    point = bound(count_span(y, mu, alpha), within)
     return normal_quantile(F.greatest(F.least(point, F.lit(1 - 1e-12)), F.lit(1e-12)))
 
 
@@ -144,8 +146,8 @@ def count_residuals(counts: DataFrame, cells: DataFrame, kind: str = "pearson",
     full = modelled(counts, cells, features)
     y, mu, alpha = F.col("value"), F.col("mu"), F.col("alpha")
     if kind == "quantile":
-        u = (draw(F.col("cell_id"), F.col("feature_id"), seed) + 0.5) / PRIME
-        r = quantile_residual(y, mu, alpha, u)
+        full = full.withColumn("_u", (draw(F.col("cell_id"), F.col("feature_id"), seed) + 0.5) / PRIME)  # beside mu, where its steps are compiled
+        r = quantile_residual(y, mu, alpha, F.col("_u"))
     else:
         r = pearson_residual(y, mu, alpha)
     if clip is not None:

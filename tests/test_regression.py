@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.functions.special import beta_i, count_cdf, digamma, gamma_p, normal_quantile, trigamma
+from spanloom.functions.special import beta_i, count_cdf, count_span, digamma, gamma_p, normal_quantile, trigamma
 from spanloom.operators import pairs, regression, residuals
 from spanloom.plans.inputs import Inputs
 from spanloom.sources.shared import stored
@@ -122,6 +122,18 @@ def test_quantile_residuals_are_normal_under_the_model(spark):
         assert np.abs(p - (np.arange(n) + 0.5) / n).max() < 1.63 / math.sqrt(n)  # one in a hundred
 
 
+def test_residuals_are_dealt_out_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(residuals, "RESIDUALS", 100, raising=False)
+    monkeypatch.setattr(residuals, "TOGETHER", 3)
+    y = np.random.default_rng(5).poisson(0.8, (5, 200))
+    cells = stored(spark.createDataFrame([(k, 0.1 * (k % 3), [float(k % 2)]) for k in range(200)], "cell_id long, offset double, c array<double>"), "cells")
+    features = stored(spark.createDataFrame([(k, [0.1 * k, -0.2], 0.5) for k in range(5)], "feature_id long, b array<double>, alpha double"), "features")
+    full = residuals.modelled(long(spark, y), cells, features).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["cell_id"], r["feature_id"]): r["value"] for r in full} == {(c, k): float(y[k][c]) for c in range(200) for k in range(5)} and len(full) == 1000
+    assert all(abs(r["mu"] - math.exp(0.1 * (r["cell_id"] % 3) + 0.1 * r["feature_id"] - 0.2 * (r["cell_id"] % 2))) < 1e-12 for r in full)
+    assert np.unique([r["task"] for r in full], return_counts=True)[1].max() < 250  # 10 tasks, not one for so small an input
+
+
 def test_alphas_are_drawn_to_the_median(spark):
     rng = np.random.default_rng(2)
     mean, squares, alpha = rng.uniform(0, 0.3, 60), rng.uniform(0, 3e4, 60), np.concatenate([rng.uniform(0, 40, 59), [0.0]])
@@ -164,6 +176,9 @@ def test_distribution_functions_of_counts(spark):
 
     got = known(spark, rows, "y double, mu double, a double", count_cdf(F.col("y"), F.col("mu"), F.col("a")))
     assert max(abs(g - want(*r)) for g, r in zip(got, rows)) < 1e-10
+    both = known(spark, rows, "y double, mu double, a double", count_span(F.col("y"), F.col("mu"), F.col("a")))
+    assert [b["upto"] for b in both] == got
+    assert max(abs(b["below"] - want(y - 1, mu, a)) for b, (y, mu, a) in zip(both, rows)) < 1e-10
 
 
 def test_special_functions(spark):
