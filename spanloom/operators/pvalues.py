@@ -53,6 +53,16 @@ def interpolated(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str, k
     return obs.join(n.select(key, (1 - F.try_divide(F.col("n_ge"), F.col("n_ctrl"))).alias("survival")), key, "left")
 
 
+def moments(v: Column) -> tuple[Column, Column, Column]:
+    """Aggregates of a group: mean, population deviation and sample variance, exact where all values are equal.
+
+    Partial means of equal values don't always give that value again when they are put together
+    (100 / 11 * 11 isn't 100), and a deviation that is 0 would be some 1e-14, as the rows are dealt.
+    """
+    same = F.min(v) == F.max(v)
+    return F.when(same, F.min(v)).otherwise(F.avg(v)), F.when(same, 0.0).otherwise(F.stddev_pop(v)), F.when(same & (F.count(v) > 1), 0.0).otherwise(F.var_samp(v))
+
+
 def centred(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str, group: str, se: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Observations and controls standardised by their group's controls (mean and population deviation).
 
@@ -62,8 +72,9 @@ def centred(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str, group:
     observation from the control that equals it.
     """
     v = clean(F.col(ctrl_value))
-    spread = F.stddev_pop(v) if se is None else F.sqrt(F.var_samp(v) + F.avg(F.col(se) * F.col(se)))
-    stats = stored(ctrl.groupBy(group).agg(F.avg(v).alias("_m"), spread.alias("_s")).filter("_s > 0"), "moments")  # a row a group
+    mean, deviation, variance = moments(v)
+    spread = deviation if se is None else F.sqrt(variance + F.avg(F.col(se) * F.col(se)))
+    stats = stored(ctrl.groupBy(group).agg(mean.alias("_m"), spread.alias("_s")).filter("_s > 0"), "moments")  # a row a group
     scaled = lambda df, c: df.join(stats, group).withColumn(c, (F.col(c) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
     return scaled(obs.filter(clean(F.col(value)).isNotNull()), value), scaled(ctrl.filter(v.isNotNull()), ctrl_value)
 
@@ -78,8 +89,8 @@ def pooled(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str, key: st
 
 def z_scores(obs: DataFrame, ctrl: DataFrame, value: str, ctrl_value: str, group: str) -> DataFrame:
     """Adds ``z`` and ``zpval`` against the group's controls; a deviation of 0 gives plus or minus infinity."""
-    v = clean(F.col(ctrl_value))
-    stats = ctrl.groupBy(group).agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s"))
+    mean, deviation, _ = moments(clean(F.col(ctrl_value)))
+    stats = ctrl.groupBy(group).agg(mean.alias("_m"), deviation.alias("_s"))
     d = F.col(value) - F.col("_m")
     z = F.when(F.col("_s") > 0, F.try_divide(d, F.col("_s"))).when(d > 0, float("inf")).when(d < 0, float("-inf"))
     return obs.join(stats, group, "left").withColumn("z", z).withColumn("zpval", F.when(F.col("z") == float("inf"), 0.0).when(F.col("z") == float("-inf"), 1.0).otherwise(normal_sf(F.col("z")))).drop("_m", "_s")

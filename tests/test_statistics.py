@@ -302,6 +302,17 @@ def test_observations_and_controls_are_standardised_by_the_same_numbers(spark):
     assert sorted(r["v"] for r in o.collect()) == sorted(r["c"] for r in c.collect())
 
 
+def test_equal_controls_have_no_deviation_however_they_are_dealt(spark):
+    """Eleven in each of two tasks: their mean times eleven, over eleven, isn't theirs."""
+    some = lambda n, tasks: spark.range(0, n, 1, tasks).select(F.lit("g").alias("g"), (F.col("id") * 0 + 100.0).alias("c"), F.lit(0.5).alias("se"))
+    ctrl = some(22, 2)
+    obs = spark.createDataFrame([(0, "g", 100.0), (1, "g", 99.0)], "k int, g string, v double")
+    assert [r["ppval"] for r in pvalues.pooled(obs, ctrl, "v", "c", "k", "g").collect()] == [None, None]
+    assert {r["k"]: (r["z"], r["zpval"]) for r in pvalues.z_scores(obs, ctrl, "v", "c", "g").collect()} == {0: (None, None), 1: (-math.inf, 1.0)}
+    assert sorted(r["v"] for r in pvalues.centred(obs, ctrl, "v", "c", "g", "se")[0].collect()) == [-2.0, 0.0]
+    assert pvalues.centred(obs, some(1, 1), "v", "c", "g", "se")[0].count() == 0
+
+
 def test_histograms_with_many_links_of_a_feature(spark, monkeypatch):
     """More links than stand in a row, second features in more than one block, cells without any y, features that nothing has."""
     monkeypatch.setattr(pairs, "TOGETHER", 4)
